@@ -17,6 +17,18 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_class")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.decontamination import report
+
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.suffix_dedup import digest
 
@@ -25,6 +37,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
