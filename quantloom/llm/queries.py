@@ -6,23 +6,61 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantloom.llm import url_filter
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.sharding import stored_digest
+
+    return stored_digest(_table(spark, sf_dir, "documents"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.ngram_join import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_class")
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.url_filter import judge, rule_table
+
+    return judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.fingerprints import edited_likeness
+
+    return edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.decontamination import report
 
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.toxicity import rate
+
+    return rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.language_id import identify
 
@@ -35,11 +73,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_ngram_join": op3_ngram_join,
-    "op7_benchmark_decontamination": op7_benchmark_decontamination,
-    "op9_language_id": op9_language_id,
-    "op10_suffix_dedup": op10_suffix_dedup,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_ngram_join, op4_url_filters, op5_fingerprints, op6_license_scans, op7_benchmark_decontamination, op8_toxicity, op9_language_id, op10_suffix_dedup)}
 
-ORACLES: dict[str, str] = {}
+#: SQL where it can express the operator; the others are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {"op4_url_filters": url_filter.ORACLE}
