@@ -10,10 +10,13 @@ Set-relation skipping, distributed:
   ``n - ceil(0.8 n) + l``; those prefixes go to an index of lists, sorted by set
   size.  Size decides which block of a list can hold partners, the positions of the
   shingle in both sets bound the overlap; blocks outside are skipped.
-* Answers are derived from those of a highly similar set: first each set is compared
-  with one leader only, the set it shares most lists with.  Sets linked to a leader
-  take over its component, and pairs inside a component are never formed again.
-  Only pairs across components that share l prefix shingles are then verified.
+* A set whose lists have too little company to reach l leaves the index.
+* Answers are derived from those of a highly similar set: for some turns each set is
+  compared with one leader only, the one of its lists' leaders with which it shares
+  most.  Sets linked to a leader take over its component, and pairs inside a
+  component are never formed.  Then all pairs across components are considered: first
+  as pairs of components, of which those that share l lists are opened into pairs of
+  sets, of which those that share l prefix shingles are verified.
 
 Every pair that is linked is verified on the whole sets.
 """
@@ -124,44 +127,69 @@ def _summed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(a[start]), pa.array(b[start]), pa.array(na[start]), pa.array(nb[start]), pa.array(np.diff(np.append(start, len(a))).astype(np.int64))], names=["a", "b", "na", "nb", "hits"])
 
 
-def _lists(percent: int):
-    """Lists of two sets or more (kind 0), and pairs of each set with the leader of a list (kind 1)."""
-    names = ["kind", "h", "s", "n", "pos", "hits"]
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of two sets or more; m is the number of sets in the list."""
+    for t in sorted_groups(batches, "h"):
+        h, s, n, pos = (t.column(c).to_numpy() for c in ("h", "s", "n", "pos"))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        h, s, n, pos = h[new], s[new], n[new], pos[new]
+        start, end = grouped_runs(h)
+        m = np.repeat(end - start, end - start)
+        many = m > 1
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, s, n, pos, m)], names=["h", "s", "n", "pos", "m"])
+
+
+def _stars(percent: int, turn: int):
+    """Pairs of a list's leader with the sets of other components.
+
+    The leader of the first turn is the set with the most company in all of its lists;
+    later turns take another member of its component.
+    """
 
     def run(batches):
         for t in sorted_groups(batches, "h"):
-            h, s, n, pos = (t.column(c).to_numpy() for c in ("h", "s", "n", "pos"))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-            h, s, n, pos = h[new], s[new], n[new], pos[new]
-            start, end = grouped_runs(h)
-            many = np.repeat(end - start > 1, end - start)
-            if not many.any():
-                continue
-            h, s, n, pos = h[many], s[many], n[many], pos[many]
+            h, s, n, w, c = (t.column(x).to_numpy() for x in ("h", "s", "n", "w", "c"))
+            n = n.astype(np.int64)
             start, end = grouped_runs(h)
-            z = np.zeros(len(h), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (z.astype(np.int8), h, s, n, pos, z)], names=names)
-            leader = np.repeat(start, end - start)
-            lo, hi = np.minimum(n, n[leader]).astype(np.int64), np.maximum(n, n[leader]).astype(np.int64)
-            fits = (s != s[leader]) & (100 * lo >= percent * hi)
-            b = _summed(s[leader][fits], s[fits], n[leader][fits], n[fits])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(b.num_rows, np.int8)), b.column(0), b.column(1), b.column(2), b.column(3), b.column(4)], names=names)
+            of = np.repeat(np.arange(len(start)), end - start)
+            leader = np.lexsort((s, -w, of))[start]
+            if turn:
+                own = c == c[leader][of]
+                leader = np.lexsort((s if turn % 2 else -s, ~own, of))[start]
+            leader = leader[of]
+            fits = (c != c[leader]) & (100 * np.minimum(n, n[leader]) >= percent * np.maximum(n, n[leader]))
+            if fits.any():
+                yield _summed(s[leader][fits], s[fits], n[leader][fits], n[fits])
 
     return run
 
 
-def _across(percent: int, block: int = 2_000_000):
-    """Pairs of one list that are in two components and pass the filters on size and position."""
+def _across(percent: int, whole: bool, block: int = 2_000_000):
+    """Pairs of one list that are in two components and pass the filters on size and position.
+
+    whole: pairs of components, each with the sizes it has in this list, instead of pairs of sets.
+    """
 
     def run(batches):
         for t in sorted_groups(batches, "h"):
             h, s, n, pos, c = (t.column(x).to_numpy() for x in ("h", "s", "n", "pos", "c"))
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            least = most = n.astype(np.int64)
+            pos = pos.astype(np.int64)
+            if whole:
+                order = np.lexsort((least, c, h))
+                h, c, least = h[order], c[order], least[order]
+                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
+                most = least[np.append(first[1:], len(h)) - 1]
+                h, c, least = h[first], c[first], least[first]
+                order = np.lexsort((least, h))
+                h, c, least, most = h[order], c[order], least[order], most[order]
+                s = c
             start, end = grouped_runs(h)
             mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
             for x, y in zip(start[mixed], end[mixed], strict=True):
-                reach = np.searchsorted(n[x:y], n[x:y] * 100 // percent, "right") + x
+                reach = np.searchsorted(least[x:y], most[x:y] * 100 // percent, "right") + x  # further blocks hold only larger sets
                 count = np.maximum(reach - np.arange(x, y) - 1, 0)
                 ends = np.cumsum(count)
                 at = 0
@@ -170,13 +198,15 @@ def _across(percent: int, block: int = 2_000_000):
                     i = np.repeat(np.arange(x + at, x + to), count[at:to])
                     j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at:to]) - count[at:to], count[at:to])
                     at = to
-                    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                    ok = (c[i] != c[j]) & ((100 + percent) * most >= percent * (n[i] + n[j]))
+                    ok = c[i] != c[j]
+                    if not whole:
+                        bound = np.minimum(pos[i], pos[j]) + np.minimum(least[i] - pos[i], least[j] - pos[j])
+                        ok &= (100 + percent) * bound >= percent * (least[i] + least[j])
                     i, j = i[ok], j[ok]
                     if len(i):
                         swap = s[i] > s[j]
                         i, j = np.where(swap, j, i), np.where(swap, i, j)
-                        yield _summed(s[i], s[j], n[i], n[j])
+                        yield _summed(s[i], s[j], least[i], least[j])
 
     return run
 
@@ -257,23 +287,42 @@ class NgramJoin:
         weights = self._weights()
         found = self.texts.mapInArrow(_prefixes(self.width, percent, weights), "h long, s long, n int, pos int").repartition("h").sortWithinPartitions("h", "n", "s")
         arrow_batches(self.spark, 50_000)
-        lists = stage.write(found.mapInArrow(_lists(percent), "kind byte, h long, s long, n int, pos int, hits long"), "lists")
-        stars = lists.where("kind = 1").groupBy(F.col("h").alias("a"), F.col("s").alias("b")).agg(F.sum("hits").alias("hits"))
-        best = stars.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
-        links = self._verified(best, classes, "near")
-        root = components(links, stage, "near")
-        members = lists.where("kind = 0").select("h", "s", "n", "pos").join(root.withColumnRenamed("node", "s"), "s", "left").select("h", "s", "n", "pos", F.coalesce("root", "s").alias("c"))
-        arrow_batches(self.spark, 50_000)
-        pairs = members.repartition("h").sortWithinPartitions("h", "n", "s").mapInArrow(_across(percent), "a long, b long, na long, nb long, hits long")
+        lists = stage.write(found.mapInArrow(_lists, "h long, s long, n int, pos int, m long"), "lists")
+        smallest = F.ceil(F.col("n") * percent / 100)  # of the sets similar to one of n shingles
+        least = F.least(1 + F.floor(smallest / 20), F.greatest(F.ceil(smallest * percent / 100), F.lit(1)))
+        hopeful = lists.groupBy("s").agg(F.count("*").alias("lists"), F.sum("m").alias("w"), F.first("n").alias("n")).where(F.col("lists") >= least).select("s", "w")
+        members = stage.write(lists.join(hopeful, "s").select("h", "s", "n", "pos", "w"), "members")
+        stage.drop("lists")
+        pair, links, root = "a long, b long, na long, nb long, hits long", None, None
+
+        def placed(rows: DataFrame) -> DataFrame:
+            rows = rows.withColumn("c", F.col("s")) if root is None else rows.join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
+            arrow_batches(self.spark, 50_000)
+            return rows.repartition("h").sortWithinPartitions("h", "n", "s")
+
+        for turn in range(3):
+            stars = placed(members).mapInArrow(_stars(percent, turn), pair).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+            best = stars.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
+            found = self._verified(best, classes, f"near{turn}")
+            links = found if links is None else links.union(found)
+            root = components(links, stage, f"near{turn}")
         small = F.least("na", "nb")
         least = F.least(1 + F.floor(small / 20), F.greatest(F.ceil(small * percent / 100), F.lit(1)))
-        pairs = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("na").alias("na"), F.max("nb").alias("nb")).where(F.col("hits") >= least).select("a", "b")
-        more = self._verified(pairs, classes, "far")
-        root = components(links.union(more), stage, "all")
+
+        def enough(pairs: DataFrame) -> DataFrame:
+            """Those that share the prefix shingles which similar sets of the smallest size found would share."""
+            return pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("na").alias("na"), F.min("nb").alias("nb")).where(F.col("hits") >= least).select("a", "b")
+
+        apart = stage.write(enough(placed(members).mapInArrow(_across(percent, True), pair)), "apart")
+        near = apart.select(F.col("a").alias("c")).union(apart.select(F.col("b").alias("c"))).distinct()
+        few = placed(members).join(near, "c", "left_semi").repartition("h").sortWithinPartitions("h", "n", "s")
+        pairs = enough(few.mapInArrow(_across(percent, False), pair))
+        links = links.union(self._verified(pairs, classes, "far"))
+        root = components(links, stage, "all")
         of_class = classes.join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s"))
         smallest = of_class.groupBy("c").agg(F.min("rep").alias("component_id"))
         labels = stage.write(of_class.join(smallest, "c").select("s", "component_id", "n_class"), "labels")
-        stage.drop("lists")
+        stage.drop("members")
         return sets.join(labels, "s", "left").select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
 
 
