@@ -1,19 +1,25 @@
-"""Registered queries over the driver's tables, each with its SQL counterpart."""
+"""Registered queries over the driver's tables, each with its SQL counterpart.
+
+Doubles are rounded alike on both sides, as sums run in another order there.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+_MODULES = ("data", "windows", "trading", "checks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for m in _MODULES for k, v in import_module(f"quantloom.plans.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in import_module(f"quantloom.plans.{m}").ORACLES.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["flagship_sma_metrics"](spark, sf_dir)
