@@ -5,7 +5,7 @@ full mode the management columns.  Bars: pair, bar_idx, open, high, low, close,
 sub-bars: pair, bar_idx (of the parent), sub_seq (dense order per pair), high, low, close, spread.
 
 Trades meet sub-bars by (pair, block of bars), an equi-join; a horizon bounds how far a
-trade looks, and only those that haven't ended look again, twice as far.
+trade looks, and only those that haven't ended look again, four times as far.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ def first_touch(trades: DataFrame, subs: DataFrame, horizon: int = 64, max_round
     """
     last = subs.agg(F.max("bar_idx")).first()[0] or 0
     keys = ["pair", "bar_idx", "direction", "sl", "tp"]
-    open_, found, seen = trades.select(*keys).distinct(), None, 0
+    open_, found, seen = trades.select(*keys).distinct().persist(), None, 0
+    subs = subs.persist()  # read once a round
     for _ in range(max_rounds):
         ahead = _ahead(open_, subs, horizon).where(F.col("at_bar") > F.col("bar_idx") + seen)
         buy = F.col("direction") > 0
@@ -57,8 +58,8 @@ def first_touch(trades: DataFrame, subs: DataFrame, horizon: int = 64, max_round
         found = hit if found is None else found.unionByName(hit)
         if horizon >= last:
             break
-        open_ = open_.join(hit, keys, "left_anti")
-        seen, horizon = horizon, horizon * 2
+        open_ = open_.join(hit, keys, "left_anti").persist()
+        seen, horizon = horizon, horizon * 4
     return trades.join(found, keys, "left")
 
 
