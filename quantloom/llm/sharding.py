@@ -53,7 +53,8 @@ class ShardStore:
         self.spark, self.root = spark, root.rstrip("/")
         self.target, self.small, self.fanout = target_bytes, small_bytes, fanout
         self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
 
     def _list(self, folder: str) -> list[tuple[str, int]]:
         path = self._path(f"{self.root}/{folder}")
@@ -97,9 +98,16 @@ class ShardStore:
         sizes = {n: b for n, b in self._list(folder) if n.endswith(".parquet")}
         if not sizes:
             return []
-        rows = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}").groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("f")).count()
-        counts = {r["f"]: r["count"] for r in rows.toLocalIterator()}
-        return [Shard(f"{folder}/{n}", b, counts[n], level, version) for n, b in sizes.items() if counts.get(n)]
+        return [Shard(f"{folder}/{n}", b, rows, level, version) for n, b in sizes.items() if (rows := self._rows(f"{self.root}/{folder}/{n}"))]
+
+    def _rows(self, path: str) -> int:
+        """Number of rows by the file's footer."""
+        jvm = self.spark._jvm.org.apache.parquet.hadoop
+        reader = jvm.ParquetFileReader.open(jvm.util.HadoopInputFile.fromPath(self._path(path), self._conf))
+        try:
+            return reader.getRecordCount()
+        finally:
+            reader.close()
 
     def append(self, df: DataFrame) -> int:
         """Add rows as new shards and commit; returns the version.  An arrival without rows commits nothing new but its schema."""
@@ -169,10 +177,11 @@ def ingest(docs: DataFrame, id_col: str = "doc_id", arrivals: int = 8, store: Sh
     """
     spark = docs.sparkSession
     store = store or ShardStore(spark, Stage(spark, "shards").root)
+    files = -(-docs.rdd.getNumPartitions() // arrivals)  # an arrival has its share of the table, in shards of about a read split
     of = F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(arrivals)), F.lit(0)) if arrivals > 1 else F.lit(0)
     for i in range(arrivals):
         part = docs if arrivals == 1 else docs.where(F.when(F.col(id_col).isNull(), 0).otherwise(of) == i)
-        store.append(part)
+        store.append(part.coalesce(files))
         store.compact()
         store.vacuum()
     return store
