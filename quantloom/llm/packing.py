@@ -1,7 +1,7 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Several sequence lengths are permitted; each has a cost (its length plus a fixed
-overhead).  Pieces go in decreasing length, each to the open bin that it leaves
+Several sequence lengths are permitted; each has a cost: its length, a fixed overhead
+and a share that grows with its square, as attention does.  Pieces go in decreasing length, each to the open bin that it leaves
 with the least room.  Where none has room, a bin of the least-cost size opens: the
 permitted size at or above the piece with the lowest cost per token that its
 contents will have, as estimated from the pieces still to come.  At the end every
@@ -27,10 +27,11 @@ from quantloom.llm.common import arrow_batches, grouped_runs, sorted_groups
 
 SIZES = (1024, 2048, 4096, 8192)
 OVERHEAD = 64
+ATTENTION = 16_384  # the length at which the square costs as much as the length
 GROUP_PIECES = 20_000
 
 
-def best_fit(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> tuple[list[int], list[int]]:
+def best_fit(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, attention: int = ATTENTION) -> tuple[list[int], list[int]]:
     """Bin of each piece, and final size of each bin.  Lengths must not exceed the largest size.
 
     Pieces of length 0 go to the first bin.  Ties: equal lengths keep their order;
@@ -49,7 +50,7 @@ def best_fit(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int =
             left, b = room.pop(at)
         else:
             fits = [s for s in sizes if s >= n]
-            left = min(fits, key=lambda s: ((s + overhead) / max(1, min(s, rest)), s))
+            left = min(fits, key=lambda s: ((s + s * s / attention + overhead) / max(1, min(s, rest)), s))
             b = len(used)
             used.append(0)
         bins[i] = b
@@ -65,7 +66,7 @@ def text_bytes(text_col: str = "text") -> Column:
     return F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, attention: int = ATTENTION, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc_id, piece, start, length, bin_group, bin, bin_size: where each part of each document goes.
 
     A document longer than the largest size is cut into pieces of it and a rest.  Null
@@ -89,7 +90,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
             n = t.column("length").to_numpy()
             bins, final = np.zeros(len(n), np.int32), np.zeros(len(n), np.int32)
             for lo, hi in zip(*grouped_runs(t.column("bin_group").to_numpy()), strict=True):
-                b, s = best_fit(n[lo:hi].tolist(), sizes, overhead)
+                b, s = best_fit(n[lo:hi].tolist(), sizes, overhead, attention)
                 bins[lo:hi] = b
                 final[lo:hi] = np.array(s, np.int32)[b]
             for b in t.append_column("bin", pa.array(bins)).append_column("bin_size", pa.array(final)).to_batches():
