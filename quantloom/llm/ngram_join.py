@@ -14,9 +14,11 @@ Set-relation skipping, distributed:
 * Answers are derived from those of a highly similar set: for some turns each set is
   compared with one leader only, the one of its lists' leaders with which it shares
   most.  Sets linked to a leader take over its component, and pairs inside a
-  component are never formed.  Then all pairs across components are considered: first
-  as pairs of components, of which those that share l lists are opened into pairs of
-  sets, of which those that share l prefix shingles are verified.
+  component are never formed.  Lists of one component leave the index, and so do sets
+  left with too little company.  Then all pairs across components are considered; those that
+  share l prefix shingles and pass the filters are verified.
+* One filter is a map of parities: each shingle flips one of 1024 bits of its set, so the
+  maps of two sets differ in no more bits than the sets do in shingles.
 
 Every pair that is linked is verified on the whole sets.
 """
@@ -34,7 +36,9 @@ from quantloom.llm.common import U64, Stage, arrow_batches, grouped_runs, mix, s
 from quantloom.llm.graph import components
 
 WORDS, PERCENT = 5, 80
+TURNS = 1
 COUNTERS = 1 << 21
+PARITY = 1024  # bits of a set's parity map
 FILTER = 8_388_593  # places of the fixed-size filter of wanted documents; a prime
 
 
@@ -83,7 +87,9 @@ def _describe(width: int):
             ids = b.column(0)
             for i, j, rows, h in _sets(b, 1, width):
                 n, s = _signatures(rows, h, j - i)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(signed(s))], names=["doc", "n", "s"])
+                odd = np.bincount(rows * PARITY + (h & U64(PARITY - 1)).astype(np.int64), minlength=(j - i) * PARITY).astype(np.uint8) & 1
+                bits = [x.tobytes() for x in np.packbits(odd.reshape(j - i, PARITY), axis=1)]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(signed(s)), pa.array(bits, pa.binary())], names=["doc", "n", "s", "bits"])
 
     return run
 
@@ -166,47 +172,56 @@ def _stars(percent: int, turn: int):
     return run
 
 
-def _across(percent: int, whole: bool, block: int = 2_000_000):
-    """Pairs of one list that are in two components and pass the filters on size and position.
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of lists that hold two components or more."""
+    for t in sorted_groups(batches, "h"):
+        h, c = (t.column(x).to_numpy() for x in ("h", "c"))
+        start, end = grouped_runs(h)
+        mixed = np.repeat(np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start), end - start)
+        if mixed.any():
+            yield from t.filter(pa.array(mixed)).to_batches()
+
+
+def _across(percent: int, block: int = 500_000):
+    """Pairs of one list that are in two components and pass the filters on size, position and parity.
 
-    whole: pairs of components, each with the sizes it has in this list, instead of pairs of sets.
+    The sets outside the list's largest component are held against those inside it and
+    against one another, each against the block of sizes that can be similar.
     """
 
     def run(batches):
         for t in sorted_groups(batches, "h"):
+            t = t.combine_chunks()
             h, s, n, pos, c = (t.column(x).to_numpy() for x in ("h", "s", "n", "pos", "c"))
-            least = most = n.astype(np.int64)
-            pos = pos.astype(np.int64)
-            if whole:
-                order = np.lexsort((least, c, h))
-                h, c, least = h[order], c[order], least[order]
-                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
-                most = least[np.append(first[1:], len(h)) - 1]
-                h, c, least = h[first], c[first], least[first]
-                order = np.lexsort((least, h))
-                h, c, least, most = h[order], c[order], least[order], most[order]
-                s = c
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U64).reshape(-1, PARITY // 64)
             start, end = grouped_runs(h)
-            mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
-            for x, y in zip(start[mixed], end[mixed], strict=True):
-                reach = np.searchsorted(least[x:y], most[x:y] * 100 // percent, "right") + x  # further blocks hold only larger sets
-                count = np.maximum(reach - np.arange(x, y) - 1, 0)
-                ends = np.cumsum(count)
-                at = 0
-                while at < y - x:
-                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, "right")))
-                    i = np.repeat(np.arange(x + at, x + to), count[at:to])
-                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at:to]) - count[at:to], count[at:to])
-                    at = to
-                    ok = c[i] != c[j]
-                    if not whole:
-                        bound = np.minimum(pos[i], pos[j]) + np.minimum(least[i] - pos[i], least[j] - pos[j])
-                        ok &= (100 + percent) * bound >= percent * (least[i] + least[j])
-                    i, j = i[ok], j[ok]
-                    if len(i):
-                        swap = s[i] > s[j]
-                        i, j = np.where(swap, j, i), np.where(swap, i, j)
-                        yield _summed(s[i], s[j], least[i], least[j])
+            for x, y in zip(start.tolist(), end.tolist(), strict=True):
+                names, size = np.unique(c[x:y], return_counts=True)
+                inside = c[x:y] == names[size.argmax()]
+                outer = np.flatnonzero(~inside) + x
+                for pool in (np.flatnonzero(inside) + x, outer):
+                    low = np.searchsorted(n[pool], needed(n[outer], percent)) if pool is not outer else np.arange(len(outer)) + 1
+                    high = np.searchsorted(n[pool], n[outer] * 100 // percent, "right")
+                    count = np.maximum(high - low, 0)
+                    ends = np.cumsum(count)
+                    at = 0
+                    while at < len(outer):
+                        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, "right")))
+                        k = count[at:to]
+                        i = np.repeat(outer[at:to], k)
+                        j = pool[np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[at:to], k)]
+                        at = to
+                        bound = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+                        ok = (c[i] != c[j]) & ((100 + percent) * bound >= percent * (n[i] + n[j]))
+                        i, j = i[ok], j[ok]
+                        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)  # at most the symmetric difference
+                        ok = (100 + percent) * (n[i] + n[j] - apart) >= 2 * percent * (n[i] + n[j])
+                        i, j = i[ok], j[ok]
+                        if len(i):
+                            swap = s[i] > s[j]
+                            i, j = np.where(swap, j, i), np.where(swap, i, j)
+                            yield _summed(s[i], s[j], n[i], n[j])
 
     return run
 
@@ -265,7 +280,7 @@ class NgramJoin:
         """The pairs (a, b) that are similar, by their whole sets."""
         pairs = self.stage.write(pairs, f"{name}-pairs")
         want = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
-        want = self.stage.write(want.join(classes, "s").select("s", F.col("rep").alias("doc")), f"{name}-want")
+        want = self.stage.write(want.join(classes.select("s", "rep"), "s").select("s", F.col("rep").alias("doc")), f"{name}-want")
         bits = np.zeros(FILTER, bool)  # at most FILTER places come here, whatever the input
         bits[want.select(F.pmod("doc", F.lit(FILTER)).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = True
         arrow_batches(self.spark)
@@ -282,30 +297,29 @@ class NgramJoin:
         """doc, n_shingles, component_id and n_class (documents of the same set), a row for each row of the table."""
         stage, percent = self.stage, self.percent
         arrow_batches(self.spark)
-        sets = stage.write(self.texts.mapInArrow(_describe(self.width), "doc long, n long, s long"), "sets")
-        classes = stage.write(sets.where("n > 0").groupBy("s").agg(F.min("doc").alias("rep"), F.count("*").alias("n_class")), "classes")
+        sets = stage.write(self.texts.mapInArrow(_describe(self.width), "doc long, n long, s long, bits binary"), "sets")
+        classes = stage.write(sets.where("n > 0").groupBy("s").agg(F.min("doc").alias("rep"), F.count("*").alias("n_class"), F.max("bits").alias("bits")), "classes")
         weights = self._weights()
         found = self.texts.mapInArrow(_prefixes(self.width, percent, weights), "h long, s long, n int, pos int").repartition("h").sortWithinPartitions("h", "n", "s")
         arrow_batches(self.spark, 50_000)
         lists = stage.write(found.mapInArrow(_lists, "h long, s long, n int, pos int, m long"), "lists")
+        row = "h long, s long, n int, pos int, w long, c long"
         smallest = F.ceil(F.col("n") * percent / 100)  # of the sets similar to one of n shingles
-        least = F.least(1 + F.floor(smallest / 20), F.greatest(F.ceil(smallest * percent / 100), F.lit(1)))
-        hopeful = lists.groupBy("s").agg(F.count("*").alias("lists"), F.sum("m").alias("w"), F.first("n").alias("n")).where(F.col("lists") >= least).select("s", "w")
-        members = stage.write(lists.join(hopeful, "s").select("h", "s", "n", "pos", "w"), "members")
-        stage.drop("lists")
-        pair, links, root = "a long, b long, na long, nb long, hits long", None, None
+        fewest = F.least(1 + F.floor(smallest / 20), F.greatest(F.ceil(smallest * percent / 100), F.lit(1)))
 
-        def placed(rows: DataFrame) -> DataFrame:
-            rows = rows.withColumn("c", F.col("s")) if root is None else rows.join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
+        def hopeful(rows: DataFrame, name: str, company: str) -> DataFrame:
+            """Without the sets that have company in fewer lists than any similar set would share with them."""
+            enough = rows.groupBy("s").agg(F.count("*").alias("k"), F.sum(company).alias("w"), F.first("n").alias("n")).where(F.col("k") >= fewest).select("s", "w")
+            return stage.write(rows.drop("w").join(enough, "s").select("h", "s", "n", "pos", "w"), name)
+
+        def by_list(rows: DataFrame) -> DataFrame:
             arrow_batches(self.spark, 50_000)
             return rows.repartition("h").sortWithinPartitions("h", "n", "s")
 
-        for turn in range(3):
-            stars = placed(members).mapInArrow(_stars(percent, turn), pair).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
-            best = stars.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
-            found = self._verified(best, classes, f"near{turn}")
-            links = found if links is None else links.union(found)
-            root = components(links, stage, f"near{turn}")
+        def placed(rows: DataFrame) -> DataFrame:
+            return rows.join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s")).select("h", "s", "n", "pos", "w", "c")
+
+        pair = "a long, b long, na long, nb long, hits long"
         small = F.least("na", "nb")
         least = F.least(1 + F.floor(small / 20), F.greatest(F.ceil(small * percent / 100), F.lit(1)))
 
@@ -313,17 +327,31 @@ class NgramJoin:
             """Those that share the prefix shingles which similar sets of the smallest size found would share."""
             return pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("na").alias("na"), F.min("nb").alias("nb")).where(F.col("hits") >= least).select("a", "b")
 
-        apart = stage.write(enough(placed(members).mapInArrow(_across(percent, True), pair)), "apart")
-        near = apart.select(F.col("a").alias("c")).union(apart.select(F.col("b").alias("c"))).distinct()
-        few = placed(members).join(near, "c", "left_semi").repartition("h").sortWithinPartitions("h", "n", "s")
-        pairs = enough(few.mapInArrow(_across(percent, False), pair))
+        members = hopeful(lists, "members", "m")
+        rows = members.withColumn("c", F.col("s"))
+        stage.drop("lists")
+        links = None
+        for turn in range(TURNS):
+            stars = by_list(rows).mapInArrow(_stars(percent, turn), pair).groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+            best = stars.where(2 * F.col("hits") >= least).groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")  # hits count the lists that the leader leads alone; what this misses is found below
+            found = self._verified(best, classes, f"near{turn}")
+            links = found if links is None else links.union(found)
+            root = components(links, stage, f"near{turn}")
+            for again in range(2):  # the lists shrink as sets leave, which makes more sets leave
+                mixed = stage.write(by_list(placed(members)).mapInArrow(_mixed, row), f"mixed{turn}{again}")
+                stage.drop("members" if not turn + again else f"members{turn - (not again)}{1 - again}")
+                members = hopeful(mixed.withColumn("one", F.lit(1)), f"members{turn}{again}", "one")
+                stage.drop(f"mixed{turn}{again}")
+            rows = stage.write(by_list(placed(members)).mapInArrow(_mixed, row), f"rows{turn}")
+        seen = by_list(rows.join(classes.select("s", "bits"), "s"))
+        arrow_batches(self.spark, 5_000)
+        pairs = enough(seen.mapInArrow(_across(percent), pair))
         links = links.union(self._verified(pairs, classes, "far"))
         root = components(links, stage, "all")
-        of_class = classes.join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s"))
+        of_class = classes.drop("bits").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s"))
         smallest = of_class.groupBy("c").agg(F.min("rep").alias("component_id"))
         labels = stage.write(of_class.join(smallest, "c").select("s", "component_id", "n_class"), "labels")
-        stage.drop("members")
-        return sets.join(labels, "s", "left").select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
+        return sets.drop("bits").join(labels, "s", "left").select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
