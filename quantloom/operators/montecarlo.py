@@ -49,7 +49,7 @@ def trade_skip(pnl: DataFrame, share: float = 0.05, keys: tuple[str, ...] = ("ke
     """The results kept when a share of the trades is skipped by hash; order stays."""
     w = Window.partitionBy(*keys).orderBy(pseudo(F.col("seq"), F.lit(1)), "seq")
     n = F.count("*").over(Window.partitionBy(*keys))
-    return pnl.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n - F.floor(n * F.lit(share))).drop("_r")
+    return pnl.withColumns({"_r": F.row_number().over(w), "_n": n}).where(F.col("_r") <= F.col("_n") - F.floor(F.col("_n") * F.lit(share))).drop("_r", "_n")
 
 
 def cost_stress(pnl: DataFrame, slippage: float = 0.5, commission: float = 0.7, slip_factor: float = 1.5, comm_factor: float = 1.3) -> DataFrame:
