@@ -205,11 +205,13 @@ def _compare(n: int):
             at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             h = RollingHash(buf).spans(offs[row] + at, offs[row] + at + n) ^ k.view(U64)[row]
             order = np.argsort(h, kind="stable")
-            again = np.zeros(len(h), bool)
-            again[order[1:]] = h[order[1:]] == h[order[:-1]]
+            start, end = grouped_runs(h[order])
+            first = np.empty(len(h), np.int64)
+            first[order] = order[np.repeat(start, end - start)]
+            of, p = doc[row], lo[row] + at
+            again = (of != of[first]) | (p != p[first])
             if again.any():
-                p = (lo[row] + at)[again]
-                yield _batch(_SPANS, *merge_spans(doc[row][again], p, p + n))
+                yield _batch(_SPANS, *merge_spans(of[again], p[again], p[again] + n))
 
     return run
 
