@@ -41,26 +41,29 @@ def _ahead(trades: DataFrame, subs: DataFrame, horizon: int | None) -> DataFrame
 def first_touch(trades: DataFrame, subs: DataFrame, horizon: int = 64, max_rounds: int = 30) -> DataFrame:
     """exit_seq, exit_bar and reason (sl, tp) of each trade that ends; stop before target on one sub-bar.
 
-    Distinct (pair, bar_idx, direction, sl, tp) are resolved once.  The loop ends when no
-    trade is left or the horizon covers the data.
+    Distinct (pair, bar_idx, direction, sl, tp) are resolved once: first to the bar of
+    the touch, by the bars' ranges, then to the sub-bar within that bar.  The loop ends
+    when no trade is left or the horizon covers the data.
     """
-    last = subs.agg(F.max("bar_idx")).first()[0] or 0
     keys = ["pair", "bar_idx", "direction", "sl", "tp"]
+    buy = F.col("direction") > 0
+    at_sl = F.when(buy, F.col("l") <= F.col("sl")).otherwise(F.col("h") >= F.col("sl"))
+    at_tp = F.when(buy, F.col("h") >= F.col("tp")).otherwise(F.col("l") <= F.col("tp"))
+    bars = subs.groupBy("pair", "bar_idx").agg(F.max("high").alias("high"), F.min("low").alias("low")).withColumns({"sub_seq": F.col("bar_idx"), "close": F.lit(0.0), "spread": F.lit(0.0)}).persist()
+    last = bars.agg(F.max("bar_idx")).first()[0] or 0
     open_, found, seen = trades.select(*keys).distinct().persist(), None, 0
-    subs = subs.persist()  # read once a round
     for _ in range(max_rounds):
-        ahead = _ahead(open_, subs, horizon).where(F.col("at_bar") > F.col("bar_idx") + seen)
-        buy = F.col("direction") > 0
-        at_sl = F.when(buy, F.col("l") <= F.col("sl")).otherwise(F.col("h") >= F.col("sl"))
-        at_tp = F.when(buy, F.col("h") >= F.col("tp")).otherwise(F.col("l") <= F.col("tp"))
-        hit = ahead.where(at_sl | at_tp).groupBy(*keys).agg(F.min(F.struct("sub_seq", F.when(at_sl, 0).otherwise(1).alias("k"), F.col("at_bar").alias("b"), F.col("sp").alias("s"))).alias("x"))
-        hit = hit.select(*keys, F.col("x.sub_seq").alias("exit_seq"), F.col("x.b").alias("exit_bar"), F.when(F.col("x.k") == 0, "sl").otherwise("tp").alias("reason"), F.col("x.s").alias("exit_spread"))
+        ahead = _ahead(open_, bars, horizon).where(F.col("at_bar") > F.col("bar_idx") + seen)
+        hit = ahead.where(at_sl | at_tp).groupBy(*keys).agg(F.min("at_bar").alias("exit_bar"))
         found = hit if found is None else found.unionByName(hit)
         if horizon >= last:
             break
         open_ = open_.join(hit, keys, "left_anti").persist()
         seen, horizon = horizon, horizon * 4
-    return trades.join(found, keys, "left")
+    inside = subs.select("pair", F.col("bar_idx").alias("exit_bar"), "sub_seq", F.col("high").alias("h"), F.col("low").alias("l"), F.col("spread").alias("sp"))
+    touch = found.join(inside, ["pair", "exit_bar"]).where(at_sl | at_tp).groupBy(*keys, "exit_bar").agg(F.min(F.struct("sub_seq", F.when(at_sl, "sl").otherwise("tp").alias("r"), F.col("sp").alias("s"))).alias("x"))
+    touch = touch.select(*keys, "exit_bar", F.col("x.sub_seq").alias("exit_seq"), F.col("x.r").alias("reason"), F.col("x.s").alias("exit_spread"))
+    return trades.join(touch, keys, "left")
 
 
 def simulate_basic(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: float, slippage: float = SLIPPAGE, commission: float = COMMISSION, horizon: int = 64) -> DataFrame:
@@ -69,6 +72,7 @@ def simulate_basic(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: flo
     A trade without a touch ends at the pair's last close; one that signals on the last bar at its own.
     A stop pays slippage, a target doesn't; a sell pays the spread on its exit; all pay the commission.
     """
+    trades, subs = trades.persist(), subs.persist()  # read several times below
     ends = subs.groupBy("pair").agg(F.max("bar_idx").alias("_last_bar"), F.max_by("close", "sub_seq").alias("_last_close"), F.max_by("spread", "sub_seq").alias("_last_spread"))
     out = first_touch(fill_entries(trades, subs, pip, slippage), subs, horizon).join(ends, "pair")
     d, slip = F.col("direction"), slippage * pip
@@ -98,6 +102,7 @@ def simulate_full(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: floa
     bar before its sub-bars are looked at.  Null triggers switch a module off.
     """
     trades = trades.withColumns({c: F.lit(v).cast("double") for c, v in MANAGEMENT.items() if c not in trades.columns})
+    trades, subs = trades.persist(), subs.persist()  # read several times below
     d = F.col("direction")
     rows = _ahead(fill_entries(trades, subs, pip, slippage), subs, horizon)
     w = Window.partitionBy("trade_id").orderBy("sub_seq")

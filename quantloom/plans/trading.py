@@ -257,6 +257,24 @@ def full_trades(spark, d):
     return T.simulate_full(r, bars, sub_bars(spark, d), PIP, horizon=64)
 
 
+def grid_trades(spark, d):
+    """The moving-average signals under 200 trials: 20 stop distances by 10 reward ratios."""
+    s = S.sma_crossover(hourly(spark, d), PIP)
+    t = spark.range(200).select(F.col("id").cast("int").alias("trial"), (5.0 + 2.5 * F.floor(F.col("id") / 10)).alias("dist"), (1.0 + 0.25 * (F.col("id") % 10)).alias("rr"))
+    r = T.evaluate(s, t).withColumns({"sl": F.col("entry_price") - F.col("direction") * F.col("dist"), "tp": F.col("entry_price") + F.col("rr") * F.col("direction") * F.col("dist"), "sl_pips": F.col("dist") / PIP})
+    return T.simulate_basic(r, hourly(spark, d), sub_bars(spark, d), PIP)
+
+
+_GRID = BASIC.replace("(VALUES (0, 15e0), (1, 40e0)) t(trial, dist)", "(SELECT i::INTEGER AS trial, 5e0 + 25e-1 * (i // 10) AS dist, 1e0 + 25e-2 * (i % 10) AS rr FROM range(200) r(i)) t").replace("SELECT s.*, t.trial, t.dist,", "SELECT s.*, t.trial, t.dist, t.rr,").replace("entry_price + 2 * direction * dist AS tp", "entry_price + rr * direction * dist AS tp")
+
+
+@query("tr13_batch_evaluation", f"WITH {_GRID}, {_metric_sql('trades')} SELECT pair, trial, trades, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in M.METRICS[1:]) + " FROM mq")
+def tr13(spark, d):
+    """Ten metrics of 200 trials in one batch."""
+    m = M.metrics(grid_trades(spark, d), ["pair", "trial"], ["sig_seq"], sl_pips="sl_pips")
+    return m.select("pair", "trial", "trades", *(tidy(F.col(c), 4).alias(c) for c in M.METRICS[1:]))
+
+
 @query("tr4_full_simulation")
 def tr4(spark, d):
     """Breakeven, trailing, partial, time and stale exits; held against a literal state machine in the tests."""
