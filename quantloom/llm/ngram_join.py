@@ -37,6 +37,7 @@ from quantloom.llm.graph import components
 
 WORDS, PERCENT = 5, 80
 TURNS = 1
+SHORT = 64  # lists up to this length are paired all at once
 COUNTERS = 1 << 21
 PARITY = 1024  # bits of a set's parity map
 FILTER = 8_388_593  # places of the fixed-size filter of wanted documents; a prime
@@ -195,10 +196,36 @@ def _across(percent: int, block: int = 500_000):
             h, s, n, pos, c = (t.column(x).to_numpy() for x in ("h", "s", "n", "pos", "c"))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U64).reshape(-1, PARITY // 64)
+
+            def passing(i, j):
+                """The pairs of positions i, j that may be similar, counted."""
+                ok = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                i, j = i[ok], j[ok]
+                bound = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+                ok = (100 + percent) * bound >= percent * (n[i] + n[j])
+                i, j = i[ok], j[ok]
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)  # at most the symmetric difference
+                ok = (100 + percent) * (n[i] + n[j] - apart) >= 2 * percent * (n[i] + n[j])
+                i, j = i[ok], j[ok]
+                swap = s[i] > s[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                return _summed(s[i], s[j], n[i], n[j]) if len(i) else None
+
             start, end = grouped_runs(h)
-            for x, y in zip(start.tolist(), end.tolist(), strict=True):
-                names, size = np.unique(c[x:y], return_counts=True)
-                inside = c[x:y] == names[size.argmax()]
+            size = end - start
+            short = np.repeat(size <= SHORT, size)
+            left = (np.repeat(end, size) - np.arange(len(h)))[short]  # rows of the list from here on
+            at = np.flatnonzero(short)
+            for step in range(1, SHORT):  # all short lists at once, neighbours at growing distance
+                at = at[left > step]
+                left = left[left > step]
+                if not len(at):
+                    break
+                if found := passing(at, at + step):
+                    yield found
+            for x, y in zip(start[size > SHORT].tolist(), end[size > SHORT].tolist(), strict=True):
+                names, members = np.unique(c[x:y], return_counts=True)
+                inside = c[x:y] == names[members.argmax()]
                 outer = np.flatnonzero(~inside) + x
                 for pool in (np.flatnonzero(inside) + x, outer):
                     low = np.searchsorted(n[pool], needed(n[outer], percent)) if pool is not outer else np.arange(len(outer)) + 1
@@ -212,16 +239,8 @@ def _across(percent: int, block: int = 500_000):
                         i = np.repeat(outer[at:to], k)
                         j = pool[np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[at:to], k)]
                         at = to
-                        bound = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                        ok = (c[i] != c[j]) & ((100 + percent) * bound >= percent * (n[i] + n[j]))
-                        i, j = i[ok], j[ok]
-                        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)  # at most the symmetric difference
-                        ok = (100 + percent) * (n[i] + n[j] - apart) >= 2 * percent * (n[i] + n[j])
-                        i, j = i[ok], j[ok]
-                        if len(i):
-                            swap = s[i] > s[j]
-                            i, j = np.where(swap, j, i), np.where(swap, i, j)
-                            yield _summed(s[i], s[j], n[i], n[j])
+                        if found := passing(i, j):
+                            yield found
 
     return run
 
