@@ -367,8 +367,20 @@ def test_shard_store(docs, tmp_path, spark, empty):
     fresh = sharding.ShardStore(spark, str(tmp_path / "none"))
     fresh.append(empty)
     assert fresh.read().count() == 0 and fresh.read().columns == empty.columns
-    digest = {(r["doc_id"], r["n_bytes"], r["crc"]) for r in sharding.stored_digest(docs, arrivals=3).collect()}
-    assert digest == {(r["doc_id"], len((r["text"] or "").encode()), None if r["text"] is None else zlib.crc32(r["text"].encode())) for r in docs.collect()}
+    digest = {(r["doc_id"], r["n_bytes"], r["md5"]) for r in sharding.stored_digest(docs, arrivals=3).collect()}
+    assert digest == {(r["doc_id"], len((r["text"] or "").encode()), None if r["text"] is None else hashlib.md5(r["text"].encode()).hexdigest()) for r in docs.collect()}
+
+
+@pytest.mark.parametrize("name", ["op1_sharding", "op3_ngram_join", "op4_url_filters"])
+def test_query_equals_sql(spark, name):
+    from quantloom.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, DATA)
+    assert got.columns == [d[0] for d in con.execute(queries.ORACLES[name]).description]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.execute(queries.ORACLES[name]).fetchall()))
 
 
 def test_pipeline_stages(spark):
