@@ -371,3 +371,65 @@ def x5(spark, d):
     raw = F.element_at(F.array(*map(F.lit, (" signal", "Exit ", "RISK", "other", "", "skip"))), (F.col("event_id") % 6 + 1).cast("int"))
     e = read(spark, d, "events").select(A.normal_label(raw).alias("label"))
     return A.label_counts(e)
+
+
+_GENERIC = ((0, (0, -1, -1, -1, -1, -1, -1, -1, -1, -1)), (1, (1, 2, -1, -1, -1, -1, -1, -1, -1, -1)), (2, (-1, -1, 3, -1, -1, -1, 4, -1, -1, -1)), (3, (-1,) * 10))
+
+
+@query("f3_generic_filters", "WITH s AS (SELECT c_custkey, [" + ", ".join(f"c_custkey % {i + 2} - {i % 2}" for i in range(10)) + "] AS v FROM customer), t(trial, w) AS (VALUES " + ", ".join(f"({t}, {list(w)})" for t, w in _GENERIC) + """)
+ SELECT c_custkey, trial FROM s CROSS JOIN t WHERE """ + " AND ".join(f"(w[{i}] < 0 OR v[{i}] < 0 OR w[{i}] = v[{i}])" for i in range(1, 11)))
+def f3(spark, d):
+    from quantloom.operators.filters import generic_passes
+    from quantloom.operators.simulate import evaluate
+
+    k = F.col("c_custkey")
+    s = read(spark, d, "customer").select(k, *((k % (i + 2) - i % 2).alias(f"sig_filter_{i}") for i in range(10)))
+    t = spark.createDataFrame([(n, *w) for n, w in _GENERIC], "trial int, " + ", ".join(f"sig_filter_{i} long" for i in range(10)))
+    return evaluate(s, t, generic_passes()).select("c_custkey", "trial")
+
+
+@query("p4_index_to_value", f"WITH {_SPACE}, i(trial, name, position) AS (VALUES (0, 'sl', 2), (0, 'mode', 1), (0, 'be', 0), (1, 'sl', 4), (1, 'mode', 2), (1, 'be', 1)) SELECT trial, i.name, value FROM i JOIN sp ON sp.name = i.name AND sp.position = i.position")
+def p4(spark, d):
+    i = spark.createDataFrame([(0, "sl", 2), (0, "mode", 1), (0, "be", 0), (1, "sl", 4), (1, "mode", 2), (1, "be", 1)], "trial int, name string, position int")
+    return i.join(_space().table(spark), ["name", "position"]).select("trial", "name", "value")
+
+
+@query("p6_combinations", f"WITH {_SPACE}, n AS (SELECT name, count(*) AS n FROM sp GROUP BY name) SELECT product(n)::BIGINT AS combinations FROM n")
+def p6(spark, d):
+    n = _space().table(spark).groupBy("name").agg(F.count("*").alias("n"))
+    return n.agg(F.product("n").cast("long").alias("combinations"))
+
+
+@query("v3_window_pass", f"WITH {_WR} SELECT candidate, window_id, trades >= 10 AND sharpe > 0 AND quality > 0 AS passed FROM wr")
+def v3(spark, d):
+    return _window_results(spark, d).select("candidate", F.col("window_id").cast("long").alias("window_id"), V.window_passes().alias("passed"))
+
+
+@query("v23_report_rank", f"WITH {_CAND} SELECT trial AS candidate, row_number() OVER (ORDER BY trades < 20, quality DESC, trial) - 1 AS rank FROM cand")
+def v23(spark, d):
+    c = _candidates(spark, d).select(F.col("trial").alias("candidate"), (F.col("trades") < 20).alias("eliminated"), F.col("quality").alias("composite"))
+    return V.report(c).select("candidate", "rank")
+
+
+@query("snk4_best_runs", f"WITH {_CAND} SELECT grp AS run, first(trial ORDER BY quality DESC, trial) AS candidate, round(max(quality), 4) + 0.0 AS composite FROM cand WHERE trades >= 20 GROUP BY grp")
+def snk4(spark, d):
+    from quantloom.sources.store import best_runs
+
+    c = _candidates(spark, d).select(F.col("group").alias("run"), F.col("trial").alias("candidate"), (F.col("trades") < 20).alias("eliminated"), F.col("quality").alias("composite"))
+    return best_runs(c).select("run", "candidate", tidy(F.col("composite"), 4).alias("composite"))
+
+
+@query("l3_newest_signals", f"WITH {BARS} SELECT pair, max(bar_idx) AS bar_idx, 1::INTEGER AS direction FROM bars GROUP BY pair")
+def l3(spark, d):
+    from quantloom.operators import signals as S
+
+    bars = hourly(spark, d)
+    return S.newest(S.always_buy(bars, 0.01), bars).select("pair", "bar_idx", "direction")
+
+
+@query("u5_progress", "SELECT user_id % 10 AS run, max(event_id) AS done, round(max(value), 4) + 0.0 AS best, last(event_type ORDER BY event_id) AS stage FROM events GROUP BY ALL")
+def u5(spark, d):
+    from quantloom.streaming.live import progress
+
+    e = read(spark, d, "events").select((F.col("user_id") % 10).alias("run"), F.col("event_id").alias("done"), F.col("value").alias("best"), F.col("event_type").alias("stage"), F.col("event_id").alias("seq"))
+    return progress(e).select("run", "done", tidy(F.col("best"), 4).alias("best"), "stage")
