@@ -183,6 +183,32 @@ def adx(bars: DataFrame, period: int = 14, keys: Sequence[str] = KEYS) -> DataFr
     return bars.withColumn("adx", F.when((F.col("bar_idx") >= first) & ~broken, F.col("adx"))).drop("_u", "_d", "_p", "_n", "_atr", "_sp", "_sn", "_dx")
 
 
+def rsi_late(bars: DataFrame, period: int, out: str = "rsi_late", keys: Sequence[str] = KEYS) -> DataFrame:
+    """RSI as the verification strategy takes it: a position later, and a relative strength of 100 where there is no average loss."""
+    bars = rsi(bars, period, out, keys)
+    return bars.withColumn(out, F.when(F.col("bar_idx") > period, F.when(F.col(out) == 100.0, 100 - 100 / F.lit(101.0)).otherwise(F.col(out))))
+
+
+def adx_late(bars: DataFrame, period: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """ADX as the verification strategy takes it: adx_late, plus_late, minus_late.
+
+    The first bar has no range; true ranges and moves are smoothed as sums from
+    position p; directional indexes are 0 up to there; ADX starts at 2p + 1 with the mean of p + 1 values.
+    """
+    w, a = _by(keys), 1 - 1.0 / period
+    up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
+    bars = true_range(bars, "_t", keys).withColumns({"_t": F.when(F.col("bar_idx") == 0, 0.0).otherwise(F.col("_t")), "_u": up, "_d": down})
+    bars = bars.withColumns({"_p": F.when((F.col("_u") > F.col("_d")) & (F.col("_u") > 0), F.col("_u")).otherwise(0.0), "_n": F.when((F.col("_d") > F.col("_u")) & (F.col("_d") > 0), F.col("_d")).otherwise(0.0)})
+    bars = recurrences(bars, {f"_s{c}": (a, _seeded(F.col(f"_{c}"), F.sum(f"_{c}").over(_rows(keys, period)), period, 1.0)) for c in "tpn"}, keys)
+    di = lambda c: F.when((F.col("bar_idx") > period) & (F.col("_st") > 0), 100 * F.col(c) / F.col("_st")).otherwise(0.0)
+    bars = bars.withColumns({"plus_late": di("_sp"), "minus_late": di("_sn")})
+    total = F.col("plus_late") + F.col("minus_late")
+    bars = bars.withColumn("_dx", F.when((F.col("bar_idx") > period) & (total > 0), 100 * F.abs(F.col("plus_late") - F.col("minus_late")) / total).otherwise(0.0))
+    first = 2 * period + 1
+    bars = recurrences(bars, {"adx_late": (a, _seeded(F.col("_dx"), F.avg("_dx").over(_rows(keys, period + 1)), first, 1.0 / period))}, keys)
+    return bars.withColumn("adx_late", F.when(F.col("bar_idx") >= first, F.col("adx_late"))).drop("_t", "_u", "_d", "_p", "_n", "_st", "_sp", "_sn", "_dx")
+
+
 def keltner(bars: DataFrame, period: int = 20, atr_period: int = 10, width: float = 2.0, keys: Sequence[str] = KEYS) -> DataFrame:
     bars = atr(ema(bars, [period], keys=keys), atr_period, "_atr", keys)
     mid = F.col(f"ema_{period}")

@@ -187,15 +187,26 @@ def hidden_smash_day(bars: DataFrame, pip: float, atr_periods: Sequence[int] = (
 
 
 def verification_modes(bars: DataFrame, pip: float, modes: Sequence[int] = (1, 2, 3, 4, 5, 6, 7)) -> DataFrame:
-    """Seven plain rules that enter at the close of their own bar, for live-against-replay checks."""
-    rows = prepared(bars, pip, enter="close")
-    rows = I.donchian(I.stochastic(I.bollinger(I.macd(I.rsi(I.ema(rows, [10, 20])))), 14, 3))
-    rows = I.adx(rows)
-    up = {1: crosses("ema_10", "ema_20"), 2: tuple(reversed(crosses("rsi_14", F.lit(50.0)))), 3: crosses("macd", "macd_signal"), 4: (crosses("close", "bb_lower")[1], crosses("close", "bb_upper")[0]), 5: crosses("stoch_k", "stoch_d"), 6: crosses("plus_di", "minus_di"), 7: ((F.col("close") > _prev("dc_upper")), (F.col("close") < _prev("dc_lower")))}
-    flags = {}
-    for m in modes:
-        flags |= {f"_u{m}": up[m][0], f"_d{m}": up[m][1]}
-    rows = rows.withColumns(flags)
+    """Seven quick rules that enter at the close of their own bar, for live-against-replay checks.
+
+    1 EMA 3/8, 2 RSI 5 at 30/70, 3 MACD 5/13/5, 4 Bollinger 10 at 1.5, 5 stochastic 5/3
+    below 25 and above 75, 6 ADX 10 from 15, 7 break of the ten bars before.
+    """
+    rows = I.ema(prepared(bars, pip, enter="close"), [3, 8])
+    rows = I.adx_late(I.stochastic(I.bollinger(I.macd(I.rsi_late(rows, 5), 5, 13, 5), 10, 1.5), 5, 3), 10)
+    before = _by().rowsBetween(-10, -1)
+    rows = rows.withColumns({"_top": F.max("high").over(before), "_bottom": F.min("low").over(before), "_rsi": _prev("rsi_late")})
+    c, late = F.col, lambda n: F.col("bar_idx") >= n
+    up, down = {}, {}
+    for m, pair, n in ((1, ("ema_3", "ema_8"), 9), (3, ("macd", "macd_signal"), 20), (5, ("stoch_k", "stoch_d"), 8), (6, ("plus_late", "minus_late"), 22)):
+        x, y = crosses(*pair)
+        up[m], down[m] = x & late(n), y & late(n)
+    up[5], down[5] = up[5] & (c("stoch_k") < 25), down[5] & (c("stoch_k") > 75)
+    up[6], down[6] = up[6] & (c("adx_late") >= 15), down[6] & (c("adx_late") >= 15)
+    up[2], down[2] = (c("_rsi") >= 30) & (c("rsi_late") < 30) & late(7), (c("_rsi") <= 70) & (c("rsi_late") > 70) & late(7)
+    up[4], down[4] = crosses("close", "bb_lower")[1] & late(11), crosses("close", "bb_upper")[0] & late(11)
+    up[7], down[7] = (c("close") > c("_top")) & late(11), (c("close") < c("_bottom")) & late(11)
+    rows = rows.withColumns({f"_{way}{m}": flags[m] for way, flags in (("u", up), ("d", down)) for m in modes})
     sides = [x for m in modes for x in ((F.col(f"_u{m}"), 1, F.lit(m), _none()), (F.col(f"_d{m}"), -1, F.lit(m), _none()))]
     return ordered(emit(rows, sides))
 

@@ -120,7 +120,32 @@ def st8(spark, d):
     return _flat(S.hidden_smash_day(hourly(spark, d), PIP, (14,), (0, 1), (15, 25, 40)))
 
 
-@query("st9_verification_modes")
+_A5, _A10 = "(1 - 1e0 / 5)", "(1 - 1e0 / 10)"
+_ST9 = f"""v0 AS (SELECT * EXCLUDE (entry_price), close AS entry_price, avg(close) OVER {rows(3)} AS _seed3, avg(close) OVER {rows(8)} AS _seed8, avg(close) OVER {rows(5)} AS _seed5, avg(close) OVER {rows(13)} AS _seed13,
+  close - lag(close) OVER ({BY}) AS mv, avg(close) OVER {rows(10)} AS bm, stddev_pop(close) OVER {rows(10)} AS bs, max(high) OVER {rows(5)} AS h5, min(low) OVER {rows(5)} AS l5,
+  max(high) OVER ({BY} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS top, min(low) OVER ({BY} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS bottom,
+  CASE WHEN bar_idx = 0 THEN 0e0 ELSE greatest(high - low, abs(high - lag(close) OVER ({BY})), abs(low - lag(close) OVER ({BY}))) END AS t, high - lag(high) OVER ({BY}) AS u, lag(low) OVER ({BY}) - low AS dn FROM prep),
+ v1 AS (SELECT *, greatest(mv, 0e0) AS g, greatest(-mv, 0e0) AS l, CASE WHEN u > dn AND u > 0 THEN u ELSE 0e0 END AS p, CASE WHEN dn > u AND dn > 0 THEN dn ELSE 0e0 END AS n,
+  CASE WHEN bar_idx >= 2 THEN {_ema(3)} END AS e3, CASE WHEN bar_idx >= 7 THEN {_ema(8)} END AS e8, CASE WHEN bar_idx >= 12 THEN ({_ema(5)}) - ({_ema(13)}) END AS mc, CASE WHEN bar_idx >= 4 THEN CASE WHEN h5 = l5 THEN 50e0 ELSE 100 * (close - l5) / (h5 - l5) END END AS k FROM v0),
+ v2 AS (SELECT *, avg(g) OVER {rows(5)} AS sg, avg(l) OVER {rows(5)} AS sl, avg(mc) OVER {rows(5)} AS sm, CASE WHEN bar_idx >= 6 THEN avg(k) OVER {rows(3)} END AS dd, sum(t) OVER {rows(10)} AS st, sum(p) OVER {rows(10)} AS sp, sum(n) OVER {rows(10)} AS sn FROM v1),
+ v3 AS (SELECT *, {smooth('g', 'sg', 5, _A5, '(1e0 / 5)')} AS ag, {smooth('l', 'sl', 5, _A5, '(1e0 / 5)')} AS al, CASE WHEN bar_idx >= 16 THEN {smooth('mc', 'sm', 16, '(1 - 2e0 / 6)', '(2e0 / 6)')} END AS ms,
+  {smooth('t', 'st', 10, _A10, '1')} AS wt, {smooth('p', 'sp', 10, _A10, '1')} AS wp, {smooth('n', 'sn', 10, _A10, '1')} AS wn FROM v2),
+ v4 AS (SELECT *, CASE WHEN bar_idx >= 6 THEN CASE WHEN al = 0 THEN 100 - 100 / 101e0 ELSE 100 - 100 / (1 + ag / al) END END AS rsi, CASE WHEN bar_idx > 10 AND wt > 0 THEN 100 * wp / wt ELSE 0 END AS pd, CASE WHEN bar_idx > 10 AND wt > 0 THEN 100 * wn / wt ELSE 0 END AS md FROM v3),
+ v5 AS (SELECT *, CASE WHEN bar_idx > 10 AND pd + md > 0 THEN 100 * abs(pd - md) / (pd + md) ELSE 0 END AS dx FROM v4), v6 AS (SELECT *, avg(dx) OVER {rows(11)} AS sdx FROM v5),
+ v7 AS (SELECT *, CASE WHEN bar_idx >= 21 THEN {smooth('dx', 'sdx', 21, _A10, '(1e0 / 10)')} END AS adx FROM v6),
+ vv AS MATERIALIZED (SELECT *, lag(e3) OVER o AS pe3, lag(e8) OVER o AS pe8, lag(rsi) OVER o AS pr, lag(mc) OVER o AS pmc, lag(ms) OVER o AS pms, lag(close) OVER o AS pc, lag(bm) OVER o AS pbm, lag(bs) OVER o AS pbs, lag(k) OVER o AS pk, lag(dd) OVER o AS pdd, lag(pd) OVER o AS ppd, lag(md) OVER o AS pmd FROM v7 WINDOW o AS ({BY}))"""
+_ST9_RULES = [
+    ("bar_idx >= 9 AND pe3 <= pe8 AND e3 > e8", 1, 1), ("bar_idx >= 9 AND pe3 >= pe8 AND e3 < e8", -1, 1),
+    ("bar_idx >= 7 AND pr >= 30 AND rsi < 30", 1, 2), ("bar_idx >= 7 AND pr <= 70 AND rsi > 70", -1, 2),
+    ("bar_idx >= 20 AND pmc <= pms AND mc > ms", 1, 3), ("bar_idx >= 20 AND pmc >= pms AND mc < ms", -1, 3),
+    ("bar_idx >= 11 AND pc >= pbm - 15e-1 * pbs AND close < bm - 15e-1 * bs", 1, 4), ("bar_idx >= 11 AND pc <= pbm + 15e-1 * pbs AND close > bm + 15e-1 * bs", -1, 4),
+    ("bar_idx >= 8 AND pk <= pdd AND k > dd AND k < 25", 1, 5), ("bar_idx >= 8 AND pk >= pdd AND k < dd AND k > 75", -1, 5),
+    ("bar_idx >= 22 AND adx >= 15 AND ppd <= pmd AND pd > md", 1, 6), ("bar_idx >= 22 AND adx >= 15 AND ppd >= pmd AND pd < md", -1, 6),
+    ("bar_idx >= 11 AND close > top", 1, 7), ("bar_idx >= 11 AND close < bottom", -1, 7),
+]
+
+
+@query("st9_verification_modes", _whole(_signals([(*r, _NONE) for r in _ST9_RULES], _ST9, "vv")))
 def st9(spark, d):
     return _flat(S.verification_modes(hourly(spark, d), PIP))
 
