@@ -15,8 +15,8 @@ Set-relation skipping, distributed:
   compared with one leader only, the one of its lists' leaders with which it shares
   most.  Sets linked to a leader take over its component, and pairs inside a
   component are never formed.  Lists of one component leave the index, and so do sets
-  left with too little company.  Then all pairs across components are considered; those that
-  share l prefix shingles and pass the filters are verified.
+  left with too little company.  Then all pairs across components are considered, in the
+  shorter lists of each set; those that share enough of them and pass the filters are verified.
 * One filter is a map of parities: each shingle flips one of 1024 bits of its set, so the
   maps of two sets differ in no more bits than the sets do in shingles.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import U64, Stage, arrow_batches, grouped_runs, mix, shingle_sets, signed, sorted_groups, text_chunks
@@ -174,12 +174,13 @@ def _stars(percent: int, turn: int):
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of lists that hold two components or more."""
+    """The rows of lists that hold two components or more; w becomes the length of the list."""
     for t in sorted_groups(batches, "h"):
         h, c = (t.column(x).to_numpy() for x in ("h", "c"))
         start, end = grouped_runs(h)
         mixed = np.repeat(np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start), end - start)
         if mixed.any():
+            t = t.set_column(t.schema.get_field_index("w"), "w", pa.array(np.repeat(end - start, end - start)))
             yield from t.filter(pa.array(mixed)).to_batches()
 
 
@@ -342,10 +343,6 @@ class NgramJoin:
         small = F.least("na", "nb")
         least = F.least(1 + F.floor(small / 20), F.greatest(F.ceil(small * percent / 100), F.lit(1)))
 
-        def enough(pairs: DataFrame) -> DataFrame:
-            """Those that share the prefix shingles which similar sets of the smallest size found would share."""
-            return pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("na").alias("na"), F.min("nb").alias("nb")).where(F.col("hits") >= least).select("a", "b")
-
         members = hopeful(lists, "members", "m")
         rows = members.withColumn("c", F.col("s"))
         stage.drop("lists")
@@ -362,9 +359,15 @@ class NgramJoin:
                 members = hopeful(mixed.withColumn("one", F.lit(1)), f"members{turn}{again}", "one")
                 stage.drop(f"mixed{turn}{again}")
             rows = stage.write(by_list(placed(members)).mapInArrow(_mixed, row), f"rows{turn}")
+        # Of the shingles that similar sets share in their prefixes, ``fewest`` at least, a quarter must be among
+        # those that remain when each set leaves its longest lists, three quarters of ``fewest``.
+        own = Window.partitionBy("s")
+        rank = F.row_number().over(own.orderBy("w", "h"))
+        rows = rows.withColumns({"k": F.count("*").over(own), "r": rank}).where(F.col("r") <= F.col("k") - fewest + F.ceil(fewest / 4)).drop("k", "r")
         seen = by_list(rows.join(classes.select("s", "bits"), "s"))
         arrow_batches(self.spark, 5_000)
-        pairs = enough(seen.mapInArrow(_across(percent), pair))
+        pairs = seen.mapInArrow(_across(percent), pair).groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.least(F.min("na"), F.min("nb")).alias("n"))
+        pairs = pairs.where(F.col("hits") >= F.ceil(fewest / 4)).select("a", "b")
         links = links.union(self._verified(pairs, classes, "far"))
         root = components(links, stage, "all")
         of_class = classes.drop("bits").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s"))
