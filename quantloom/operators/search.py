@@ -101,19 +101,22 @@ def budgets(space: ParamSpace, trials: int, factor: int = 10) -> list[tuple[str,
 
 def widen(values: Sequence[float], factor: float) -> list[float]:
     """A numeric range with steps finer by sqrt(factor) and longer by (sqrt(factor) - 1) / 2 of it on each side; originals stay."""
-    f = math.sqrt(factor)
+    values = sorted(values)
+    low, high = values[0], values[-1]
+    if factor <= 1 or len(values) < 2:
+        return values
+    root = math.sqrt(factor)
     whole = all(isinstance(v, int) for v in values)
-    low, high = min(values), max(values)
-    if low == high or factor <= 1:
-        return sorted(set(values))
-    step = (high - low) / (len(values) - 1) / f
-    step = max(1, round(step)) if whole else step
-    more = (f - 1) * (high - low) / 2
+    step = (high - low) / (len(values) - 1) / root
+    more = (root - 1) * (high - low) / 2
     start, stop = low - more, high + more
+    if whole:
+        start, stop, step = round(start), round(stop), max(1, round(step))
     if low > 0:
-        start = max(start, step if whole else low / 10)
-    made = [start + i * step for i in range(int((stop - start) / step + 1e-9) + 1)]
-    return sorted({*values, *((round(v) if whole else round(v, 6)) for v in made)})
+        start = max(1 if whole else 0.0, start)
+    count = int((stop - start) / step + (0 if whole else 0.01)) + 1
+    made = [start + i * step for i in range(count)]
+    return sorted({*values, *(made if whole else (round(v, 6) for v in made)), *([stop] if whole else [])})
 
 
 class RandomSampler:
@@ -268,8 +271,8 @@ def deflated_sharpe(sharpe: Column, trades: Column, trials: Column, skew: Column
     """Probability that the Sharpe ratio beats the best of ``trials`` by chance; 0 for fewer than two trades or no trial."""
     skew = skew if isinstance(skew, Column) else F.lit(float(skew))
     kurtosis = kurtosis if isinstance(kurtosis, Column) else F.lit(float(kurtosis))
-    sd = F.sqrt(F.greatest((1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) / F.greatest(trades - 1, F.lit(1)), F.lit(1e-12)))
-    hurdle = F.when(trials > 1, F.sqrt(2 * F.ln(trials.cast("double")))).otherwise(0.0)
+    sd = F.sqrt(F.greatest((1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) / F.greatest(trades - 1, F.lit(1)), F.lit(1e-10)))
+    hurdle = F.sqrt(2 * F.ln(F.greatest(trials, F.lit(2)).cast("double")))
     return F.when((trades < 2) | (trials < 1), 0.0).otherwise(normal_cdf(sharpe / sd - hurdle))
 
 
@@ -318,11 +321,11 @@ def survivors(fold_result: DataFrame, first: bool, share: float = 0.3, few: int
     return fold_result.withColumns({"_c": cut, "_n": n}).where((F.col("_n") <= few) | (F.col("quality") >= F.col("_c"))).drop("_c", "_n")
 
 
-def archive(results: DataFrame, per_cell: int = 1, duration: tuple[float, ...] = (10, 50), frequency: tuple[float, ...] = (100, 300, 1000)) -> DataFrame:
-    """Best rows of each cell of a grid (mean bars held by number of trades); the first of equals stays."""
+def archive(results: DataFrame, per_cell: int = 1, frequency: tuple[float, ...] = (30, 100), tiers: tuple[float, ...] = (5, 15, 30)) -> DataFrame:
+    """Best rows of each cell of a grid (number of trades by quality); the first of equals stays."""
     grade = lambda x, cuts: sum((F.when(x >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    rows = results.withColumns({"cell_duration": grade(F.col("mean_held"), duration), "cell_trades": grade(F.col("trades"), frequency)})
-    w = Window.partitionBy("cell_duration", "cell_trades").orderBy(F.desc("quality"), "trial")
+    rows = results.withColumns({"cell_trades": grade(F.col("trades"), frequency), "cell_quality": grade(F.col("quality"), tiers)})
+    w = Window.partitionBy("cell_trades", "cell_quality").orderBy(F.desc("quality"), "trial")
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_cell).drop("_r")
 
 

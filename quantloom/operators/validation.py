@@ -111,13 +111,42 @@ def _scale(x: Column, low: float, high: float) -> Column:
 WEIGHTS = {"walk_forward": 0.30, "monte_carlo": 0.25, "forward_back": 0.15, "stability": 0.10, "dsr": 0.10, "backtest": 0.10}
 
 
+#: Share of the cross-validation score in the walk-forward component, where there is one.
+CPCV_SHARE = 0.4
+
+
+def _ramp(x: Column, *points: tuple[float, float]) -> Column:
+    """Straight lines through (x, score) points, level outside them."""
+    out = F.lit(points[-1][1])
+    for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:], strict=False))):
+        out = F.when(x <= x1, y0 + (y1 - y0) * (x - x0) / (x1 - x0)).otherwise(out)
+    return F.when(x <= points[0][0], F.lit(points[0][1])).otherwise(out)
+
+
 def sub_scores() -> dict[str, Column]:
-    """Scores of 0 to 100 from pass_rate, mean_sharpe, cv_quality, wfe, dsr, p_value, stress_ratio, ratio, mean_ratio, rating, quality, r_squared, profit_factor."""
+    """Scores of 0 to 100.
+
+    From n_oos, pass_rate, geo_quality, min_quality, cv_quality (walk-forward); ci_low, ci_high, p_value,
+    skip_quality (null if not tested), stress_ratio, dsr (resampling); ratio (forward to back);
+    mean_ratio, min_ratio (stability); quality, trades, sharpe (back test); cpcv_folds (null or
+    0 without), cpcv_positive, cpcv_sharpe, cpcv_low, cpcv_high.
+    """
     c = F.col
-    wf = 0.4 * 100 * c("pass_rate") + 0.3 * _scale(c("mean_sharpe"), 0, 2) + 0.15 * _scale(1 - c("cv_quality"), 0, 1) + 0.15 * _scale(c("wfe"), 0, 1)
-    mc = 0.4 * _scale(c("dsr"), 0.5, 1) + 0.3 * _scale(1 - c("p_value"), 0.8, 1) + 0.3 * _scale(c("stress_ratio"), 0, 1)
-    rating = F.when(c("rating") == "ROBUST", 100.0).when(c("rating") == "MODERATE", 70.0).when(c("rating") == "FRAGILE", 30.0).otherwise(0.0)
-    return {"walk_forward": wf, "monte_carlo": mc, "forward_back": _scale(c("ratio"), 0, 1), "stability": 0.5 * rating + 0.5 * _scale(c("mean_ratio"), 0, 1), "dsr": _scale(c("dsr"), 0.5, 1), "backtest": 0.4 * _scale(c("quality"), 0, 40) + 0.3 * 100 * c("r_squared") + 0.3 * _scale(c("profit_factor"), 1, 3)}
+    wf = 0.40 * 100 * c("pass_rate") + 0.20 * _scale(c("geo_quality"), 0, 50) + 0.15 * _scale(c("min_quality"), 0, 20) + 0.15 * 100 * F.greatest(1 - c("cv_quality"), F.lit(0.0)) + 0.10 * _scale(c("n_oos"), 0, 4)
+    width = c("ci_high") - c("ci_low")
+    ci = F.when(c("ci_low") > 0, _scale(c("ci_low"), 0, 1)).when(width > 0, 50 * F.greatest(c("ci_high") / width, F.lit(0.0))).otherwise(0.0)
+    chance = F.when(c("p_value") <= 0.001, 100.0).otherwise(_ramp(c("p_value"), (0.001, 100), (0.05, 80), (0.5, 0)))
+    mc = 0.30 * ci + 0.30 * chance + 0.20 * F.coalesce(_scale(c("skip_quality"), 0, 30), F.lit(50.0)) + 0.20 * _scale(c("stress_ratio"), 0, 0.8)
+    cpcv = 0.40 * 100 * c("cpcv_positive") + 0.30 * _scale(c("cpcv_sharpe"), 0, 2) + 0.20 * 100 * F.greatest(1 - (c("cpcv_high") - c("cpcv_low")) / 2, F.lit(0.0)) + 0.10 * _scale(c("cpcv_folds"), 0, 20)
+    wf = F.when(c("n_oos") > 0, wf).otherwise(0.0)
+    return {
+        "walk_forward": F.when(F.coalesce(c("cpcv_folds"), F.lit(0)) > 0, (1 - CPCV_SHARE) * wf + CPCV_SHARE * cpcv).otherwise(wf),
+        "monte_carlo": mc,
+        "forward_back": _scale(c("ratio"), 0, 1),
+        "stability": 0.7 * _scale(c("mean_ratio"), 0.4, 1) + 0.3 * _scale(c("min_ratio"), 0, 0.5),
+        "dsr": _ramp(c("dsr"), (0.5, 0), (0.95, 80), (0.99, 100)),
+        "backtest": 0.50 * F.least(2 * c("quality"), F.lit(100.0)) + 0.25 * _scale(c("trades"), 0, 100) + 0.25 * _scale(c("sharpe"), 0, 2),
+    }
 
 
 def confidence(candidates: DataFrame, gates: tuple[str, ...]) -> DataFrame:
@@ -135,13 +164,22 @@ def eliminate_thin(candidates: DataFrame, years: float) -> DataFrame:
     return candidates.withColumn("eliminated", F.col("trades") < max(200, int(30 * years)))
 
 
-def auto_window(n_bars: int, n_trades: int, bars_per_year: int, trades_each: int = 30, min_windows: int = 3) -> tuple[int, int]:
-    """(size, step) with about ``trades_each`` trades a window, between a month and two years, and some windows at least."""
-    size = int(n_bars * trades_each / max(1, n_trades))
-    size = min(max(size, bars_per_year // 12), 2 * bars_per_year)
-    while size > bars_per_year // 12 and n_bars // size < min_windows:
-        size = max(bars_per_year // 12, size * 3 // 4)
-    return size, max(1, size // 2)
+def auto_window(n_bars: int, trades: list[int], bars_per_year: float, trades_each: int = 30, share: float = 0.8) -> tuple[int, int]:
+    """(size, step) for about ``trades_each`` trades a window at the median candidate's rate.
+
+    Between a month and two years; no longer than lets three windows (two for slow
+    candidates, under one trade in a hundred bars) fit into the bars after the first ``share``.
+    """
+    back = int(n_bars * share)
+    counts = sorted(t for t in trades if t > 0)
+    rate = counts[len(counts) // 2] / back if counts and back else 0.0
+    size = int(trades_each / rate) if rate else int(bars_per_year * 0.5)
+    least = int(bars_per_year / 12)
+    size = max(least, min(size, int(bars_per_year * 2)))
+    most = (n_bars - back) // (2 * (2 if 0 < rate < 0.01 else 3))
+    if most > 0:
+        size = min(size, max(least, most))
+    return size, size // 2
 
 
 def report(candidates: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def _candidates(spark, d):
 
 _CAND = "cand AS MATERIALIZED (SELECT c_custkey AS trial, c_custkey % 40 + 10 AS trades, (c_custkey * 37) % 200 / 100::DOUBLE - 0.5 AS sharpe, round(c_acctbal / 100, 2) AS quality, round(c_acctbal / 200, 2) + c_custkey % 7 AS quality_forward, c_custkey % 12 AS grp, (c_custkey * 13) % 90 AS mean_held FROM customer)"
 _PHI = "CASE WHEN z >= 0 THEN (1 + erf) / 2 ELSE (1 - erf) / 2 END"
-_DSR = """ds0 AS (SELECT *, CASE WHEN trades < 2 THEN NULL ELSE sharpe / sqrt(greatest((1 + 0.5 * sharpe * sharpe) / greatest(trades - 1, 1), 1e-12)) - sqrt(2 * ln(25e0)) END AS z FROM cand),
+_DSR = """ds0 AS (SELECT *, CASE WHEN trades < 2 THEN NULL ELSE sharpe / sqrt(greatest((1 + 0.5 * sharpe * sharpe) / greatest(trades - 1, 1), 1e-10)) - sqrt(2 * ln(25e0)) END AS z FROM cand),
  ds1 AS (SELECT *, abs(z) / sqrt(2e0) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2e0)) AS t FROM ds0),
  ds2 AS (SELECT *, 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS erf FROM ds1),
  dsr AS MATERIALIZED (SELECT *, round(""" + _PHI + ", 6) + 0.0 AS dsr FROM ds2)"
@@ -235,10 +235,10 @@ def o13(spark, d):
     return SE.survivors(_fold_scores(spark, d).where("fold = 1"), first=False).select("trial")
 
 
-@query("o14_archive", f"""WITH {_CAND} SELECT trial, (mean_held >= 10)::INTEGER + (mean_held >= 50)::INTEGER AS cell_duration, (trades * 10 >= 100)::INTEGER + (trades * 10 >= 300)::INTEGER + (trades * 10 >= 1000)::INTEGER AS cell_trades FROM cand
- QUALIFY row_number() OVER (PARTITION BY cell_duration, cell_trades ORDER BY quality DESC, trial) = 1""")
+@query("o14_archive", f"""WITH {_CAND} SELECT trial, (trades * 3 >= 30)::INTEGER + (trades * 3 >= 100)::INTEGER AS cell_trades, (quality >= 5)::INTEGER + (quality >= 15)::INTEGER + (quality >= 30)::INTEGER AS cell_quality FROM cand
+ QUALIFY row_number() OVER (PARTITION BY cell_trades, cell_quality ORDER BY quality DESC, trial) = 1""")
 def o14(spark, d):
-    return SE.archive(_candidates(spark, d).withColumn("trades", F.col("trades") * 10)).select("trial", "cell_duration", "cell_trades")
+    return SE.archive(_candidates(spark, d).withColumn("trades", F.col("trades") * 3)).select("trial", "cell_trades", "cell_quality")
 
 
 @query("o5_entropy", f"WITH {_CAND}, c AS (SELECT grp % 3 AS name, trades % 5 AS position, count(*) AS c FROM cand GROUP BY ALL), p AS (SELECT name, c::DOUBLE / sum(c) OVER (PARTITION BY name) AS p FROM c) SELECT name, round(-sum(p * ln(p)) / ln(5), 6) + 0.0 AS entropy FROM p GROUP BY name")
@@ -253,16 +253,28 @@ def o4(spark, d):
     return SE.elite_histogram(c).select("name", "position", tidy(F.col("share")).alias("share"))
 
 
-@query("v17_v19_confidence", f"""WITH {_CAND}, m AS (SELECT trial, (trial % 11) / 10::DOUBLE AS pass_rate, sharpe AS mean_sharpe, (trial % 7) / 7::DOUBLE AS cv_quality, (trial % 13) / 10::DOUBLE AS wfe, (trial % 101) / 100::DOUBLE AS dsr, (trial % 21) / 100::DOUBLE AS p_value, (trial % 17) / 15::DOUBLE AS stress_ratio, (trial % 19) / 12::DOUBLE AS ratio, (trial % 23) / 20::DOUBLE AS mean_ratio,
-  CASE trial % 4 WHEN 0 THEN 'ROBUST' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'FRAGILE' ELSE 'OVERFIT' END AS rating, quality, (trial % 9) / 8::DOUBLE AS r_squared, (trial % 31) / 8::DOUBLE AS profit_factor FROM cand),
- s AS (SELECT *, 40 * pass_rate + 0.3 * 100 * least(greatest(mean_sharpe / 2, 0), 1) + 0.15 * 100 * least(greatest(1 - cv_quality, 0), 1) + 0.15 * 100 * least(greatest(wfe, 0), 1) AS wf,
-  0.4 * 100 * least(greatest((dsr - 0.5) / 0.5, 0), 1) + 0.3 * 100 * least(greatest((1 - p_value - 0.8) / 0.2, 0), 1) + 0.3 * 100 * least(greatest(stress_ratio, 0), 1) AS mc, 100 * least(greatest(ratio, 0), 1) AS fb,
-  0.5 * CASE rating WHEN 'ROBUST' THEN 100 WHEN 'MODERATE' THEN 70 WHEN 'FRAGILE' THEN 30 ELSE 0 END + 0.5 * 100 * least(greatest(mean_ratio, 0), 1) AS sb, 100 * least(greatest((dsr - 0.5) / 0.5, 0), 1) AS ds, 0.4 * 100 * least(greatest(quality / 40, 0), 1) + 0.3 * 100 * r_squared + 0.3 * 100 * least(greatest((profit_factor - 1) / 2, 0), 1) AS bt FROM m),
- c AS (SELECT trial, pass_rate, 0.30 * wf + 0.25 * mc + 0.15 * fb + 0.10 * sb + 0.10 * ds + 0.10 * bt AS composite FROM s)
- SELECT trial, round(composite::DOUBLE, 7) + 0.0 AS composite, CASE WHEN pass_rate < 0.3 THEN 'RED' WHEN composite >= 70 THEN 'GREEN' WHEN composite >= 40 THEN 'YELLOW' ELSE 'RED' END AS confidence FROM c""")
+_S = "100 * least(greatest(({x}) / {d}::DOUBLE, 0), 1)"
+
+
+def _sc(x: str, d: float) -> str:
+    return _S.format(x=x, d=d)
+
+
+@query("v17_v19_confidence", f"""WITH {_CAND}, m AS (SELECT trial, trial % 6 AS n_oos, (trial % 11) / 10::DOUBLE AS pass_rate, (trial % 61)::DOUBLE AS geo, (trial % 25)::DOUBLE - 2 AS minq, (trial % 7) / 5::DOUBLE AS cv, (trial % 13) / 10::DOUBLE - 0.4::DOUBLE AS lo, (trial % 13) / 10::DOUBLE + (trial % 3) / 2::DOUBLE - 0.4::DOUBLE AS hi,
+  (trial % 21) / 40::DOUBLE AS p, CASE WHEN trial % 5 = 0 THEN NULL ELSE (trial % 37)::DOUBLE END AS sk, (trial % 17) / 15::DOUBLE AS st, (trial % 19) / 12::DOUBLE AS ratio, (trial % 23) / 20::DOUBLE AS mr, (trial % 9) / 12::DOUBLE AS nr, (trial % 101) / 100::DOUBLE AS dsr, quality, trades * 3 AS tr, sharpe * 4 AS sh,
+  CASE WHEN trial % 2 = 0 THEN trial % 30 ELSE 0 END AS folds, (trial % 8) / 8::DOUBLE AS cp FROM cand),
+ s AS (SELECT *, CASE WHEN n_oos > 0 THEN 40 * pass_rate + 0.2::DOUBLE * {_sc('geo', 50)} + 0.15::DOUBLE * {_sc('minq', 20)} + 15 * greatest(1 - cv, 0) + 0.1::DOUBLE * {_sc('n_oos', 4)} ELSE 0 END AS wf0,
+  40 * cp + 0.3::DOUBLE * {_sc('sh', 2)} + 20 * greatest(1 - (hi - lo) / 2, 0) + 0.1::DOUBLE * {_sc('folds', 20)} AS cv0,
+  0.3::DOUBLE * CASE WHEN lo > 0 THEN {_sc('lo', 1)} WHEN hi - lo > 0 THEN 50 * greatest(hi / (hi - lo), 0) ELSE 0 END + 0.3::DOUBLE * CASE WHEN p <= 1e-3 THEN 100 WHEN p <= 5e-2 THEN 80 + 20 * (5e-2 - p) / 49e-3 WHEN p <= 5e-1 THEN 80 * (5e-1 - p) / 45e-2 ELSE 0 END + 0.2::DOUBLE * coalesce({_sc('sk', 30)}, 50) + 0.2::DOUBLE * {_sc('st', 0.8)} AS mc,
+  {_sc('ratio', 1)} AS fb, 0.7::DOUBLE * {_sc('mr - 4e-1', 0.6)} + 0.3::DOUBLE * {_sc('nr', 0.5)} AS sb, CASE WHEN dsr <= 5e-1 THEN 0 WHEN dsr <= 95e-2 THEN 80 * (dsr - 5e-1) / 45e-2 WHEN dsr <= 99e-2 THEN 80 + 20 * (dsr - 95e-2) / 4e-2 ELSE 100 END AS ds,
+  0.5::DOUBLE * least(2 * quality, 100) + 0.25::DOUBLE * {_sc('tr', 100)} + 0.25::DOUBLE * {_sc('sh', 2)} AS bt FROM m),
+ c AS (SELECT trial, pass_rate, 0.30::DOUBLE * CASE WHEN folds > 0 THEN 0.6::DOUBLE * wf0 + 0.4::DOUBLE * cv0 ELSE wf0 END + 0.25::DOUBLE * mc + 0.15::DOUBLE * fb + 0.10::DOUBLE * sb + 0.10::DOUBLE * ds + 0.10::DOUBLE * bt AS composite FROM s)
+ SELECT trial, round(composite, 7) + 0.0 AS composite, CASE WHEN pass_rate < 0.3 THEN 'RED' WHEN composite >= 70 THEN 'GREEN' WHEN composite >= 40 THEN 'YELLOW' ELSE 'RED' END AS confidence FROM c""")
 def v19(spark, d):
     t = F.col("trial")
-    c = _candidates(spark, d).withColumns({"pass_rate": t % 11 / 10, "mean_sharpe": F.col("sharpe"), "cv_quality": t % 7 / 7, "wfe": t % 13 / 10, "dsr": t % 101 / 100, "p_value": t % 21 / 100, "stress_ratio": t % 17 / 15, "ratio": t % 19 / 12, "mean_ratio": t % 23 / 20, "rating": F.element_at(F.array(*map(F.lit, ("ROBUST", "MODERATE", "FRAGILE", "OVERFIT"))), (t % 4 + 1).cast("int")), "r_squared": t % 9 / 8, "profit_factor": t % 31 / 8}).withColumn("gate_wf", F.col("pass_rate") >= 0.3)
+    low = t % 13 / 10 - 0.4
+    c = _candidates(spark, d).withColumns({"n_oos": t % 6, "pass_rate": t % 11 / 10, "geo_quality": (t % 61).cast("double"), "min_quality": (t % 25).cast("double") - 2, "cv_quality": t % 7 / 5, "ci_low": low, "ci_high": t % 13 / 10 + t % 3 / 2 - 0.4, "p_value": t % 21 / 40, "skip_quality": F.when(t % 5 != 0, (t % 37).cast("double")), "stress_ratio": t % 17 / 15, "ratio": t % 19 / 12, "mean_ratio": t % 23 / 20, "min_ratio": t % 9 / 12, "dsr": t % 101 / 100, "trades": F.col("trades") * 3, "sharpe": F.col("sharpe") * 4, "cpcv_folds": F.when(t % 2 == 0, t % 30).otherwise(0), "cpcv_positive": t % 8 / 8})
+    c = c.withColumns({"cpcv_sharpe": F.col("sharpe"), "cpcv_low": F.col("ci_low"), "cpcv_high": F.col("ci_high"), "gate_wf": F.col("pass_rate") >= 0.3})
     return V.confidence(c, ("gate_wf",)).select("trial", tidy(F.col("composite"), 7).alias("composite"), "confidence")
 
 

@@ -182,11 +182,12 @@ def w18(spark, d):
 
 _REGIME = f"""{_ADX}, nr AS MATERIALIZED (SELECT pair, bar_idx, adx, atr / close AS natr FROM adx),
  rk AS (SELECT a.pair, a.bar_idx, any_value(a.adx) AS adx, CASE WHEN count(b.natr) = 100 THEN 100.0 * sum((b.natr <= a.natr)::INT) / 100 END AS rank FROM nr a JOIN nr b ON b.pair = a.pair AND b.bar_idx BETWEEN a.bar_idx - 99 AND a.bar_idx GROUP BY a.pair, a.bar_idx),
- tn AS (SELECT *, coalesce(last_value(CASE WHEN adx >= 25 THEN 1 WHEN adx < 20 THEN 0 END IGNORE NULLS) OVER ({BY}), 0) AS trend FROM rk),
+ tn AS (SELECT *, coalesce(last_value(CASE WHEN rank IS NULL THEN NULL WHEN adx >= 25 THEN 1 WHEN adx < 20 THEN 0 END IGNORE NULLS) OVER ({BY}), 0) AS trend FROM rk),
  raw AS (SELECT pair, bar_idx, (CASE WHEN adx IS NULL OR rank IS NULL THEN -1 ELSE 2 * trend + (rank >= 75)::INT END)::INTEGER AS regime_raw FROM tn),
  stp AS (SELECT *, CASE WHEN lag(regime_raw) OVER ({BY}) = regime_raw THEN 0 ELSE 1 END AS s FROM raw), run AS MATERIALIZED (SELECT *, sum(s) OVER ({BY}) AS run FROM stp),
  runs AS MATERIALIZED (SELECT pair, run, any_value(regime_raw) AS v, count(*) AS n FROM run GROUP BY ALL),
- fold AS (SELECT pair, run, v FROM runs WHERE run = 1 UNION ALL SELECT r.pair, r.run, CASE WHEN r.n < 8 THEN f.v ELSE r.v END FROM fold f JOIN runs r ON r.pair = f.pair AND r.run = f.run + 1)"""
+ fold AS (SELECT pair, run, v, v AS last, -1 AS before FROM runs WHERE run = 1 UNION ALL SELECT pair, run, new, CASE WHEN new <> -1 THEN new ELSE last END, CASE WHEN new <> -1 AND new <> last THEN last ELSE before END FROM (
+   SELECT r.pair, r.run, f.last, f.before, CASE WHEN r.v <> -1 AND r.n < 8 AND CASE WHEN f.last <> r.v THEN f.last ELSE f.before END <> -1 THEN CASE WHEN f.last <> r.v THEN f.last ELSE f.before END ELSE r.v END AS new FROM fold f JOIN runs r ON r.pair = f.pair AND r.run = f.run + 1))"""
 
 
 @query("w21_regime", f"WITH RECURSIVE {BARS}, {_REGIME} SELECT r.pair, r.bar_idx, r.regime_raw, f.v AS regime FROM run r JOIN fold f ON f.pair = r.pair AND f.run = r.run")

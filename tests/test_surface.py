@@ -75,8 +75,9 @@ def test_fold_layout_covers_the_end():
 
 def test_weights_add_up():
     assert abs(sum(validation.WEIGHTS.values()) - 1) < 1e-9
-    size, step = validation.auto_window(60_000, 2_000, 6_048)
-    assert 504 <= size <= 12_096 and step == size // 2
+    assert validation.auto_window(60_000, [2_000], 6_048) == (720, 360)
+    assert validation.auto_window(60_000, [100], 6_048) == (3_000, 1_500)
+    assert validation.auto_window(60_000, [], 6_048) == (2_000, 1_000)
 
 
 def test_greedy_matching_equals_a_loop(spark):
