@@ -43,7 +43,7 @@ def spread_passes(spread: Column, most: Column) -> Column:
 
 def day_mask(days: Column) -> Column:
     """Bit mask of an array of weekdays."""
-    return F.aggregate(days, F.lit(0), lambda acc, d: acc.bitwiseOR(F.expr("1") * F.pow(F.lit(2.0), d).cast("int")))
+    return F.aggregate(days, F.lit(0), lambda acc, d: acc.bitwiseOR(F.pow(F.lit(2.0), d).cast("int")))
 
 
 def slice_window(signals: DataFrame, windows: DataFrame) -> DataFrame:
