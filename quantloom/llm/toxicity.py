@@ -35,9 +35,11 @@ PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
 #: Letters that a sign is used for; fixed values.
-SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
+SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "(": "c", "<": "c", "€": "e", "£": "l"}
 #: Signs that may stand between the letters of a word.
 GAPS = set(".-_*~ '^,/\\")
+#: Signs that end a sentence or a decorated word rather than stand for its last letter.
+TRAIL = "!|+*(<"
 _SIGN_BYTE = np.zeros(256, bool)
 _SIGN_BYTE[[ord(c) for c in SIGNS if ord(c) < 128]] = True
 _GAP_BYTE = np.zeros(256, bool)
@@ -103,11 +105,11 @@ class Decoder:
             if c.isalpha():
                 ways = [(c * n, 0.0)] if n < 3 else [(c, Decoder.REPEAT), (c * 2, Decoder.REPEAT)]
             elif c in SIGNS:
-                ways = [("", Decoder.LOSE * (n + 1))]
+                ways = [("", Decoder.DROP * n if c in GAPS else Decoder.LOSE * (n + 1))]
                 for x in SIGNS[c]:
                     ways.append((x * min(n, 2), Decoder.SWAP * n))
                     if n > 1:
-                        ways.append((x, Decoder.SWAP + Decoder.REPEAT))
+                        ways.append((x, Decoder.SWAP * n + Decoder.REPEAT))
             else:
                 ways = [("", Decoder.DROP)]
             steps.append(ways)
@@ -149,7 +151,7 @@ def disguised(buf: np.ndarray, folded: np.ndarray, offs: np.ndarray) -> list[tup
     lo, hi = np.flatnonzero(start), np.flatnonzero(end) + 1
     digit = (buf >= 0x30) & (buf <= 0x39)
     strong = np.zeros(n, bool)  # a sign before a letter, or a digit or @ after one
-    strong[:-1] |= sign[:-1] & body[1:]
+    strong[:-1] |= sign[:-1] & letter[1:]
     strong[1:] |= (digit | (buf == 0x40))[1:] & letter[:-1]
     triple = np.zeros(n, bool)
     triple[2:] = letter[2:] & (folded[2:] == folded[1:-1]) & (folded[1:-1] == folded[:-2]) & (folded[2:] < 0x80)
@@ -175,7 +177,7 @@ def features(buf: np.ndarray, offs: np.ndarray, decoder: Decoder) -> tuple[np.nd
     folded = fold_letters(buf)
     extra, rows = [], []
     for r, a, b in disguised(buf, folded, offs):
-        word = buf[a:b].tobytes().decode("utf-8", "ignore").lower()
+        word = buf[a:b].tobytes().decode("utf-8", "ignore").lower().rstrip(TRAIL)
         if plain := decoder.decode(word):
             extra.append(plain.encode() + b" ")
             rows.append(r)
