@@ -7,7 +7,7 @@ every occurrence is found at an exact hit of a piece (one automaton over all
 pieces scans each text once).  Around a hit, Myers' bit-parallel algorithm gives
 the edit distance of the whole item to the best substring.
 
-The items travel to the tasks in blocks of bounded size (``BLOCK_CHARS``), one scan of the
+The items travel to the tasks in blocks of about ``BLOCK_CHARS`` (dealt by a hash), one scan of the
 documents per block, so a large benchmark takes more scans rather than more memory.
 """
 
@@ -20,7 +20,6 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quantloom.llm.common import arrow_batches
 
@@ -97,12 +96,12 @@ class Matcher:
             if pattern in text:
                 out.append((item, 0))
                 continue
-            best, reach = None, None
+            best = None
             spans: list[list[int]] = []
             for s in sorted(found):
                 lo, hi = max(0, s - budget), s + len(pattern) + budget
                 if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(reach := spans[-1][1], hi)
+                    spans[-1][1] = max(spans[-1][1], hi)
                 else:
                     spans.append([lo, hi])
             for lo, hi in spans:
@@ -117,8 +116,9 @@ class Matcher:
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, min_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Normalised items of one length at least, in blocks of bounded size."""
     few = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").groupBy("item", "text").count()
-    total = Window.orderBy("item", "text").rowsBetween(Window.unboundedPreceding, -1)
-    few = few.withColumn("block", F.floor(F.coalesce(F.sum(F.length("text")).over(total), F.lit(0)) / BLOCK_CHARS))
+    chars = few.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(chars) // BLOCK_CHARS))
+    few = few.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     block: list[tuple[int, str]] = []
     at = None
     for r in few.orderBy("block", "item", "text").toLocalIterator():
