@@ -17,7 +17,7 @@ from quantloom.operators import simulate as T
 from quantloom.operators import sltp
 from quantloom.plans.registry import register
 from quantloom.plans.tables import BARS, BY, PIP, SUBS, hourly, rows, smooth, sub_bars
-from quantloom.plans.windows import _ADX, _MACD, _RSI, _TR, _atr, _ema, _hl, _seeds
+from quantloom.plans.windows import _ADX, _MACD, _REGIME, _RSI, _TR, _atr, _ema, _hl, _seeds
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -306,7 +306,15 @@ def tr4(spark, d):
     return full_trades(spark, d).select("pair", "sig_seq", "trial", "direction", "reason", "exit_bar", "partial", tidy(F.col("pnl"), 3).alias("pnl"))
 
 
-@query("j5_v15_regime_statistics", None)
+_BY_REGIME = _REGIME.replace(_TR + ", ", "").replace(_atr(14) + ", ", "") + """, tt AS (
+  SELECT t.pair, f.v AS regime, t.bar_idx, t.sig_seq, t.pnl FROM trades t JOIN run r ON r.pair = t.pair AND r.bar_idx = t.bar_idx JOIN fold f ON f.pair = r.pair AND f.run = r.run WHERE t.trial = 0 AND f.v >= 0),
+ te AS (SELECT *, sum(pnl) OVER (PARTITION BY pair, regime ORDER BY bar_idx, sig_seq) AS eq FROM tt), tp AS (SELECT *, max(eq) OVER (PARTITION BY pair, regime ORDER BY bar_idx, sig_seq) AS peak FROM te),
+ ta AS (SELECT pair, regime, count(*) AS n, avg((pnl > 0)::INT) AS w, avg(pnl) AS m, stddev_pop(pnl) AS s, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) AS g, sum(CASE WHEN pnl <= 0 THEN -pnl ELSE 0 END) AS l, max(peak - eq) AS dd, max(peak) AS top FROM tp GROUP BY ALL)
+ SELECT pair, regime, n, round(100 * w, 4) + 0.0 AS win_pct, round(CASE WHEN s > 0 THEN m / s * sqrt(n) ELSE 0 END, 4) + 0.0 AS sharpe, round(CASE WHEN l > 0 THEN g / l WHEN g > 0 THEN 'Infinity'::DOUBLE ELSE 0 END, 4) + 0.0 AS profit_factor,
+  round(CASE WHEN top > 0 THEN 100 * dd / top ELSE 100 END, 4) + 0.0 AS max_dd_pct, n >= 5 AS sufficient FROM ta"""
+
+
+@query("j5_v15_regime_statistics", f"WITH RECURSIVE {BASIC}, {_BY_REGIME}")
 def v15(spark, d):
     t = basic_trades(spark, d).where("trial = 0").withColumn("trade_id", F.col("sig_seq"))
     st = R.regime_statistics(t, R.classify(hourly(spark, d)), 5)
