@@ -6,6 +6,8 @@ own words alone, so an edit elsewhere never changes it, unlike with minimisers.
 The 64 least of a text's distinct chosen k-mers, by hash, are its sketch; the
 fingerprint is the sketch in hexadecimal.  Likeness is Dice's coefficient of the sets
 of chosen k-mers as the sketches estimate it: 1 for equal sets, 0 for disjoint ones.
+A k-mer is certain to be chosen from nine words on only: a text without one has its words for
+a fingerprint, and is compared with any other text by the sketches of their words.
 ``anchors`` lists the chosen k-mers with their positions, for positional matching.
 """
 
@@ -37,27 +39,34 @@ def _chosen(h: Column, pairs: Column) -> Column:
 
 
 def _with_sketch(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """df with the sketch of a text: ascending 32-bit values; fewer than k words give a value each."""
+    """df with the sketches of a text's chosen k-mers and of its words: ascending 32-bit values."""
     n = F.greatest(F.size("_ql_h") - 1, F.lit(0))
     df = df.withColumn("_ql_h", _hashed(text))
     df = df.withColumn("_ql_p", F.zip_with(F.slice("_ql_h", F.lit(1), n), F.slice("_ql_h", F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
-    kmers = F.when(F.size("_ql_h") < K, F.transform("_ql_h", lambda x: F.shiftrightunsigned(x, 32))).otherwise(
-        F.transform(_chosen(F.col("_ql_h"), F.col("_ql_p")), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(F.col("_ql_h"), i + 1, F.lit(K))), 32))
-    )
-    return df.withColumn(out, F.slice(F.array_sort(F.array_distinct(kmers)), 1, SKETCH)).drop("_ql_h", "_ql_p")
+    kmers = F.transform(_chosen(F.col("_ql_h"), F.col("_ql_p")), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(F.col("_ql_h"), i + 1, F.lit(K))), 32))
+    words = F.transform("_ql_h", lambda x: F.shiftrightunsigned(x, 32))
+    least = lambda x: F.slice(F.sort_array(F.array_distinct(x)), 1, SKETCH)
+    return df.withColumn(out, F.struct(least(kmers).alias("kmers"), least(words).alias("words"))).drop("_ql_h", "_ql_p")
 
 
 def written(sketch: Column) -> Column:
-    """A sketch as text, eight hexadecimal digits a value; empty for a text without words."""
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    """A sketch as text, eight hexadecimal digits a value: of the words where no k-mer is chosen; empty for a text without words."""
+    values = F.when(F.size(sketch["kmers"]) > 0, sketch["kmers"]).otherwise(sketch["words"])
+    return F.array_join(F.transform(values, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Dice coefficient of two sets from their sketches; two empty ones are alike."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+def _dice(a: Column, b: Column) -> Column:
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
     both = F.size(F.array_intersect(F.array_intersect(union, a), b)).cast("double")
     jaccard = both / F.size(union)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * jaccard / (1 + jaccard))
+    return 2 * jaccard / (1 + jaccard)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated Dice coefficient of two texts from their sketches, of words where either has no chosen k-mer; two empty texts are alike."""
+    empty = lambda x: F.size(x["words"]) == 0
+    by_kmers = (F.size(a["kmers"]) > 0) & (F.size(b["kmers"]) > 0)
+    return F.when(empty(a) & empty(b), 1.0).when(empty(a) | empty(b), 0.0).when(by_kmers, _dice(a["kmers"], b["kmers"])).otherwise(_dice(a["words"], b["words"]))
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:

@@ -187,6 +187,22 @@ def test_syncmers_do_not_depend_on_context(spark):
     assert a and a <= b
 
 
+def test_fingerprints_of_six_to_eight_words(spark):
+    """No such text is empty, unlike ones aren't alike, and one changed word leaves a text near whichever k-mers are chosen."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{i}_{rng.randrange(10**6)}" for _ in range(6 + i % 3))) for i in range(240)]
+    df = spark.createDataFrame([(i, t, t.rsplit(" ", 1)[0] + " other", rows[i - 1][1]) for i, t in rows], "doc_id long, text string, near string, far string")
+    for c in ("text", "near", "far"):
+        df = fingerprints._with_sketch(df, F.col(c), f"{c}_s")
+    like = lambda c: fingerprints.likeness(F.col("text_s"), F.col(c))
+    got = df.select(fingerprints.written(F.col("text_s")).alias("f"), like("text_s").alias("same"), like("near_s").alias("near"), like("far_s").alias("far"), F.size("text_s.kmers").alias("k"), F.size("near_s.kmers").alias("nk")).collect()
+    assert all(r["f"] and r["same"] == 1 and r["far"] == 0 for r in got) and len({r["f"] for r in got}) == len(rows)
+    either = [r for r in got if not r["k"] or not r["nk"]]
+    assert either and any(r["nk"] for r in either) and all(r["near"] >= 0.8 for r in either)
+    edited = fingerprints.edited_likeness(df.select("doc_id", "text")).collect()
+    assert all(r["fingerprint"] and r["edited_fingerprint"] and r["near_next"] == 0 for r in edited)
+
+
 def test_license_scan_against_containment(spark, empty):
     rng = random.Random(8)
     rows = []
