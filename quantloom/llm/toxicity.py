@@ -1,8 +1,8 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all texts (letters, word by word).
-2. Words that may be disguised (digits or signs inside, a letter three times in a row,
-   letters spaced out) become lattices: each sign stands for itself, for the letters it
+2. Words that may be disguised (digits or signs inside or at the ends, a letter three times in
+   a row, cut by gap characters, letters spaced out) become lattices: each sign stands for itself, for the letters it
    is used for, or for nothing; runs of a letter may be shortened.  Viterbi decoding finds
    the likeliest letters under the trigram model and the costs of the channel.  Other words have
    a single path, themselves.
@@ -17,6 +17,7 @@ Counts of the character model cover all texts and come to the driver as one tabl
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import RollingHash, U64, arrow_batches, grouped_runs, text_chunks
+from quantloom.llm.common import RollingHash, U64, arrow_batches, text_chunks
 from quantloom.llm.language_id import fold_letters, is_held_out, letter_runs
 
 TRAIN_ROWS = 20_000
@@ -44,6 +45,8 @@ _SIGN_BYTE = np.zeros(256, bool)
 _SIGN_BYTE[[ord(c) for c in SIGNS if ord(c) < 128]] = True
 _GAP_BYTE = np.zeros(256, bool)
 _GAP_BYTE[[ord(c) for c in GAPS]] = True
+_NO_GAPS = {ord(c): None for c in GAPS if c not in SIGNS}
+_TRIPLE = re.compile(r"(.)\1\1")
 _CODE = np.full(256, 27, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 
@@ -89,7 +92,31 @@ class Decoder:
     def __init__(self, counts: np.ndarray):
         smooth = counts + 0.1
         self.cost = (-np.log(smooth / smooth.sum(2, keepdims=True))).tolist()
+        self._remember()
+
+    @classmethod
+    def of(cls, cost: list) -> Decoder:
+        """The decoder of costs already counted."""
+        made = cls.__new__(cls)
+        made.cost = cost
+        made._remember()
+        return made
+
+    def _remember(self) -> None:
         self.decode = lru_cache(1 << 16)(self._decode)
+        self.read = lru_cache(1 << 16)(self._read)
+
+    def _read(self, raw: bytes) -> tuple[bytes, ...]:
+        """What a span of a text may stand for: with its last signs as punctuation, and as letters."""
+        word = raw.decode("utf-8", "ignore").lower()
+        found = {}
+        for w in dict.fromkeys((word.rstrip(TRAIL), word)):
+            plain = w.translate(_NO_GAPS)
+            if not (plain.isalpha() and not _TRIPLE.search(plain)):
+                plain = self.decode(w)
+            if plain and plain != word:
+                found[plain.encode()] = None
+        return tuple(found)
 
     @staticmethod
     def _steps(word: str) -> list[list[tuple[str, float]]]:
@@ -149,27 +176,36 @@ def disguised(buf: np.ndarray, folded: np.ndarray, offs: np.ndarray) -> list[tup
     end = body.copy()
     end[:-1] &= ~body[1:] | body_cut[1:n]
     lo, hi = np.flatnonzero(start), np.flatnonzero(end) + 1
-    digit = (buf >= 0x30) & (buf <= 0x39)
-    strong = np.zeros(n, bool)  # a sign before a letter, or a digit or @ after one
-    strong[:-1] |= sign[:-1] & letter[1:]
-    strong[1:] |= (digit | (buf == 0x40))[1:] & letter[:-1]
     triple = np.zeros(n, bool)
     triple[2:] = letter[2:] & (folded[2:] == folded[1:-1]) & (folded[1:-1] == folded[:-2]) & (folded[2:] < 0x80)
-    flags = np.concatenate(([0], np.cumsum(strong | triple)))
+    flags = np.concatenate(([0], np.cumsum(sign | triple)))
     letters = np.concatenate(([0], np.cumsum(letter)))
-    odd = (flags[hi] > flags[lo]) & (letters[hi] - letters[lo] >= 2)
-    out = [(int(r), int(a), int(b)) for r, a, b in zip(row_of(lo[odd]), lo[odd], hi[odd], strict=True)]
-    single = hi - lo == 1  # letters spaced out by one gap each, three or more
-    follows = np.zeros(len(lo), bool)
-    follows[1:] = single[1:] & single[:-1] & (lo[1:] - hi[:-1] == 1) & _GAP_BYTE[buf[np.clip(hi[:-1], 0, n - 1)]] & (row_of(lo[1:]) == row_of(lo[:-1])) if len(lo) > 1 else False
-    if follows.any():
-        s, e = grouped_runs(follows)
-        for a, b in zip(s, e, strict=True):
-            if follows[a] and b - a >= 2:
-                x, y = lo[a - 1], hi[b - 1]
-                if letters[y] - letters[x] >= 2:
-                    out.append((int(row_of(x)), int(x), int(y)))
-    return out
+    odd = (flags[hi] > flags[lo]) & (letters[hi] > letters[lo]) & ((letters[hi] - letters[lo] >= 2) | (hi - lo >= 3))
+    spans = [(lo[odd], hi[odd])]
+    solid = np.concatenate(([0], np.cumsum(~_GAP_BYTE[buf] | sign)))  # bytes that are no gap
+    blanks = np.concatenate(([0], np.cumsum(buf == 0x20)))
+    row = row_of(lo)
+    joined = np.zeros(len(lo) + 1, bool)  # nothing but gap characters since the word before
+    joined[1:-1] = (solid[lo[1:]] == solid[hi[:-1]]) & (row[1:] == row[:-1])
+    joined[1:-1] &= lo[1:] > hi[:-1]
+    cut = joined.copy()  # and none of them a blank
+    cut[1:-1] &= blanks[lo[1:]] == blanks[hi[:-1]]
+    first, last = np.flatnonzero(~cut[:-1] & cut[1:]), np.flatnonzero(cut[:-1] & ~cut[1:])
+    spans.append((lo[first], hi[last]))
+    single = hi - lo == 1  # runs of single letters, alone and with the words next to them
+    linked = joined[:-1] & np.concatenate(([False], single[:-1]))
+    first = np.flatnonzero(single & ~linked)
+    linked = joined[1:] & np.concatenate((single[1:], [False]))
+    last = np.flatnonzero(single & ~linked)
+    left, right = joined[first], joined[last + 1]
+    spans.append((lo[first], hi[last]))
+    spans.append((lo[first[left] - 1], hi[last[left]]))
+    spans.append((lo[first[right]], hi[last[right] + 1]))
+    spans.append((lo[first[left & right] - 1], hi[last[left & right] + 1]))
+    x, y = (np.concatenate(z) for z in zip(*spans, strict=True))
+    some = (letters[y] > letters[x]) & (y - x >= 2)
+    x, y = np.unique(np.stack((x[some], y[some])), axis=1)
+    return list(zip(row_of(x).tolist(), x.tolist(), y.tolist(), strict=True))
 
 
 def features(buf: np.ndarray, offs: np.ndarray, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
@@ -177,9 +213,8 @@ def features(buf: np.ndarray, offs: np.ndarray, decoder: Decoder) -> tuple[np.nd
     folded = fold_letters(buf)
     extra, rows = [], []
     for r, a, b in disguised(buf, folded, offs):
-        word = buf[a:b].tobytes().decode("utf-8", "ignore").lower().rstrip(TRAIL)
-        if plain := decoder.decode(word):
-            extra.append(plain.encode() + b" ")
+        for plain in decoder.read(buf[a:b].tobytes()):
+            extra.append(plain + b" ")
             rows.append(r)
     out = [_word_features(folded, offs)]
     if extra:
@@ -215,10 +250,7 @@ def fit(rows: DataFrame, decoder: Decoder) -> tuple[np.ndarray, float]:
     shipped = spark.sparkContext.broadcast(decoder.cost)
 
     def model() -> Decoder:
-        d = Decoder.__new__(Decoder)
-        d.cost = shipped.value
-        d.decode = lru_cache(1 << 16)(d._decode)
-        return d
+        return Decoder.of(shipped.value)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, FEATURES), np.int32)
@@ -294,9 +326,7 @@ def score(docs: DataFrame, decoder: Decoder, weights: np.ndarray, bias: float, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, at, w, base = shipped.value
-        mine = Decoder.__new__(Decoder)
-        mine.cost = cost
-        mine.decode = lru_cache(1 << 16)(mine._decode)
+        mine = Decoder.of(cost)
         table = np.zeros(FEATURES)
         table[at] = w
         keep = np.zeros(FEATURES, bool)

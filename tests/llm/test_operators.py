@@ -300,6 +300,22 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.rate(df, lab.limit(0)).count() == len(rows)
 
 
+def test_toxicity_of_words_cut_or_ending_in_signs(spark):
+    rng = random.Random(13)
+    bad = ["idiot", "ass", "moron", "stupid"]
+    rows, labels = [], []
+    for i in range(800):
+        t = words(rng, rng.randint(5, 40), 300).split()
+        if i % 4 == 0:
+            t.insert(rng.randrange(len(t)), bad[i // 4 % 4])
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 4 == 0)))
+    planted = ["a$$", "idio+", "st.upid", "mo-ron", "m o ron", "mor o n", "i d i o t", "i  d  i  o  t", "i - d - i - o - t", "an i d i o t", "moron!", "1d10t!"]
+    rows += [(5000 + i, f"w1 w2 {w} w3 w4") for i, w in enumerate(planted)] + [(6000, "w1 w2 w3! w4-w5 a w6")]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.rate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [w for i, w in enumerate(planted) if not got[5000 + i]] == [] and got[6000] == 0
+
+
 def test_language_on_held_out_rows(spark, empty):
     rng = random.Random(5)
     alphabet = {"aa": "abcde ", "bb": "fghij ", "cc": "klmno "}
