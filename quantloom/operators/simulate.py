@@ -94,17 +94,10 @@ def evaluate(signals: DataFrame, trials: DataFrame, condition: Column | None = N
 MANAGEMENT = {"max_bars": 0, "stale_bars": 0, "stale_thr": 0.0, "be_trigger": None, "be_offset": 0.0, "trail_activate": None, "trail_pips": None, "partial_trigger": None, "partial_pct": 0.0}
 
 
-def simulate_full(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: float, slippage: float = SLIPPAGE, commission: float = COMMISSION, horizon: int | None = None) -> DataFrame:
-    """As simulate_basic, with breakeven, trailing, partial close, time and stale exits; adds partial (whether it was taken).
-
-    The stop path doesn't depend on the exit, so it is a window along each trade's
-    sub-bars; moves take effect on the next sub-bar.  Time and stale exits close a
-    bar before its sub-bars are looked at.  Null triggers switch a module off.
-    """
-    trades = trades.withColumns({c: F.lit(v).cast("double") for c, v in MANAGEMENT.items() if c not in trades.columns})
-    trades, subs = trades.persist(), subs.persist()  # read several times below
+def _path_hits(filled: DataFrame, subs: DataFrame, pip: float, horizon: int | None) -> DataFrame:
+    """First stop, target and partial, and last sub-bar, of each trade within a horizon."""
     d = F.col("direction")
-    rows = _ahead(fill_entries(trades, subs, pip, slippage), subs, horizon)
+    rows = _ahead(filled, subs, horizon)
     w = Window.partitionBy("trade_id").orderBy("sub_seq")
     run, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     best, worst = F.when(d > 0, F.col("h")).otherwise(F.col("l")), F.when(d > 0, F.col("l")).otherwise(F.col("h"))
@@ -120,15 +113,48 @@ def simulate_full(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: floa
     locks = F.max(F.when((F.col("sub_seq") == F.col("_k")) & (F.col("_be") > F.col("_s")), 1)).over(before) == 1
     rows = rows.withColumns({"_locked": F.coalesce(locks, F.lit(False)), "_was_trail": F.coalesce(F.lag("_trail").over(w), F.lit(False))})
     rows = rows.withColumn("_stop", F.when(F.col("_locked"), F.greatest("_s", "_be")).otherwise(F.col("_s")))
-    span = bars.select("pair", F.col("bar_idx").alias("_b"), (F.col("high") - F.col("low")).alias("_range"), F.col("close").alias("_bar_close"), F.col("spread").alias("_bar_spread"))
-    hits = rows.groupBy("trade_id").agg(
+    return rows.groupBy("trade_id").agg(
         F.min(F.when(F.col("_worst") <= F.col("_stop"), F.struct("sub_seq", F.col("at_bar").alias("b"), F.col("_stop").alias("p"), F.when(F.col("_was_trail"), "trailing").when(F.col("_locked"), "breakeven").otherwise("sl").alias("r"), F.col("sp").alias("s")))).alias("x_sl"),
         F.min(F.when(F.col("_best") >= d * F.col("tp"), F.struct("sub_seq", F.col("at_bar").alias("b"), (d * F.col("tp")).alias("p"), F.lit("tp").alias("r"), F.col("sp").alias("s")))).alias("x_tp"),
         F.min(F.when(F.col("_f") >= F.col("partial_trigger"), F.struct("sub_seq", F.col("at_bar").alias("b"), F.col("c").alias("p"), F.col("sp").alias("s")))).alias("x_part"),
         F.max(F.struct("sub_seq", F.col("at_bar").alias("b"), F.col("c").alias("p"), F.col("sp").alias("s"))).alias("x_end"),
     )
-    timed = _bar_exits(trades, span)
-    out = fill_entries(trades, subs, pip, slippage).join(hits, "trade_id", "left").join(timed, "trade_id", "left")
+
+
+def _all_hits(filled: DataFrame, subs: DataFrame, pip: float, timed: DataFrame, horizon: int | None) -> DataFrame:
+    """As _path_hits over all bars: a trade is settled once it is hit, or closed by time or stale, within the horizon."""
+    last = (subs.agg(F.max("bar_idx")).first()[0] or 0) - (filled.agg(F.min("bar_idx")).first()[0] or 0)
+    open_, found = filled, None
+    while horizon is not None and horizon < last:
+        hits = _path_hits(open_, subs, pip, horizon).persist()
+        ends = open_.select("trade_id", "bar_idx").join(timed.select("trade_id", "bar_exit"), "trade_id", "left").join(hits.select("trade_id", (F.col("x_sl").isNotNull() | F.col("x_tp").isNotNull()).alias("_hit")), "trade_id", "left")
+        ended = ends.where(F.coalesce("_hit", F.lit(False)) | F.coalesce(F.col("bar_exit") <= F.col("bar_idx") + horizon, F.lit(False))).select("trade_id").persist()
+        settled = hits.join(ended, "trade_id", "left_semi")
+        found = settled if found is None else found.unionByName(settled)
+        open_ = open_.join(ended, "trade_id", "left_anti").persist()
+        if open_.isEmpty():
+            return found
+        horizon *= 4
+    rest = _path_hits(open_, subs, pip, horizon)
+    return rest if found is None else found.unionByName(rest)
+
+
+def simulate_full(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: float, slippage: float = SLIPPAGE, commission: float = COMMISSION, horizon: int | None = None) -> DataFrame:
+    """As simulate_basic, with breakeven, trailing, partial close, time and stale exits; adds partial (whether it was taken).
+
+    The stop path doesn't depend on the exit, so it is a window along each trade's
+    sub-bars; moves take effect on the next sub-bar.  Time and stale exits close a
+    bar before its sub-bars are looked at.  Null triggers switch a module off.  Trades
+    still open at the horizon look again, four times as far, up to the last bar.
+    """
+    trades = trades.withColumns({c: F.lit(v).cast("double") for c, v in MANAGEMENT.items() if c not in trades.columns})
+    trades, subs = trades.persist(), subs.persist()  # read several times below
+    d = F.col("direction")
+    span = bars.select("pair", F.col("bar_idx").alias("_b"), (F.col("high") - F.col("low")).alias("_range"), F.col("close").alias("_bar_close"), F.col("spread").alias("_bar_spread"))
+    timed = _bar_exits(trades, span).persist()
+    filled = fill_entries(trades, subs, pip, slippage).persist()
+    hits = _all_hits(filled, subs, pip, timed, horizon)
+    out = filled.join(hits, "trade_id", "left").join(timed, "trade_id", "left")
     touch = F.when(F.col("x_tp").isNull() | (F.col("x_sl.sub_seq") <= F.col("x_tp.sub_seq")), F.col("x_sl")).otherwise(F.col("x_tp"))
     out = out.withColumn("_x", touch)
     by_bar = F.col("bar_exit").isNotNull() & (F.col("_x").isNull() | (F.col("_x.b") >= F.col("bar_exit")))

@@ -105,3 +105,26 @@ def test_full_simulation_matches_a_state_machine(spark):
         assert (r["reason"], r["exit_bar"], r["partial"]) == (reason, at, partial), (t, r, reason, at, partial)
         assert abs(r["pnl"] - pnl) < 1e-6, (t, r, pnl)
     assert reasons == {"sl", "tp", "trailing", "breakeven", "max_bars", "stale", "none"}
+
+
+def test_full_simulation_goes_on_after_the_horizon(spark):
+    """A calm series: one target after bar 64, one stop after 256 bars, one stale exit behind a stop, one trade without an end."""
+    bars, subs = [], []
+    for b in range(400):
+        top, low = 100.1 + 2 * (b == 150), 99.9 - 2 * (b == 300)
+        bars.append(("x", b, 100.0, top, low, 100.0 + b / 10_000, 0.01))
+        subs.append(("x", b, b, top, low, 100.0 + b / 10_000, 0.01))
+    base = {"pair": "x", "bar_idx": 10, "direction": 1, "entry_price": 100.0, "sl": 90.0, "tp": 110.0, "max_bars": 0.0, "stale_bars": 0.0, "stale_thr": 0.0, "atr": 1.0, "be_trigger": None, "be_offset": 0.0, "trail_activate": None, "trail_pips": None, "partial_trigger": None, "partial_pct": 50.0}
+    trades = [{"trade_id": i, **base, **more} for i, more in enumerate(({"tp": 101.5}, {"sl": 98.5}, {"sl": 98.5, "max_bars": 350.0}, {"max_bars": 100.0}, {"partial_trigger": 100.0}, {"direction": -1, "sl": 101.5, "tp": 97.0}, {"bar_idx": 399}))]
+    kinds = {"trade_id": "long", "pair": "string", "bar_idx": "long", "direction": "int"}
+    schema = ", ".join(f"{k} {kinds.get(k, 'double')}" for k in trades[0])
+    bar_df = spark.createDataFrame(bars, "pair string, bar_idx long, open double, high double, low double, close double, spread double")
+    sub_df = spark.createDataFrame(subs, "pair string, bar_idx long, sub_seq long, high double, low double, close double, spread double")
+    got = {r["trade_id"]: r for r in T.simulate_full(spark.createDataFrame([tuple(t.values()) for t in trades], schema), bar_df, sub_df, PIP, horizon=64).collect()}
+    rows = [dict(zip(("pair", "bar_idx", "open", "high", "low", "close", "spread"), b, strict=True)) for b in bars]
+    low = [dict(zip(("pair", "bar_idx", "sub_seq", "high", "low", "close", "spread"), x, strict=True)) for x in subs]
+    for t in trades:
+        reason, at, pnl, partial = literal(t, rows, low)
+        r = got[t["trade_id"]]
+        assert (r["reason"], r["exit_bar"], r["partial"]) == (reason, at, partial) and abs(r["pnl"] - pnl) < 1e-6, (t, r, reason, at)
+    assert [got[i]["exit_bar"] for i in range(7)] == [150, 300, 300, 110, 399, 150, 399]
