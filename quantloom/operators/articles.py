@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,11 +13,93 @@ from pyspark.sql import functions as F
 LABELS = ("SIGNAL", "EXIT", "RISK", "VALIDATION", "SKIP")
 
 
-def links(pages: DataFrame, pattern: str = r'<a[^>]*href="([^"]*)"[^>]*>([^<]*)') -> DataFrame:
-    """page_id, position, href, title of every link of a page."""
-    hrefs, titles = (F.regexp_extract_all("html", F.lit(pattern), F.lit(i)) for i in (1, 2))
-    rows = pages.select("page_id", F.posexplode(F.arrays_zip(hrefs.alias("href"), titles.alias("title"))).alias("position", "x"))
-    return rows.select("page_id", "position", "x.href", F.substring(F.trim(F.col("x.title")), 1, 500).alias("title"))
+ARTICLE = re.compile(r"^/en/articles/(\d+)$")
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class _Node:
+    def __init__(self, tag: str, attrs: dict):
+        self.tag, self.attrs, self.children = tag, attrs, []
+
+    def inside(self) -> Iterator[_Node | str]:
+        """Nodes and strings within this one, in order; the strings of scripts and the like only where it is one itself."""
+        left = self.children[::-1]
+        while left:
+            x = left.pop()
+            yield x
+            if isinstance(x, _Node):
+                left += [y for y in reversed(x.children) if x.tag not in ("script", "style", "template") or isinstance(y, _Node)]
+
+    def first(self, tag: str, fits=lambda _: True) -> _Node | None:
+        return next((x for x in self.inside() if isinstance(x, _Node) and x.tag == tag and fits(x)), None)
+
+    def text(self) -> str:
+        return "".join(x.strip() for x in self.inside() if isinstance(x, str))
+
+
+def _tree(html: str) -> _Node:
+    """The elements of a page; an end tag closes what is open within its element, one without a start is left out."""
+    from html.parser import HTMLParser
+
+    class Builder(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open = [_Node("", {})]
+
+        def handle_starttag(self, tag, attrs):
+            node = _Node(tag, dict(attrs))
+            self.open[-1].children.append(node)
+            if tag not in VOID:
+                self.open.append(node)
+
+        def handle_endtag(self, tag):
+            at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), None)
+            if at:
+                del self.open[at:]
+
+        def handle_data(self, data):
+            self.open[-1].children.append(data)
+
+    b = Builder()
+    b.feed(html)
+    b.close()
+    return b.open[0]
+
+
+def listing(html: str | None) -> list[tuple[str, str, str, str]]:
+    """id, href, title and description of the articles of a listing page: sections whose header links to /en/articles/<id>.
+
+    A title of less than five characters gives way to the alt text of the link's image;
+    without one the section is left out.  The description is the section's text outside
+    the header, parts of more than 20 characters, up to 500 characters.
+    """
+    out = []
+    for section in (x for x in _tree(html or "").inside() if isinstance(x, _Node) and x.tag == "section"):
+        header = section.first("header")
+        link = header and header.first("a", lambda x: ARTICLE.search(x.attrs.get("href") or ""))
+        if not link:
+            continue
+        title = link.text()
+        if len(title) < 5:
+            img = link.first("img")
+            title = (img and img.attrs.get("alt")) or ""
+            if not title:
+                continue
+        parts = (x.strip() if isinstance(x, str) else x.text() for x in section.children if x is not header)
+        href = link.attrs["href"]
+        out.append((ARTICLE.match(href).group(1), href, title, " ".join(p for p in parts if len(p) > 20)[:500]))
+    return out
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """page_id, position, article_id, href, title, description of every article that a listing page links to."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["page_id", "position", "article_id", "href", "title", "description"]
+        for b in batches:
+            yield pd.DataFrame([(p, i, *x) for p, h in zip(b["page_id"], b["html"], strict=True) for i, x in enumerate(listing(h))], columns=names)
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, position int, article_id string, href string, title string, description string")
 
 
 def first_of(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:

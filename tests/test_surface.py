@@ -102,6 +102,23 @@ def test_markdown():
     assert articles.to_markdown(None) == ""
 
 
+def test_listing(spark):
+    long = "A description of more than twenty characters. " * 20
+    title = "T" * 600
+    html = f"""<a href='/en/articles/1'>Outside a section</a>
+    <section><header><h3><a href='/en/articles/12'>Title <b>in parts</b></a></h3></header><div>{long}</div><p>short</p></section>
+    <section><header><a href='/en/articles/13'><img src='x' alt='From the image'></a></header><p>A first part of the text here</p><p>and a second one to follow it</p></section>
+    <section><header><a href='/en/articles/14'>Tiny</a></header></section>
+    <section><header><a href='/en/users/15'>Someone else</a><a href='/en/articles/16'>{title}</a></header></section>
+    <section><a href='/en/articles/17'>Without a header</a></section>"""
+    got = [tuple(r) for r in articles.links(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")).collect()]
+    assert got == [
+        (1, 0, "12", "/en/articles/12", "Titlein parts", long[:500]),
+        (1, 1, "13", "/en/articles/13", "From the image", "A first part of the text here and a second one to follow it"),
+        (1, 2, "16", "/en/articles/16", title, ""),
+    ]
+
+
 def position(**more):
     return live.Position(ticket=1, direction=1, entry=100.0, sl=99.0, tp=103.0, **more)
 
