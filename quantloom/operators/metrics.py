@@ -18,11 +18,22 @@ def equity(pnl: DataFrame, keys: Sequence[str], order: Sequence[str], col: str =
     return out.withColumn("peak", F.greatest(F.lit(0.0), F.max("eq").over(run))).withColumn("dd", F.col("peak") - F.col("eq"))
 
 
-def metrics(pnl: DataFrame, keys: Sequence[str], order: Sequence[str], annual: Column | float = 252.0, col: str = "pnl", sl_pips: str | None = None) -> DataFrame:
+def metrics(
+    pnl: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    annual: Column | float = 252.0,
+    col: str = "pnl",
+    sl_pips: str | None = None,
+    n_bars: str | None = None,
+    bars_per_year: float = 6048.0,
+) -> DataFrame:
     """The ten metrics per key; ``annual`` is the number of trades a year (a number, or an expression over ``n``).
 
-    Order matters for drawdown, R squared and Ulcer index.  One shuffle by key serves
-    the window and the aggregation.
+    With ``n_bars``, a column that holds the length of the key's series, it is n * bars_per_year / n_bars.
+    Drawdown is held against the largest equity ever reached, in absolute terms.  Order
+    matters for drawdown, R squared and Ulcer index.  One shuffle by key serves the window and the
+    aggregation.
     """
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = equity(pnl, keys, order, col).withColumn("base", F.greatest(F.abs("eq"), "peak"))
@@ -39,14 +50,16 @@ def metrics(pnl: DataFrame, keys: Sequence[str], order: Sequence[str], annual: C
         F.sum(F.when(x < 0, x * x)).alias("down2"),
         F.sum(F.when(x < 0, 1.0).otherwise(0.0)).alias("downs"),
         F.max("dd").alias("dd"),
-        F.max_by("eq", "seq").alias("last_eq"),
-        F.max("peak").alias("top"),
+        F.max("base").alias("base"),
         F.regr_r2(F.col("eq"), F.col("seq").cast("double")).alias("r2"),
         F.sum(F.pow(100 * F.col("dd") / F.when(F.col("run_base") > 0, F.col("run_base")).otherwise(1.0), F.lit(2.0))).alias("pct2"),
         (F.lit(30.0) if sl_pips is None else F.coalesce(F.avg(sl_pips), F.lit(30.0))).alias("sl"),
+        (F.lit(None).cast("double") if n_bars is None else F.max(n_bars)).alias("n_bars"),
     )
+    if n_bars is not None:
+        annual = F.col("n") * bars_per_year / F.col("n_bars")
     root = F.sqrt(annual if isinstance(annual, Column) else F.lit(float(annual)))
-    base = F.greatest(F.abs("last_eq"), F.col("top"))
+    base = F.col("base")
     out = aggs.select(
         *keys,
         F.col("n").alias("trades"),

@@ -68,3 +68,43 @@ def rows(period: int) -> str:
 def smooth(x: str, seed: str, at: int, a: str, weight: str) -> str:
     """x[i] = a x[i-1] + weight * x, from the seed on, in closed form."""
     return f"pow({a}, bar_idx - {at}) * sum(CASE WHEN bar_idx = {at} THEN {seed} WHEN bar_idx > {at} THEN {weight} * {x} * pow({a}, {at} - bar_idx) ELSE 0 END) OVER ({BY})"
+
+
+def metric_sql(source: str, keys: str, order: str, annual: str = "252", sl: str = "30.0::DOUBLE") -> str:
+    """CTEs that end in ``mq``: the ten metrics of ``source`` (pnl) per key."""
+    w = f"PARTITION BY {keys} ORDER BY {order}"
+    return f"""
+  m_eq AS (
+    SELECT *, sum(pnl) OVER ({w}) AS m_eq, row_number() OVER ({w}) AS m_x FROM {source}
+  ), m_pk AS (
+    SELECT *, greatest(0.0, max(m_eq) OVER ({w})) AS m_peak FROM m_eq
+  ), m_run AS (
+    SELECT *, m_peak - m_eq AS m_dd,
+           greatest(max(abs(m_eq)) OVER ({w}), m_peak) AS m_base FROM m_pk
+  ), m_agg AS (
+    SELECT {keys}, count(*) AS n, count(*) FILTER (pnl > 0) AS wins,
+           coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gain, coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS loss,
+           sum(pnl) AS total, avg(pnl) AS mean, stddev_samp(pnl) AS sd,
+           sqrt(avg(pnl * pnl) FILTER (pnl < 0)) AS down,
+           max(m_dd) AS dd, max(m_base) AS base,
+           regr_r2(m_eq, m_x) AS r2,
+           sqrt(avg(CASE WHEN m_base > 0 THEN pow(100 * m_dd / m_base, 2) ELSE 0 END)) AS ulcer,
+           {sl} AS sl, {annual} AS annual
+    FROM m_run GROUP BY {keys}
+  ), m_out AS (
+    SELECT {keys}, n AS trades, wins::DOUBLE / n AS win_rate,
+           CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN 10.0 ELSE 0.0 END AS profit_factor,
+           CASE WHEN n > 1 AND sd > 0 THEN mean / sd * sqrt(annual) ELSE 0 END AS sharpe,
+           CASE WHEN down > 0 THEN mean / down * sqrt(annual) WHEN mean > 0 THEN 10.0 ELSE 0.0 END AS sortino,
+           100 * dd / CASE WHEN base > 0 THEN base ELSE 1 END AS max_dd_pct,
+           total / sl * 100 AS return_pct, greatest(coalesce(r2, 0), 0) AS r_squared, ulcer
+    FROM m_agg
+  ), mq AS (
+    SELECT *, CASE WHEN sortino > 0 THEN
+             ln(1 + sortino) * r_squared * least(profit_factor, 5.0)
+             * (least(trades, 300) / 300.0::DOUBLE * 14.14)
+             * (1 + least(greatest(return_pct, 0.0), 200.0) / 100)
+             / (ulcer + max_dd_pct / 2 + 5)
+           ELSE 0 END AS quality
+    FROM m_out
+  )"""

@@ -16,7 +16,7 @@ from quantloom.operators import signals as S
 from quantloom.operators import simulate as T
 from quantloom.operators import sltp
 from quantloom.plans.registry import register
-from quantloom.plans.tables import BARS, BY, PIP, SUBS, hourly, rows, smooth, sub_bars
+from quantloom.plans.tables import BARS, BY, PIP, SUBS, hourly, metric_sql, rows, smooth, sub_bars
 from quantloom.plans.windows import _ADX, _MACD, _REGIME, _RSI, _TR, _atr, _ema, _hl, _seeds
 
 QUERIES: dict = {}
@@ -257,17 +257,7 @@ def tr12(spark, d):
     return T.excursions(t, hourly(spark, d), PIP).select("pair", "sig_seq", "trial", "bars_held", tidy(F.col("mfe"), 3).alias("mfe"), tidy(F.col("mae"), 3).alias("mae"))
 
 
-def _metric_sql(source: str) -> str:
-    return f"""eq AS (SELECT *, row_number() OVER w AS seq, sum(pnl) OVER w AS eq FROM {source} WINDOW w AS (PARTITION BY pair, trial ORDER BY sig_seq)), pk AS (SELECT *, greatest(0.0, max(eq) OVER (PARTITION BY pair, trial ORDER BY seq)) AS peak FROM eq),
- rb AS (SELECT *, max(greatest(abs(eq), peak)) OVER (PARTITION BY pair, trial ORDER BY seq) AS rb FROM pk),
- ag AS (SELECT pair, trial, count(*) AS n, sum((pnl > 0)::INT)::DOUBLE AS wins, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) AS gain, sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END) AS loss, sum(pnl) AS total, avg(pnl) AS mean, stddev_samp(pnl) AS sd, sum(CASE WHEN pnl < 0 THEN pnl * pnl END) AS down2, sum((pnl < 0)::INT) AS downs,
-  max(peak - eq) AS dd, arg_max(eq, seq) AS le, max(peak) AS top, regr_r2(eq, seq) AS r2, sum(pow(100 * (peak - eq) / CASE WHEN rb > 0 THEN rb ELSE 1 END, 2)) AS pct2, avg(sl_pips) AS sl FROM rb GROUP BY pair, trial),
- mt AS (SELECT pair, trial, n AS trades, wins / n AS win_rate, CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN 10.0 ELSE 0.0 END AS profit_factor, CASE WHEN n > 1 AND sd > 0 THEN mean / sd * sqrt(252) ELSE 0 END AS sharpe, CASE WHEN downs = 0 THEN CASE WHEN mean > 0 THEN 10.0 ELSE 0.0 END ELSE mean / sqrt(down2 / downs) * sqrt(252) END AS sortino,
-  100 * dd / CASE WHEN greatest(abs(le), top) > 0 THEN greatest(abs(le), top) ELSE 1 END AS max_dd_pct, total / sl * 100 AS return_pct, greatest(coalesce(r2, 0), 0) AS r_squared, sqrt(pct2 / n) AS ulcer FROM ag),
- mq AS (SELECT *, CASE WHEN sortino > 0 THEN ln(1 + sortino) * r_squared * least(profit_factor, 5.0) * (least(trades, 300) / 300.0::DOUBLE * 14.14) * (1 + least(greatest(return_pct, 0.0), 200.0) / 100) / (ulcer + max_dd_pct / 2 + 5) ELSE 0 END AS quality FROM mt)"""
-
-
-@query("flagship_sma_metrics", f"WITH {BASIC}, {_metric_sql('trades')} SELECT pair, trial, trades, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in M.METRICS[1:]) + " FROM mq")
+@query("flagship_sma_metrics", f"WITH {BASIC}, {metric_sql('trades', 'pair, trial', 'sig_seq', sl='avg(sl_pips)')} SELECT pair, trial, trades, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in M.METRICS[1:]) + " FROM mq")
 def flagship(spark, d):
     """Hourly bars, SMA(5)/SMA(20) crossover, fixed stops, ten metrics per pair and trial."""
     m = M.metrics(basic_trades(spark, d), ["pair", "trial"], ["sig_seq"], sl_pips="sl_pips")
@@ -293,10 +283,16 @@ def grid_trades(spark, d):
 _GRID = BASIC.replace("(VALUES (0, 15e0), (1, 40e0)) t(trial, dist)", "(SELECT i::INTEGER AS trial, 5e0 + 25e-1 * (i // 10) AS dist, 1e0 + 25e-2 * (i % 10) AS rr FROM range(200) r(i)) t").replace("SELECT s.*, t.trial, t.dist,", "SELECT s.*, t.trial, t.dist, t.rr,").replace("entry_price + 2 * direction * dist AS tp", "entry_price + rr * direction * dist AS tp")
 
 
-@query("tr13_batch_evaluation", f"WITH {_GRID}, {_metric_sql('trades')} SELECT pair, trial, trades, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in M.METRICS[1:]) + " FROM mq")
+#: Metrics of the batch: trades a year are those of the series' length in hours.
+_BATCH = "sized AS (SELECT t.*, n.n_bars FROM trades t JOIN (SELECT pair, count(*) AS n_bars FROM bars GROUP BY pair) n ON n.pair = t.pair), "
+_BATCH += metric_sql("sized", "pair, trial", "sig_seq", annual="count(*) * 6048.0::DOUBLE / max(n_bars)", sl="avg(sl_pips)")
+
+
+@query("tr13_batch_evaluation", f"WITH {_GRID}, {_BATCH} SELECT pair, trial, trades, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in M.METRICS[1:]) + " FROM mq")
 def tr13(spark, d):
     """Ten metrics of 200 trials in one batch."""
-    m = M.metrics(grid_trades(spark, d), ["pair", "trial"], ["sig_seq"], sl_pips="sl_pips")
+    sized = grid_trades(spark, d).join(hourly(spark, d).groupBy("pair").agg(F.count("*").alias("n_bars")), "pair")
+    m = M.metrics(sized, ["pair", "trial"], ["sig_seq"], sl_pips="sl_pips", n_bars="n_bars")
     return m.select("pair", "trial", "trades", *(tidy(F.col(c), 4).alias(c) for c in M.METRICS[1:]))
 
 

@@ -11,7 +11,7 @@ from quantloom.operators import indicators as I
 from quantloom.operators import metrics as M
 from quantloom.operators import regime as R
 from quantloom.plans.registry import register
-from quantloom.plans.tables import BARS, BY, RESULTS, hourly, results, rows, smooth
+from quantloom.plans.tables import BARS, BY, RESULTS, hourly, metric_sql, results, rows, smooth
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -210,13 +210,7 @@ def w24(spark, d):
     return c.select("key", "step", tidy(F.col("equity"), 2).alias("equity"))
 
 
-METRIC_CTES = f"""{EQUITY}, agg AS (SELECT key, count(*) AS n, sum((pnl > 0)::INT)::DOUBLE AS wins, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) AS gain, sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END) AS loss, sum(pnl) AS total, avg(pnl) AS mean,
-   stddev_samp(pnl) AS sd, sum(CASE WHEN pnl < 0 THEN pnl * pnl END) AS down2, sum((pnl < 0)::INT) AS downs, max(dd) AS dd, arg_max(eq, seq) AS last_eq, max(peak) AS top, regr_r2(eq, seq + 1) AS r2,
-   sum(pow(100 * dd / CASE WHEN run_base > 0 THEN run_base ELSE 1 END, 2)) AS pct2 FROM rb GROUP BY key),
- met AS (SELECT key, n AS trades, wins / n AS win_rate, CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN 10.0 ELSE 0.0 END AS profit_factor, CASE WHEN n > 1 AND sd > 0 THEN mean / sd * sqrt(252) ELSE 0 END AS sharpe,
-   CASE WHEN downs = 0 THEN CASE WHEN mean > 0 THEN 10.0 ELSE 0.0 END ELSE mean / sqrt(down2 / downs) * sqrt(252) END AS sortino, 100 * dd / CASE WHEN greatest(abs(last_eq), top) > 0 THEN greatest(abs(last_eq), top) ELSE 1 END AS max_dd_pct,
-   total / 30 * 100 AS return_pct, greatest(coalesce(r2, 0), 0) AS r_squared, sqrt(pct2 / n) AS ulcer FROM agg),
- mq AS (SELECT *, CASE WHEN sortino > 0 THEN ln(1 + sortino) * r_squared * least(profit_factor, 5.0) * (least(trades, 300) / 300.0::DOUBLE * 14.14) * (1 + least(greatest(return_pct, 0.0), 200.0) / 100) / (ulcer + max_dd_pct / 2 + 5) ELSE 0 END AS quality FROM met)"""
+METRIC_CTES = f"{RESULTS}, {metric_sql('results', 'key', 'seq')}"
 METRIC_COLS = "key, trades, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in M.METRICS[1:])
 
 
@@ -226,9 +220,9 @@ def m10(spark, d):
     return m.select("key", "trades", *(tidy(F.col(c), 5).alias(c) for c in M.METRICS[1:]))
 
 
-@query("w25_rank", f"WITH {METRIC_CTES} SELECT key, row_number() OVER (ORDER BY round(sharpe, 5) DESC, key) - 1 AS rank FROM mq")
+@query("w25_rank", f"WITH {METRIC_CTES} SELECT key, row_number() OVER (ORDER BY round(quality, 5) + 0.0 DESC, key) - 1 AS rank FROM mq")
 def w25(spark, d):
-    m = M.metrics(results(spark, d), ["key"], ["seq"]).select("key", tidy(F.col("sharpe"), 5).alias("quality"))
+    m = M.metrics(results(spark, d), ["key"], ["seq"]).select("key", tidy(F.col("quality"), 5).alias("quality"))
     return M.rank_by_quality(m, "key").select("key", "rank")
 
 

@@ -81,3 +81,16 @@ def test_unknown_names_raise(spark):
         bars.split(spark.range(1), "none")
     with pytest.raises(ValueError):
         bars.resample_all(spark.range(1), ["X9"])
+
+
+@pytest.mark.parametrize("pnl,want", [([-100.0, 90.0], 100.0), ([10.0, -60.0, 55.0, -3.0], 120.0), ([-50.0, 20.0, -80.0, 100.0, 5.0], 100.0)])
+def test_drawdown_is_held_against_the_largest_equity_ever(spark, pnl, want):
+    df = spark.createDataFrame([("k", i, x) for i, x in enumerate(pnl)], "key string, seq int, pnl double")
+    assert abs(metrics.metrics(df, ["key"], ["seq"]).first()["max_dd_pct"] - want) < 1e-9
+
+
+def test_batch_annualisation(spark):
+    df = spark.createDataFrame([("k", i, x, 100) for i, x in enumerate([30.0, -10.0, 20.0, -10.0])], "key string, seq int, pnl double, bars long")
+    plain = metrics.metrics(df, ["key"], ["seq"], annual=1.0).first()
+    batch = metrics.metrics(df, ["key"], ["seq"], n_bars="bars", bars_per_year=2500.0).first()
+    assert abs(batch["sharpe"] - plain["sharpe"] * 10) < 1e-9 and abs(batch["sortino"] - plain["sortino"] * 10) < 1e-9
