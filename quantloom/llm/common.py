@@ -9,6 +9,7 @@ its own).  Hashes are 64-bit and depend on content alone.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 1024
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 20_000
 U64 = np.uint64
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -38,6 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
+OTHER_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))  # for a second hash
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -60,12 +64,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RollingHash:
-    """Hashes of substrings of one byte buffer in O(1) each, from prefix sums."""
+    """Hashes of substrings of one byte buffer in O(1) each, from prefix sums; ``values`` gives each byte its number."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, values: np.ndarray = _BYTE):
         power, self._inverse = _powers(len(buf) + 1)
         self._sums = np.zeros(len(buf) + 1, U64)
-        np.cumsum(_BYTE[buf] * power[: len(buf)], out=self._sums[1:])
+        np.cumsum(values[buf] * power[: len(buf)], out=self._sums[1:])
 
     def spans(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Hash of buf[lo:hi] for arrays of bounds; the length takes part."""
@@ -81,7 +85,7 @@ class RollingHash:
         return mix(raw ^ (U64(k) * U64(0xA0761D6478BD642F)))
 
 
-def text_chunks(col: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(col: pa.Array, max_bytes: int = CHUNK_BYTES, max_rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows; null texts are empty."""
     n = len(col)
     if not n:
@@ -95,7 +99,7 @@ def text_chunks(col: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[i
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + max_bytes, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + max_rows)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 
@@ -160,12 +164,13 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for staged tables: ``spark.checkpoint.dir`` or, where unset, one of our own."""
+    """The folder for staged tables, ``spark.checkpoint.dir``; where it is unset, one of our own, in local mode only."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = os.path.join(tempfile.gettempdir(), f"quantloom-{os.getuid()}")
-        spark.conf.set("spark.quantloom.dir", d)
-    return d.rstrip("/")
+    if d:
+        return d.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), f"quantloom-{os.getuid()}")
 
 
 class Stage:
@@ -191,9 +196,10 @@ class Stage:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of texts small: few rows of possibly very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: few long texts, or many short rows.  All operators share the one setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def grouped_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
