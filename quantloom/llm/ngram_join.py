@@ -4,7 +4,7 @@ Set-relation skipping, distributed:
 
 * Equal sets form one class; the join runs over classes.
 * Shingles are put in one global order, rare before frequent.  The frequencies come
-  from a fixed-size table of hashed counters, so what is broadcast never grows; any
+  from a table of hashed counters, one for 32 shingles, 16 million at most; any
   order gives right results, this one keeps frequent shingles out of the prefixes.
 * Two similar sets share at least l shingles among their first
   ``n - ceil(0.8 n) + l``; those prefixes go to an index of lists, sorted by set
@@ -38,9 +38,9 @@ from quantloom.llm.graph import components
 WORDS, PERCENT = 5, 80
 TURNS = 1
 SHORT = 64  # lists up to this length are paired all at once
-COUNTERS = 1 << 21
+COUNTERS = (1 << 21, 1 << 24)  # least and greatest number of hashed counters, a byte each
 PARITY = 1024  # bits of a set's parity map
-FILTER = 8_388_593  # places of the fixed-size filter of wanted documents; a prime
+FILTER = (1 << 23, 1 << 28)  # least and greatest number of bits of the filter of wanted documents
 
 
 def needed(n, percent: int):
@@ -68,15 +68,22 @@ def _signatures(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarra
     return size, mix(acc + size.astype(U64) * U64(0x13198A2E03707345))
 
 
-def _count(width: int):
+def _size(wanted: int, bounds: tuple[int, int]) -> int:
+    """A power of two of at least ``wanted`` within bounds."""
+    return min(bounds[1], max(bounds[0], 1 << max(0, int(wanted) - 1).bit_length()))
+
+
+def _count(width: int, counters: int):
+    """Hashed counts of one task, without those too small to tell shingles apart."""
+
     def run(batches):
-        table = np.zeros(COUNTERS, np.int32)
+        table = np.zeros(counters, np.int32)
         total = 0
         for b in batches:
             for _, _, _, h in _sets(b, 1, width):
-                table += np.bincount((h & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+                np.add.at(table, (h & U64(counters - 1)).astype(np.int64), 1)
                 total += len(h)
-        at = np.flatnonzero(table >= max(8, 4 * total // COUNTERS))
+        at = np.flatnonzero(table >= max(8, 4 * total // counters))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].astype(np.int64))], names=["at", "n"])
 
     return run
@@ -98,6 +105,7 @@ def _describe(width: int):
 def _prefixes(width: int, percent: int, weights):
     def run(batches):
         weight = weights.value
+        last = U64(len(weight) - 1)
         done: set[int] = set()
         for b in batches:
             for i, j, rows, h in _sets(b, 1, width):
@@ -113,7 +121,7 @@ def _prefixes(width: int, percent: int, weights):
                 rows, h = rows[keep], h[keep]
                 if not len(rows):
                     continue
-                order = np.lexsort((h, weight[(h & U64(COUNTERS - 1)).astype(np.int64)], rows))
+                order = np.lexsort((h, weight[(h & last).astype(np.int64)], rows))
                 rows, h = rows[order], h[order]
                 start, end = grouped_runs(rows)
                 pos = np.arange(len(rows)) - np.repeat(start, end - start)
@@ -266,10 +274,33 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _wanted(bits):
+def _place(doc: np.ndarray, size: int) -> np.ndarray:
+    return (mix(doc.view(U64)) & U64(size - 1)).astype(np.int64)
+
+
+def _wanted(bits, size: int, width: int):
+    """Signature and text of the documents that the filter passes; other documents may pass too."""
+
     def run(batches):
+        table = bits.value
         for b in batches:
-            yield b.filter(pa.array(bits.value[np.mod(b.column(0).to_numpy(zero_copy_only=False), FILTER)]))
+            at = _place(b.column(0).to_numpy(), size)
+            b = b.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for i, j, rows, h in _sets(b, 1, width):
+                _, s = _signatures(rows, h, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s)), b.column(1).slice(i, j - i)], names=["s", "text"])
+
+    return run
+
+
+def _filter_bits(size: int):
+    def run(batches):
+        table = np.zeros(size // 8, np.uint8)
+        for b in batches:
+            at = _place(b.column(0).to_numpy(), size)
+            np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].astype(np.int16))], names=["at", "bits"])
 
     return run
 
@@ -279,8 +310,9 @@ class NgramJoin:
 
     Defined results: null, empty and blank texts have no shingles and link with
     nothing; a text of fewer words than the width has one shingle, all of its words;
-    rows may repeat an id, all then get the component of the smallest id they reach;
-    an empty table gives an empty result; other columns are not read.
+    rows that repeat an id are one document, which links with whatever one of its texts
+    links with; rows without an id are left out; an empty table gives an empty result; other
+    columns are not read.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT):
@@ -289,11 +321,14 @@ class NgramJoin:
         self.width, self.percent = width, percent
         self.stage = Stage(self.spark, "ngram_join")
 
-    def _weights(self):
+    def _weights(self, shingles: int):
+        """Broadcast order of the shingles: a byte each for the hashed counts, eight steps to a doubling."""
         arrow_batches(self.spark)
-        counted = self.texts.mapInArrow(_count(self.width), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-        table = np.zeros(COUNTERS, np.int32)
-        table[counted["at"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), 2**31 - 1)
+        size = _size(shingles // 32, COUNTERS)
+        counted = self.texts.mapInArrow(_count(self.width, size), "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        counted = counted.select("at", F.least(F.floor(8 * F.log2("n")), F.lit(255)).cast("int").alias("n")).toPandas()
+        table = np.zeros(size, np.uint8)
+        table[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.uint8)
         return self.spark.sparkContext.broadcast(table)
 
     def _verified(self, pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
@@ -301,16 +336,15 @@ class NgramJoin:
         pairs = self.stage.write(pairs, f"{name}-pairs")
         want = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
         want = self.stage.write(want.join(classes.select("s", "rep"), "s").select("s", F.col("rep").alias("doc")), f"{name}-want")
-        bits = np.zeros(FILTER, bool)  # at most FILTER places come here, whatever the input
-        bits[want.select(F.pmod("doc", F.lit(FILTER)).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = True
-        arrow_batches(self.spark)
-        near = self.texts.mapInArrow(_wanted(self.spark.sparkContext.broadcast(bits)), "doc long, text string")
-        texts = self.stage.write(want.join(near, "doc").dropDuplicates(["s"]).select("s", "text"), f"{name}-texts")
-        arrow_batches(self.spark, 128)
+        size = _size(16 * want.count(), FILTER)
+        bits = np.zeros(size // 8, np.uint8)  # at most 32 MB, whatever the input
+        found = want.select("doc").mapInArrow(_filter_bits(size), "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+        bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+        near = self.texts.mapInArrow(_wanted(self.spark.sparkContext.broadcast(bits), size, self.width), "s long, text string")
+        texts = self.stage.write(want.select("s").join(near, "s").dropDuplicates(["s"]), f"{name}-texts")  # any text of a set will do
         a, b = (texts.select(F.col("s").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         links = self.stage.write(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(self.width, self.percent), "a long, b long"), f"{name}-links")
         self.stage.drop(f"{name}-pairs", f"{name}-want", f"{name}-texts")
-        arrow_batches(self.spark)
         return links
 
     def run(self) -> DataFrame:
@@ -319,9 +353,11 @@ class NgramJoin:
         arrow_batches(self.spark)
         sets = stage.write(self.texts.mapInArrow(_describe(self.width), "doc long, n long, s long, bits binary"), "sets")
         classes = stage.write(sets.where("n > 0").groupBy("s").agg(F.min("doc").alias("rep"), F.count("*").alias("n_class"), F.max("bits").alias("bits")), "classes")
-        weights = self._weights()
+        weights = self._weights(sets.agg(F.sum("n")).first()[0] or 0)
+        of_doc = sets.where("n > 0").groupBy("doc").agg(F.min("s").alias("a"), F.max("s").alias("z"), F.collect_set("s").alias("b")).where("a <> z")
+        shared = of_doc.select("a", F.explode("b").alias("b")).where("a <> b")  # the sets of one document are linked
         found = self.texts.mapInArrow(_prefixes(self.width, percent, weights), "h long, s long, n int, pos int").repartition("h").sortWithinPartitions("h", "n", "s")
-        arrow_batches(self.spark, 50_000)
+        arrow_batches(self.spark)
         lists = stage.write(found.mapInArrow(_lists, "h long, s long, n int, pos int, m long"), "lists")
         row = "h long, s long, n int, pos int, w long, c long"
         smallest = F.ceil(F.col("n") * percent / 100)  # of the sets similar to one of n shingles
@@ -333,7 +369,7 @@ class NgramJoin:
             return stage.write(rows.drop("w").join(enough, "s").select("h", "s", "n", "pos", "w"), name)
 
         def by_list(rows: DataFrame) -> DataFrame:
-            arrow_batches(self.spark, 50_000)
+            arrow_batches(self.spark)
             return rows.repartition("h").sortWithinPartitions("h", "n", "s")
 
         def placed(rows: DataFrame) -> DataFrame:
@@ -365,10 +401,10 @@ class NgramJoin:
         rank = F.row_number().over(own.orderBy("w", "h"))
         rows = rows.withColumns({"k": F.count("*").over(own), "r": rank}).where(F.col("r") <= F.col("k") - fewest + F.ceil(fewest / 4)).drop("k", "r")
         seen = by_list(rows.join(classes.select("s", "bits"), "s"))
-        arrow_batches(self.spark, 5_000)
+        arrow_batches(self.spark)
         pairs = seen.mapInArrow(_across(percent), pair).groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.least(F.min("na"), F.min("nb")).alias("n"))
         pairs = pairs.where(F.col("hits") >= F.ceil(fewest / 4)).select("a", "b")
-        links = links.union(self._verified(pairs, classes, "far"))
+        links = links.union(self._verified(pairs, classes, "far")).union(shared)
         root = components(links, stage, "all")
         of_class = classes.drop("bits").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s"))
         smallest = of_class.groupBy("c").agg(F.min("rep").alias("component_id"))
@@ -382,6 +418,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose component holds a smaller id; columns stay."""
+    """``docs`` without the documents whose component holds a smaller id; rows without an id and all columns stay."""
     gone = near_duplicates(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_ql_gone"))
     return docs.join(gone, docs[id_col].cast("long") == F.col("_ql_gone"), "left_anti")

@@ -76,12 +76,93 @@ def test_suffix_dedup(docs, corpus, empty):
     assert suffix_dedup.digest(empty).count() == 0
 
 
+def spans_by_brute_force(rows, n=100):
+    """Removed bytes of each distinct (id, text), null ids last, texts of one id as separate documents in the order of Spark's hash."""
+    seen, out = set(), {}
+    for i, t in rows:
+        if (i, t) in out:
+            continue
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - n + 1):
+            w = raw[p : p + n]
+            if w in seen:
+                gone[p : p + n] = True
+            seen.add(w)
+        out[i, t] = (len(raw), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest())
+    return out
+
+
 def test_suffix_dedup_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "a" * 150), (1, "a" * 150), (2, "q" + "a" * 100)], "doc_id long, text string")
     got = sorted(tuple(r)[:4] for r in suffix_dedup.digest(rows).collect())
     assert got == [(1, 150, 149, 1), (1, 150, 149, 1), (2, 101, 100, 1)]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_suffix_dedup_of_null_ids_shared_ids_and_hot_strings(spark, parts, monkeypatch):
+    """Null ids, one id with several texts, ids beyond 2**53, a string in hundreds of contexts, over one sorted run and over several."""
+    rng = random.Random(21)
+    hot = "".join(rng.choice("abcdef ") for _ in range(120))
+    rows = [(i, f"{words(rng, 15)} {hot} {words(rng, 15)}") for i in range(400)]
+    rows += [(2**53 + i, rows[i][1][20:]) for i in range(3)]
+    shared = words(rng, 60)
+    rows += [(1000, shared), (1000, words(rng, 60)), (1000, words(rng, 10) + shared[:200]), (None, shared), (None, shared), (None, "z" * 300), (None, None), (1001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    order = [(r["doc_id"], r["text"]) for r in df.orderBy(F.asc_nulls_last("doc_id"), F.hash(F.coalesce("text", F.lit("")))).collect()]
+    want = spans_by_brute_force(order)
+    monkeypatch.setattr(suffix_dedup, "FLUSH_ROWS", 300)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = suffix_dedup.digest(df).collect()
+        kept = [(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in suffix_dedup.remove_repeats(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(map(repr, ((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got))) == sorted(map(repr, ((i, *want[i, t]) for i, t in rows)))
+    assert sorted(map(repr, kept)) == sorted(map(repr, ((i, want[i, t][2]) for i, t in rows)))
+
+
+def test_edges_of_sorted_runs():
+    """Splitting a sorted list anywhere gives what one task gives."""
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(6), rng.randrange(3), rng.randrange(4), 0, rng.randrange(3), 1) for _ in range(60))
+
+    def ranked(parts):
+        found, edges = set(), []
+        for no, part in enumerate(parts):
+            cols = [np.array(x, np.int64) for x in zip(*part, strict=True)]
+            batch = suffix_dedup._batch(suffix_dedup._ROW, np.zeros(len(part), np.int64), *cols)
+            cut = rng.randrange(len(part)) if len(part) > 1 else 0
+            suffix_dedup.TaskContext = type("T", (), {"get": staticmethod(lambda no=no: type("C", (), {"partitionId": lambda self: no})())})
+            for b in suffix_dedup._rank(100, True)(iter([batch.slice(0, cut), batch.slice(cut)])):
+                for r in b.to_pylist():
+                    if r["kind"] > 2:
+                        edges.append(r)
+                    elif r["kind"] == 1:
+                        found |= {(1, r["doc"], x) for x in range(r["lo"], r["span"])}
+                    else:
+                        found.add((2, r["doc"], r["lo"], r["k"], r["sw"]))
+        return found, edges
+
+    from pyspark import TaskContext
+
+    try:
+        for _ in range(200):
+            whole, edges = ranked([rows])
+            cuts = sorted({0, len(rows), *(rng.randrange(1, len(rows)) for _ in range(rng.randrange(8)))})
+            found, edges = ranked([rows[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+            for x in suffix_dedup._across(edges, 100, True):
+                found |= {(1, x[1], p) for p in range(x[3], x[4])} if x[0] == 1 else {(2, x[1], x[3])}
+            short = lambda f: {x[:3] for x in f}
+            assert short(whole) <= short(found)
+            assert {x for x in short(found) if x[0] == 1} == {x for x in short(whole) if x[0] == 1}
+    finally:
+        suffix_dedup.TaskContext = TaskContext
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -131,6 +212,19 @@ def test_ngram_join_on_a_family_of_edits(spark):
     assert got == brute_components(rows)
 
 
+def test_ngram_join_of_an_id_with_two_texts_and_of_null_ids(spark):
+    """Whatever one text of a document links with belongs to the document; rows without an id are left out."""
+    rng = random.Random(31)
+    a, c, d = (words(rng, 40) for _ in range(3))
+    near = a.rsplit(" ", 2)[0]
+    rows = [(1, c), (1, a), (5, near), (7, d), (7, c), (9, d), (9, None), (None, a), (12, a + " " + words(rng, 150))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(3):
+        got = ngram_join.near_duplicates(df.repartition(3)).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got if r["n_shingles"]} == {(1, 1), (5, 1), (7, 1), (9, 1), (12, 12)}
+        assert len(got) == len(rows) - 1
+
+
 def test_url_filter_equals_sql(spark):
     con = duckdb.connect()
     urls = ["http://Example.ORG/es/x?y#z", "https://a.b.example.org/en/12", "http://example.org", "http://org", "org/x", None, "", "://", "http://x.com/fr/a", "http://x.com/de/b", "http://com/fr/", "http://notexample.org/es/", "http://example.org:80/es/", "http://é.com/fr/é?", "http://x.com/fr", "a://b://c.org/"]
