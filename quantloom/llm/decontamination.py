@@ -7,8 +7,11 @@ every occurrence is found at an exact hit of a piece (one automaton over all
 pieces scans each text once).  Around a hit, Myers' bit-parallel algorithm gives
 the edit distance of the whole item to the best substring.
 
+An item of fewer than ``WHOLE_CHARS`` (20) has no budget: it must occur exactly, and as whole words.
+
 The items travel to the tasks in blocks of about ``BLOCK_CHARS`` (dealt by a hash), one scan of the
-documents per block, so a large benchmark takes more scans rather than more memory.
+documents per block, written before the next one begins, so a large benchmark takes more scans rather
+than more memory.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import arrow_batches
+from quantloom.llm.common import Stage, arrow_batches
 
 RATE = 0.05
-MIN_CHARS = 20
+WHOLE_CHARS = 20
 BLOCK_CHARS = 4_000_000
 
 
@@ -70,11 +73,11 @@ class Matcher:
     """The automaton over the pieces of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = {i: (text, int(rate * len(text))) for i, text in items}
+        self.items = [(i, text, int(rate * len(text))) for i, text in items]
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i, text in items:
+        for n, (_, text) in enumerate(items):
             for offset, piece in pieces(text, rate)[1]:
-                at[piece].append((i, offset))
+                at[piece].append((n, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, where in at.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -82,19 +85,30 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(at)
 
+    @staticmethod
+    def whole_words(text: str, lo: int, hi: int) -> bool:
+        """Whether text[lo:hi] neither begins nor ends inside a word."""
+        return not (lo and text[lo].isalnum() and text[lo - 1].isalnum() or hi < len(text) and text[hi - 1].isalnum() and text[hi].isalnum())
+
     def find(self, text: str) -> list[tuple[int, int]]:
         """(item, least distance) of every item that occurs within its budget."""
         if not self.any:
             return []
         starts: dict[int, set[int]] = defaultdict(set)
+        exact: set[int] = set()
         for end, (size, where) in self.automaton.iter(text):
-            for item, offset in where:
-                starts[item].add(end - size + 1 - offset)
-        out = []
-        for item, found in starts.items():
-            pattern, budget = self.items[item]
+            for n, offset in where:
+                if n in exact:
+                    continue
+                if self.items[n][2]:
+                    starts[n].add(end - size + 1 - offset)
+                elif size >= WHOLE_CHARS or self.whole_words(text, end - size + 1, end + 1):
+                    exact.add(n)
+        out = {self.items[n][0]: 0 for n in exact}
+        for n, found in starts.items():
+            item, pattern, budget = self.items[n]
             if pattern in text:
-                out.append((item, 0))
+                out[item] = 0
                 continue
             best = None
             spans: list[list[int]] = []
@@ -109,32 +123,26 @@ class Matcher:
                 if d is not None and (best is None or d < best):
                     best = d
             if best is not None:
-                out.append((item, best))
-        return sorted(out)
+                out[item] = min(best, out.get(item, best))
+        return sorted(out.items())
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, min_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items of one length at least, in blocks of bounded size."""
-    few = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").groupBy("item", "text").count()
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """Normalised items in blocks of bounded size, one on the driver at a time; an item of several texts has each of them."""
+    few = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
     chars = few.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // BLOCK_CHARS))
-    few = few.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    block: list[tuple[int, str]] = []
-    at = None
-    for r in few.orderBy("block", "item", "text").toLocalIterator():
-        if at is not None and r["block"] != at and block:
-            yield block
-            block = []
-        at = r["block"]
-        if len(text := normal(r["text"])) >= min_chars:
-            block.append((r["item"], text))
-    if block:
-        yield block
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with _ql_items, _ql_distances: the items each text contains within their budgets, in one scan per block."""
+    count = max(1, -(-int(chars) // BLOCK_CHARS))
+    few = few.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count)))
+    for i in range(count):
+        items = [(r["item"], normal(r["text"])) for r in few.where(F.col("block") == i).collect()]
+        if items := sorted(x for x in items if x[1]):
+            yield items
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
+    """``docs`` with _ql_items, _ql_distances: the items each text contains within their budgets."""
     spark = docs.sparkSession
+    stage = Stage(spark, "decontamination")
     arrow_batches(spark)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     array = pa.list_(pa.int64())
@@ -153,11 +161,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         return run
 
-    out, first = docs, True
-    for block in _blocks(benchmark, item_col, item_text_col, min_chars):
-        out = out.mapInArrow(scan(spark.sparkContext.broadcast(block), first), f"{schema}, _ql_items array<long>, _ql_distances array<long>")
-        first = False
-    if first:
+    out, done = docs, 0
+    for block in _blocks(benchmark, item_col, item_text_col):
+        if done:  # a plan holds one scan, and tasks one automaton
+            out = stage.write(out, f"scan{done}")
+            stage.drop(f"scan{done - 1}")
+        out = out.mapInArrow(scan(spark.sparkContext.broadcast(block), not done), f"{schema}, _ql_items array<long>, _ql_distances array<long>")
+        done += 1
+    if not done:
         none = F.array().cast("array<long>")
         out = docs.withColumns({"_ql_items": none, "_ql_distances": none})
     return out
@@ -166,15 +177,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids, min_distance for every row of ``docs``.
 
-    Null and empty texts contain nothing.  Items that are null or, normalised, shorter
-    than MIN_CHARS don't take part; items of one id and several texts match by any of
-    them.  Empty tables give an empty result, or one without matches.
+    Null and empty texts contain nothing.  Items that are null or blank don't take part; items of
+    one id and several texts match by any of them.  Empty tables give an empty result, or one without matches.
     """
     few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = matches(few, benchmark, "doc_id", "text", rate=rate)
+    found = matches(few, benchmark, rate=rate)
     return found.select("doc_id", (F.size("_ql_items") > 0).alias("contaminated"), F.size(F.array_distinct("_ql_items")).alias("n_items"), F.array_sort(F.array_distinct("_ql_items")).alias("item_ids"), F.array_min("_ql_distances").alias("min_distance"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that contain a test item; columns stay."""
-    return matches(docs, benchmark, id_col, text_col).where(F.size("_ql_items") == 0).drop("_ql_items", "_ql_distances")
+    return matches(docs, benchmark, text_col).where(F.size("_ql_items") == 0).drop("_ql_items", "_ql_distances")

@@ -345,7 +345,7 @@ def test_decontamination_finds_every_edited_passage(spark, empty):
             p[rng.randrange(len(p))] = rng.choice(["", "#", "ab"])
         rows.append((i, f"{words(rng, 20)} {''.join(p).upper() if i % 2 else ''.join(p)}\n {words(rng, 20)}"))
     rows += [(100, None), (101, "")]
-    norm = [(i, decontamination.normal(t)) for i, t in items if t and len(t) >= 20]
+    norm = [(i, decontamination.normal(t)) for i, t in items if t]
     for i, t in rows:
         found = [j for j, p in norm if edit_distance(p, decontamination.normal(t)) <= int(0.05 * len(p))]
         want[i] = found
@@ -359,6 +359,19 @@ def test_decontamination_finds_every_edited_passage(spark, empty):
     assert decontamination.drop_contaminated(df, bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("block", [4_000_000, 60])
+def test_decontamination_by_short_items_and_items_of_several_texts(spark, monkeypatch, block):
+    """Short items occur exactly and as whole words; the result doesn't depend on the number of scans."""
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", block)
+    items = [(1, "What is 2+2?"), (2, "cat"), (3, "the first text of this item is here"), (3, "another text of the very same item"), (None, "null id"), (4, " "), (4, None)]
+    texts = ["What is 2+2?", "so,  what is\n2+2?ok", "concatenate cats", "a cat.", "cat", "xcat", "the first text of this item is here", "and another text of the very same item!", "another text of the vary same item", None, "", "null id", "x" * 300_000 + " cat " + "y" * 10]
+    want = [[1], [1], [], [2], [2], [], [3], [3], [3], [], [], [], [2]]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "a cat")], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.report(df, bench).collect()}
+    assert got == dict(enumerate(want)) | {None: [2]}
+
+
 def test_decoder_restores_disguises():
     counts = np.ones((28, 28, 28))
     for w in ("idiot", "stupid", "the", "of") * 50:
