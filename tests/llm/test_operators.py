@@ -510,6 +510,59 @@ def test_shard_store(docs, tmp_path, spark, empty):
     assert digest == {(r["doc_id"], len((r["text"] or "").encode()), None if r["text"] is None else hashlib.md5(r["text"].encode()).hexdigest()) for r in docs.collect()}
 
 
+def test_shard_store_with_rivals(spark, docs, tmp_path):
+    """Of writers that commit the same version at once exactly one does; appends and merges of rivals all arrive."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "rivals")
+    stores = [sharding.ShardStore(spark, root, fanout=3) for _ in range(4)]
+    few = docs.limit(5).coalesce(1)
+    stores[0].append(few)
+    schema = few.schema.json()
+
+    def commit(store):
+        try:
+            return store._commit(1, [], schema)
+        except sharding.Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(commit, stores * 5), key=str) == [2] + [None] * 19
+        list(pool.map(lambda s: (s.append(few), s.append(few), s.compact()), stores))
+    assert stores[0].read().count() == 40 and not [n for n, _ in stores[0]._list("manifest") if n.startswith(".")]
+    assert stores[0].compact() and max(s.level for s in stores[0].manifest()[0]) >= 1 and stores[0].read().count() == 40
+    with pytest.raises(ValueError):
+        stores[1].append(few.select("doc_id"))
+
+
+def test_vacuum_keeps_what_may_be_in_use(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "kept"), fanout=2)
+    few = docs.limit(5).coalesce(1)
+    store.append(few)
+    store.append(few)
+    before = store.version()
+    uncommitted = store._write(few, 0, 99)
+    store.compact()
+    assert store.vacuum() == 0 and store.read(before).count() == 10
+    assert store.vacuum(versions=2, least_age_s=0) == len(uncommitted) and store.read(before).count() == 10
+    assert store.vacuum(versions=1, least_age_s=0) == 2 and store.read().count() == 10
+
+
+def test_shards_reach_the_target_size(spark, tmp_path):
+    """Arrivals of one size climb the tiers: no tier stays full, and each version's rows are those of its arrivals."""
+    rng = random.Random(14)
+    rows = [(i, words(rng, 200)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    store = sharding.ShardStore(spark, str(tmp_path / "tiers"), target_bytes=200_000, small_bytes=10_000, fanout=3)
+    sharding.ingest(df, arrivals=20, store=store)
+    shards = store.shards().collect()
+    assert sum(r["n_rows"] for r in shards) == 600 and len(shards) < 12 and max(r["n_bytes"] for r in shards) > 100_000
+    small = [r["tier"] for r in shards if r["n_bytes"] < 100_000]
+    assert all(small.count(t) < 3 for t in small) and {r["level"] for r in shards} != {0}
+    sizes = [store.read(v).count() for v in range(1, store.version() + 1) if store.manifest(v)[0]]
+    assert sizes == sorted(sizes)
+
+
 @pytest.mark.parametrize("name", ["op1_sharding", "op3_ngram_join", "op4_url_filters"])
 def test_query_equals_sql(spark, name):
     from quantloom.llm import queries
