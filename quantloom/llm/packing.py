@@ -1,22 +1,26 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Several sequence lengths are permitted; each has a cost: its length, a fixed overhead
-and a share that grows with its square, as attention does.  Pieces go in decreasing length, each to the open bin that it leaves
-with the least room.  Where none has room, a bin of the least-cost size opens: the
-permitted size at or above the piece with the lowest cost per token that its
-contents will have, as estimated from the pieces still to come.  At the end every
-bin shrinks to the least permitted size that holds its contents.
-
-Texts never move: only (id, length) pairs do.  Pieces are dealt by a hash into
+and a share that grows with its square, as attention does.  Pieces go in decreasing length, each to
+the open bin that it leaves with the least room.  Where none has room, a bin of the least-cost size opens.
+The permitted sizes compete for it: for each one at or above the piece the bin is filled, as a trial, with
+the largest of the pieces still to come that fit, and the size with the least cost per token held, downsized
+to what it would hold, wins.  So a larger bin opens where the pieces that are left would
+waste the room of a smaller one.  At the end every bin shrinks to the least permitted size that
+holds its contents.
+
+Lengths are UTF-8 bytes, the tokens of a byte-level model, unless the caller gives a
+column of token counts.  Texts never move: only (id, length) pairs do.  Pieces are dealt by a hash into
 groups of bounded expected size, each packed on its own, so a task's memory is bounded and
-a lost executor costs a few groups.  A group of G pieces wastes at most one part-filled
+a lost executor costs a few groups.  A group wastes at most one part-filled
 bin per size more than packing all pieces at once.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,32 +35,57 @@ ATTENTION = 16_384  # the length at which the square costs as much as the length
 GROUP_PIECES = 20_000
 
 
+def bin_cost(size: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
+    return size + size * size / attention + overhead
+
+
 def best_fit(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, attention: int = ATTENTION) -> tuple[list[int], list[int]]:
     """Bin of each piece, and final size of each bin.  Lengths must not exceed the largest size.
 
     Pieces of length 0 go to the first bin.  Ties: equal lengths keep their order;
-    among bins with equal room the oldest takes the piece.
+    among bins with equal room the oldest takes the piece; of sizes with equal cost the smaller opens.
     """
     sizes = tuple(sorted(sizes))
+    cost = {s: bin_cost(s, overhead, attention) for s in sizes}
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    rest = sum(lengths)
+    falling = [-lengths[i] for i in order]  # ascending, for bisect
+    before = [0, *accumulate(-x for x in falling)]
     room: list[tuple[int, int]] = []  # (room left, bin), sorted
     used: list[int] = []
     bins = [0] * len(lengths)
-    for i in order:
+
+    def trial(at: int, size: int) -> int:
+        """What a bin of a size would hold: the piece at a place of the order, and then the largest that fit."""
+        left = size
+        while at < len(order) and left:
+            end = bisect_right(before, before[at] + left, at) - 1  # as many in a row as fit
+            left -= before[end] - before[at]
+            at = max(end, bisect_left(falling, -left, end))
+        return size - left
+
+    for k, i in enumerate(order):
         n = lengths[i]
+        if not n:
+            if not used:
+                used.append(0)
+            continue
         at = bisect_left(room, (n, -1))
         if at < len(room):
             left, b = room.pop(at)
         else:
-            fits = [s for s in sizes if s >= n]
-            left = min(fits, key=lambda s: ((s + s * s / attention + overhead) / max(1, min(s, rest)), s))
+            best = None
+            for size in sizes:
+                if size >= n:
+                    held = trial(k, size)
+                    shrunk = next(s for s in sizes if s >= held)
+                    price = (cost[shrunk] / held, size)
+                    best = price if best is None else min(best, price)
+            left = best[1]
             b = len(used)
             used.append(0)
         bins[i] = b
         used[b] += n
-        rest -= n
-        if left - n or not n:
+        if left - n:
             insort(room, (left - n, b))
     return bins, [next(s for s in sizes if s >= u) for u in used]
 
@@ -69,7 +98,7 @@ def text_bytes(text_col: str = "text") -> Column:
 def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, attention: int = ATTENTION, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc_id, piece, start, length, bin_group, bin, bin_size: where each part of each document goes.
 
-    A document longer than the largest size is cut into pieces of it and a rest.  Null
+    Lengths are in bytes of UTF-8, or in the unit of ``length``.  A document longer than the largest size is cut into pieces of it and a rest.  Null
     and empty texts have one piece of length 0.  Rows that repeat an id are packed each
     on its own and share a group.  An empty table gives an empty result; ``length`` may be any
     non-negative column, null counts as 0.

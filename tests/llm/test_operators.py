@@ -446,23 +446,35 @@ def test_mixture_shares():
 
 
 def naive_best_fit(lengths, sizes, overhead, attention):
-    open_, place = [], {}
-    rest = sum(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    """The same rule by plain loops: the sizes compete by a trial filling of the pieces to come."""
+    cost = lambda s: s + s * s / attention + overhead
+    bins, place = [], {}
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    for k, i in enumerate(order):
         n = lengths[i]
-        fits = [(b["room"], k) for k, b in enumerate(open_) if b["room"] >= n and not b["shut"]]
+        if n == 0:
+            place[i] = 0
+            bins = bins or [[0, 0]]
+            continue
+        fits = [(room, b) for b, (room, _) in enumerate(bins) if room >= n]
         if fits:
-            k = min(fits)[1]
+            b = min(fits)[1]
         else:
-            size = min((s for s in sizes if s >= n), key=lambda s: ((s + s * s / attention + overhead) / max(1, min(s, rest)), s))
-            open_.append({"room": size, "used": 0, "shut": False})
-            k = len(open_) - 1
-        open_[k]["room"] -= n
-        open_[k]["used"] += n
-        open_[k]["shut"] = open_[k]["room"] == 0 and n > 0
-        place[i] = k
-        rest -= n
-    return [place[i] for i in range(len(lengths))], [min(s for s in sizes if s >= b["used"]) for b in open_]
+            offers = []
+            for s in sizes:
+                if s < n:
+                    continue
+                held = 0
+                for j in order[k:]:
+                    if held + lengths[j] <= s:
+                        held += lengths[j]
+                offers.append((cost(min(x for x in sizes if x >= held)) / held, s))
+            bins.append([min(offers)[1], 0])
+            b = len(bins) - 1
+        bins[b][0] -= n
+        bins[b][1] += n
+        place[i] = b
+    return [place[i] for i in range(len(lengths))], [min(s for s in sizes if s >= u) for _, u in bins]
 
 
 def test_packing_equals_a_plain_best_fit():
@@ -472,6 +484,28 @@ def test_packing_equals_a_plain_best_fit():
         assert packing.best_fit(n, (64, 128, 256, 512), 8, 1024) == naive_best_fit(n, (64, 128, 256, 512), 8, 1024)
 
 
+def test_sizes_compete():
+    """Pieces just over half of a size share the next one, and the joint choice costs less than any single size."""
+    assert packing.best_fit([1024, 500, 0, 0])[0] == [0, 1, 0, 0] and packing.best_fit([0, 0]) == ([0, 0], [1024])
+    bins, final = packing.best_fit([700] * 40)
+    assert max(final) > 1024 and sum(map(packing.bin_cost, final)) < 40 * packing.bin_cost(1024)
+    rng = random.Random(17)
+    used = set()
+    for mix in ([rng.randint(1, 1000) for _ in range(2000)], [rng.randint(500, 1100) for _ in range(900)], [int(rng.lognormvariate(6.5, 1)) % 8192 for _ in range(2000)], [rng.choice([680, 1500, 3000, 5000]) for _ in range(600)]):
+        joint = packing.best_fit(mix)[1]
+        used |= set(joint)
+        for size in packing.SIZES:
+            if size >= max(mix):
+                alone = packing.best_fit(mix, (size,))[1]
+                assert sum(map(packing.bin_cost, joint)) <= sum(map(packing.bin_cost, alone))
+        smallest = {}  # one best fit per size class, each piece in the smallest size that holds it
+        for n in mix:
+            smallest.setdefault(min(s for s in packing.SIZES if s >= n), []).append(n)
+        apart = sum(packing.bin_cost(s) * len(packing.best_fit(x, (s,))[1]) for s, x in smallest.items())
+        assert sum(map(packing.bin_cost, joint)) < apart or len(smallest) == 1
+    assert used == set(packing.SIZES)
+
+
 def test_packing_places_every_piece_once(docs, corpus, empty):
     rows = packing.pack(docs, sizes=(64, 256, 1024), group_pieces=40).collect()
     used, size, got = {}, {}, {}
