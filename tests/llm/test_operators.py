@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quantloom.llm import decontamination, fingerprints, language_id, license_scan, ngram_join, packing, sharding, suffix_dedup, toxicity, url_filter
@@ -281,20 +282,93 @@ def test_syncmers_do_not_depend_on_context(spark):
     assert a and a <= b
 
 
-def test_fingerprints_of_six_to_eight_words(spark):
-    """No such text is empty, unlike ones aren't alike, and one changed word leaves a text near whichever k-mers are chosen."""
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def longs_hash(values):
+    """Spark's xxhash64 over longs."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest((v % 2**64).to_bytes(8, "little"), h)
+    return signed(h)
+
+
+def sketches(text):
+    """Chosen k-mers and words as {hash: first place}, by plain loops."""
+    w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in re.split(r"[\x09-\x0D\x20]+", text or "") if x]
+    pairs = [longs_hash(x) for x in zip(w, w[1:], strict=False)]
+    kmers, single = {}, {}
+    for i in range(len(w) - 5):
+        least = min(pairs[i : i + 5])
+        if least in (pairs[i], pairs[i + 4]):
+            kmers.setdefault(longs_hash(w[i : i + 6]) >> 32, i)
+    for i, x in enumerate(w):
+        single.setdefault(x >> 32, i)
+    signed32 = lambda d: {((k + 2**31) % 2**32) - 2**31: v for k, v in d.items()}
+    return signed32(kmers), signed32(single)
+
+
+def plain_fingerprint(text):
+    values = next((x for x in sketches(text) if x), {})
+    return "".join(f"{(h % 2**32) << 32 | i:016x}" for h, i in sorted(values.items())[:64])
+
+
+def plain_likeness(a, b):
+    a, b = sketches(a), sketches(b)
+    a, b = (x[0] if a[0] and b[0] else x[1] for x in (a, b))
+    if not a or not b:
+        return 1.0 if not a and not b else 0.0
+    a, b = (dict(sorted(x.items())[:64]) for x in (a, b))
+    union = sorted(a.keys() | b.keys())[:64]
+    shifts = sorted(b[h] - a[h] for h in union if h in a and h in b)
+    j = sum(abs(s - shifts[len(shifts) // 2]) <= 32 for s in shifts) / len(union)
+    return 2 * j / (1 + j)
+
+
+def test_fingerprints_equal_a_plain_computation(spark):
+    """Texts of 0 to 30 words and long ones, edited, reordered and repeated; likeness and fingerprints by plain loops."""
     rng = random.Random(12)
-    rows = [(i, " ".join(f"w{i}_{rng.randrange(10**6)}" for _ in range(6 + i % 3))) for i in range(240)]
-    df = spark.createDataFrame([(i, t, t.rsplit(" ", 1)[0] + " other", rows[i - 1][1]) for i, t in rows], "doc_id long, text string, near string, far string")
-    for c in ("text", "near", "far"):
-        df = fingerprints._with_sketch(df, F.col(c), f"{c}_s")
-    like = lambda c: fingerprints.likeness(F.col("text_s"), F.col(c))
-    got = df.select(fingerprints.written(F.col("text_s")).alias("f"), like("text_s").alias("same"), like("near_s").alias("near"), like("far_s").alias("far"), F.size("text_s.kmers").alias("k"), F.size("near_s.kmers").alias("nk")).collect()
-    assert all(r["f"] and r["same"] == 1 and r["far"] == 0 for r in got) and len({r["f"] for r in got}) == len(rows)
-    either = [r for r in got if not r["k"] or not r["nk"]]
-    assert either and any(r["nk"] for r in either) and all(r["near"] >= 0.8 for r in either)
-    edited = fingerprints.edited_likeness(df.select("doc_id", "text")).collect()
-    assert all(r["fingerprint"] and r["edited_fingerprint"] and r["near_next"] == 0 for r in edited)
+    texts = [words(rng, n % 31, 10**6) for n in range(90)]
+    base = words(rng, 300, 10**6).split()
+    for i in range(12):
+        t = list(base)
+        for _ in range(i * 3):
+            t[rng.randrange(300)] = f"e{rng.random()}"
+        texts.append(" ".join(t))
+    texts += [" ".join(base[150:] + base[:150]), " ".join(base[100:200] * 5), " ".join(["new"] * 200 + base), None, "", "a" * 5000, words(rng, 9000, 50)]
+    rows = list(enumerate(texts)) + [(None, texts[40]), (7, texts[41])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprints.edited_likeness(df).collect()
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_fingerprint(t), plain_fingerprint(edited), round(plain_likeness(t, edited), 9), round(plain_likeness(t, nxt), 9)))
+    found = [(*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got]
+    assert sorted(map(repr, found)) == sorted(map(repr, want))
+    assert all(bool(w[3]) == bool((t or "").split()) for w, (_, t) in zip(want, order, strict=True))
+    halves_swapped, shifted = texts[102], texts[104]
+    assert plain_likeness(texts[90], halves_swapped) < 0.8 < 0.9 < plain_likeness(texts[90], shifted)
+
+
+@pytest.mark.parametrize("rows,most", [(8, 1 << 18), (128, 1 << 18), (8, 16)])
+def test_next_of_outlying_frequent_and_null_ids(spark, rows, most):
+    """One outlying id doesn't leave all rows in one range, nor does an id that a third of the rows have."""
+    rng = random.Random(5)
+    ids = [*range(300), -(2**63), 2**63 - 1, 2**53 + 1, 2**53 + 2, *[77] * 150, *[None] * 150]
+    data = [(i, f"text {rng.random()}") for i in ids] + [(5, None), (5, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    sizes = [r["count"] for r in fingerprints.with_ranges(df, rows, most).groupBy("_ql_start", "_ql_sub").count().collect()]
+    assert sum(sizes) == len(data) and max(sizes) <= 4 * max(rows, len(data) // most)
+    got = fingerprints.with_next(df, ["text", "doc_id"], rows, most).collect()
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1] is not None))
+    want = [(*a, b[1], b[0]) for a, b in zip(order, order[1:] + order[:1], strict=True)]
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["next_text"], r["next_doc_id"]) for r in got))) == sorted(map(repr, want))
 
 
 def test_license_scan_against_containment(spark, empty):
