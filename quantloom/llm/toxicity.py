@@ -7,8 +7,8 @@
    the likeliest letters under the trigram model and the costs of the channel.  Other words have
    a single path, themselves.
 3. A logistic regression scores the presence of words and of their beginnings (four to
-   eight bytes) in the restored text.  It is fitted on labelled rows, at most
-   ``TRAIN_ROWS`` of them, drawn by a hash of the id.  Features are chosen by how far
+   eight bytes) in the restored text.  It is fitted on one row each of at most
+   ``TRAIN_ROWS`` labelled ids, drawn by a hash of the id.  Features are chosen by how far
    their share in toxic texts exceeds that in others.
 
 Counts of the character model cover all texts and come to the driver as one table of 28^3.
@@ -143,11 +143,15 @@ class Decoder:
         return steps
 
     def _decode(self, word: str) -> str:
-        """The likeliest letters behind a lower-cased word."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """The likeliest letters behind a lower-cased word.
+
+        A state is the pair of last letters; each keeps a pointer to the state it came from, so a step takes constant
+        time and memory however long the word is.
+        """
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for ways in self._steps(word):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, out) in best.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in best.items():
                 for letters, extra in ways:
                     x, y, total = a, b, cost + extra
                     for c in letters:
@@ -155,9 +159,15 @@ class Decoder:
                         total += self.cost[x][y][z]
                         x, y = y, z
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = (total, out + letters)
+                        new[x, y] = (total, (path, letters) if letters else path)
             best = new
-        return min((cost + self.cost[a][b][0], out) for (a, b), (cost, out) in best.items())[1]
+        path = min(((cost + self.cost[a][b][0], (a, b)) for (a, b), (cost, _) in best.items()))[1]
+        path = best[path][1]
+        out = []
+        while path is not None:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out))
 
 
 def disguised(buf: np.ndarray, folded: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
@@ -348,13 +358,14 @@ def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """doc_id, held_out, score, predicted for every row of ``docs``; learned from labelled rows that aren't held out.
 
     A null id is never held out nor learned from; of several labels of one id the
-    greatest holds.  Without labels of both kinds all rows score alike.  An empty table gives an empty result.
+    greatest holds; of several texts of one id one is learned from.  Without labels of both kinds all rows score alike.  An empty table gives an empty result.
     """
     arrow_batches(docs.sparkSession)
     decoder = Decoder(count_characters(docs, text_col))
     known = labels.select(F.col("doc_id").alias("_ql_id"), F.col(label_col).cast("int").alias("_ql_y")).where("_ql_id is not null and _ql_y in (0, 1)").where(~is_held_out("_ql_id", folds, fold))
     known = known.groupBy("_ql_id").agg(F.max("_ql_y").alias("_ql_y")).orderBy(F.xxhash64("_ql_id"), "_ql_id").limit(train_rows)
-    train = docs.select(F.col(id_col).alias("_ql_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_ql_id").select("text", F.col("_ql_y").alias("y"))  # at most train_rows
+    train = docs.select(F.col(id_col).alias("_ql_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_ql_id")
+    train = train.groupBy("_ql_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_ql_y").alias("y")).select("text", "y")  # at most train_rows
     weights, bias = fit(train, decoder)
     few = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col, folds, fold).alias("held_out"), F.col(text_col).alias("text"))
     return score(few, decoder, weights, bias).select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
