@@ -7,8 +7,8 @@ over its words estimates the proportions, for the k likeliest languages with
 k = 1, 2, ..., and the set with the best penalised likelihood is selected.  The
 prediction is the largest share in that set.
 
-The model has a fixed number of counters per language, whatever the corpus; the
-counts cover every training document.
+The model has a fixed number of counters per language, whatever the corpus (half a
+megabyte each, sent to all tasks); the counts cover every training document.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import arrow_batches, text_chunks
 
 BUCKETS = 1 << 17
+ROUNDS, TOLERANCE = 50, 1e-3
+LEAST_SHARE = 0.5  # of a document's words in its main language
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -116,34 +118,63 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     return langs, model.astype(np.float32)
 
 
-def _mixture(lik: np.ndarray, start: np.ndarray, count: np.ndarray, mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions under EM restricted to ``mask`` (documents by languages), and the log-likelihood of each document."""
+def _mixture(lik: np.ndarray, start: np.ndarray, count: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions under EM restricted to ``mask`` (documents by languages), and the log-likelihood of each document.
+
+    A document leaves the rounds when its proportions move by less than ``TOLERANCE``, or after ``ROUNDS``.
+    """
     share = mask / mask.sum(1, keepdims=True)
-    for _ in range(rounds):
-        part = lik * np.repeat(share, count, axis=0)
+    todo = np.flatnonzero(mask.sum(1) > 1)
+    for _ in range(ROUNDS):
+        if not len(todo):
+            break
+        size = count[todo]
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) - np.repeat(first - start[todo], size)
+        part = lik[at] * np.repeat(share[todo], size, axis=0)
         part /= part.sum(1, keepdims=True)
-        share = np.add.reduceat(part, start) / count[:, None]
+        new = np.add.reduceat(part, first) / size[:, None]
+        moved = np.abs(new - share[todo]).max(1)
+        share[todo] = new
+        todo = todo[moved > TOLERANCE]
     total = (lik * np.repeat(share, count, axis=0)).sum(1)
     return share, np.add.reduceat(np.log(total), start)
 
 
-def infer(lik: np.ndarray, start: np.ndarray, count: np.ndarray, rounds: int = 6, penalty: float = 4.0) -> np.ndarray:
+def infer(lik: np.ndarray, start: np.ndarray, count: np.ndarray, penalty: float = 4.0) -> np.ndarray:
     """Proportions (documents by languages) of the language set with the best penalised likelihood.
 
-    lik: likelihood of each word in each language, up to a factor per word; the words
-    of a document follow one another.  A set of k languages costs penalty * (k - 1) * log(1 + words).
+    lik: likelihood of each word in each language, the best of a word being 1 (and a floor added); the words
+    of a document follow one another.  A set of k languages costs penalty * (k - 1) * log(1 + words).  As no set
+    fits better than a likelihood of the best language for each word, larger sets are tried only
+    while that bound less their cost beats what has been found.
     """
     docs, langs = len(count), lik.shape[1]
-    best, _ = _mixture(lik, start, count, np.ones((docs, langs)), rounds)
-    order = np.argsort(-best, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    value = np.full(docs, -np.inf)
+    single = np.add.reduceat(np.log(lik), start)
     result = np.zeros((docs, langs))
-    for k in range(1, langs + 1):
-        share, fit = _mixture(lik, start, count, (rank < k).astype(float), rounds if k > 1 else 0)
-        fit = fit - penalty * (k - 1) * np.log1p(count)
-        better = fit > value + 1e-9
-        value[better], result[better] = fit[better], share[better]
+    result[np.arange(docs), single.argmax(1)] = 1
+    value = single.max(1)
+    bound = np.add.reduceat(np.log(lik.max(1)), start)
+    cost = penalty * np.log1p(count)
+    open_ = np.flatnonzero(bound - cost > value + 1e-9)
+    if not len(open_):
+        return result
+    size = count[open_]
+    first = np.cumsum(size) - size
+    lik = lik[np.arange(int(size.sum())) - np.repeat(first - start[open_], size)]
+    every, _ = _mixture(lik, first, size, np.ones((len(open_), langs)))
+    rank = np.argsort(np.argsort(-every, axis=1, kind="stable"), axis=1, kind="stable")
+    for k in range(2, langs + 1):
+        some = np.flatnonzero(bound[open_] - (k - 1) * cost[open_] > value[open_] + 1e-9)
+        if not len(some):
+            break
+        few = size[some]
+        at = np.cumsum(few) - few
+        mine = lik[np.arange(int(few.sum())) - np.repeat(at - first[some], few)]
+        share, fit = _mixture(mine, at, few, (rank[some] < k).astype(float))
+        fit -= (k - 1) * cost[open_[some]]
+        better = fit > value[open_[some]] + 1e-9
+        value[open_[some[better]]], result[open_[some[better]]] = fit[better], share[better]
     return result
 
 
@@ -209,9 +240,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(few, langs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def reject_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language can't be told (null, or no letter); columns stay."""
+def keep_told(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_share: float = LEAST_SHARE) -> DataFrame:
+    """``docs`` with the inferred main language in ``lang_col``, without the rows that have none; other columns stay.
+
+    Rejected are null texts, texts without a letter, and mixtures in which no language has
+    ``least_share`` of the words.  Without a labelled row nothing can be told and every row goes.
+    """
     held = is_held_out(id_col, 3, 1)
     langs, model = learn(docs.where(~held & F.col(id_col).isNotNull()), text_col, lang_col)
     marked = predict(docs, langs, model, text_col, ("_ql_lang", "_ql_share"))
-    return marked.where(F.col("_ql_lang") != UNKNOWN).drop("_ql_lang", "_ql_share")
+    kept = marked.where((F.col("_ql_lang") != UNKNOWN) & (F.col("_ql_share") >= least_share))
+    return kept.withColumn(lang_col, F.col("_ql_lang")).drop("_ql_lang", "_ql_share")

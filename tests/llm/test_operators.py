@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -456,6 +457,65 @@ def test_decoder_restores_disguises():
     assert [d.decode(w) for w in ("1d10t", "i d i o t", "i.d.i.o.t", "idiooooot", "$tup1d")] == ["idiot", "idiot", "idiot", "idiot", "stupid"]
 
 
+def test_decoder_equals_enumeration():
+    """The cheapest of all readings of a lattice, by listing them; a long word takes time in proportion to its length."""
+    rng = random.Random(19)
+    counts = np.array([[[rng.randrange(50) for _ in range(28)] for _ in range(28)] for _ in range(28)], float)
+    d = toxicity.Decoder(counts)
+
+    def cost_of(letters):
+        code = [0, 0, *(ord(c) - 96 if "a" <= c <= "z" else 27 for c in letters), 0]
+        return sum(d.cost[a][b][c] for a, b, c in zip(code, code[1:], code[2:], strict=False))
+
+    for _ in range(150):
+        word = "".join(rng.choice("ab1$.*eé-0 ccc6") for _ in range(rng.randint(1, 8)))
+        readings = [("", 0.0)]
+        for ways in d._steps(word):
+            readings = [(t + x, c + e) for t, c in readings for x, e in ways]
+        want = min(c + cost_of(t) for t, c in readings)
+        found = d.decode(word)
+        assert abs(min(c for t, c in readings if t == found) + cost_of(found) - want) < 1e-9
+    began = time.perf_counter()
+    rounds = "".join(rng.choice("0123456789abcdef") for _ in range(100_000))
+    assert len(d._decode(rounds)) > 50_000 and time.perf_counter() - began < 20
+
+
+def test_the_gate_finds_disguised_words():
+    """Recall of the spans that are decoded, over random disguises of words inside texts."""
+    rng = random.Random(23)
+    swaps = {"o": "0", "i": "1!", "e": "3", "a": "4@", "s": "5$", "t": "7+", "b": "8", "l": "1|"}
+    vocabulary = ["stupid", "idiot", "moron", "bastard", "loser", "trash", "filthy", "scumbag"]
+    found = 0
+    for i in range(400):
+        w = rng.choice(vocabulary)
+        way = i % 4
+        if way == 0:
+            at = rng.choice([j for j, c in enumerate(w) if c in swaps])
+            shown = "".join(rng.choice(swaps[c]) if c in swaps and (j == at or rng.random() < 0.5) else c for j, c in enumerate(w))
+        elif way == 1:
+            shown = rng.choice([" ", ".", "-", "_", "*"]).join(w)
+        elif way == 2:
+            at = rng.randrange(1, len(w))
+            shown = w[:at] + rng.choice([".", "-", "_"]) + w[at:]
+        else:
+            at = rng.randrange(len(w))
+            shown = w[:at] + w[at] * rng.randint(3, 7) + w[at + 1 :]
+        text = f"{words(rng, 3)} {shown} {words(rng, 3)}".encode()
+        buf = np.frombuffer(text, np.uint8)
+        lo = text.index(shown.encode())
+        spans = toxicity.disguised(buf, language_id.fold_letters(buf), np.array([0, len(buf)]))
+        found += any(a <= lo and lo + len(shown) <= b and b - a <= len(shown) + 8 for _, a, b in spans)
+    assert found >= 0.97 * 400
+
+
+def test_toxicity_learns_from_one_text_of_an_id(spark):
+    rows = [(i % 40, f"{'vile' if i % 40 % 4 == 0 else 'kind'} words {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)] + [(None, 1), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.rate(df, labels, train_rows=20).collect()
+    assert len(got) == 400 and all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got)
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     rng = random.Random(3)
     rows, labels = [], []
@@ -508,8 +568,14 @@ def test_language_on_held_out_rows(spark, empty):
     assert all(got[i]["held_out"] for i, _ in held)
     assert sum(got[i]["lang_pred"] == lang for i, lang in held) / len(held) > 0.97
     assert {got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003)} == {"und"}
-    kept = language_id.reject_unknown(df.withColumn("score", F.lit("x")))
-    assert kept.columns == ["doc_id", "text", "lang", "score"] and kept.count() == 300
+    known = {name: [w for _, t, lang in rows[:300] if lang == name for w in t.split() if len(w) > 4] for name in alphabet}
+    torn = " ".join(w for name in alphabet for w in known[name][:80])
+    two = spark.createDataFrame([(2000, torn, "aa"), (2001, "abcde bcdea abced edcba dbcea aabbc", "cc")], df.schema)
+    kept = language_id.keep_told(df.unionByName(two).withColumn("score", F.lit("x")))
+    assert kept.columns == ["doc_id", "text", "lang", "score"]
+    rows = {r["doc_id"]: r["lang"] for r in kept.collect()}
+    assert set(rows) == set(range(300)) | {2001} and rows[2001] == "aa"
+    assert language_id.keep_told(df.withColumn("lang", F.lit(None).cast("string"))).count() == 0 == language_id.keep_told(empty).count()
     assert language_id.identify(empty).count() == 0
 
 
@@ -519,6 +585,51 @@ def test_mixture_shares():
     assert abs(share[0, 0] - 0.75) < 0.02
 
 
+def plain_inference(lik, penalty=4.0):
+    """One document: EM by plain loops for the k likeliest languages of the full mixture, each k up to all."""
+
+    def em(langs):
+        share = {m: 1 / len(langs) for m in langs}
+        for _ in range(50):
+            new = dict.fromkeys(langs, 0.0)
+            for row in lik:
+                total = sum(share[m] * row[m] for m in langs)
+                for m in langs:
+                    new[m] += share[m] * row[m] / total / len(lik)
+            moved = max(abs(new[m] - share[m]) for m in langs)
+            share = new
+            if moved <= 1e-3:
+                break
+        return share, sum(np.log(sum(share[m] * row[m] for m in langs)) for row in lik)
+
+    every = list(range(len(lik[0])))
+    single = max(every, key=lambda m: sum(np.log(row[m]) for row in lik))
+    best = (sum(np.log(row[single]) for row in lik), {single: 1.0})
+    full, _ = em(every)
+    order = sorted(every, key=lambda m: -full[m])
+    for k in range(2, len(every) + 1):
+        share, fit = em(order[:k])
+        fit -= penalty * (k - 1) * np.log1p(len(lik))
+        if fit > best[0] + 1e-9:
+            best = (fit, share)
+    return [best[1].get(m, 0.0) for m in every]
+
+
+def test_mixtures_equal_plain_loops():
+    rng = np.random.default_rng(4)
+    docs = []
+    for _ in range(60):
+        parts = rng.dirichlet([0.4] * 5)
+        of = rng.choice(5, rng.integers(1, 120), p=parts)
+        logp = rng.normal(-4, 1.5, (len(of), 5))
+        logp[np.arange(len(of)), of] += 5
+        docs.append(np.exp(logp - logp.max(1, keepdims=True)) + 1e-6)
+    count = np.array([len(d) for d in docs])
+    got = language_id.infer(np.concatenate(docs), np.cumsum(count) - count, count)
+    want = np.array([plain_inference(d.tolist()) for d in docs])
+    assert np.allclose(got, want, atol=1e-6) and (np.count_nonzero(want, axis=1) > 1).sum() > 10
+
+
 def naive_best_fit(lengths, sizes, overhead, attention):
     """The same rule by plain loops: the sizes compete by a trial filling of the pieces to come."""
     cost = lambda s: s + s * s / attention + overhead
