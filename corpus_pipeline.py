@@ -1,7 +1,7 @@
 """A corpus cleaning pipeline over the ``documents`` table: five stages, each one operator.
 
 Every stage but the last returns the columns of its input.  Each one works on all
-that the stage before kept: documents whose language can't be told go, then all but the
+that the stage before kept: documents without a main language go, then all but the
 smallest id of each group of near duplicates, then byte strings that an earlier text
 holds, then documents with a benchmark passage; what remains is packed into sequences.
 """
@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.decontamination import drop_contaminated
-from quantloom.llm.language_id import reject_unknown
+from quantloom.llm.language_id import keep_told
 from quantloom.llm.ngram_join import keep_one
 from quantloom.llm.packing import pack
 from quantloom.llm.suffix_dedup import remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return reject_unknown(docs)
+    """Texts without a main language go; ``lang`` becomes the inferred one."""
+    return keep_told(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
