@@ -1,16 +1,21 @@
-"""License notices in texts, by MinHash bands over overlapping windows, in DataFrame operations only.
+"""License texts in documents, by MinHash bands over overlapping windows, in DataFrame operations only.
 
 Texts and templates are sequences of lower-cased alphanumeric words; their shingles
 are pairs of words (notices may have three words, so wider shingles can't tell them).
 Windows of ``WINDOW`` shingles, one at every half window, get one minimum per band under as
-many hash functions.  Windows that share a band's minimum with a window of a template
-retrieve it.  A template of t shingles shares one band with probability t / WINDOW at least,
-and the number of bands is such that the least template is retrieved with
-``COLLISION`` probability or more; overlapping windows add to that.  A retrieved template is
-verified by the share of its shingles that occur around the window.
-
-A window whose shingles are in no template can't share a minimum; such windows are
-dropped before the bands are computed, which changes no result.
+many hash functions, in documents and templates alike; templates of fewer shingles are one window.
+Windows that share a band's minimum with a window of a template retrieve it, and a
+retrieved template is verified by the share of its shingles that occur around the window.
+
+A window that holds a template of t shingles, or of which half of the shingles are a
+template's, shares one band with probability t / WINDOW, or a third, at least; the number of bands is such that
+the least template is retrieved with ``COLLISION`` probability or more.  Overlapping windows, and for
+longer templates many windows, add to that.
+
+Templates are a table of any size.  A window whose shingles are in no template can't share a minimum with one;
+such windows are dropped before their minima are computed, which changes no result.  What may be a template's
+shingle is told by a table of bits, 512 for each shingle of the templates and ``MOST_BITS`` at most, so a longer list only
+lets more windows through.  The minima meet by an equi-join, which Spark broadcasts if the templates are few.
 """
 
 from __future__ import annotations
@@ -20,8 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import Stage
+
 WINDOW, STEP = 8, 4
 COLLISION, CONTAINED = 0.99, 0.8
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 22
 #: Notices by license; fixed values.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -55,45 +63,77 @@ def _with_shingles(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def _minima(part: Column, bands: int) -> Column:
+    """A struct (band, least) for each band of a window's shingles."""
     return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda j: F.struct(j.alias("band"), F.array_min(F.transform(part, lambda x: F.xxhash64(x, j))).alias("least")))
 
 
-def _starts(size: Column) -> Column:
-    """0-based starts of windows that cover a number of shingles."""
-    return F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(STEP))
+def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+    """license, text of a list of pairs."""
+    return spark.createDataFrame(list(templates), "license string, text string")
+
 
+def _known(templates: DataFrame) -> DataFrame:
+    """template, license, sh, shingles (distinct) of each distinct template of two words or more."""
+    few = _with_shingles(templates.select("license", "text").where("license is not null").distinct(), "text")
+    few = few.withColumn("template", F.xxhash64("license", "text")).withColumn("shingles", F.array_distinct("sh"))
+    return few.select("template", "license", "sh", "shingles").where("size(shingles) > 0")
 
-def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template, license, shingles (distinct) of each template of two words or more."""
-    rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
-    df = _with_shingles(spark.createDataFrame(rows, "template int, license string, text string"), "text")
-    return df.select("template", "license", "sh", F.array_distinct("sh").alias("shingles")).where("size(shingles) > 0")
+
+def _index(known: DataFrame, bands: int) -> DataFrame:
+    """template, band, least: the distinct minima of the templates' windows."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("sh") - 1 - (WINDOW - STEP), F.lit(0)), F.lit(STEP))
+    windows = known.select("template", "sh", F.explode(starts).alias("s")).select("template", F.slice("sh", F.col("s") + 1, F.lit(WINDOW)).alias("part"))
+    return windows.select("template", F.explode(_minima(F.col("part"), bands)).alias("x")).select("template", "x.band", "x.least").distinct()
+
+
+def _bits(known: DataFrame) -> list[int]:
+    """A table of bits as longs (half a megabyte at most): set where a shingle of a template may be."""
+    every = known.select(F.explode("shingles").alias("x")).distinct()
+    size = LEAST_BITS
+    wanted = 512 * every.count()
+    while size < min(wanted, MOST_BITS):
+        size *= 2
+    at = F.pmod("x", F.lit(size))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(x, {size}) % 64 as int))")
+    words = every.groupBy(F.floor(at / 64).cast("int").alias("i")).agg(F.bit_or(bit).alias("x")).collect()
+    table = [0] * (size // 64)
+    for r in words:
+        table[r["i"]] = r["x"]
+    return table
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None, contained: float = CONTAINED) -> DataFrame:
     """doc_id, license, position (of the first word of the first window found), containment (the best): a row for each license found in a document.
 
-    Null, empty and one-word texts hold no notice; rows that repeat an id count as one
-    document; documents without a notice have no row; an empty table or no templates
-    give an empty result.  The templates are a short list given by the caller and travel with the plan.
+    ``templates`` is a table (license, text), by default TEMPLATES; rows with a null license, and texts of one word
+    or none, are left out.  Null, empty and one-word texts hold no license; rows that repeat an id count as one
+    document, rows with a null id as another; documents without a license have no row; an empty table or
+    no templates give an empty result.
     """
     spark = docs.sparkSession
-    known = template_table(spark, templates)
-    found = known.collect()  # as many rows as the caller's list
-    longest = max([len(r["sh"]) for r in found], default=0)
-    bands = bands_needed(min([len(r["shingles"]) for r in found], default=WINDOW))
-    every = sorted({x for r in found for x in r["shingles"]})
-    few = _with_shingles(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_ql_t")), "_ql_t").drop("_ql_t")
-    hits = F.filter(F.sequence(F.lit(0), F.greatest(F.size("sh") - 1, F.lit(0))), lambda i: F.get(F.col("sh"), i).isin(every))
+    stage = Stage(spark, "license_scan")
+    known = stage.write(_known(template_table(spark) if templates is None else templates), "known")
+    least, longest = known.agg(F.min(F.size("shingles")), F.max(F.size("sh"))).first()
+    bands = bands_needed(least or WINDOW)
+    longest = longest or 0
+    index = stage.write(_index(known, bands), "index")
+    table = _bits(known)
+    bits = F.expr(f"array({', '.join(f'{x}L' if x > -(2**63) else '-9223372036854775807L - 1L' for x in table)})")
+    size = 64 * len(table)
+
+    def may_be_known(x: Column) -> Column:
+        return F.getbit(F.get(bits, F.shiftrightunsigned(F.pmod(x, F.lit(size)), 6).cast("int")), F.pmod(x, F.lit(64)).cast("int")) == 1
+
+    few = _with_shingles(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_ql_t"), F.xxhash64(text_col).alias("of")), "_ql_t").drop("_ql_t")
+    few = few.withColumn("hits", F.filter(F.sequence(F.lit(0), F.greatest(F.size("sh") - 1, F.lit(0))), lambda i: may_be_known(F.get(F.col("sh"), i))))
     # No filter stands on these arrays (explode_outer infers none): pushed down, it would compute them once for each element.
-    few = few.withColumn("hits", hits if every else F.array().cast("array<int>"))
     near = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.filter(F.array(F.floor(i / STEP) * STEP, F.floor(i / STEP) * STEP - STEP), lambda s: s >= 0))))
-    windows = few.select("doc_id", "sh", F.explode_outer(near).alias("start")).where("start is not null").withColumn("start", F.col("start").cast("int"))
-    around = F.slice("sh", F.greatest(F.col("start") - longest, F.lit(0)) + 1, F.lit(WINDOW + 2 * longest))
-    windows = windows.select("doc_id", "start", around.alias("around"), F.slice("sh", F.col("start") + 1, F.lit(WINDOW)).alias("part"))
-    banded = windows.select("doc_id", "start", "around", F.explode_outer(_minima(F.col("part"), bands)).alias("b")).select("doc_id", "start", "around", "b.band", "b.least")
-    index = known.select("template", "license", "shingles", "sh", F.explode(_starts(F.size("sh"))).alias("s"))
-    index = index.select("template", "license", "shingles", F.explode(_minima(F.slice("sh", F.col("s") + 1, F.lit(WINDOW)), bands)).alias("b")).select("template", "license", "shingles", "b.band", "b.least").distinct()
-    retrieved = banded.join(F.broadcast(index), ["band", "least"])  # templates x windows x bands rows, whatever the texts
+    windows = few.select("doc_id", "of", "sh", F.explode_outer(near).alias("start")).where("start is not null").withColumn("start", F.col("start").cast("int"))
+    block = F.floor(F.col("start") / max(1, longest)).cast("int")
+    around = F.slice("sh", F.greatest((block - 1) * longest, F.lit(0)) + 1, F.lit(WINDOW + 3 * longest))  # all that a template near the window can cover
+    windows = windows.select("doc_id", "of", block.alias("block"), around.alias("around"), "start", F.slice("sh", F.col("start") + 1, F.lit(WINDOW)).alias("part"))
+    banded = windows.select("doc_id", "of", "block", "around", "start", F.explode_outer(_minima(F.col("part"), bands)).alias("x")).select("doc_id", "of", "block", "around", "start", "x.band", "x.least")
+    near = banded.join(index, ["band", "least"]).groupBy("doc_id", "of", "template", "block").agg(F.first("around").alias("around"), F.min("start").alias("start"))
     share = F.size(F.array_intersect("shingles", "around")) / F.size("shingles")
-    return retrieved.withColumn("share", share).where(F.col("share") >= contained).groupBy("doc_id", "license").agg(F.min("start").cast("int").alias("position"), F.max("share").alias("containment"))
+    checked = near.join(known.select("template", "license", "shingles"), "template").withColumn("share", share).where(F.col("share") >= contained)
+    return checked.groupBy("doc_id", "license").agg(F.min("start").cast("int").alias("position"), F.max("share").alias("containment"))
