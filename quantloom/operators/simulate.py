@@ -4,8 +4,10 @@ Trades: trade_id, pair, bar_idx, direction (+1, -1), entry_price, sl, tp, and fo
 full mode the management columns.  Bars: pair, bar_idx, open, high, low, close, spread;
 sub-bars: pair, bar_idx (of the parent), sub_seq (dense order per pair), high, low, close, spread.
 
-Trades meet sub-bars by (pair, block of bars), an equi-join; a horizon bounds how far a
-trade looks, and only those that haven't ended look again, four times as far.
+Bars to come are met by (pair, block of bars), an equi-join; a horizon bounds how far is
+looked, and what hasn't ended looks on from there, four times as far.  In the basic mode the bars are
+met once for each bar with trades, however many trades it has: what is kept of them are the records, the
+sub-bars that are higher or lower than all since, and each trade looks its stop and target up in these.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.reuse import settled
+
 BLOCK = 64
 SLIPPAGE, COMMISSION = 0.5, 0.7  # pips
 #: Exit reasons in order of precedence on one sub-bar.
@@ -27,43 +31,78 @@ def fill_entries(trades: DataFrame, subs: DataFrame, pip: float, slippage: float
     return out.withColumn("fill", F.when(F.col("direction") > 0, buy).otherwise(F.col("entry_price") - slippage * pip)).drop("_first_spread")
 
 
-def _ahead(trades: DataFrame, subs: DataFrame, horizon: int | None) -> DataFrame:
-    """Trades by the sub-bars of the bars after theirs, up to ``horizon`` bars on."""
+def _ahead(trades: DataFrame, subs: DataFrame, horizon: int | None, seen: int = 0) -> DataFrame:
+    """Trades by the sub-bars of the bars after theirs, those more than ``seen`` and up to ``horizon`` bars on."""
     few = subs.select("pair", F.col("bar_idx").alias("at_bar"), "sub_seq", F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("spread").alias("sp"))
-    if horizon is None:
-        return trades.join(few, (trades["pair"] == few["pair"]) & (few["at_bar"] > trades["bar_idx"])).drop(few["pair"])
     few = few.withColumn("_blk", F.floor(F.col("at_bar") / BLOCK))
-    blocks = F.sequence(F.floor((F.col("bar_idx") + 1) / BLOCK), F.floor((F.col("bar_idx") + horizon) / BLOCK))
+    if horizon is None:
+        horizon = _last_bar(subs) + 1
+    blocks = F.sequence(F.floor((F.col("bar_idx") + seen + 1) / BLOCK), F.floor((F.col("bar_idx") + horizon) / BLOCK))
     both = trades.withColumn("_blk", F.explode(blocks)).join(few, ["pair", "_blk"])
-    return both.where((F.col("at_bar") > F.col("bar_idx")) & (F.col("at_bar") <= F.col("bar_idx") + horizon)).drop("_blk")
+    return both.where((F.col("at_bar") > F.col("bar_idx") + seen) & (F.col("at_bar") <= F.col("bar_idx") + horizon)).drop("_blk")
 
 
-def first_touch(trades: DataFrame, subs: DataFrame, horizon: int = 64, max_rounds: int = 30) -> DataFrame:
-    """exit_seq, exit_bar and reason (sl, tp) of each trade that ends; stop before target on one sub-bar.
+def _last_bar(subs: DataFrame) -> int:
+    return subs.agg(F.max("bar_idx")).first()[0] or 0
 
-    Distinct (pair, bar_idx, direction, sl, tp) are resolved once: first to the bar of
-    the touch, by the bars' ranges, then to the sub-bar within that bar.  The loop ends
-    when no trade is left or the horizon covers the data.
-    """
-    keys = ["pair", "bar_idx", "direction", "sl", "tp"]
-    buy = F.col("direction") > 0
-    at_sl = F.when(buy, F.col("l") <= F.col("sl")).otherwise(F.col("h") >= F.col("sl"))
-    at_tp = F.when(buy, F.col("h") >= F.col("tp")).otherwise(F.col("l") <= F.col("tp"))
-    bars = subs.groupBy("pair", "bar_idx").agg(F.max("high").alias("high"), F.min("low").alias("low")).withColumns({"sub_seq": F.col("bar_idx"), "close": F.lit(0.0), "spread": F.lit(0.0)}).persist()
-    last = bars.agg(F.max("bar_idx")).first()[0] or 0
-    open_, found, seen = trades.select(*keys).distinct().persist(), None, 0
-    for _ in range(max_rounds):
-        ahead = _ahead(open_, bars, horizon).where(F.col("at_bar") > F.col("bar_idx") + seen)
-        hit = ahead.where(at_sl | at_tp).groupBy(*keys).agg(F.min("at_bar").alias("exit_bar"))
-        found = hit if found is None else found.unionByName(hit)
+
+def _record_bars(starts: DataFrame, subs: DataFrame, horizon: int) -> DataFrame:
+    """(pair, bar_idx, at_bar): the bars after each start whose range exceeds all since, until top or bottom is reached."""
+    bars = settled(subs.groupBy("pair", "bar_idx").agg(F.max("high").alias("high"), F.min("low").alias("low")).withColumns({"sub_seq": F.col("bar_idx"), "close": F.lit(0.0), "spread": F.lit(0.0)}))
+    last = _last_bar(bars)
+    none = F.lit(None).cast("double")
+    open_, found, seen = starts.withColumns({"_hi": none, "_lo": none}), None, 0
+    w = Window.partitionBy("pair", "bar_idx").orderBy("at_bar")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        ahead = _ahead(open_, bars, horizon, seen).withColumns({"_h": F.greatest("_hi", F.max("h").over(before)), "_l": F.least("_lo", F.min("l").over(before))})
+        going = (F.col("_h").isNull() | (F.col("_h") < F.col("top"))) & (F.col("_l").isNull() | (F.col("_l") > F.col("bottom")))
+        ahead = settled(ahead.where(going).select("pair", "bar_idx", "top", "bottom", "at_bar", "h", "l", "_h", "_l"))
+        record = ahead.where(F.col("_h").isNull() | (F.col("h") > F.col("_h")) | (F.col("l") < F.col("_l"))).select("pair", "bar_idx", "at_bar")
+        found = record if found is None else found.unionByName(record)
         if horizon >= last:
-            break
-        open_ = open_.join(hit, keys, "left_anti").persist()
+            return found
+        ends = ahead.groupBy("pair", "bar_idx").agg(F.max("top").alias("top"), F.max("bottom").alias("bottom"), F.max(F.greatest("h", "_h")).alias("_hi"), F.min(F.least("l", "_l")).alias("_lo"))
+        open_ = settled(ends.where((F.col("_hi") < F.col("top")) & (F.col("_lo") > F.col("bottom"))))
+        if open_.isEmpty():
+            return found
         seen, horizon = horizon, horizon * 4
-    inside = subs.select("pair", F.col("bar_idx").alias("exit_bar"), "sub_seq", F.col("high").alias("h"), F.col("low").alias("l"), F.col("spread").alias("sp"))
-    touch = found.join(inside, ["pair", "exit_bar"]).where(at_sl | at_tp).groupBy(*keys, "exit_bar").agg(F.min(F.struct("sub_seq", F.when(at_sl, "sl").otherwise("tp").alias("r"), F.col("sp").alias("s"))).alias("x"))
-    touch = touch.select(*keys, "exit_bar", F.col("x.sub_seq").alias("exit_seq"), F.col("x.r").alias("reason"), F.col("x.s").alias("exit_spread"))
-    return trades.join(touch, keys, "left")
+
+
+def records(starts: DataFrame, subs: DataFrame, horizon: int = 64) -> DataFrame:
+    """pair, bar_idx, ups, downs: the sub-bars after each start (pair, bar_idx, top, bottom) that exceed all since.
+
+    ups and downs are arrays of structs (seq, v, bar, spread) in the order of time, so v rises or falls; they go
+    on until top or bottom is reached, or to the end.
+    """
+    inside = subs.select("pair", F.col("bar_idx").alias("at_bar"), "sub_seq", "high", "low", "spread")
+    rows = _record_bars(starts, subs, horizon).join(inside, ["pair", "at_bar"])
+    before = Window.partitionBy("pair", "bar_idx").orderBy("sub_seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_h": F.max("high").over(before), "_l": F.min("low").over(before)})
+    point = lambda c: F.struct(F.col("sub_seq").alias("seq"), F.col(c).alias("v"), F.col("at_bar").alias("bar"), "spread")
+    up = F.when(F.col("_h").isNull() | (F.col("high") > F.col("_h")), point("high"))
+    down = F.when(F.col("_l").isNull() | (F.col("low") < F.col("_l")), point("low"))
+    return rows.groupBy("pair", "bar_idx").agg(F.sort_array(F.collect_list(up)).alias("ups"), F.sort_array(F.collect_list(down)).alias("downs"))
+
+
+def first_touch(trades: DataFrame, subs: DataFrame, horizon: int = 64) -> DataFrame:
+    """exit_seq, exit_bar, exit_spread and reason (sl, tp) of each trade that ends; stop before target on one sub-bar.
+
+    The work on bars grows with the bars that have trades, not with trades or trials.
+    """
+    buy = F.col("direction") > 0
+    above, below = F.when(buy, F.col("tp")).otherwise(F.col("sl")), F.when(buy, F.col("sl")).otherwise(F.col("tp"))
+    starts = settled(trades.groupBy("pair", "bar_idx").agg(F.max(above).alias("top"), F.min(below).alias("bottom")))
+    out = trades.join(records(starts, subs, horizon), ["pair", "bar_idx"], "left").withColumns({"_above": above, "_below": below})
+    up = F.get(F.filter("ups", lambda x: x["v"] >= F.col("_above")), 0)
+    down = F.get(F.filter("downs", lambda x: x["v"] <= F.col("_below")), 0)
+    out = out.withColumns({"_up": up, "_down": down}).drop("ups", "downs", "_above", "_below")
+    sl, tp = F.when(buy, F.col("_down")).otherwise(F.col("_up")), F.when(buy, F.col("_up")).otherwise(F.col("_down"))
+    out = out.withColumns({"_sl": sl, "_tp": tp}).drop("_up", "_down")
+    by_sl = F.col("_sl").isNotNull() & (F.col("_tp").isNull() | (F.col("_sl.seq") <= F.col("_tp.seq")))
+    hit = F.when(by_sl, F.col("_sl")).otherwise(F.col("_tp"))
+    out = out.withColumns({"reason": F.when(by_sl, "sl").when(F.col("_tp").isNotNull(), "tp"), "_hit": hit})
+    return out.withColumns({"exit_seq": F.col("_hit.seq"), "exit_bar": F.col("_hit.bar"), "exit_spread": F.col("_hit.spread")}).drop("_hit", "_sl", "_tp")
 
 
 def simulate_basic(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: float, slippage: float = SLIPPAGE, commission: float = COMMISSION, horizon: int = 64) -> DataFrame:
@@ -72,7 +111,7 @@ def simulate_basic(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: flo
     A trade without a touch ends at the pair's last close; one that signals on the last bar at its own.
     A stop pays slippage, a target doesn't; a sell pays the spread on its exit; all pay the commission.
     """
-    trades, subs = trades.persist(), subs.persist()  # read several times below
+    trades, subs = settled(trades), settled(subs)  # read several times below
     ends = subs.groupBy("pair").agg(F.max("bar_idx").alias("_last_bar"), F.max_by("close", "sub_seq").alias("_last_close"), F.max_by("spread", "sub_seq").alias("_last_spread"))
     out = first_touch(fill_entries(trades, subs, pip, slippage), subs, horizon).join(ends, "pair")
     d, slip = F.col("direction"), slippage * pip
@@ -126,12 +165,12 @@ def _all_hits(filled: DataFrame, subs: DataFrame, pip: float, timed: DataFrame,
     last = (subs.agg(F.max("bar_idx")).first()[0] or 0) - (filled.agg(F.min("bar_idx")).first()[0] or 0)
     open_, found = filled, None
     while horizon is not None and horizon < last:
-        hits = _path_hits(open_, subs, pip, horizon).persist()
+        hits = settled(_path_hits(open_, subs, pip, horizon))
         ends = open_.select("trade_id", "bar_idx").join(timed.select("trade_id", "bar_exit"), "trade_id", "left").join(hits.select("trade_id", (F.col("x_sl").isNotNull() | F.col("x_tp").isNotNull()).alias("_hit")), "trade_id", "left")
-        ended = ends.where(F.coalesce("_hit", F.lit(False)) | F.coalesce(F.col("bar_exit") <= F.col("bar_idx") + horizon, F.lit(False))).select("trade_id").persist()
-        settled = hits.join(ended, "trade_id", "left_semi")
-        found = settled if found is None else found.unionByName(settled)
-        open_ = open_.join(ended, "trade_id", "left_anti").persist()
+        ended = ends.where(F.coalesce("_hit", F.lit(False)) | F.coalesce(F.col("bar_exit") <= F.col("bar_idx") + horizon, F.lit(False))).select("trade_id")
+        done = hits.join(ended, "trade_id", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        open_ = settled(open_.join(ended, "trade_id", "left_anti"))
         if open_.isEmpty():
             return found
         horizon *= 4
@@ -148,11 +187,11 @@ def simulate_full(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: floa
     still open at the horizon look again, four times as far, up to the last bar.
     """
     trades = trades.withColumns({c: F.lit(v).cast("double") for c, v in MANAGEMENT.items() if c not in trades.columns})
-    trades, subs = trades.persist(), subs.persist()  # read several times below
+    trades, subs = settled(trades), settled(subs)  # read several times below
     d = F.col("direction")
     span = bars.select("pair", F.col("bar_idx").alias("_b"), (F.col("high") - F.col("low")).alias("_range"), F.col("close").alias("_bar_close"), F.col("spread").alias("_bar_spread"))
-    timed = _bar_exits(trades, span).persist()
-    filled = fill_entries(trades, subs, pip, slippage).persist()
+    timed = settled(_bar_exits(trades, span))
+    filled = settled(fill_entries(trades, subs, pip, slippage))
     hits = _all_hits(filled, subs, pip, timed, horizon)
     out = filled.join(hits, "trade_id", "left").join(timed, "trade_id", "left")
     touch = F.when(F.col("x_tp").isNull() | (F.col("x_sl.sub_seq") <= F.col("x_tp.sub_seq")), F.col("x_sl")).otherwise(F.col("x_tp"))
@@ -202,11 +241,21 @@ def _bar_exits(trades: DataFrame, span: DataFrame) -> DataFrame:
 
 
 def excursions(trades: DataFrame, bars: DataFrame, pip: float) -> DataFrame:
-    """Adds bars_held, mfe and mae (pips) over the bars after the entry's, exit bar included."""
-    few = bars.select(F.col("pair").alias("_p"), F.col("bar_idx").alias("_b"), "high", "low")
+    """Adds bars_held, mfe and mae (pips) over the bars after the entry's, exit bar included.
+
+    Whole blocks of bars count by their extremes, only the first and last block of a trade bar by bar.
+    """
     d = F.col("direction")
-    moves = trades.join(few, (F.col("pair") == F.col("_p")) & (F.col("_b") > F.col("bar_idx")) & (F.col("_b") <= F.col("exit_bar")))
-    best = F.when(d > 0, F.col("high") - F.col("fill")).otherwise(F.col("fill") - F.col("low")) / pip
-    worst = F.when(d > 0, F.col("fill") - F.col("low")).otherwise(F.col("high") - F.col("fill")) / pip
-    found = moves.groupBy("trade_id").agg(F.greatest(F.max(best), F.lit(0.0)).alias("mfe"), F.greatest(F.max(worst), F.lit(0.0)).alias("mae"))
-    return trades.join(found, "trade_id", "left").na.fill(0.0, ["mfe", "mae"]).withColumn("bars_held", F.col("exit_bar") - F.col("bar_idx"))
+    few = bars.select("pair", F.col("bar_idx").alias("_b"), "high", "low", F.floor(F.col("bar_idx") / BLOCK).alias("_blk"))
+    whole = few.groupBy("pair", "_blk").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    first, last = F.floor((F.col("bar_idx") + 1) / BLOCK), F.floor(F.col("exit_bar") / BLOCK)
+    held = trades.where("exit_bar > bar_idx").select("trade_id", "pair", "bar_idx", "exit_bar", first.alias("_x"), last.alias("_y"))
+    edges = held.withColumn("_blk", F.explode(F.array_distinct(F.array("_x", "_y")))).join(few, ["pair", "_blk"]).where("_b > bar_idx and _b <= exit_bar").select("trade_id", "high", "low")
+    inner = held.where("_y > _x + 1").withColumn("_blk", F.explode(F.sequence(F.col("_x") + 1, F.col("_y") - 1))).join(whole, ["pair", "_blk"]).select("trade_id", "high", "low")
+    found = edges.unionByName(inner).groupBy("trade_id").agg(F.max("high").alias("_top"), F.min("low").alias("_low"))
+    out = trades.join(found, "trade_id", "left")
+    best = F.when(d > 0, F.col("_top") - F.col("fill")).otherwise(F.col("fill") - F.col("_low")) / pip
+    worst = F.when(d > 0, F.col("fill") - F.col("_low")).otherwise(F.col("_top") - F.col("fill")) / pip
+    zero = F.lit(0.0)
+    out = out.withColumns({"mfe": F.greatest(F.coalesce(best, zero), zero), "mae": F.greatest(F.coalesce(worst, zero), zero)})
+    return out.drop("_top", "_low").withColumn("bars_held", F.col("exit_bar") - F.col("bar_idx"))

@@ -29,9 +29,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.with_bar_idx(B.ticks_to_bars(ticks(spark, sf_dir), "H1", order=("ts", "event_id"), spread=spread))
 
 
-def sub_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sub_bars(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
     """Ticks as sub-bars of the hours: high = low = close, the hour's spread, sub_seq by time."""
-    bars = hourly(spark, sf_dir).select("pair", "bar_idx", "spread", B.seconds("ts").alias("_s"))
+    bars = (hourly(spark, sf_dir) if bars is None else bars).select("pair", "bar_idx", "spread", B.seconds("ts").alias("_s"))
     w = Window.partitionBy("pair").orderBy("ts", "event_id")
     t = ticks(spark, sf_dir).withColumns({"sub_seq": F.row_number().over(w).cast("long"), "_s": B.bucket("ts", "H1")})
     return t.join(bars, ["pair", "_s"]).select("pair", "bar_idx", "sub_seq", F.col("price").alias("high"), F.col("price").alias("low"), F.col("price").alias("close"), "spread")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quantloom.functions.numeric import tidy
+from quantloom.functions.reuse import settled
 from quantloom.operators import filters as FI
 from quantloom.operators import indicators as I
 from quantloom.operators import metrics as M
@@ -226,10 +227,10 @@ def p1(spark, d):
 
 def basic_trades(spark, d):
     """Trades of the moving-average signals with stops of 1500 and 4000 pips and targets of twice that."""
-    s = S.sma_crossover(hourly(spark, d), PIP)
+    bars = settled(hourly(spark, d))
     t = spark.createDataFrame([(0, 15.0), (1, 40.0)], "trial int, dist double")
-    r = T.evaluate(s, t).withColumns({"sl": F.col("entry_price") - F.col("direction") * F.col("dist"), "tp": F.col("entry_price") + 2 * F.col("direction") * F.col("dist"), "sl_pips": F.col("dist") / PIP})
-    return T.simulate_basic(r, hourly(spark, d), sub_bars(spark, d), PIP)
+    r = T.evaluate(S.sma_crossover(bars, PIP), t).withColumns({"sl": F.col("entry_price") - F.col("direction") * F.col("dist"), "tp": F.col("entry_price") + 2 * F.col("direction") * F.col("dist"), "sl_pips": F.col("dist") / PIP})
+    return T.simulate_basic(r, bars, sub_bars(spark, d, bars), PIP)
 
 
 BASIC = f"""{SUBS}, {PREP}, {SMA_SIGNALS}, tr0 AS (SELECT s.*, t.trial, t.dist, entry_price - direction * dist AS sl, entry_price + 2 * direction * dist AS tp FROM sig s CROSS JOIN (VALUES (0, 15e0), (1, 40e0)) t(trial, dist)),
@@ -265,19 +266,20 @@ def flagship(spark, d):
 
 
 def full_trades(spark, d):
-    bars = hourly(spark, d)
+    bars = settled(hourly(spark, d))
     s = S.sma_crossover(bars, PIP)
     t = spark.createDataFrame([(0, None, None, None, None, None, 24.0, 0.0), (1, 1000.0, 100.0, None, None, None, 0.0, 0.0), (2, None, None, 1500.0, 1000.0, None, 48.0, 0.0), (3, 500.0, 50.0, 2000.0, 1500.0, 1000.0, 36.0, 12.0)], "trial int, be_trigger double, be_offset double, trail_activate double, trail_pips double, partial_trigger double, max_bars double, stale_bars double")
     r = T.evaluate(s, t).withColumns({"sl": F.col("entry_price") - 30 * F.col("direction"), "tp": F.col("entry_price") + 60 * F.col("direction"), "partial_pct": F.lit(50.0), "stale_thr": F.lit(2.5), "atr": F.col("atr_pips") * PIP, "trade_id": F.concat_ws("/", "pair", "sig_seq", "trial"), "be_offset": F.coalesce("be_offset", F.lit(0.0))})
-    return T.simulate_full(r, bars, sub_bars(spark, d), PIP, horizon=64)
+    return T.simulate_full(r, bars, sub_bars(spark, d, bars), PIP, horizon=64)
 
 
 def grid_trades(spark, d):
-    """The moving-average signals under 200 trials: 20 stop distances by 10 reward ratios."""
-    s = S.sma_crossover(hourly(spark, d), PIP)
+    """The moving-average signals under 200 trials: 20 stop distances by 10 reward ratios; n_bars is the length of the pair's series."""
+    bars = settled(hourly(spark, d))
     t = spark.range(200).select(F.col("id").cast("int").alias("trial"), (5.0 + 2.5 * F.floor(F.col("id") / 10)).alias("dist"), (1.0 + 0.25 * (F.col("id") % 10)).alias("rr"))
-    r = T.evaluate(s, t).withColumns({"sl": F.col("entry_price") - F.col("direction") * F.col("dist"), "tp": F.col("entry_price") + F.col("rr") * F.col("direction") * F.col("dist"), "sl_pips": F.col("dist") / PIP})
-    return T.simulate_basic(r, hourly(spark, d), sub_bars(spark, d), PIP)
+    r = T.evaluate(S.sma_crossover(bars, PIP), t).withColumns({"sl": F.col("entry_price") - F.col("direction") * F.col("dist"), "tp": F.col("entry_price") + F.col("rr") * F.col("direction") * F.col("dist"), "sl_pips": F.col("dist") / PIP})
+    sized = bars.groupBy("pair").agg(F.count("*").alias("n_bars"))
+    return T.simulate_basic(r, bars, sub_bars(spark, d, bars), PIP).join(F.broadcast(sized), "pair")  # a row for each pair
 
 
 _GRID = BASIC.replace("(VALUES (0, 15e0), (1, 40e0)) t(trial, dist)", "(SELECT i::INTEGER AS trial, 5e0 + 25e-1 * (i // 10) AS dist, 1e0 + 25e-2 * (i % 10) AS rr FROM range(200) r(i)) t").replace("SELECT s.*, t.trial, t.dist,", "SELECT s.*, t.trial, t.dist, t.rr,").replace("entry_price + 2 * direction * dist AS tp", "entry_price + rr * direction * dist AS tp")
@@ -291,8 +293,7 @@ _BATCH += metric_sql("sized", "pair, trial", "sig_seq", annual="count(*) * 6048.
 @query("tr13_batch_evaluation", f"WITH {_GRID}, {_BATCH} SELECT pair, trial, trades, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in M.METRICS[1:]) + " FROM mq")
 def tr13(spark, d):
     """Ten metrics of 200 trials in one batch."""
-    sized = grid_trades(spark, d).join(hourly(spark, d).groupBy("pair").agg(F.count("*").alias("n_bars")), "pair")
-    m = M.metrics(sized, ["pair", "trial"], ["sig_seq"], sl_pips="sl_pips", n_bars="n_bars")
+    m = M.metrics(grid_trades(spark, d), ["pair", "trial"], ["sig_seq"], sl_pips="sl_pips", n_bars="n_bars")
     return m.select("pair", "trial", "trades", *(tidy(F.col(c), 4).alias(c) for c in M.METRICS[1:]))
 
 
