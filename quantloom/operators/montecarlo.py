@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quantloom.operators.metrics import metrics
+from quantloom.operators.search import deflated_sharpe
+
 MODULUS = 2_147_483_647
 
 
@@ -52,6 +55,29 @@ def trade_skip(pnl: DataFrame, share: float = 0.05, keys: tuple[str, ...] = ("ke
     return pnl.withColumns({"_r": F.row_number().over(w), "_n": n}).where(F.col("_r") <= F.col("_n") - F.floor(F.col("_n") * F.lit(share))).drop("_r", "_n")
 
 
+def skip_quality(pnl: DataFrame, keys: list[str], order: list[str], share: float = 0.05) -> DataFrame:
+    """Quality per key of the results that are left when a share of the trades is skipped."""
+    return metrics(trade_skip(pnl, share, tuple(keys)), keys, order).select(*keys, "quality")
+
+
+def record(pnl: DataFrame, keys: list[str], order: list[str], trials: int, iterations: int = 1000, block: int = 10, skips: tuple[float, ...] = (0.05, 0.1), dsr_gate: float = 0.95, p_gate: float = 0.05) -> DataFrame:
+    """Per key the whole Monte Carlo record and whether it passes.
+
+    observed_sharpe (per trade), bootstrap mean and points, p_value of the sign flips, quality_skip_<percent>,
+    stress_quality and its ratio to the quality (0 without quality), dsr for the number of trials, passed.
+    """
+    plain = metrics(pnl, keys, order, annual=1.0).select(*keys, F.col("sharpe").alias("observed_sharpe"), F.col("trades").alias("n"))
+    out = plain.join(metrics(pnl, keys, order).select(*keys, F.col("quality").alias("_quality")), keys)
+    boot = block_bootstrap(pnl, iterations, block, tuple(keys)).withColumnsRenamed({c: f"bootstrap_{c}" for c in ("mean", "p05", "p50", "p95")})
+    out = out.join(boot, keys).join(sign_flip(pnl, iterations, tuple(keys)), keys)
+    for share in skips:
+        out = out.join(skip_quality(pnl, keys, order, share).withColumnRenamed("quality", f"quality_skip_{round(100 * share)}"), keys)
+    out = out.join(metrics(cost_stress(pnl), keys, order).select(*keys, F.col("quality").alias("stress_quality")), keys)
+    out = out.withColumn("stress_ratio", F.when(F.col("_quality") > 0, F.col("stress_quality") / F.col("_quality")).otherwise(0.0)).drop("_quality")
+    out = out.withColumn("dsr", deflated_sharpe(F.col("observed_sharpe"), F.col("n"), F.lit(trials)))
+    return out.withColumn("passed", (F.col("dsr") >= dsr_gate) & (F.col("p_value") <= p_gate))
+
+
 def cost_stress(pnl: DataFrame, slippage: float = 0.5, commission: float = 0.7, slip_factor: float = 1.5, comm_factor: float = 1.3) -> DataFrame:
     """pnl less the extra cost of worse execution."""
     return pnl.withColumn("pnl", F.col("pnl") - slippage * (slip_factor - 1) - commission * (comm_factor - 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,25 @@ def position_size(balance: Column, sl_pips: Column, pip_value: Column, risk_pct:
 def magic(name: Column) -> Column:
     """A stable 31-bit identifier: the first eight hexadecimal digits of the MD5, modulo 2^31."""
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % (1 << 31)
+
+
+def breaker(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds reason, why the breaker is active after each event, empty where it isn't.
+
+    Events have a kind: ``trip`` (with the reason in ``said``), ``reset``, or ``day``, the change of day, which
+    resets a breaker that a daily loss has tripped and no other.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    place = F.row_number().over(w)
+    value = F.when(F.col("kind") == "trip", F.col("said")).when(F.col("kind") == "reset", "")
+    out = events.withColumns({"_n": place, "_value": value})
+    out = out.withColumns({"_set": F.max(F.when(F.col("_value").isNotNull(), F.col("_n"))).over(run), "_day": F.max(F.when(F.col("kind") == "day", F.col("_n"))).over(run), "_last": F.last("_value", ignorenulls=True).over(run)})
+    over = (F.col("_last") == "daily_loss") & (F.col("_day") > F.col("_set"))
+    return out.withColumn("reason", F.when(over, "").otherwise(F.coalesce("_last", F.lit("")))).drop("_n", "_value", "_set", "_day", "_last")
+
+
+def close_accounting(closed: DataFrame, pip: float, keys: list[str]) -> DataFrame:
+    """closed, wins (0 pips count as one), losses and pips per key of closed positions: what is left of each, and what was realised before."""
+    pips = F.round(F.col("direction") * (F.col("exit_price") - F.col("entry_price")) / pip * F.col("position_pct") + F.col("realised_pips"), 4)
+    return closed.groupBy(*keys).agg(F.count("*").alias("closed"), F.count(F.when(pips >= 0, 1)).alias("wins"), F.count(F.when(pips < 0, 1)).alias("losses"), F.sum(pips).alias("pips"))

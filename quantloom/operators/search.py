@@ -119,6 +119,38 @@ def widen(values: Sequence[float], factor: float) -> list[float]:
     return sorted({*values, *(made if whole else (round(v, 6) for v in made)), *([stop] if whole else [])})
 
 
+def widen_space(space: ParamSpace, factor: float, groups: Sequence[str] | None = None) -> ParamSpace:
+    """The space with the numeric parameters of some groups (all by default) widened."""
+    out = ParamSpace()
+    for p in space.params:
+        wide = p.kind == "numeric" and (groups is None or p.group in groups)
+        out.add(p.name, widen(p.values, factor) if wide else p.values, p.group)
+    return out
+
+
+def fill_factor(space: ParamSpace, target: int, group: str) -> float:
+    """The factor that brings a group to a number of combinations, spread evenly over its numeric parameters; 1 to 10."""
+    now = space.combinations(group)
+    numeric = sum(p.kind == "numeric" for p in space.params if p.group == group)
+    if not numeric or not 0 < now < target:
+        return 1.0
+    return min(max((target / now) ** (1 / numeric), 1.0), 10.0)
+
+
+def widen_to_budget(space: ParamSpace, trials: int, coverage: int = 10) -> tuple[ParamSpace, dict[str, tuple[int, int]]]:
+    """Widen the stages whose combinations a number of trials would cover more than ``coverage`` times; combinations before and after by stage."""
+    report = {}
+    for name, groups in stages(space):
+        groups = [g for g in groups if g in space.groups]
+        before = math.prod(space.combinations(g) for g in groups)
+        if trials > before * coverage:
+            target = max(1, int((trials // coverage) ** (1 / len(groups))))
+            for g in groups:
+                space = widen_space(space, fill_factor(space, target, g), [g])
+        report[name] = (before, math.prod(space.combinations(g) for g in groups))
+    return space, report
+
+
 class RandomSampler:
     """Uniform indices; locked values first, then a neighbourhood, then the whole range."""
 

@@ -186,3 +186,10 @@ def report(candidates: DataFrame) -> DataFrame:
     """rank and a JSON line per candidate, survivors first, best composite first."""
     w = Window.orderBy(F.col("eliminated"), F.desc("composite"), "candidate")
     return candidates.select("candidate", (F.row_number().over(w) - 1).cast("long").alias("rank"), F.to_json(F.struct(*[c for c in candidates.columns])).alias("json"))
+
+
+def config_errors(weights: dict[str, float] | None = None, **gates: float) -> list[str]:
+    """What is wrong with a configuration: weights that don't add up to 1 (give or take 0.01), gates outside 0 to 1."""
+    total = sum((WEIGHTS if weights is None else weights).values())
+    found = [f"the weights add up to {total:.3f} instead of 1"] if abs(total - 1) > 0.01 else []
+    return found + [f"{name} must be between 0 and 1, not {x}" for name, x in gates.items() if not 0 <= x <= 1]

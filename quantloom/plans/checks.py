@@ -16,7 +16,7 @@ from quantloom.operators import validation as V
 from quantloom.operators import verification as VE
 from quantloom.operators import metrics as M
 from quantloom.plans.registry import register
-from quantloom.plans.tables import BARS, RESULTS, hourly, read, results
+from quantloom.plans.tables import BARS, RESULTS, hourly, metric_sql, read, results
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -148,6 +148,31 @@ def v12(spark, d):
     return MC.trade_skip(results(spark, d)).groupBy("key").agg(F.count("*").alias("n"), tidy(F.sum("pnl"), 4).alias("total"))
 
 
+_SKIPPED = f"""{RESULTS}, sk AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY {_pseudo('seq', '1')}, seq) AS r, count(*) OVER (PARTITION BY key) AS n FROM results
+), kept AS (SELECT key, seq, pnl FROM sk WHERE r <= n - floor(n * 0.05::DOUBLE))"""
+
+
+@query("v12_skip_quality", f"WITH {_SKIPPED}, {metric_sql('kept', 'key', 'seq')} SELECT key, round(quality, 5) + 0.0 AS quality FROM mq")
+def v12_quality(spark, d):
+    return MC.skip_quality(results(spark, d), ["key"], ["seq"]).select("key", tidy(F.col("quality"), 5).alias("quality"))
+
+
+_PLAIN = metric_sql("results", "key", "seq").replace("m_", "a_").replace("mq AS", "aq AS")
+_STRESS = metric_sql("stressed", "key", "seq")
+
+
+@query("v14_monte_carlo_gates", f"""WITH {RESULTS}, {_PLAIN}, stressed AS (SELECT key, seq, pnl - 0.5 * 0.5 - 0.7 * 0.3 AS pnl FROM results), {_STRESS},
+ f AS (SELECT key, iter, round(sum(pnl * CASE WHEN {_pseudo('iter', 'seq')} % 2 = 0 THEN 1 ELSE -1 END), 4) AS total FROM results, (SELECT unnest(range(50)) AS iter) GROUP BY ALL),
+ o AS (SELECT key, round(sum(pnl), 4) AS observed FROM results GROUP BY key), pv AS (SELECT f.key, avg((total >= observed)::INT) AS p FROM f JOIN o ON o.key = f.key GROUP BY f.key)
+ SELECT aq.key, round(aq.sharpe / sqrt(252), 6) + 0.0 AS observed_sharpe, round(p, 6) + 0.0 AS p_value, round(mq.quality, 4) + 0.0 AS stress_quality,
+  round(CASE WHEN aq.quality > 0 THEN mq.quality / aq.quality ELSE 0 END, 4) + 0.0 AS stress_ratio, p <= 0.05 AS p_ok
+ FROM aq JOIN mq ON mq.key = aq.key JOIN pv ON pv.key = aq.key""")
+def v14(spark, d):
+    r = MC.record(results(spark, d), ["key"], ["seq"], trials=100, iterations=50)
+    return r.select("key", tidy(F.col("observed_sharpe")).alias("observed_sharpe"), tidy(F.col("p_value")).alias("p_value"), tidy(F.col("stress_quality"), 4).alias("stress_quality"), tidy(F.col("stress_ratio"), 4).alias("stress_ratio"), (F.col("p_value") <= 0.05).alias("p_ok"))
+
+
 @query("v13_cost_stress", f"WITH {RESULTS} SELECT key, seq, round(pnl - 0.5 * 0.5 - 0.7 * 0.3, 4) + 0.0 AS pnl FROM results")
 def v13(spark, d):
     return MC.cost_stress(results(spark, d)).select("key", "seq", tidy(F.col("pnl"), 4).alias("pnl"))
@@ -311,15 +336,27 @@ def j9(spark, d):
 
 def _live_and_replay(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("group"), F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(-1).alias("direction"), (F.col("o_orderkey") * 97 % 864_000).alias("s"), F.col("o_totalprice").alias("p"))
-    return o.where("id % 3 = 0"), o.where("id % 3 = 1")
+    return o.where("id % 2 = 0"), o.where("id % 2 = 1")
 
 
 def _matched(spark, d):
-    live, replay = _live_and_replay(spark, d)
-    pairs = VE.match(live.withColumnRenamed("id", "live_id"), replay.withColumnRenamed("id", "replay_id"))
-    a = live.select(F.col("id").alias("live_id"), "direction", F.col("s").alias("live_s"), F.col("p").alias("live_entry"), (F.col("p") + 10).alias("live_exit"), F.round(F.col("p") / 1000, 2).alias("live_pnl"), F.when(F.col("id") % 2 == 0, "SL").otherwise("tp").alias("live_reason"))
-    b = replay.select(F.col("id").alias("replay_id"), F.col("s").alias("replay_s"), F.col("p").alias("replay_entry"), (F.col("p") + 7).alias("replay_exit"), F.round(F.col("p") / 1000, 2).alias("replay_pnl"), F.when(F.col("id") % 2 == 0, "stop_loss").otherwise("take_profit").alias("replay_reason"))
-    return pairs.join(a, "live_id").join(b, "replay_id")
+    """Each order as a live trade beside the order of the next key as its replay."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("p"), (F.col("o_orderkey") * 97 % 864_000).alias("s"))
+    k = F.col("o_orderkey")
+    live = o.select(k.alias("live_id"), F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(-1).alias("direction"), F.col("s").alias("live_s"), F.col("p").alias("live_entry"), (F.col("p") + 10).alias("live_exit"), (F.col("p") / 1000).alias("live_pnl"), F.when(k % 2 == 0, "SL").otherwise("tp").alias("live_reason"))
+    replay = o.select(k.alias("replay_id"), F.col("s").alias("replay_s"), F.col("p").alias("replay_entry"), (F.col("p") + 7).alias("replay_exit"), (F.col("p") / 1000).alias("replay_pnl"), F.when(k % 3 == 0, "stop_loss").otherwise("take_profit").alias("replay_reason"))
+    return live.join(replay, F.col("live_id") + 1 == F.col("replay_id"))
+
+
+_COMPARED = """pr AS (
+  SELECT a.o_orderkey AS live_id, b.o_orderkey AS replay_id, CASE WHEN a.o_custkey % 2 = 0 THEN 1 ELSE -1 END AS d,
+         a.o_totalprice::DOUBLE AS p, b.o_totalprice::DOUBLE AS q, a.o_orderkey * 97 % 864000 AS s, b.o_orderkey * 97 % 864000 AS t
+  FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1
+), co AS (
+  SELECT live_id, replay_id, round(d * (p - q) / 1e-2, 2) + 0.0 AS entry_slippage, round(-d * ((p + 10) - (q + 7)) / 1e-2, 2) + 0.0 AS exit_slippage,
+         round((s - t) / 60.0::DOUBLE, 1) + 0.0 AS minutes, round(p / 1000 - q / 1000, 2) + 0.0 AS pnl_delta,
+         (live_id % 2 = 0) = (replay_id % 3 = 0) AS same_reason
+  FROM pr)"""
 
 
 @query("j6_match")
@@ -329,15 +366,22 @@ def j6(spark, d):
     return VE.match(live.withColumnRenamed("id", "live_id"), replay.withColumnRenamed("id", "replay_id"))
 
 
-@query("c2_compare")
+def _compared(spark, d):
+    c = VE.compare(_matched(spark, d), 0.01)
+    return c.select("live_id", "replay_id", *(tidy(F.col(x), n).alias(x) for x, n in (("entry_slippage", 2), ("exit_slippage", 2), ("minutes", 1), ("pnl_delta", 2))), "same_reason")
+
+
+@query("c2_compare", f"WITH {_COMPARED} SELECT * FROM co")
 def c2(spark, d):
-    return VE.compare(_matched(spark, d), 0.01)
+    return _compared(spark, d)
 
 
-@query("c3_aggregates")
+@query("c3_aggregates", f"""WITH {_COMPARED} SELECT count(*) AS matched, round(avg(entry_slippage), 3) + 0.0 AS mean_slippage, round(avg(pnl_delta), 4) + 0.0 AS mean_pnl_delta,
+  round(avg(same_reason::INT), 4) + 0.0 AS reason_rate FROM co""")
 def c3(spark, d):
-    live, replay = _live_and_replay(spark, d)
-    return VE.aggregates(VE.compare(_matched(spark, d), 0.01), live.count(), replay.count())
+    n = read(spark, d, "orders").count()
+    a = VE.aggregates(_compared(spark, d), n, n)
+    return a.select("matched", tidy(F.col("mean_slippage"), 3).alias("mean_slippage"), tidy(F.col("mean_pnl_delta"), 4).alias("mean_pnl_delta"), tidy(F.col("reason_rate"), 4).alias("reason_rate"))
 
 
 @query("l5_pre_trade", """SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'circuit_breaker' WHEN c_custkey % 13 >= 10 THEN 'daily_trades' WHEN c_acctbal - 5000 <= -(10000 * 3.0 / 100) AND c_custkey % 3 = 0 THEN 'daily_loss' WHEN (12000 - (11000 - c_custkey % 2000)) / 12000.0::DOUBLE * 100 >= 10 THEN 'drawdown'
@@ -355,6 +399,33 @@ def l6(spark, d):
     return read(spark, d, "customer").select("c_custkey", tidy(risk.position_size((10_000 + k).cast("double"), (k % 90 + 10).cast("double"), F.lit(10.0)), 4).alias("lots"))
 
 
+_BREAKER = """e AS (
+  SELECT event_type AS pair, event_id, user_id % 4 AS u, ts FROM events
+), k AS (
+  SELECT *, CASE u WHEN 0 THEN 'daily_loss' WHEN 1 THEN 'drawdown' WHEN 2 THEN '' END AS said, row_number() OVER (PARTITION BY pair ORDER BY ts, event_id) AS n FROM e
+), w AS (
+  SELECT *, last_value(said IGNORE NULLS) OVER z AS reason, max(CASE WHEN said IS NOT NULL THEN n END) OVER z AS at_set, max(CASE WHEN u = 3 THEN n END) OVER z AS at_day
+  FROM k WINDOW z AS (PARTITION BY pair ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query("l7_breaker", f"WITH {_BREAKER} SELECT event_id, CASE WHEN reason = 'daily_loss' AND at_day > at_set THEN '' ELSE coalesce(reason, '') END AS reason FROM w")
+def l7(spark, d):
+    u = F.col("user_id") % 4
+    kind = F.when(u <= 1, "trip").when(u == 2, "reset").otherwise("day")
+    e = read(spark, d, "events").select(F.col("event_type").alias("pair"), "ts", "event_id", kind.alias("kind"), F.when(u == 0, "daily_loss").when(u == 1, "drawdown").alias("said"))
+    return risk.breaker(e, ["pair"], ["ts", "event_id"]).select("event_id", "reason")
+
+
+@query("l8_close_accounting", """WITH c AS (
+  SELECT o_orderpriority AS key, o_orderdate AS day, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END * ((o_totalprice::DOUBLE / 1000 + o_orderkey % 7 - 3) - o_totalprice::DOUBLE / 1000) / 1e-2 * 0.5 + o_orderkey % 5 AS pips FROM orders)
+ SELECT key, count(*) AS closed, count(*) FILTER (round(pips, 4) >= 0) AS wins, count(*) FILTER (round(pips, 4) < 0) AS losses, round(sum(round(pips, 4)), 2) + 0.0 AS pips FROM c GROUP BY key""")
+def l8(spark, d):
+    k, p = F.col("o_orderkey"), F.col("o_totalprice").cast("double") / 1000
+    closed = read(spark, d, "orders").select(F.col("o_orderpriority").alias("key"), F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(-1).alias("direction"), p.alias("entry_price"), (p + k % 7 - 3).alias("exit_price"), F.lit(0.5).alias("position_pct"), (k % 5).cast("double").alias("realised_pips"))
+    r = risk.close_accounting(closed, 0.01, ["key"])
+    return r.select("key", "closed", "wins", "losses", tidy(F.col("pips"), 2).alias("pips"))
+
+
 @query("l10_magic", "SELECT c_custkey, ('0x' || substr(md5(c_name), 1, 8))::BIGINT % 2147483648 AS magic FROM customer")
 def l10(spark, d):
     return read(spark, d, "customer").select("c_custkey", risk.magic(F.col("c_name")).alias("magic"))

@@ -180,3 +180,18 @@ def test_sources(spark, tmp_path):
     nested = spark.createDataFrame([(1, {"x": 0.5})], "id int, gates map<string,double>")
     store.write_checkpoint(nested, str(tmp_path / "cp"))
     assert store.read_checkpoint(spark, str(tmp_path / "cp"), nested.schema).collect() == nested.collect()
+
+
+def test_widening_fills_a_budget():
+    s = search.ParamSpace().add("a", [1, 2, 3], "signal").add("b", [10.0, 20.0], "signal").add("mode", ["x", "y"], "signal").add("t", list(range(24)), "time")
+    assert search.fill_factor(s, 12, "signal") == 1.0 and abs(search.fill_factor(s, 48, "signal") - 2.0) < 1e-9
+    assert search.fill_factor(s, 10**9, "signal") == 10.0 and search.fill_factor(s, 5, "none") == 1.0
+    wide, report = search.widen_to_budget(s, 480)
+    assert report["signal"][0] == 12 < report["signal"][1] and wide.params[2].values == ("x", "y")
+    assert report["time"][0] == 24 <= report["time"][1] and search.widen_to_budget(s, 100)[0].combinations() == s.combinations()
+
+
+def test_config_errors():
+    assert validation.config_errors(pass_rate_gate=0.6, dsr_gate=0.95, p_gate=0.05) == []
+    found = validation.config_errors({"a": 0.5, "b": 0.4}, dsr_gate=1.2)
+    assert len(found) == 2 and "0.900" in found[0] and "dsr_gate" in found[1]
