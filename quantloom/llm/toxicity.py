@@ -84,6 +84,9 @@ def count_characters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return table.reshape(28, 28, 28)
 
 
+_LAST: dict[bytes, Decoder] = {}
+
+
 class Decoder:
     """Viterbi decoding of disguised words under a character model."""
 
@@ -96,11 +99,15 @@ class Decoder:
 
     @classmethod
     def of(cls, cost: list) -> Decoder:
-        """The decoder of costs already counted."""
-        made = cls.__new__(cls)
-        made.cost = cost
-        made._remember()
-        return made
+        """The decoder of costs already counted; a worker keeps the last one, with what it has read, for its next tasks."""
+        key = np.array(cost).tobytes()
+        if key not in _LAST:
+            made = cls.__new__(cls)
+            made.cost = cost
+            made._remember()
+            _LAST.clear()
+            _LAST[key] = made
+        return _LAST[key]
 
     def _remember(self) -> None:
         self.decode = lru_cache(1 << 16)(self._decode)
@@ -119,27 +126,32 @@ class Decoder:
         return tuple(found)
 
     @staticmethod
-    def _steps(word: str) -> list[list[tuple[str, float]]]:
-        """For each run of a character, what it may stand for and at what cost."""
-        steps: list[list[tuple[str, float]]] = []
+    @lru_cache(1 << 12)
+    def _ways(c: str, n: int) -> tuple[tuple[str, tuple[int, ...], float], ...]:
+        """What n of a character in a row may stand for: letters, their codes, and the cost."""
+        if c.isalpha():
+            ways = [(c * n, 0.0)] if n < 3 else [(c, Decoder.REPEAT), (c * 2, Decoder.REPEAT)]
+        elif c in SIGNS:
+            ways = [("", Decoder.DROP * n if c in GAPS else Decoder.LOSE * (n + 1))]
+            for x in SIGNS[c]:
+                ways.append((x * min(n, 2), Decoder.SWAP * n))
+                if n > 1:
+                    ways.append((x, Decoder.SWAP * n + Decoder.REPEAT))
+        else:
+            ways = [("", Decoder.DROP)]
+        return tuple((x, tuple(ord(y) - 96 if "a" <= y <= "z" else 27 for y in x), e) for x, e in ways)
+
+    @staticmethod
+    def _steps(word: str) -> list[tuple[tuple[str, tuple[int, ...], float], ...]]:
+        """The ways of each run of a character."""
+        steps = []
         i = 0
         while i < len(word):
-            c, j = word[i], i
-            while j < len(word) and word[j] == c:
+            j = i + 1
+            while j < len(word) and word[j] == word[i]:
                 j += 1
-            n = j - i
+            steps.append(Decoder._ways(word[i], j - i))
             i = j
-            if c.isalpha():
-                ways = [(c * n, 0.0)] if n < 3 else [(c, Decoder.REPEAT), (c * 2, Decoder.REPEAT)]
-            elif c in SIGNS:
-                ways = [("", Decoder.DROP * n if c in GAPS else Decoder.LOSE * (n + 1))]
-                for x in SIGNS[c]:
-                    ways.append((x * min(n, 2), Decoder.SWAP * n))
-                    if n > 1:
-                        ways.append((x, Decoder.SWAP * n + Decoder.REPEAT))
-            else:
-                ways = [("", Decoder.DROP)]
-            steps.append(ways)
         return steps
 
     def _decode(self, word: str) -> str:
@@ -148,17 +160,18 @@ class Decoder:
         A state is the pair of last letters; each keeps a pointer to the state it came from, so a step takes constant
         time and memory however long the word is.
         """
+        price = self.cost
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for ways in self._steps(word):
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in best.items():
-                for letters, extra in ways:
+                for letters, codes, extra in ways:
                     x, y, total = a, b, cost + extra
-                    for c in letters:
-                        z = ord(c) - 96 if "a" <= c <= "z" else 27
-                        total += self.cost[x][y][z]
+                    for z in codes:
+                        total += price[x][y][z]
                         x, y = y, z
-                    if (x, y) not in new or total < new[x, y][0]:
+                    known = new.get((x, y))
+                    if known is None or total < known[0]:
                         new[x, y] = (total, (path, letters) if letters else path)
             best = new
         path = min(((cost + self.cost[a][b][0], (a, b)) for (a, b), (cost, _) in best.items()))[1]

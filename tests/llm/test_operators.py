@@ -493,7 +493,7 @@ def test_decoder_equals_enumeration():
         word = "".join(rng.choice("ab1$.*eé-0 ccc6") for _ in range(rng.randint(1, 8)))
         readings = [("", 0.0)]
         for ways in d._steps(word):
-            readings = [(t + x, c + e) for t, c in readings for x, e in ways]
+            readings = [(t + x, c + e) for t, c in readings for x, _, e in ways]
         want = min(c + cost_of(t) for t, c in readings)
         found = d.decode(word)
         assert abs(min(c for t, c in readings if t == found) + cost_of(found) - want) < 1e-9
