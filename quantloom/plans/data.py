@@ -202,8 +202,12 @@ def src3_missing_years(spark, d):
     return B.missing_years(wanted, there, 2025)
 
 
-@query("src5_server_time", "SELECT event_id, epoch_us(ts) // 1000000 - 7200 AS utc_s FROM events WHERE month(ts) = 1")
+def _last_sunday(month: int) -> str:
+    day = f"make_date(year(ts), {month}, 31)"
+    return f"({day}::TIMESTAMP - to_days(dayofweek({day})::INTEGER))"
+
+
+@query("src5_server_time", f"""SELECT event_id, epoch_us(ts) // 1000000 - CASE WHEN ts >= {_last_sunday(3)} + INTERVAL 3 HOUR AND ts < {_last_sunday(10)} + INTERVAL 4 HOUR THEN 10800 ELSE 7200 END AS utc_s FROM events""")
 def src5_server_time(spark, d):
-    """Winter time in the broker's zone is two hours ahead of UTC."""
-    t = ticks(spark, d).where(F.month("ts") == 1)
-    return t.select("event_id", B.seconds(B.to_utc(F.col("ts"), "EET").cast("timestamp_ntz")).alias("utc_s"))
+    """The broker's zone is two hours ahead of UTC, three from the last Sunday of March to that of October."""
+    return ticks(spark, d).select("event_id", B.seconds(B.to_utc(F.col("ts"), "EET").cast("timestamp_ntz")).alias("utc_s"))
