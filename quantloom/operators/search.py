@@ -361,24 +361,26 @@ def archive(results: DataFrame, per_cell: int = 1, frequency: tuple[float, ...]
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_cell).drop("_r")
 
 
-def staged_search(space: ParamSpace, evaluate, trials: int, batch: int = 2048, explore: float = 0.4, seed: int = 0, exploiter=GeneticSampler, passing=None) -> tuple[dict[str, int], float]:
+def staged_search(space: ParamSpace, evaluate, trials: int, batch: int = 2048, explore: float = 0.4, seed: int = 0, exploiter=GeneticSampler, passing=None, start: dict[str, int] | None = None, full_groups: Sequence[str] = ()) -> tuple[dict[str, int], float]:
     """Stage by stage: even coverage first, then an exploiter; the best of a stage is locked for the next ones.
 
-    ``evaluate`` takes a matrix of indices and returns qualities: one Spark batch each.
-    ``passing`` may mask results; the best ungated one stands in where none passes.
+    ``evaluate`` takes a matrix of indices and returns qualities: one Spark batch each; in stages with
+    one of ``full_groups`` it is called with full=True.  ``passing`` may mask results; the best ungated one
+    stands in where none passes.  ``start`` has the values that later stages' parameters are held at.
     """
-    locked: dict[str, int] = {}
+    locked: dict[str, int] = dict(start or {})
     best = -math.inf
     for name, _, budget in budgets(space, trials):
         groups = dict(stages(space))[name]
         free = {p.name for p in space.params if p.group in groups}
+        mode = {"full": True} if set(groups) & set(full_groups) else {}
         fixed = {p.name: locked.get(p.name, 0) for p in space.params if p.name not in free}
         even, sharp = LowDiscrepancySampler(space, seed), exploiter(space, seed)
         done, top = 0, None
         while done < budget:
             n = min(batch, budget - done)
             index = (even if done < explore * budget else sharp).sample(n, fixed)
-            quality = np.asarray(evaluate(index), float)
+            quality = np.asarray(evaluate(index, **mode), float)
             gated = quality if passing is None else np.where(passing(index), quality, -math.inf)
             use = gated if np.isfinite(gated).any() else quality
             if top is None or use.max() > top[0]:

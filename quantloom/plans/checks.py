@@ -334,6 +334,13 @@ def j9(spark, d):
     return VE.closed_by_broker(e.where("event_type = 'view'").select(F.col("user_id").alias("ticket")).distinct(), e.where("event_type = 'click'").select(F.col("user_id").alias("ticket")))
 
 
+@query("j9_customers_without_orders", "SELECT c_custkey AS ticket FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def j9_customers(spark, d):
+    """Customers as tracked tickets, orders as the positions that the broker still holds."""
+    tracked = read(spark, d, "customer").select(F.col("c_custkey").alias("ticket"))
+    return VE.closed_by_broker(tracked, read(spark, d, "orders").select(F.col("o_custkey").alias("ticket")))
+
+
 def _live_and_replay(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("group"), F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(-1).alias("direction"), (F.col("o_orderkey") * 97 % 864_000).alias("s"), F.col("o_totalprice").alias("p"))
     return o.where("id % 2 = 0"), o.where("id % 2 = 1")

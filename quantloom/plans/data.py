@@ -10,7 +10,7 @@ from quantloom.functions.numeric import tidy
 from quantloom.operators import bars as B
 from quantloom.operators import quality as Q
 from quantloom.plans.registry import register
-from quantloom.plans.tables import BARS, hourly, ticks
+from quantloom.plans.tables import BARS, hourly, read, ticks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -143,6 +143,25 @@ def ag4_gap_details(spark, d):
     return Q.gap_details(Q.gaps(hourly(spark, d), "H1"))
 
 
+def _of_users(spark, d):
+    """Hours of each user as a series of its own: few ticks, so many gaps, over weekends and the turn of the year."""
+    t = read(spark, d, "events").select(F.col("user_id").cast("string").alias("pair"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", F.col("value").alias("price"))
+    return B.ticks_to_bars(t, "H1", order=("ts", "event_id"))
+
+
+_USER_GAPS = _GAPS.replace("event_type AS pair", "user_id::VARCHAR AS pair")
+
+
+@query("ag4_ag5_user_gaps", f"WITH {_USER_GAPS} SELECT * FROM gaps")
+def ag5_user_gaps(spark, d):
+    return Q.gaps(_of_users(spark, d), "H1")
+
+
+@query("ag4_user_gap_details", f"WITH {_USER_GAPS} SELECT pair, start_s, end_s, kind, row_number() OVER (PARTITION BY pair ORDER BY start_s)::INTEGER AS rank FROM gaps WHERE kind = 'unexpected' QUALIFY rank <= 20")
+def ag4_user_gap_details(spark, d):
+    return Q.gap_details(Q.gaps(_of_users(spark, d), "H1"))
+
+
 _CELLS = "count(*) AS n_rows, sum((open = 0)::INT + (high = 0)::INT + (low = 0)::INT + (close = 0)::INT)::BIGINT AS zeros, sum((open IS NULL)::INT + (high IS NULL)::INT + (low IS NULL)::INT + (close IS NULL)::INT)::BIGINT AS missing"
 
 
