@@ -334,11 +334,12 @@ def j9(spark, d):
     return VE.closed_by_broker(e.where("event_type = 'view'").select(F.col("user_id").alias("ticket")).distinct(), e.where("event_type = 'click'").select(F.col("user_id").alias("ticket")))
 
 
-@query("j9_customers_without_orders", "SELECT c_custkey AS ticket FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def j9_customers(spark, d):
-    """Customers as tracked tickets, orders as the positions that the broker still holds."""
+@query("j9_without_open_order", "SELECT c_custkey AS ticket FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
+def j9_without_open_order(spark, d):
+    """Customers as tracked tickets, open orders as the positions that the broker still holds."""
     tracked = read(spark, d, "customer").select(F.col("c_custkey").alias("ticket"))
-    return VE.closed_by_broker(tracked, read(spark, d, "orders").select(F.col("o_custkey").alias("ticket")))
+    held = read(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("ticket"))
+    return VE.closed_by_broker(tracked, held)
 
 
 def _live_and_replay(spark, d):
