@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import url_filter
+from quantloom.llm import merkle, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_ngram_join, op4_url_filters, op5_fingerprints, op6_license_scans, op7_benchmark_decontamination, op8_toxicity, op9_language_id, op10_suffix_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.merkle import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.piece_encoding import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+_EVERY = (
+    op1_sharding, op2_best_fit_packing, op3_ngram_join, op4_url_filters, op5_fingerprints, op6_license_scans, op7_benchmark_decontamination,
+    op8_toxicity, op9_language_id, op10_suffix_dedup, op11_merkle_manifest, op12_sentencepiece, op13_embedding_whitening,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _EVERY}
 
 _SHARDING = "SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, md5(text) AS md5 FROM documents"
 
@@ -98,4 +120,4 @@ FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 #: SQL where it can express the operator; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op1_sharding": _SHARDING, "op3_ngram_join": _NGRAM_JOIN, "op4_url_filters": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op1_sharding": _SHARDING, "op3_ngram_join": _NGRAM_JOIN, "op4_url_filters": url_filter.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
