@@ -12,10 +12,13 @@ sub-bars that are higher or lower than all since, and each trade looks its stop
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.reuse import settled
+from quantloom.operators.paths import START, price_paths, quiet_paths
 
 BLOCK = 64
 SLIPPAGE, COMMISSION = 0.5, 0.7  # pips
@@ -133,111 +136,114 @@ def evaluate(signals: DataFrame, trials: DataFrame, condition: Column | None = N
 MANAGEMENT = {"max_bars": 0, "stale_bars": 0, "stale_thr": 0.0, "be_trigger": None, "be_offset": 0.0, "trail_activate": None, "trail_pips": None, "partial_trigger": None, "partial_pct": 0.0}
 
 
-def _path_hits(filled: DataFrame, subs: DataFrame, pip: float, horizon: int | None) -> DataFrame:
-    """First stop, target and partial, and last sub-bar, of each trade within a horizon."""
-    d = F.col("direction")
-    rows = _ahead(filled, subs, horizon)
-    w = Window.partitionBy("trade_id").orderBy("sub_seq")
-    run, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    best, worst = F.when(d > 0, F.col("h")).otherwise(F.col("l")), F.when(d > 0, F.col("l")).otherwise(F.col("h"))
-    rows = rows.withColumns({"_best": d * best, "_worst": d * worst}).withColumn("_f", (F.col("_best") - d * F.col("fill")) / pip)
-    trailing = F.coalesce(F.max(F.when(F.col("_f") >= F.col("trail_activate"), 1)).over(run), F.lit(0)) == 1
-    rows = rows.withColumn("_trail", trailing)
-    path = F.max(F.when(F.col("_trail"), F.col("_best") - F.col("trail_pips") * pip)).over(before)
-    start = d * F.col("sl")
-    rows = rows.withColumn("_s", F.greatest(start, F.coalesce(path, start)))
-    be = d * F.col("fill") + F.col("be_offset") * pip
-    first_be = F.min(F.when(F.col("_f") >= F.col("be_trigger"), F.col("sub_seq"))).over(Window.partitionBy("trade_id"))
-    rows = rows.withColumns({"_be": be, "_k": first_be})
-    locks = F.max(F.when((F.col("sub_seq") == F.col("_k")) & (F.col("_be") > F.col("_s")), 1)).over(before) == 1
-    rows = rows.withColumns({"_locked": F.coalesce(locks, F.lit(False)), "_was_trail": F.coalesce(F.lag("_trail").over(w), F.lit(False))})
-    rows = rows.withColumn("_stop", F.when(F.col("_locked"), F.greatest("_s", "_be")).otherwise(F.col("_s")))
-    return rows.groupBy("trade_id").agg(
-        F.min(F.when(F.col("_worst") <= F.col("_stop"), F.struct("sub_seq", F.col("at_bar").alias("b"), F.col("_stop").alias("p"), F.when(F.col("_was_trail"), "trailing").when(F.col("_locked"), "breakeven").otherwise("sl").alias("r"), F.col("sp").alias("s")))).alias("x_sl"),
-        F.min(F.when(F.col("_best") >= d * F.col("tp"), F.struct("sub_seq", F.col("at_bar").alias("b"), (d * F.col("tp")).alias("p"), F.lit("tp").alias("r"), F.col("sp").alias("s")))).alias("x_tp"),
-        F.min(F.when(F.col("_f") >= F.col("partial_trigger"), F.struct("sub_seq", F.col("at_bar").alias("b"), F.col("c").alias("p"), F.col("sp").alias("s")))).alias("x_part"),
-        F.max(F.struct("sub_seq", F.col("at_bar").alias("b"), F.col("c").alias("p"), F.col("sp").alias("s"))).alias("x_end"),
-    )
+def management(rows: DataFrame, pip: float | Column) -> DataFrame:
+    """The management columns of (signal, trial) rows from the parameters of the standard space and the signal's atr_pips.
 
-
-def _all_hits(filled: DataFrame, subs: DataFrame, pip: float, timed: DataFrame, horizon: int | None) -> DataFrame:
-    """As _path_hits over all bars: a trade is settled once it is hit, or closed by time or stale, within the horizon."""
-    last = (subs.agg(F.max("bar_idx")).first()[0] or 0) - (filled.agg(F.min("bar_idx")).first()[0] or 0)
-    open_, found = filled, None
-    while horizon is not None and horizon < last:
-        hits = settled(_path_hits(open_, subs, pip, horizon))
-        ends = open_.select("trade_id", "bar_idx").join(timed.select("trade_id", "bar_exit"), "trade_id", "left").join(hits.select("trade_id", (F.col("x_sl").isNotNull() | F.col("x_tp").isNotNull()).alias("_hit")), "trade_id", "left")
-        ended = ends.where(F.coalesce("_hit", F.lit(False)) | F.coalesce(F.col("bar_exit") <= F.col("bar_idx") + horizon, F.lit(False))).select("trade_id")
-        done = hits.join(ended, "trade_id", "left_semi")
-        found = done if found is None else found.unionByName(done)
-        open_ = settled(open_.join(ended, "trade_id", "left_anti"))
-        if open_.isEmpty():
-            return found
-        horizon *= 4
-    rest = _path_hits(open_, subs, pip, horizon)
-    return rest if found is None else found.unionByName(rest)
+    A module that is off has a null trigger; the chandelier mode trails by a multiple of the ATR at the signal.
+    """
+    c = F.col
+    trail = F.when(c("trailing_mode") == "fixed_pip", c("trail_distance")).when(c("trailing_mode") == "atr_chandelier", c("trail_atr_mult") * c("atr_pips"))
+    on = lambda flag, x: F.when(c(flag), c(x)).cast("double")
+    return rows.withColumns({
+        "trail_pips": trail.cast("double"), "trail_activate": F.when(c("trailing_mode").isin("fixed_pip", "atr_chandelier"), c("trail_activate")).cast("double"),
+        "be_trigger": on("be_enabled", "be_trigger"), "be_offset": c("be_offset").cast("double"), "partial_trigger": on("partial_enabled", "partial_trigger"), "partial_pct": c("partial_pct").cast("double"),
+        "max_bars": c("max_bars").cast("double"), "stale_bars": F.coalesce(on("stale_enabled", "stale_bars"), F.lit(0.0)), "stale_thr": c("stale_thr").cast("double"), "atr": c("atr_pips") * pip,
+    })
+
+
+def _first(items: str, holds: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(items, holds), 0)
+
+
+def _exits(trades: DataFrame, pip: float) -> DataFrame:
+    """Adds x_sl (with price and reason), x_tp and x_part to trades that have their start's ups, downs and legs."""
+    c, d = F.col, F.col("direction")
+    gain = lambda x: (x["v"] - c("_f")) / pip
+    behind = lambda trigger: F.when(F.exists("ups", lambda x: gain(x) >= c(trigger)), F.size(F.filter("ups", lambda x: gain(x) < c(trigger))))
+    at = lambda x: F.struct(x["seq"].alias("seq"), x["bar"].alias("bar"), x["spread"].alias("spread"))
+    out = trades.withColumns({"_f": d * c("fill"), "_s0": d * c("sl"), "_d": c("trail_pips") * pip, "_be": d * c("fill") + c("be_offset") * pip})
+    out = out.withColumns({"_a": behind("trail_activate"), "_k": behind("be_trigger")})  # the ups that switch on trailing and breakeven
+    stop = F.greatest("_s0", F.when(c("_a") < c("_k"), F.get("ups", c("_k") - 1)["v"] - c("_d")))
+    out = out.withColumn("_lock", F.when(c("_be") > stop, c("_k")))
+    fixed = _first("downs", lambda x: x["v"] <= c("_s0"))
+    moved = _first("legs", lambda x: (x["run"] > c("_lock")) & (x["v"] <= c("_be")))
+    trailed = _first("legs", lambda x: (x["run"] > c("_a")) & (x["v"] <= x["top"] - c("_d")))
+    out = out.withColumns({"_x1": fixed, "_x2": moved, "_x3": trailed})
+    out = out.withColumn("_x", F.least(*[F.when(c(x).isNotNull(), at(c(x))) for x in ("_x1", "_x2", "_x3")])).drop("_x1", "_x2", "_x3")
+    out = out.withColumn("_n", F.size(F.filter("ups", lambda x: x["seq"] < c("_x.seq"))))
+    locked, trails = c("_lock") < c("_n"), c("_a") < c("_n")
+    price = F.greatest("_s0", F.when(locked, c("_be")), F.when(trails, F.get("ups", c("_n") - 1)["v"] - c("_d")))
+    reason = F.when(trails, "trailing").when(locked, "breakeven").otherwise("sl")
+    hit = F.when(c("_x").isNotNull(), F.struct(c("_x.seq").alias("seq"), c("_x.bar").alias("b"), price.alias("p"), reason.alias("r"), c("_x.spread").alias("s")))
+    target = _first("ups", lambda x: x["v"] >= d * c("tp"))
+    part = _first("ups", lambda x: gain(x) >= c("partial_trigger"))
+    out = out.withColumns({"x_sl": hit, "_t": target, "x_part": part})
+    out = out.withColumn("x_tp", F.when(c("_t").isNotNull(), F.struct(c("_t.seq").alias("seq"), c("_t.bar").alias("b"), (d * c("tp")).alias("p"), F.lit("tp").alias("r"), c("_t.spread").alias("s"))))
+    return out.drop("ups", "downs", "legs", "_f", "_s0", "_d", "_be", "_a", "_k", "_lock", "_x", "_n", "_t")
 
 
 def simulate_full(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: float, slippage: float = SLIPPAGE, commission: float = COMMISSION, horizon: int | None = None) -> DataFrame:
     """As simulate_basic, with breakeven, trailing, partial close, time and stale exits; adds partial (whether it was taken).
 
-    The stop path doesn't depend on the exit, so it is a window along each trade's
-    sub-bars; moves take effect on the next sub-bar.  Time and stale exits close a
-    bar before its sub-bars are looked at.  Null triggers switch a module off.  Trades
-    still open at the horizon look again, four times as far, up to the last bar.
+    Moves of the stop take effect on the next sub-bar.  Time and stale exits close a bar before its sub-bars are looked
+    at.  Null triggers switch a module off.  The work on bars grows with the starts (bar and direction) that have trades; each trade
+    looks its exits up in the path of its start.  ``horizon`` is how far is looked at first.
     """
     trades = trades.withColumns({c: F.lit(v).cast("double") for c, v in MANAGEMENT.items() if c not in trades.columns})
     trades, subs = settled(trades), settled(subs)  # read several times below
     d = F.col("direction")
-    span = bars.select("pair", F.col("bar_idx").alias("_b"), (F.col("high") - F.col("low")).alias("_range"), F.col("close").alias("_bar_close"), F.col("spread").alias("_bar_spread"))
-    timed = settled(_bar_exits(trades, span))
-    filled = settled(fill_entries(trades, subs, pip, slippage))
-    hits = _all_hits(filled, subs, pip, timed, horizon)
-    out = filled.join(hits, "trade_id", "left").join(timed, "trade_id", "left")
-    touch = F.when(F.col("x_tp").isNull() | (F.col("x_sl.sub_seq") <= F.col("x_tp.sub_seq")), F.col("x_sl")).otherwise(F.col("x_tp"))
+    starts = settled(trades.groupBy(*START).agg(F.max(d * F.col("tp")).alias("top"), F.min(d * F.col("sl")).alias("bottom")))
+    paths, ends = price_paths(starts, subs, horizon or 256)
+    filled = fill_entries(trades, subs, pip, slippage)
+    out = _exits(filled.join(paths, list(START), "left"), pip)
+    out = out.join(_bar_exits(trades, bars, settled(ends)), "trade_id", "left")
+    final = subs.groupBy("pair").agg(F.max("bar_idx").alias("_last_bar"), F.max_by("close", "sub_seq").alias("_last_close"), F.max_by("spread", "sub_seq").alias("_last_spread"))
+    own = bars.select("pair", "bar_idx", F.col("close").alias("_own_close"), F.col("spread").alias("_own_spread"))
+    out = out.join(final, "pair", "left").join(own, ["pair", "bar_idx"], "left")
+    goes_on = F.col("_last_bar") > F.col("bar_idx")
+    end = lambda a, b: F.when(goes_on, F.col(a)).otherwise(F.col(b))
+    touch = F.when(F.col("x_tp").isNull() | (F.col("x_sl.seq") <= F.col("x_tp.seq")), F.col("x_sl")).otherwise(F.col("x_tp"))
     out = out.withColumn("_x", touch)
     by_bar = F.col("bar_exit").isNotNull() & (F.col("_x").isNull() | (F.col("_x.b") >= F.col("bar_exit")))
-    own = bars.select("pair", "bar_idx", F.col("close").alias("_own_close"), F.col("spread").alias("_own_spread"))
-    out = out.join(own, ["pair", "bar_idx"], "left").withColumn("_by_bar", by_bar)
+    out = out.withColumn("_by_bar", by_bar)
     slip = slippage * pip
     reason = F.when(F.col("_by_bar"), F.col("bar_reason")).when(F.col("_x").isNotNull(), F.col("_x.r")).otherwise("none")
     price = (
         F.when(F.col("_by_bar"), F.col("bar_price") - d * slip)
         .when(F.col("_x.r") == "tp", F.col("tp"))
         .when(F.col("_x").isNotNull(), d * F.col("_x.p") - d * slip)
-        .otherwise(F.coalesce(F.col("x_end.p"), F.col("_own_close")) - d * slip)
+        .otherwise(end("_last_close", "_own_close") - d * slip)
     )
-    exit_bar = F.when(F.col("_by_bar"), F.col("bar_exit")).when(F.col("_x").isNotNull(), F.col("_x.b")).otherwise(F.coalesce(F.col("x_end.b"), F.col("bar_idx")))
-    spread = F.when(F.col("_by_bar"), F.col("bar_spread")).when(F.col("_x").isNotNull(), F.col("_x.s")).otherwise(F.coalesce(F.col("x_end.s"), F.col("_own_spread")))
-    end_seq = F.when(F.col("_by_bar"), F.lit(None).cast("long")).otherwise(F.coalesce(F.col("_x.sub_seq"), F.lit(2**62)))
-    taken = F.coalesce(F.when(F.col("_by_bar"), F.col("x_part.b") < F.col("bar_exit")).otherwise(F.col("x_part.sub_seq") <= end_seq), F.lit(False))
-    out = out.withColumns({"reason": reason, "exit_price": price, "exit_bar": exit_bar, "partial": taken, "_spread": F.coalesce(F.nanvl(spread, F.lit(0.0)), F.lit(0.0))})
+    exit_bar = F.when(F.col("_by_bar"), F.col("bar_exit")).when(F.col("_x").isNotNull(), F.col("_x.b")).otherwise(end("_last_bar", "bar_idx"))
+    spread = F.when(F.col("_by_bar"), F.col("bar_spread")).when(F.col("_x").isNotNull(), F.col("_x.s")).otherwise(end("_last_spread", "_own_spread"))
+    taken = F.when(F.col("_by_bar"), F.col("x_part.bar") < F.col("bar_exit")).when(F.col("_x").isNotNull(), F.col("x_part.seq") <= F.col("_x.seq")).otherwise(F.col("x_part").isNotNull())
+    out = out.withColumns({"reason": reason, "exit_price": price, "exit_bar": exit_bar, "partial": F.coalesce(taken, F.lit(False)), "_spread": F.coalesce(F.nanvl(spread, F.lit(0.0)), F.lit(0.0))})
     share = F.when(F.col("partial"), F.col("partial_pct") / 100).otherwise(0.0)
-    part_cost = F.when(d < 0, F.coalesce(F.nanvl(F.col("x_part.s"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
-    part = F.when(F.col("partial"), share * ((d * (F.col("x_part.p") - d * slip - F.col("fill"))) - part_cost) / pip).otherwise(0.0)
+    part_cost = F.when(d < 0, F.coalesce(F.nanvl(F.col("x_part.spread"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    part = F.when(F.col("partial"), share * ((d * (F.col("x_part.close") - d * slip - F.col("fill"))) - part_cost) / pip).otherwise(0.0)
     rest = (1 - share) * (d * (F.col("exit_price") - F.col("fill")) - F.when(d < 0, F.col("_spread")).otherwise(0.0)) / pip
     out = out.withColumn("pnl", part + rest - commission)
-    return out.drop("x_sl", "x_tp", "x_part", "x_end", "_x", "_by_bar", "_spread", "_own_close", "_own_spread", "bar_exit", "bar_reason", "bar_price", "bar_spread")
-
-
-def _bar_exits(trades: DataFrame, span: DataFrame) -> DataFrame:
-    """First bar at which max_bars or the stale rule closes a trade; max_bars first."""
-    cap = F.greatest(F.coalesce("max_bars", F.lit(0.0)), F.lit(0.0))
-    stale_n = F.coalesce("stale_bars", F.lit(0.0))
-    by_time = trades.where(cap > 0).select("trade_id", "pair", (F.col("bar_idx") + cap).cast("long").alias("_b"), F.lit(0).alias("_k"))
-    lengths = trades.where(stale_n > 0).select(stale_n.cast("int").alias("_n")).distinct()
-    stale = None
-    for r in lengths.collect():  # a handful of parameter values
-        n = r["_n"]
-        w = Window.partitionBy("pair").orderBy("_b").rowsBetween(-(n - 1), 0)
-        width = span.withColumn("_widest", F.max("_range").over(w))
-        mine = trades.where(stale_n == n)
-        hit = mine.join(width, "pair").where((F.col("_b") >= F.col("bar_idx") + n) & (F.col("_widest") < F.col("stale_thr") * F.col("atr")))
-        hit = hit.groupBy("trade_id", "pair").agg(F.min("_b").alias("_b")).withColumn("_k", F.lit(1))
-        stale = hit if stale is None else stale.unionByName(hit)
-    every = by_time if stale is None else by_time.unionByName(stale.select(by_time.columns))
-    first = every.groupBy("trade_id", "pair").agg(F.min(F.struct("_b", "_k")).alias("x")).select("trade_id", "pair", F.col("x._b").alias("_b"), F.when(F.col("x._k") == 0, "max_bars").otherwise("stale").alias("bar_reason"))
-    return first.join(span, ["pair", "_b"]).select("trade_id", F.col("_b").alias("bar_exit"), "bar_reason", F.col("_bar_close").alias("bar_price"), F.col("_bar_spread").alias("bar_spread"))
+    return out.drop("x_sl", "x_tp", "x_part", "_x", "_by_bar", "_spread", "_own_close", "_own_spread", "_last_bar", "_last_close", "_last_spread", "bar_exit", "bar_reason", "bar_price", "bar_spread")
+
+
+def _bar_exits(trades: DataFrame, bars: DataFrame, ends: DataFrame) -> DataFrame:
+    """trade_id, bar_exit, bar_reason, bar_price, bar_spread: the first bar at which max_bars or the stale rule closes a trade; max_bars first."""
+    cap, length = F.coalesce("max_bars", F.lit(0.0)), F.coalesce("stale_bars", F.lit(0.0)).cast("int")
+    timed = trades.where((cap > 0) | (length > 0)).select("trade_id", "pair", "bar_idx", F.when(cap > 0, F.col("bar_idx") + cap.cast("long")).alias("_cap"), length.alias("n"), (F.col("stale_thr") * F.col("atr")).alias("_width"))
+    starts = trades.where(length > 0).select(*START, length.alias("n")).distinct().join(ends, list(START)).groupBy("pair", "bar_idx", "n").agg(F.max("path_end").alias("path_end"))
+    out = timed.join(quiet_paths(settled(starts), bars), ["pair", "bar_idx", "n"], "left")
+    out = out.withColumn("_stale", _first("quiet", lambda x: x["width"] < F.col("_width"))["bar"]).drop("quiet")
+    out = out.withColumns({"bar_exit": F.least("_cap", "_stale"), "bar_reason": F.when(F.col("_stale") < F.coalesce("_cap", F.lit(2**62)), "stale").otherwise("max_bars")})
+    at = bars.select("pair", F.col("bar_idx").alias("bar_exit"), F.col("close").alias("bar_price"), F.col("spread").alias("bar_spread"))
+    return out.join(at, ["pair", "bar_exit"]).select("trade_id", "bar_exit", "bar_reason", "bar_price", "bar_spread")
+
+
+def capped(trades: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
+    """The first ``cap`` trades of each evaluation; sl_pips becomes the stops of all its signals by the number of trades kept."""
+    all_ = Window.partitionBy(*keys)
+    held = F.least(F.count("*").over(all_), F.lit(cap))
+    out = trades.withColumns({"_n": F.row_number().over(all_.orderBy(*order)), "sl_pips": F.sum("sl_pips").over(all_) / held})
+    return out.where(F.col("_n") <= cap).drop("_n")
 
 
 def excursions(trades: DataFrame, bars: DataFrame, pip: float) -> DataFrame:
