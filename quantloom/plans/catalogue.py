@@ -10,7 +10,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("data", "windows", "trading", "checks")
+_MODULES = ("data", "windows", "trading", "full", "checks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

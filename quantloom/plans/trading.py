@@ -265,14 +265,6 @@ def flagship(spark, d):
     return m.select("pair", "trial", "trades", *(tidy(F.col(c), 4).alias(c) for c in M.METRICS[1:]))
 
 
-def full_trades(spark, d):
-    bars = settled(hourly(spark, d))
-    s = S.sma_crossover(bars, PIP)
-    t = spark.createDataFrame([(0, None, None, None, None, None, 24.0, 0.0), (1, 1000.0, 100.0, None, None, None, 0.0, 0.0), (2, None, None, 1500.0, 1000.0, None, 48.0, 0.0), (3, 500.0, 50.0, 2000.0, 1500.0, 1000.0, 36.0, 12.0)], "trial int, be_trigger double, be_offset double, trail_activate double, trail_pips double, partial_trigger double, max_bars double, stale_bars double")
-    r = T.evaluate(s, t).withColumns({"sl": F.col("entry_price") - 30 * F.col("direction"), "tp": F.col("entry_price") + 60 * F.col("direction"), "partial_pct": F.lit(50.0), "stale_thr": F.lit(2.5), "atr": F.col("atr_pips") * PIP, "trade_id": F.concat_ws("/", "pair", "sig_seq", "trial"), "be_offset": F.coalesce("be_offset", F.lit(0.0))})
-    return T.simulate_full(r, bars, sub_bars(spark, d, bars), PIP, horizon=64)
-
-
 def grid_trades(spark, d):
     """The moving-average signals under 200 trials: 20 stop distances by 10 reward ratios; n_bars is the length of the pair's series."""
     bars = settled(hourly(spark, d))
@@ -297,12 +289,6 @@ def tr13(spark, d):
     return m.select("pair", "trial", "trades", *(tidy(F.col(c), 4).alias(c) for c in M.METRICS[1:]))
 
 
-@query("tr4_full_simulation")
-def tr4(spark, d):
-    """Breakeven, trailing, partial, time and stale exits; held against a literal state machine in the tests."""
-    return full_trades(spark, d).select("pair", "sig_seq", "trial", "direction", "reason", "exit_bar", "partial", tidy(F.col("pnl"), 3).alias("pnl"))
-
-
 _BY_REGIME = _REGIME.replace(_TR + ", ", "").replace(_atr(14) + ", ", "") + """, tt AS (
   SELECT t.pair, f.v AS regime, t.bar_idx, t.sig_seq, t.pnl FROM trades t JOIN run r ON r.pair = t.pair AND r.bar_idx = t.bar_idx JOIN fold f ON f.pair = r.pair AND f.run = r.run WHERE t.trial = 0 AND f.v >= 0),
  te AS (SELECT *, sum(pnl) OVER (PARTITION BY pair, regime ORDER BY bar_idx, sig_seq) AS eq FROM tt), tp AS (SELECT *, max(eq) OVER (PARTITION BY pair, regime ORDER BY bar_idx, sig_seq) AS peak FROM te),
