@@ -80,7 +80,7 @@ def _told_bars(starts: DataFrame, subs: DataFrame, horizon: int) -> tuple[DataFr
     return joined(told), joined(ends).groupBy(*START).agg(F.max("path_end").alias("path_end"))
 
 
-def price_paths(starts: DataFrame, subs: DataFrame, horizon: int = 256) -> tuple[DataFrame, DataFrame]:
+def price_paths(starts: DataFrame, subs: DataFrame, horizon: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(START, ups, downs, legs) of each start (START, top, bottom in signed prices) that has bars ahead, and (START, path_end).
 
     ups are structs (seq, v, bar, close, spread), downs (seq, v, bar, spread), legs (seq, v, top, run, bar, spread): ``run`` is the
@@ -104,17 +104,16 @@ def price_paths(starts: DataFrame, subs: DataFrame, horizon: int = 256) -> tuple
     return rows.groupBy(*START).agg(listed(up).alias("ups"), listed(down).alias("downs"), listed(leg).alias("legs")), ends
 
 
-def quiet_paths(starts: DataFrame, bars: DataFrame) -> DataFrame:
+def quiet_paths(starts: DataFrame, bars: DataFrame, longest: int) -> DataFrame:
     """(pair, bar_idx, n, quiet) of starts (pair, bar_idx, n, path_end): n bars' widest range, each time it is below all before.
 
     quiet are structs (bar, width), from the n-th bar after the start on.  Widths of any n come from those of powers of two: two of
-    them cover n bars, found by an equi-join, so lengths are data.
+    them cover n bars, found by an equi-join, so lengths are data; ``longest`` bounds them.
     """
-    longest = starts.agg(F.max("n")).first()[0] or 1
-    powers = range(max(1, int(longest)).bit_length())
+    powers = range(max(1, longest).bit_length())
     w = Window.partitionBy("pair").orderBy("bar_idx")
     spans = bars.withColumn("_r", F.col("high") - F.col("low"))
-    spans = settled(spans.select("pair", "bar_idx", F.array(*[F.max("_r").over(w.rowsBetween(1 - 2**k, 0)) for k in powers]).alias("widths")))
+    spans = spans.select("pair", "bar_idx", F.array(*[F.max("_r").over(w.rowsBetween(1 - 2**k, 0)) for k in powers]).alias("widths"))
     lengths = starts.select("pair", "n").distinct().withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int"))
     ends = lengths.join(spans, "pair").select("pair", "n", "bar_idx", F.get("widths", F.col("k")).alias("_late"), (F.col("bar_idx") - F.col("n") + F.pow(F.lit(2), "k")).cast("long").alias("_at"), "k")
     both = ends.join(spans.select("pair", F.col("bar_idx").alias("_at"), F.col("widths").alias("_w")), ["pair", "_at"])

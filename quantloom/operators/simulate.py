@@ -192,11 +192,11 @@ def simulate_full(trades: DataFrame, bars: DataFrame, subs: DataFrame, pip: floa
     trades = trades.withColumns({c: F.lit(v).cast("double") for c, v in MANAGEMENT.items() if c not in trades.columns})
     trades, subs = settled(trades), settled(subs)  # read several times below
     d = F.col("direction")
-    starts = settled(trades.groupBy(*START).agg(F.max(d * F.col("tp")).alias("top"), F.min(d * F.col("sl")).alias("bottom")))
-    paths, ends = price_paths(starts, subs, horizon or 256)
+    starts = trades.groupBy(*START).agg(F.max(d * F.col("tp")).alias("top"), F.min(d * F.col("sl")).alias("bottom"))
+    paths, ends = price_paths(starts, subs, horizon or 1024)
     filled = fill_entries(trades, subs, pip, slippage)
     out = _exits(filled.join(paths, list(START), "left"), pip)
-    out = out.join(_bar_exits(trades, bars, settled(ends)), "trade_id", "left")
+    out = out.join(_bar_exits(trades, bars, ends), "trade_id", "left")
     final = subs.groupBy("pair").agg(F.max("bar_idx").alias("_last_bar"), F.max_by("close", "sub_seq").alias("_last_close"), F.max_by("spread", "sub_seq").alias("_last_spread"))
     own = bars.select("pair", "bar_idx", F.col("close").alias("_own_close"), F.col("spread").alias("_own_spread"))
     out = out.join(final, "pair", "left").join(own, ["pair", "bar_idx"], "left")
@@ -231,7 +231,7 @@ def _bar_exits(trades: DataFrame, bars: DataFrame, ends: DataFrame) -> DataFrame
     cap, length = F.coalesce("max_bars", F.lit(0.0)), F.coalesce("stale_bars", F.lit(0.0)).cast("int")
     timed = trades.where((cap > 0) | (length > 0)).select("trade_id", "pair", "bar_idx", F.when(cap > 0, F.col("bar_idx") + cap.cast("long")).alias("_cap"), length.alias("n"), (F.col("stale_thr") * F.col("atr")).alias("_width"))
     starts = trades.where(length > 0).select(*START, length.alias("n")).distinct().join(ends, list(START)).groupBy("pair", "bar_idx", "n").agg(F.max("path_end").alias("path_end"))
-    out = timed.join(quiet_paths(settled(starts), bars), ["pair", "bar_idx", "n"], "left")
+    out = timed.join(quiet_paths(starts, bars, trades.agg(F.max(length)).first()[0] or 1), ["pair", "bar_idx", "n"], "left")
     out = out.withColumn("_stale", _first("quiet", lambda x: x["width"] < F.col("_width"))["bar"]).drop("quiet")
     out = out.withColumns({"bar_exit": F.least("_cap", "_stale"), "bar_reason": F.when(F.col("_stale") < F.coalesce("_cap", F.lit(2**62)), "stale").otherwise("max_bars")})
     at = bars.select("pair", F.col("bar_idx").alias("bar_exit"), F.col("close").alias("bar_price"), F.col("spread").alias("bar_spread"))

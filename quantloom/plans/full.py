@@ -75,37 +75,34 @@ def managed_sql(trades: str) -> str:
     SELECT t.*, direction AS d, least(stale_at, cap_at) AS bar_exit, CASE WHEN stale_at < coalesce(cap_at, 1000000000000) THEN 'stale' ELSE 'max_bars' END AS bar_reason,
       CASE WHEN direction > 0 THEN entry_price + 0.5 * 1e-2 + coalesce(first_spread, 0) ELSE entry_price - 0.5 * 1e-2 END AS fill, last_sub
     FROM timed t JOIN edges e ON e.pair = t.pair AND e.bar_idx = t.bar_idx
-  ), walk AS (
-    SELECT pair, sig_seq, trial, last_sub AS seq, d * sl AS stop, FALSE AS tried, FALSE AS be, FALSE AS trail, NULL::DOUBLE AS part_price, NULL::DOUBLE AS part_spread,
-      NULL::VARCHAR AS reason, NULL::DOUBLE AS price, NULL::DOUBLE AS spread, bar_idx AS at_bar FROM opened
-    UNION ALL
-    SELECT pair, sig_seq, trial, seq, CASE WHEN reason IS NULL AND trails THEN greatest(moved, best - dist) ELSE moved END, tried OR pulls, be OR locks, trails, part_price, part_spread, reason, price, spread, at_bar
+  ), walk(pair, sig_seq, trial, seq, stop, tried, be, trail, part_price, part_spread, reason, price, spread, at_bar,
+      d, bar_exit, bar_reason, bar_close, bar_spread, be_trigger, trail_activate, partial_trigger, target, dist, be_price, signed_fill) USING KEY (pair, sig_seq, trial) AS (
+    SELECT o.pair, sig_seq, trial, last_sub, d * sl, FALSE, FALSE, FALSE, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE, o.bar_idx,
+      d, bar_exit, bar_reason, b.close, b.spread, be_trigger, trail_activate, partial_trigger, d * tp, trail_pips * 1e-2, d * fill + be_offset * 1e-2, d * fill
+    FROM opened o LEFT JOIN bars b ON b.pair = o.pair AND b.bar_idx = o.bar_exit
+    UNION
+    SELECT pair, sig_seq, trial, seq, CASE WHEN end_reason IS NULL AND trails THEN greatest(moved, best - dist) ELSE moved END, tried OR pulls, be OR locks, trails,
+      CASE WHEN takes THEN close ELSE part_price END, CASE WHEN takes THEN sub_spread ELSE part_spread END, end_reason,
+      CASE WHEN closed THEN bar_close - d * 0.5 * 1e-2 WHEN worst <= stop THEN d * stop - d * 0.5 * 1e-2 WHEN best >= target THEN d * target END,
+      CASE WHEN closed THEN bar_spread ELSE sub_spread END, sub_bar,
+      d, bar_exit, bar_reason, bar_close, bar_spread, be_trigger, trail_activate, partial_trigger, target, dist, be_price, signed_fill
     FROM (
-      SELECT *, CASE WHEN locks THEN be_price ELSE stop END AS moved,
-        CASE WHEN closed THEN bar_reason WHEN worst <= stop THEN CASE WHEN trail THEN 'trailing' WHEN be THEN 'breakeven' ELSE 'sl' END WHEN best >= target THEN 'tp' END AS reason,
-        CASE WHEN closed THEN bar_close - d * 0.5 * 1e-2 WHEN worst <= stop THEN d * stop - d * 0.5 * 1e-2 WHEN best >= target THEN d * target END AS price,
-        CASE WHEN closed THEN bar_spread ELSE sub_spread END AS spread
+      SELECT *, pulls AND be_price > stop AS locks, CASE WHEN pulls AND be_price > stop THEN be_price ELSE stop END AS moved,
+        CASE WHEN closed THEN bar_reason WHEN worst <= stop THEN CASE WHEN trail THEN 'trailing' WHEN be THEN 'breakeven' ELSE 'sl' END WHEN best >= target THEN 'tp' END AS end_reason
       FROM (
-        SELECT *, NOT tried AND gain >= be_trigger AS pulls, NOT tried AND gain >= be_trigger AND be_price > stop AS locks, trail OR coalesce(gain >= trail_activate, FALSE) AS trails,
-          CASE WHEN closed OR old_price IS NOT NULL THEN old_price WHEN gain >= partial_trigger THEN close END AS part_price,
-          CASE WHEN closed OR old_price IS NOT NULL THEN old_spread WHEN gain >= partial_trigger THEN sub_spread END AS part_spread
+        SELECT *, NOT tried AND coalesce(gain >= be_trigger, FALSE) AS pulls, trail OR coalesce(gain >= trail_activate, FALSE) AS trails,
+          NOT closed AND part_price IS NULL AND coalesce(gain >= partial_trigger, FALSE) AS takes
         FROM (
-          SELECT w.pair, w.sig_seq, w.trial, u.sub_seq AS seq, w.stop, w.tried, w.be, w.trail, w.part_price AS old_price, w.part_spread AS old_spread, u.bar_idx AS at_bar, u.close, u.spread AS sub_spread,
-            o.d, o.bar_reason, o.be_trigger, o.trail_activate, o.partial_trigger, o.d * o.tp AS target, o.trail_pips * 1e-2 AS dist, o.d * o.fill + o.be_offset * 1e-2 AS be_price,
-            CASE WHEN o.d > 0 THEN u.high ELSE -u.low END AS best, CASE WHEN o.d > 0 THEN u.low ELSE -u.high END AS worst,
-            ((CASE WHEN o.d > 0 THEN u.high ELSE -u.low END) - o.d * o.fill) / 1e-2 AS gain, coalesce(u.bar_idx >= o.bar_exit, FALSE) AS closed, b.close AS bar_close, b.spread AS bar_spread
-          FROM walk w JOIN opened o ON o.pair = w.pair AND o.sig_seq = w.sig_seq AND o.trial = w.trial
-          JOIN subs u ON u.pair = w.pair AND u.sub_seq = w.seq + 1 LEFT JOIN bars b ON b.pair = o.pair AND b.bar_idx = o.bar_exit WHERE w.reason IS NULL
+          SELECT w.* EXCLUDE (seq, price, spread, at_bar), u.sub_seq AS seq, u.bar_idx AS sub_bar, u.close, u.spread AS sub_spread, CASE WHEN w.d > 0 THEN u.high ELSE -u.low END AS best,
+            CASE WHEN w.d > 0 THEN u.low ELSE -u.high END AS worst, ((CASE WHEN w.d > 0 THEN u.high ELSE -u.low END) - w.signed_fill) / 1e-2 AS gain, coalesce(u.bar_idx >= w.bar_exit, FALSE) AS closed
+          FROM walk w JOIN subs u ON u.pair = w.pair AND u.sub_seq = w.seq + 1 WHERE w.reason IS NULL
         )
       )
     )
-  ), final AS (
-    SELECT pair, sig_seq, trial, arg_max(reason, seq) AS reason, arg_max(price, seq) AS price, arg_max(spread, seq) AS spread, arg_max(part_price, seq) AS part_price, arg_max(part_spread, seq) AS part_spread,
-      max(seq) AS seq, arg_max(at_bar, seq) AS at_bar FROM walk GROUP BY ALL
   ), ended AS (
     SELECT o.*, coalesce(f.reason, 'none') AS reason, f.part_price, f.part_spread, CASE WHEN f.reason IS NULL THEN u.close - o.d * 0.5 * 1e-2 ELSE f.price END AS exit_price, CASE WHEN f.reason IS NULL THEN u.spread ELSE f.spread END AS xs,
       CASE WHEN f.reason IN ('max_bars', 'stale') THEN o.bar_exit ELSE f.at_bar END AS exit_bar, CASE WHEN part_price IS NULL THEN 0 ELSE partial_pct / 100 END AS share
-    FROM opened o JOIN final f ON f.pair = o.pair AND f.sig_seq = o.sig_seq AND f.trial = o.trial JOIN subs u ON u.pair = f.pair AND u.sub_seq = f.seq
+    FROM opened o JOIN walk f ON f.pair = o.pair AND f.sig_seq = o.sig_seq AND f.trial = o.trial JOIN subs u ON u.pair = f.pair AND u.sub_seq = f.seq
   ), done AS MATERIALIZED (
     SELECT *, share > 0 AS partial, (1 - share) * (d * (exit_price - fill) - CASE WHEN d < 0 THEN xs ELSE 0 END) / 1e-2 - 0.7
       + CASE WHEN share > 0 THEN share * (d * (part_price - d * 0.5 * 1e-2 - fill) - CASE WHEN d < 0 THEN part_spread ELSE 0 END) / 1e-2 ELSE 0 END AS pnl FROM ended
