@@ -804,7 +804,7 @@ def test_shards_reach_the_target_size(spark, tmp_path):
     assert sizes == sorted(sizes)
 
 
-@pytest.mark.parametrize("name", ["op1_sharding", "op3_ngram_join", "op4_url_filters"])
+@pytest.mark.parametrize("name", ["op1_sharding", "op3_ngram_join", "op4_url_filters", "op11_merkle_manifest"])
 def test_query_equals_sql(spark, name):
     from quantloom.llm import queries
 
