@@ -1,9 +1,9 @@
 """Indicators as window plans.
 
 Every function takes a bar table and returns it with more columns; null is warm-up.
-Fixed windows are ROWS frames.  Recursive smoothing is an affine map per row, so it is
-scanned in blocks of rows (``recurrences``): blocks run in parallel, only one value per
-block is folded in order.  ``keys`` partition the series, ``bar_idx`` is the dense position.
+Fixed windows are ROWS frames.  Recursive smoothing is an affine map per row, so it is summed by
+lags that double (``recurrences``), with the partitioning of the other windows and no join.
+``keys`` partition the series, ``bar_idx`` is the dense position.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators.bars import KEYS
 
-BLOCK = 256
+LAST_DIGIT = 1e-18
 
 
 def _by(keys: Sequence[str]):
@@ -97,23 +97,20 @@ def percent_rank(bars: DataFrame, col: str, period: int = 100, out: str = "pct_r
     return bars.withColumn(out, F.when(full & F.col(col).isNotNull(), 100.0 * F.size(F.filter("_list", lambda x: x <= F.col(col))) / period)).drop("_list")
 
 
-def recurrences(bars: DataFrame, maps: dict[str, tuple[float, Column]], keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
-    """Columns x with x[i] = a * x[i-1] + b[i], x[-1] = 0, for each name: (a, b); b is never null.
+def recurrences(bars: DataFrame, maps: dict[str, tuple[float, Column]], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Columns x with x[i] = a * x[i-1] + b[i], x[-1] = 0, for each name: (a, b); b is never null and a lies in (0, 1).
 
-    Inside a block, x = a^j * (carry + sum of b * a^-j) by a running sum; the carries are
-    folded over one row per block and series.  a must lie in (0, 1), and a^-block within range.
+    The sum of the last n terms gives that of the last 2n: s + a^n * s as it was n rows before.  So a few lags, each twice as far,
+    reach back until a^n is below the last digit of a double.  All series share the windows, which
+    have the partitioning and order that the other indicators use: nothing is shuffled again, and no table joined to itself.
     """
-    by = [*keys, "_blk"]
-    bars = bars.withColumns({f"_b_{n}": b for n, (_, b) in maps.items()}).withColumns({"_blk": F.floor(F.col("bar_idx") / block), "_j": (F.col("bar_idx") % block).cast("double")})
-    w = Window.partitionBy(*by).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    bars = bars.withColumns({f"_s_{n}": F.pow(F.lit(a), F.col("_j")) * F.sum(F.col(f"_b_{n}") * F.pow(F.lit(a), -F.col("_j"))).over(w) for n, (a, _) in maps.items()})
-    ends = bars.groupBy(*by).agg(F.count("*").cast("double").alias("n"), *(F.max_by(f"_s_{n}", "bar_idx").alias(n) for n in maps))
-    folded = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_blk", "n", *maps))).alias("_all"))
-    fold = lambda n, a: F.aggregate("_all", F.array(F.lit(0.0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) * F.pow(F.lit(a), x["n"]) + x[n]))
-    carries = folded.select(*keys, *(fold(n, a).alias(f"_c_{n}") for n, (a, _) in maps.items()))
-    out = bars.join(carries, list(keys))
-    out = out.withColumns({n: F.col(f"_s_{n}") + F.pow(F.lit(a), F.col("_j") + 1) * F.get(f"_c_{n}", F.col("_blk").cast("int")) for n, (a, _) in maps.items()})
-    return out.drop("_blk", "_j", *(f"_{p}_{n}" for p in "bsc" for n in maps))
+    w = _by(keys)
+    bars = bars.withColumns({n: b for n, (_, b) in maps.items()})
+    reach = 1
+    while more := {n: a for n, (a, _) in maps.items() if a**reach > LAST_DIGIT}:
+        bars = bars.withColumns({n: F.col(n) + F.lit(a**reach) * F.coalesce(F.lag(n, reach).over(w), F.lit(0.0)) for n, a in more.items()})
+        reach *= 2
+    return bars
 
 
 def _seeded(x: Column, seed: Column, at: int, weight: float) -> Column:
@@ -152,6 +149,25 @@ def rsi(bars: DataFrame, period: int = 14, out: str | None = None, keys: Sequenc
     return bars.withColumn(out, _warm(F.when(F.col("_al") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_ag") / F.col("_al"))), period + 1)).drop("_m", "_g", "_l", "_ag", "_al")
 
 
+def rsi_grid(bars: DataFrame, periods: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
+    """rsi_<p> for each period in one scan."""
+    move = F.col("close") - F.lag("close").over(_by(keys))
+    bars = bars.withColumn("_m", move).withColumns({"_g": F.greatest(F.col("_m"), F.lit(0.0)), "_l": F.greatest(-F.col("_m"), F.lit(0.0))})
+    maps = {f"_a{c}{p}": (1 - 1.0 / p, _seeded(F.col(f"_{c}"), F.avg(f"_{c}").over(_rows(keys, p)), p, 1.0 / p)) for p in periods for c in "gl"}
+    bars = recurrences(bars, maps, keys)
+    value = lambda p: F.when(F.col(f"_al{p}") == 0, 100.0).otherwise(100 - 100 / (1 + F.col(f"_ag{p}") / F.col(f"_al{p}")))
+    return bars.withColumns({f"rsi_{p}": _warm(value(p), p + 1) for p in periods}).drop("_m", "_g", "_l", *maps)
+
+
+def macd_grid(bars: DataFrame, fast: Sequence[int], slow: Sequence[int], signal: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
+    """macd_<f>_<s> and signal_<f>_<s>_<g> of every combination in two scans: all averages, then all signals."""
+    bars = recurrences(bars, {f"_e{p}": _ema_map("close", p, keys) for p in sorted({*fast, *slow})}, keys)
+    bars = bars.withColumns({f"macd_{f}_{s}": _warm(F.col(f"_e{f}") - F.col(f"_e{s}"), s) for f in fast for s in slow}).drop(*(f"_e{p}" for p in {*fast, *slow}))
+    every = [(f, s, g) for f in fast for s in slow for g in signal]
+    bars = recurrences(bars, {f"signal_{f}_{s}_{g}": _ema_map(f"macd_{f}_{s}", g, keys, s - 1) for f, s, g in every}, keys)
+    return bars.withColumns({f"signal_{f}_{s}_{g}": _warm(F.col(f"signal_{f}_{s}_{g}"), s + g - 1) for f, s, g in every})
+
+
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys: Sequence[str] = KEYS) -> DataFrame:
     """macd, macd_signal (an EMA over the valid part) and macd_hist."""
     bars = recurrences(bars, {"_f": _ema_map("close", fast, keys), "_s": _ema_map("close", slow, keys)}, keys)

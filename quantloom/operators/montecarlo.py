@@ -29,21 +29,35 @@ def _iterations(pnl: DataFrame, count: int) -> DataFrame:
 def block_bootstrap(pnl: DataFrame, iterations: int = 1000, block: int = 10, keys: tuple[str, ...] = ("key",)) -> DataFrame:
     """Per key: Sharpe per trade of each resample of whole blocks, as mean and 5, 50, 95 % points.
 
-    Blocks are cut short at the end of the series, so a sample can be shorter than it.
+    Blocks are cut short at the end of the series, so a sample can be shorter than it.  What a block adds is summed
+    once for each place where it may begin; a draw takes three numbers, not its rows.
     """
     n = pnl.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = _iterations(n, iterations).select(*keys, "iter", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("draw"))
-    draws = draws.withColumn("start", pseudo(F.col("iter"), F.col("draw")) % F.col("n"))
-    rows = draws.select(*keys, "iter", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + block, F.col("n")) - 1)).alias("seq"))
-    per = rows.join(pnl.select(*keys, "seq", "pnl"), [*keys, "seq"]).groupBy(*keys, "iter").agg(F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("s"))
-    per = per.withColumn("sharpe", F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(0.0))
+    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(0, block - 1)
+    sums = pnl.select(*keys, F.col("seq").alias("start"), F.count("*").over(w).alias("c"), F.sum("pnl").over(w).alias("s1"), F.sum(F.col("pnl") * F.col("pnl")).over(w).alias("s2"))
+    tasks = int(pnl.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _iterations(n, iterations).repartition(tasks, *keys, "iter")  # one row a key before, all its draws after
+    draws = dealt.select(*keys, "iter", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("draw"))
+    draws = draws.select(*keys, "iter", (pseudo(F.col("iter"), F.col("draw")) % F.col("n")).alias("start"))
+    per = draws.join(sums, [*keys, "start"]).groupBy(*keys, "iter").agg(F.sum("c").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    variance = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)
+    per = per.withColumn("sharpe", F.when((F.col("n") > 1) & (variance > 0), F.col("s1") / F.col("n") / F.sqrt(variance)).otherwise(0.0))
     return per.groupBy(*keys).agg(F.avg("sharpe").alias("mean"), *(F.percentile("sharpe", F.lit(p)).alias(f"p{int(100 * p):02d}") for p in (0.05, 0.5, 0.95)))
 
 
+BITS = 30  # of a pseudo-random number: the signs of as many iterations
+
+
 def sign_flip(pnl: DataFrame, iterations: int = 1000, keys: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Share of sign-flipped resamples whose mean reaches the observed one."""
-    sign = F.when(pseudo(F.col("iter"), F.col("seq")) % 2 == 0, 1.0).otherwise(-1.0)
-    per = _iterations(pnl.select(*keys, "seq", "pnl"), iterations).groupBy(*keys, "iter").agg(F.round(F.sum(F.col("pnl") * sign), 4).alias("total"))
+    """Share of sign-flipped resamples whose mean reaches the observed one.
+
+    One number for a result and 30 iterations has a bit for each; the totals of 30 iterations are columns of one row.
+    """
+    rows = pnl.select(*keys, "seq", "pnl", F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // BITS) - 1))).alias("_set"))
+    rows = rows.withColumn("_h", pseudo(F.col("_set"), F.col("seq")))
+    sign = lambda b: 1.0 - 2.0 * F.shiftright("_h", b).bitwiseAND(F.lit(1))
+    per = rows.groupBy(*keys, "_set").agg(F.array(*[F.round(F.sum(F.col("pnl") * sign(b)), 4) for b in range(BITS)]).alias("_totals"))
+    per = per.select(*keys, "_set", F.posexplode("_totals").alias("_b", "total")).where(F.col("_set") * BITS + F.col("_b") < iterations)
     seen = pnl.groupBy(*keys).agg(F.round(F.sum("pnl"), 4).alias("observed"))
     return per.join(seen, list(keys)).groupBy(*keys).agg(F.avg(F.when(F.col("total") >= F.col("observed"), 1.0).otherwise(0.0)).alias("p_value"))
 

@@ -81,10 +81,10 @@ def sma_crossover(bars: DataFrame, pip: float, fast: int = 5, slow: int = 20) ->
 
 
 def rsi_mean_reversion(bars: DataFrame, pip: float, periods: Sequence[int] = RSI_PERIODS, oversold: Sequence[int] = tuple(range(15, 41, 5)), overbought: Sequence[int] = tuple(range(60, 86, 5))) -> DataFrame:
-    rows = prepared(bars, pip)
+    rows = I.rsi_grid(prepared(bars, pip), periods)
+    rows = rows.withColumns({f"_p{p}": _prev(f"rsi_{p}") for p in periods})
     sides = []
     for p in periods:
-        rows = I.rsi(rows, p).withColumn(f"_p{p}", _prev(f"rsi_{p}"))
         now, before = F.col(f"rsi_{p}"), F.col(f"_p{p}")
         sides += [((before >= t) & (now < t), 1, F.lit(p), F.lit(float(t))) for t in oversold]
         sides += [((before <= t) & (now > t), -1, F.lit(p), F.lit(float(t))) for t in overbought]
@@ -92,19 +92,18 @@ def rsi_mean_reversion(bars: DataFrame, pip: float, periods: Sequence[int] = RSI
 
 
 def macd_crossover(bars: DataFrame, pip: float, fast: Sequence[int] = (5, 8, 12, 16), slow: Sequence[int] = (21, 26, 30, 40, 50), signal: Sequence[int] = (5, 7, 9, 12)) -> DataFrame:
-    rows = prepared(bars, pip)
-    sides = []
+    rows = I.macd_grid(prepared(bars, pip), fast, slow, signal)
+    made, sides = {}, []
     for f in fast:
         for s in slow:
             for g in signal:
-                rows = I.macd(rows, f, s, g)
-                up, down = crosses("macd", "macd_signal")
+                up, down = crosses(f"macd_{f}_{s}", f"signal_{f}_{s}_{g}")
                 late = F.col("bar_idx") >= s + g + 1
                 n = f"{f}_{s}_{g}"
-                rows = rows.withColumns({f"_u{n}": up & late, f"_d{n}": down & late}).drop("macd", "macd_signal", "macd_hist")
+                made |= {f"_u{n}": up & late, f"_d{n}": down & late}
                 code = F.lit(10_000 * f + 100 * s + g)
                 sides += [(F.col(f"_u{n}"), 1, code, _none()), (F.col(f"_d{n}"), -1, code, _none())]
-    return ordered(emit(rows, sides))
+    return ordered(emit(rows.withColumns(made), sides))
 
 
 def bollinger_reversion(bars: DataFrame, pip: float, periods: Sequence[int] = (10, 15, 20, 25, 30), widths: Sequence[float] = (1.5, 2.0, 2.5, 3.0)) -> DataFrame:

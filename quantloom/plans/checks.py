@@ -74,9 +74,10 @@ def v5(spark, d):
 _FOLDS = "fo AS (SELECT (row_number() OVER (ORDER BY a, b) - 1)::INTEGER AS fold, a, b FROM (SELECT unnest(range(10)) AS a) x, (SELECT unnest(range(10)) AS b) y WHERE a < b)"
 
 
-@query("v5_folds", f"WITH {_FOLDS} SELECT fold, a::INTEGER AS block FROM fo UNION ALL SELECT fold, b::INTEGER FROM fo")
+@query("v5_folds", f"WITH {_BLOCKS}, {_FOLDS} SELECT pair, fold, block, start_bar, end_bar::BIGINT AS end_bar FROM fo JOIN bl ON block = a OR block = b")
 def v5_folds(spark, d):
-    return V.folds(spark)
+    """The test blocks of every fold of each pair."""
+    return V.blocks(_n(spark, d)).join(V.folds(spark), "block").select("pair", "fold", "block", "start_bar", "end_bar")
 
 
 @query("v6_purged", f"""WITH {_BLOCKS}, {_FOLDS}, ts AS (SELECT pair, fold, block, start_bar, end_bar FROM fo JOIN bl ON block = a OR block = b), bs AS (SELECT pair, bar_idx FROM bars),
@@ -101,13 +102,19 @@ def _space():
 
 
 _SPACE = "sp(name, kind, position, value) AS (VALUES ('sl', 'numeric', 0, '10'), ('sl', 'numeric', 1, '15'), ('sl', 'numeric', 2, '20'), ('sl', 'numeric', 3, '25'), ('sl', 'numeric', 4, '30'), ('mode', 'categorical', 0, 'off'), ('mode', 'categorical', 1, 'fixed'), ('mode', 'categorical', 2, 'atr'), ('be', 'bool', 0, 'False'), ('be', 'bool', 1, 'True'))"
-_CHOSEN = ((0, "sl", 0), (0, "mode", 1), (0, "be", 1), (1, "sl", 3), (1, "mode", 0), (1, "be", 0))
+#: Stand-in candidates: customers, their keys as places in the space.
+_CHOSEN = "ch AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT c_custkey AS candidate, '{n}' AS name, (c_custkey % {k})::INTEGER AS at_ FROM customer" for n, k in (("sl", 5), ("mode", 3), ("be", 2))) + ")"
 
 
-@query("v8_perturbations", f"WITH {_SPACE}, ch(candidate, name, at_) AS (VALUES {', '.join(map(str, _CHOSEN))}) SELECT candidate, c.name, kind, position - at_ AS change, value FROM ch c JOIN sp s ON s.name = c.name WHERE position <> at_ AND (kind <> 'numeric' OR abs(position - at_) <= 3)")
+def _chosen(spark, d):
+    k = F.col("c_custkey")
+    place = lambda n, m: F.struct(F.lit(n).alias("name"), (k % m).cast("int").alias("position"))
+    return read(spark, d, "customer").select(k.alias("candidate"), F.inline(F.array(place("sl", 5), place("mode", 3), place("be", 2))))
+
+
+@query("v8_perturbations", f"WITH {_SPACE}, {_CHOSEN} SELECT candidate, c.name, kind, position - at_ AS change, value FROM ch c JOIN sp s ON s.name = c.name WHERE position <> at_ AND (kind <> 'numeric' OR abs(position - at_) <= 3)")
 def v8(spark, d):
-    chosen = spark.createDataFrame(list(_CHOSEN), "candidate int, name string, position int")
-    return V.perturbations(_space().table(spark), chosen)
+    return V.perturbations(_space().table(spark), _chosen(spark, d))
 
 
 @query("v9_stability", f"""WITH {_WR}, p AS (SELECT candidate, 'p' || (window_id % 7)::VARCHAR AS name, window_id AS seq, CASE WHEN 5.0 > 0 THEN quality / 5.0::DOUBLE ELSE 0 END AS r FROM wr),
@@ -127,19 +134,19 @@ def _pseudo(*ids: str) -> str:
     return x
 
 
-@query("v10_block_bootstrap", f"""WITH {RESULTS}, n AS (SELECT key, count(*) AS n FROM results GROUP BY key), dr AS (SELECT key, n, iter, unnest(range(ceil(n / 10.0)::BIGINT)) AS draw FROM n, (SELECT unnest(range(20)) AS iter)),
+@query("v10_block_bootstrap", f"""WITH {RESULTS}, n AS (SELECT key, count(*) AS n FROM results GROUP BY key), dr AS (SELECT key, n, iter, unnest(range(ceil(n / 10.0)::BIGINT)) AS draw FROM n, (SELECT unnest(range(1000)) AS iter)),
  st AS (SELECT key, iter, n, {_pseudo('iter', 'draw')} % n AS s FROM dr), rw AS (SELECT key, iter, unnest(range(s, least(s + 10, n))) AS seq FROM st),
  pe AS (SELECT w.key, iter, CASE WHEN stddev_samp(pnl) > 0 THEN avg(pnl) / stddev_samp(pnl) ELSE 0 END AS sh FROM rw w JOIN results r ON r.key = w.key AND r.seq = w.seq GROUP BY ALL)
  SELECT key, round(avg(sh), 6) + 0.0 AS mean, round(quantile_cont(sh, 0.05), 6) + 0.0 AS p05, round(median(sh), 6) + 0.0 AS p50, round(quantile_cont(sh, 0.95), 6) + 0.0 AS p95 FROM pe GROUP BY key""")
 def v10(spark, d):
-    b = MC.block_bootstrap(results(spark, d), 20)
+    b = MC.block_bootstrap(results(spark, d))
     return b.select("key", *(tidy(F.col(c)).alias(c) for c in ("mean", "p05", "p50", "p95")))
 
 
-@query("v11_sign_flip", f"""WITH {RESULTS}, f AS (SELECT key, iter, round(sum(pnl * CASE WHEN {_pseudo('iter', 'seq')} % 2 = 0 THEN 1 ELSE -1 END), 4) AS total FROM results, (SELECT unnest(range(50)) AS iter) GROUP BY ALL),
+@query("v11_sign_flip", f"""WITH {RESULTS}, f AS (SELECT key, iter, round(sum(pnl * CASE WHEN ({_pseudo('iter // 30', 'seq')} >> (iter % 30)) & 1 = 0 THEN 1 ELSE -1 END), 4) AS total FROM results, (SELECT unnest(range(1000)) AS iter) GROUP BY ALL),
  o AS (SELECT key, round(sum(pnl), 4) AS observed FROM results GROUP BY key) SELECT f.key, round(avg((total >= observed)::INT), 6) + 0.0 AS p_value FROM f JOIN o ON o.key = f.key GROUP BY f.key""")
 def v11(spark, d):
-    return MC.sign_flip(results(spark, d), 50).select("key", tidy(F.col("p_value")).alias("p_value"))
+    return MC.sign_flip(results(spark, d)).select("key", tidy(F.col("p_value")).alias("p_value"))
 
 
 @query("v12_trade_skip", f"""WITH {RESULTS}, s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {_pseudo('seq', '1')}, seq) AS r, count(*) OVER (PARTITION BY key) AS n FROM results)
@@ -163,13 +170,13 @@ _STRESS = metric_sql("stressed", "key", "seq")
 
 
 @query("v14_monte_carlo_gates", f"""WITH {RESULTS}, {_PLAIN}, stressed AS (SELECT key, seq, pnl - 0.5 * 0.5 - 0.7 * 0.3 AS pnl FROM results), {_STRESS},
- f AS (SELECT key, iter, round(sum(pnl * CASE WHEN {_pseudo('iter', 'seq')} % 2 = 0 THEN 1 ELSE -1 END), 4) AS total FROM results, (SELECT unnest(range(50)) AS iter) GROUP BY ALL),
+ f AS (SELECT key, iter, round(sum(pnl * CASE WHEN ({_pseudo('iter // 30', 'seq')} >> (iter % 30)) & 1 = 0 THEN 1 ELSE -1 END), 4) AS total FROM results, (SELECT unnest(range(1000)) AS iter) GROUP BY ALL),
  o AS (SELECT key, round(sum(pnl), 4) AS observed FROM results GROUP BY key), pv AS (SELECT f.key, avg((total >= observed)::INT) AS p FROM f JOIN o ON o.key = f.key GROUP BY f.key)
  SELECT aq.key, round(aq.sharpe / sqrt(252), 6) + 0.0 AS observed_sharpe, round(p, 6) + 0.0 AS p_value, round(mq.quality, 4) + 0.0 AS stress_quality,
   round(CASE WHEN aq.quality > 0 THEN mq.quality / aq.quality ELSE 0 END, 4) + 0.0 AS stress_ratio, p <= 0.05 AS p_ok
  FROM aq JOIN mq ON mq.key = aq.key JOIN pv ON pv.key = aq.key""")
 def v14(spark, d):
-    r = MC.record(results(spark, d), ["key"], ["seq"], trials=100, iterations=50)
+    r = MC.record(results(spark, d), ["key"], ["seq"], trials=100)
     return r.select("key", tidy(F.col("observed_sharpe")).alias("observed_sharpe"), tidy(F.col("p_value")).alias("p_value"), tidy(F.col("stress_quality"), 4).alias("stress_quality"), tidy(F.col("stress_ratio"), 4).alias("stress_ratio"), (F.col("p_value") <= 0.05).alias("p_ok"))
 
 
@@ -328,10 +335,11 @@ def j8(spark, d):
     return VE.trades_from_audit(_audit(spark, d)).select("ticket", "open_seq", "close_seq")
 
 
-@query("j9_closed_by_broker", "SELECT DISTINCT user_id AS ticket FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
+@query("j9_closed_by_broker", "WITH t AS (SELECT user_id * 100 + day(ts) AS ticket, event_type FROM events) SELECT DISTINCT ticket FROM t WHERE event_type = 'view' AND ticket NOT IN (SELECT ticket FROM t WHERE event_type = 'click')")
 def j9(spark, d):
-    e = read(spark, d, "events")
-    return VE.closed_by_broker(e.where("event_type = 'view'").select(F.col("user_id").alias("ticket")).distinct(), e.where("event_type = 'click'").select(F.col("user_id").alias("ticket")))
+    """Users by day as tickets: those with a view are tracked, those with a click are still held."""
+    e = read(spark, d, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("ticket"), "event_type")
+    return VE.closed_by_broker(e.where("event_type = 'view'").select("ticket").distinct(), e.where("event_type = 'click'").select("ticket"))
 
 
 @query("j9_without_open_order", "SELECT c_custkey AS ticket FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
@@ -479,15 +487,17 @@ def f3(spark, d):
     return evaluate(s, t, generic_passes()).select("c_custkey", "trial")
 
 
-@query("p4_index_to_value", f"WITH {_SPACE}, i(trial, name, position) AS (VALUES (0, 'sl', 2), (0, 'mode', 1), (0, 'be', 0), (1, 'sl', 4), (1, 'mode', 2), (1, 'be', 1)) SELECT trial, i.name, value FROM i JOIN sp ON sp.name = i.name AND sp.position = i.position")
+@query("p4_index_to_value", f"WITH {_SPACE}, {_CHOSEN} SELECT candidate AS trial, c.name, value FROM ch c JOIN sp ON sp.name = c.name AND sp.position = c.at_")
 def p4(spark, d):
-    i = spark.createDataFrame([(0, "sl", 2), (0, "mode", 1), (0, "be", 0), (1, "sl", 4), (1, "mode", 2), (1, "be", 1)], "trial int, name string, position int")
-    return i.join(_space().table(spark), ["name", "position"]).select("trial", "name", "value")
+    return _chosen(spark, d).join(_space().table(spark), ["name", "position"]).select(F.col("candidate").alias("trial"), "name", "value")
 
 
-@query("p6_combinations", f"WITH {_SPACE}, n AS (SELECT name, count(*) AS n FROM sp GROUP BY name) SELECT product(n)::BIGINT AS combinations FROM n")
+@query("p6_combinations", """WITH sp AS (SELECT DISTINCT name, value FROM (SELECT p_brand AS brand, p_type AS type, p_size::VARCHAR AS size FROM part) UNPIVOT (value FOR name IN (brand, type, size))),
+ n AS (SELECT name, count(*) AS n FROM sp GROUP BY name) SELECT product(n)::BIGINT AS combinations FROM n""")
 def p6(spark, d):
-    n = _space().table(spark).groupBy("name").agg(F.count("*").alias("n"))
+    """Combinations of a space whose parameters are columns of parts, their values what occurs."""
+    parts = read(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").cast("string").alias("size"))
+    n = parts.unpivot([], ["brand", "type", "size"], "name", "value").where("value is not null").distinct().groupBy("name").agg(F.count("*").alias("n"))
     return n.agg(F.product("n").cast("long").alias("combinations"))
 
 

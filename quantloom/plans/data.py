@@ -133,14 +133,22 @@ _GAPS = f"""{BARS}, g AS (SELECT pair, lag(ts_s) OVER ({'PARTITION BY pair ORDER
    ELSE 'unexpected' END AS kind FROM w)"""
 
 
-@query("ag4_gaps", f"WITH {_GAPS} SELECT * FROM gaps")
+_MINUTE_GAPS = _GAPS.replace("3600", "60")
+
+
+def _minutes(spark, d):
+    """Minutes, of which many have no tick."""
+    return B.ticks_to_bars(ticks(spark, d), "M1", order=("ts", "event_id"))
+
+
+@query("ag4_gaps", f"WITH {_MINUTE_GAPS} SELECT * FROM gaps")
 def ag4_gaps(spark, d):
-    return Q.gaps(hourly(spark, d), "H1")
+    return Q.gaps(_minutes(spark, d), "M1")
 
 
-@query("ag4_gap_details", f"WITH {_GAPS} SELECT pair, start_s, end_s, kind, row_number() OVER (PARTITION BY pair ORDER BY start_s)::INTEGER AS rank FROM gaps WHERE kind = 'unexpected' QUALIFY rank <= 20")
+@query("ag4_gap_details", f"WITH {_MINUTE_GAPS} SELECT pair, start_s, end_s, kind, row_number() OVER (PARTITION BY pair ORDER BY start_s)::INTEGER AS rank FROM gaps WHERE kind = 'unexpected' QUALIFY rank <= 20")
 def ag4_gap_details(spark, d):
-    return Q.gap_details(Q.gaps(hourly(spark, d), "H1"))
+    return Q.gap_details(Q.gaps(_minutes(spark, d), "M1"))
 
 
 def _of_users(spark, d):

@@ -33,7 +33,7 @@ def _flat(signals):
 PREP = f"{_TR}, {_atr(14)}, prep AS MATERIALIZED (SELECT * EXCLUDE (tr), coalesce(lead(open) OVER ({BY}), close) AS entry_price, atr / 1e-2 AS atr_pips FROM atr)"
 
 
-def _signals(cases: list[tuple[str, int, int, str]], ctes: str = "", source: str = "prep", recursive: str = "") -> str:
+def _signals(cases: list[tuple[str, int, int | str, str]], ctes: str = "", source: str = "prep", recursive: str = "") -> str:
     """SQL of the signals where (condition, direction, variant, filter value) hold."""
     every = " UNION ALL ".join(f"SELECT pair, bar_idx, {d}::INTEGER AS direction, {v}::BIGINT AS variant, {f} AS filter_value, entry_price, atr_pips FROM {source} WHERE atr_pips > 0 AND {c}" for c, d, v, f in cases)
     return f"{ctes + ', ' if ctes else ''}hits AS ({every}), sig AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY variant, direction DESC, filter_value NULLS FIRST, bar_idx) AS sig_seq FROM hits)"
@@ -66,17 +66,40 @@ _RSI_CTE = _RSI.replace("FROM bars)", "FROM prep)") + f", rl AS MATERIALIZED (SE
 RSI_SIGNALS = _signals([(f"bar_idx >= 29 AND pr >= {t} AND rsi_14 < {t}", 1, 14, f"{t}::DOUBLE") for t in range(15, 41, 5)] + [(f"bar_idx >= 29 AND pr <= {t} AND rsi_14 > {t}", -1, 14, f"{t}::DOUBLE") for t in range(60, 86, 5)], _RSI_CTE, "rl")
 
 
-@query("st2_rsi_mean_reversion", _whole(RSI_SIGNALS))
-def st2(spark, d):
-    return _flat(S.rsi_mean_reversion(hourly(spark, d), PIP, (14,)))
+def _wilder(x: str, p: int) -> str:
+    return smooth(x, f"s{x}{p}", p, f"(1 - 1e0 / {p})", f"(1e0 / {p})")
+
+
+_RSIS = S.RSI_PERIODS
+_RSI_GRID = f"""mv AS (SELECT *, close - lag(close) OVER ({BY}) AS mv FROM prep), gl AS (SELECT *, greatest(mv, 0e0) AS g, greatest(-mv, 0e0) AS l FROM mv),
+ sd AS (SELECT *, {', '.join(f'avg({x}) OVER {rows(p)} AS s{x}{p}' for p in _RSIS for x in 'gl')} FROM gl),
+ sm AS (SELECT *, {', '.join(f'{_wilder(x, p)} AS a{x}{p}' for p in _RSIS for x in 'gl')} FROM sd),
+ rsi AS (SELECT *, {', '.join(f'CASE WHEN bar_idx >= {p} THEN CASE WHEN al{p} = 0 THEN 100e0 ELSE 100 - 100 / (1 + ag{p} / al{p}) END END AS r{p}' for p in _RSIS)} FROM sm),
+ rl AS MATERIALIZED (SELECT *, {', '.join(f'lag(r{p}) OVER ({BY}) AS p{p}' for p in _RSIS)} FROM rsi)"""
+_RSI_RULES = [x for p in _RSIS for t in range(15, 41, 5) for x in ((f"bar_idx >= 29 AND p{p} >= {t} AND r{p} < {t}", 1, p, f"{t}::DOUBLE"), (f"bar_idx >= 29 AND p{p} <= {t + 45} AND r{p} > {t + 45}", -1, p, f"{t + 45}::DOUBLE"))]
 
 
-_MACD_CTE = _MACD.replace("FROM bars)", "FROM prep)", 1) + f", ml AS MATERIALIZED (SELECT *, lag(macd) OVER ({BY}) AS pm, lag(macd_signal) OVER ({BY}) AS pg FROM md)"
+@query("st2_rsi_mean_reversion", _whole(_signals(_RSI_RULES, _RSI_GRID, "rl")))
+def st2(spark, d):
+    return _flat(S.rsi_mean_reversion(hourly(spark, d), PIP))
+
+
+_FAST, _SLOW, _SIGNAL = (5, 8, 12, 16), (21, 26, 30, 40, 50), (5, 7, 9, 12)
+_LINES = [(f, w) for f in _FAST for w in _SLOW]
+_MACD_GRID = f"""{_seeds(*_FAST, *_SLOW, source='prep')}, em AS (SELECT *, {', '.join(f'{_ema(p)} AS e{p}' for p in (*_FAST, *_SLOW))} FROM seeded),
+ mc AS (SELECT *, {', '.join(f'CASE WHEN bar_idx >= {w - 1} THEN e{f} - e{w} END AS m{f}_{w}' for f, w in _LINES)} FROM em),
+ ms AS (SELECT *, {', '.join(f'avg(m{f}_{w}) OVER {rows(g)} AS s{f}_{w}_{g}' for f, w in _LINES for g in _SIGNAL)} FROM mc),
+ mg AS (SELECT *, {', '.join(f"CASE WHEN bar_idx >= {w + g - 2} THEN {smooth(f'm{f}_{w}', f's{f}_{w}_{g}', w + g - 2, f'(1 - 2e0 / {g + 1})', f'(2e0 / {g + 1})')} END AS g{f}_{w}_{g}" for f, w in _LINES for g in _SIGNAL)} FROM ms),
+ ml AS MATERIALIZED (SELECT *, {', '.join(f'lag(m{f}_{w}) OVER ({BY}) AS pm{f}_{w}' for f, w in _LINES)}, {', '.join(f'lag(g{f}_{w}_{g}) OVER ({BY}) AS pg{f}_{w}_{g}' for f, w in _LINES for g in _SIGNAL)} FROM mg)"""
+_MACD_RULES = [
+    (f"bar_idx >= {w + g + 1} AND pm{f}_{w} {a} pg{f}_{w}_{g} AND m{f}_{w} {b} g{f}_{w}_{g}", d, 10_000 * f + 100 * w + g, _NONE)
+    for f, w in _LINES for g in _SIGNAL for a, b, d in (("<=", ">", 1), (">=", "<", -1))
+]
 
 
-@query("st3_macd_crossover", _whole(_signals([("bar_idx >= 36 AND pm <= pg AND macd > macd_signal", 1, 122609, _NONE), ("bar_idx >= 36 AND pm >= pg AND macd < macd_signal", -1, 122609, _NONE)], _MACD_CTE, "ml")))
+@query("st3_macd_crossover", _whole(_signals(_MACD_RULES, _MACD_GRID, "ml")))
 def st3(spark, d):
-    return _flat(S.macd_crossover(hourly(spark, d), PIP, (12,), (26,), (9,)))
+    return _flat(S.macd_crossover(hourly(spark, d), PIP))
 
 
 _BB_CTE = f"bb0 AS (SELECT *, avg(close) OVER {rows(20)} AS m, stddev_pop(close) OVER {rows(20)} AS sd FROM prep), bb AS MATERIALIZED (SELECT *, lag(close) OVER ({BY}) AS pc, lag(m) OVER ({BY}) AS pm, lag(sd) OVER ({BY}) AS psd FROM bb0)"
@@ -87,12 +110,21 @@ def st4(spark, d):
     return _flat(S.bollinger_reversion(hourly(spark, d), PIP, (20,), (1.5, 2.0)))
 
 
-_ST_CTE = f"hl AS (SELECT *, max(high) OVER {rows(14)} AS hh, min(low) OVER {rows(14)} AS ll FROM prep), sk AS (SELECT *, CASE WHEN bar_idx >= 13 THEN CASE WHEN hh = ll THEN 50e0 ELSE 100 * (close - ll) / (hh - ll) END END AS k FROM hl), sd AS (SELECT *, CASE WHEN bar_idx >= 15 THEN avg(k) OVER {rows(3)} END AS dd FROM sk), sl AS MATERIALIZED (SELECT *, lag(k) OVER ({BY}) AS pk, lag(dd) OVER ({BY}) AS pd FROM sd)"
+_KS, _DS = (5, 7, 9, 14, 21), (3, 5, 7)
+_BOTH = [(k, d) for k in _KS for d in _DS]
+_STOCH = f"""hl AS (SELECT *, {', '.join(f'max(high) OVER {rows(k)} AS hh{k}, min(low) OVER {rows(k)} AS ll{k}' for k in _KS)} FROM prep),
+ sk AS (SELECT *, {', '.join(f'CASE WHEN bar_idx >= {k - 1} THEN CASE WHEN hh{k} = ll{k} THEN 50e0 ELSE 100 * (close - ll{k}) / (hh{k} - ll{k}) END END AS k{k}' for k in _KS)} FROM hl),
+ sd AS (SELECT *, {', '.join(f'CASE WHEN bar_idx >= {k + d - 2} THEN avg(k{k}) OVER {rows(d)} END AS d{k}_{d}' for k, d in _BOTH)} FROM sk),
+ sl AS MATERIALIZED (SELECT *, {', '.join(f'lag(k{k}) OVER ({BY}) AS pk{k}' for k in _KS)}, {', '.join(f'lag(d{k}_{d}) OVER ({BY}) AS pd{k}_{d}' for k, d in _BOTH)} FROM sd)"""
+_STOCH_RULES = [
+    (f"bar_idx >= {k + d + 1} AND pk{k} {a} pd{k}_{d} AND k{k} {b} d{k}_{d} AND k{k} {c} {t}", w, 100 * k + d, f"{t}::DOUBLE")
+    for k, d in _BOTH for a, b, c, w, levels in (("<=", ">", "<", 1, (15, 20, 25, 30)), (">=", "<", ">", -1, (70, 75, 80, 85))) for t in levels
+]
 
 
-@query("st5_stochastic_crossover", _whole(_signals([(f"bar_idx >= 18 AND pk <= pd AND k > dd AND k < {t}", 1, 1403, f"{t}::DOUBLE") for t in (15, 20, 25, 30)] + [(f"bar_idx >= 18 AND pk >= pd AND k < dd AND k > {t}", -1, 1403, f"{t}::DOUBLE") for t in (70, 75, 80, 85)], _ST_CTE, "sl")))
+@query("st5_stochastic_crossover", _whole(_signals(_STOCH_RULES, _STOCH, "sl")))
 def st5(spark, d):
-    return _flat(S.stochastic_crossover(hourly(spark, d), PIP, (14,), (3,)))
+    return _flat(S.stochastic_crossover(hourly(spark, d), PIP))
 
 
 _ADX_CTE = _ADX.replace(_TR + ", ", "").replace(_atr(14) + ", ", "").replace("FROM atr)", "FROM prep)") + f", al AS MATERIALIZED (SELECT *, lag(plus_di) OVER ({BY}) AS pp, lag(minus_di) OVER ({BY}) AS pm FROM adx)"
@@ -107,18 +139,36 @@ _DC_CTE = f"dc0 AS (SELECT *, max(high) OVER {rows(20)} AS hh, min(low) OVER {ro
 DC_SIGNALS = _signals([("bar_idx >= 21 AND close > ph AND pc <= ph", 1, 20, _NONE), ("bar_idx >= 21 AND close < pl AND pc >= pl", -1, 20, _NONE)], _DC_CTE, "dc")
 
 
-@query("st7_donchian_breakout", _whole(DC_SIGNALS))
+_DCS = (10, 15, 20, 30, 40, 50, 60)
+_DC_GRID = f"""dg AS (SELECT *, {', '.join(f'CASE WHEN bar_idx >= {p - 1} THEN max(high) OVER {rows(p)} END AS h{p}, CASE WHEN bar_idx >= {p - 1} THEN min(low) OVER {rows(p)} END AS l{p}' for p in _DCS)} FROM prep),
+ dl AS MATERIALIZED (SELECT *, lag(close) OVER ({BY}) AS pc, {', '.join(f'lag(h{p}) OVER ({BY}) AS ph{p}, lag(l{p}) OVER ({BY}) AS pl{p}' for p in _DCS)} FROM dg)"""
+_DC_RULES = [x for p in _DCS for x in ((f"bar_idx >= {p + 1} AND close > ph{p} AND pc <= ph{p}", 1, p, _NONE), (f"bar_idx >= {p + 1} AND close < pl{p} AND pc >= pl{p}", -1, p, _NONE))]
+
+
+@query("st7_donchian_breakout", _whole(_signals(_DC_RULES, _DC_GRID, "dl")))
 def st7(spark, d):
-    return _flat(S.donchian_breakout(hourly(spark, d), PIP, (20,)))
+    return _flat(S.donchian_breakout(hourly(spark, d), PIP))
+
 
+def _smash_bars(p: int) -> str:
+    """Bars with the ATR of a period and what the two bars before were."""
+    before = ", ".join(f"lag({x}, {n}) OVER ({BY}) AS {x[0]}{n}" for x, n in (("open", 1), ("high", 1), ("low", 1), ("close", 1), ("close", 2)))
+    return f"{_atr(p, name=f'atr{p}')}, hs{p} AS (SELECT pair, bar_idx, high, low, close, coalesce(lead(open) OVER ({BY}), close) AS entry_price, atr{p} / 1e-2 AS atr_pips, {p} AS p, {before} FROM atr{p})"
 
-_HS_CTE = f"hs AS MATERIALIZED (SELECT *, lag(open) OVER ({BY}) AS o1, lag(high) OVER ({BY}) AS h1, lag(low) OVER ({BY}) AS l1, lag(close) OVER ({BY}) AS c1, lag(close, 2) OVER ({BY}) AS c2 FROM prep)"
+
+_HS_CTE = f"{', '.join(map(_smash_bars, (10, 14, 20)))}, hs AS MATERIALIZED (SELECT * FROM hs10 UNION ALL SELECT * FROM hs14 UNION ALL SELECT * FROM hs20)"
 _PLACE = "CASE WHEN h1 > l1 THEN (c1 - l1) / (h1 - l1) END"
+_HS_RULES = [
+    x for b in (0, 1) for s in (15, 20, 25, 30, 35, 40) for x in (
+        (f"bar_idx >= 22 AND c1 > c2 AND {_PLACE} <= {s} / 100e0 AND close > h1" + " AND c1 < o1" * b, 1, f"(10000 * p + {1000 * b + s})", _NONE),
+        (f"bar_idx >= 22 AND c1 < c2 AND {_PLACE} >= 1 - {s} / 100e0 AND close < l1" + " AND c1 > o1" * b, -1, f"(10000 * p + {1000 * b + s})", _NONE),
+    )
+]
 
 
-@query("st8_hidden_smash_day", _whole(_signals([x for b in (0, 1) for s in (15, 25, 40) for x in ((f"bar_idx >= 22 AND c1 > c2 AND {_PLACE} <= {s} / 100e0 AND close > h1" + " AND c1 < o1" * b, 1, 140000 + 1000 * b + s, _NONE), (f"bar_idx >= 22 AND c1 < c2 AND {_PLACE} >= 1 - {s} / 100e0 AND close < l1" + " AND c1 > o1" * b, -1, 140000 + 1000 * b + s, _NONE))], _HS_CTE, "hs")))
+@query("st8_hidden_smash_day", _whole(_signals(_HS_RULES, _HS_CTE, "hs")))
 def st8(spark, d):
-    return _flat(S.hidden_smash_day(hourly(spark, d), PIP, (14,), (0, 1), (15, 25, 40)))
+    return _flat(S.hidden_smash_day(hourly(spark, d), PIP))
 
 
 _A5, _A10 = "(1 - 1e0 / 5)", "(1 - 1e0 / 10)"

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from quantloom.causality import look_ahead
 from quantloom.operators import signals as S
 from quantloom.operators.search import Param, ParamSpace, standard_space
 
@@ -33,8 +34,8 @@ MODULES = (Module("trailing_stop", "exit_trailing"), Module("breakeven", "exit_p
 class Strategy:
     """A signal plan: a function from bars and pip to signals, which Catalyst sees whole.
 
-    ``causal`` declares that a signal at t uses nothing after t but the entry price; other
-    strategies are refused by the runner.
+    ``causal`` declares that a signal at t uses nothing after t but the entry price.  The plan itself is
+    read for that (``causality.look_ahead``); other strategies are refused.
     """
 
     name: str
@@ -47,7 +48,10 @@ class Strategy:
     def generate(self, bars: DataFrame, pip: float, **options) -> DataFrame:
         if not self.causal:
             raise ValueError(f"{self.name} looks ahead")
-        return self.signals(bars, pip, **options)
+        made = self.signals(bars, pip, **options)
+        if found := look_ahead(made):
+            raise ValueError(f"{self.name} looks ahead: {found[0]}")
+        return made
 
 
 _known: dict[str, Strategy] = {}
