@@ -21,6 +21,28 @@ def trades_from_deals(deals: DataFrame) -> DataFrame:
     return rows.where("n_deals >= 2")
 
 
+def deal_reason(comment: Column) -> Column:
+    """Why a position was closed, by the comment of its last deal; fixed marks, the first that occurs."""
+    said = F.lower(F.coalesce(comment, F.lit("")))
+    return F.when(said.rlike("sl|stop"), "stop_loss").when(said.rlike("tp|profit"), "take_profit").when(said.contains("close"), "manual").otherwise("unknown")
+
+
+def live_trades(deals: DataFrame, pip: Column | float) -> DataFrame:
+    """Trades of the broker's deals (symbol, position_id, deal_id, ts, type, price, volume, profit, commission, swap, comment).
+
+    A position with two deals or more is one trade: its first deal tells direction (type 0 buys) and entry, its last one the exit and
+    the reason; profit, commission and swap are sums over all.  Position 0 goes.  The order is that of (ts, deal_id).
+    """
+    at = F.struct("ts", "deal_id")
+    first, last = (lambda c: F.min_by(c, at)), (lambda c: F.max_by(c, at))
+    rows = deals.where("position_id <> 0").groupBy("symbol", "position_id").agg(
+        F.count("*").alias("n_deals"), F.when(first("type") == 0, 1).otherwise(-1).alias("direction"), first("volume").alias("volume"), first("price").alias("entry_price"), F.min("ts").alias("entry_ts"),
+        last("price").alias("exit_price"), F.max("ts").alias("exit_ts"), F.sum("profit").alias("profit"), F.sum("commission").alias("commission"), F.sum("swap").alias("swap"), last("comment").alias("_said"),
+    )
+    out = rows.where("n_deals >= 2").withColumns({"pnl_pips": F.col("direction") * (F.col("exit_price") - F.col("entry_price")) / pip, "exit_reason": deal_reason(F.col("_said"))})
+    return out.drop("_said")
+
+
 def trades_from_audit(events: DataFrame) -> DataFrame:
     """Opens with the first close of their ticket after them; a ticket is used once, closes without an open go."""
     w = Window.partitionBy("ticket").orderBy("seq")

@@ -1,8 +1,8 @@
 """A Python data source for yearly price files: ``spark.read.format("yearly_prices")``.
 
 A real provider sits behind ``fetch``; here it is a folder of CSV files <pair>_<year>.csv
-(ts, bid, ask).  Each (pair, year) is one partition, so years load in parallel and a
-lost one is fetched again.
+(ts, bid, ask).  Years are those from ``first`` to ``last`` of ``pairs``, or a list ``years`` of pair:year.  Each (pair, year)
+is one partition, so years load in parallel and a lost one is fetched again.
 """
 
 from __future__ import annotations
@@ -38,12 +38,15 @@ class YearlyPrices(DataSource):
 
 class YearlyReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.pairs = options["path"], options["pairs"].split(",")
-        self.first, self.last = int(options["first"]), int(options["last"])
+        self.root = options["path"]
+        if "years" in options:
+            self.years = [(p, int(y)) for p, y in (x.split(":") for x in options["years"].split(","))]
+        else:
+            self.years = [(p, y) for p in options["pairs"].split(",") for y in range(int(options["first"]), int(options["last"]) + 1)]
         self.pause = float(options.get("pause", PAUSE))
 
     def partitions(self) -> list[YearPartition]:
-        return [YearPartition(p, y) for p in self.pairs for y in range(self.first, self.last + 1)]
+        return [YearPartition(p, y) for p, y in self.years]
 
     def read(self, partition: YearPartition) -> Iterator[tuple]:
         """Rows of a year; none where there is no file; reading is tried again a few times."""
