@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import verification as VE
 from quantloom.operators.bars import seconds
+from quantloom.operators.replay import deployed
 from quantloom.operators.search import ParamSpace, RandomSampler, staged_search
 
 
@@ -148,6 +149,22 @@ def verify(
     return compared, VE.aggregates(compared, live.count(), again.count())
 
 
+def verify_deployed(
+    live: DataFrame,
+    bars: DataFrame,
+    subs: DataFrame,
+    signals: Callable[[DataFrame, float], DataFrame],
+    params: DataFrame,
+    pip: float,
+    first_s: int | None = None,
+    last_s: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``verify`` of a strategy's deployments between two dates, each bar with the parameters that were live then (``replay.params_at``)."""
+    s = F.col("s")
+    inside = (F.lit(True) if first_s is None else s >= first_s) & (F.lit(True) if last_s is None else s <= last_s)
+    return verify(live.where(inside), bars, deployed(signals, params, subs, pip), pip)
+
+
 def verification_report(compared: DataFrame, totals: DataFrame) -> DataFrame:
     """kind (total, trade), live_id and a JSON line each; store.write_checkpoint or a text writer saves it."""
     def line(df: DataFrame, kind: str, key) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from quantloom.functions.numeric import tidy
 from quantloom.functions.reuse import settled
 from quantloom.operators import metrics as M
+from quantloom.operators import replay as RE
 from quantloom.operators import signals as S
 from quantloom.operators import simulate as T
 from quantloom.plans.registry import register
-from quantloom.plans.tables import PIP, SUBS, hourly, metric_sql, sub_bars
+from quantloom.plans.tables import PIP, SUBS, hourly, metric_sql, read, sub_bars
 from quantloom.plans.trading import PREP, SMA_SIGNALS
 
 QUERIES: dict = {}
@@ -188,3 +189,42 @@ def tr12_full(spark, d):
     """Every managed trade with its exit and its excursions, as telemetry records it."""
     t = T.excursions(four_trades(spark, d), hourly(spark, d), PIP)
     return t.select("pair", "sig_seq", "trial", "reason", "bars_held", *(tidy(F.col(c), n).alias(c) for c, n in (("exit_price", 4), ("fill", 4), ("pnl", 3), ("mfe", 3), ("mae", 3))), "partial")
+
+
+#: Stand-in deployments: orders as versions of parameters, dealt to pairs and two groups; they hold from some time of January 2024 on and were stored up to half a day before or after.
+_VERSION = {
+    "grp": "CAST(o_custkey % 2 AS INT)",
+    "valid_s": "1704067200 + o_orderkey * 7919 % 2592000",
+    "recorded_s": "1704067200 + o_orderkey * 7919 % 2592000 + o_orderkey * 31 % 86400 - 43200",
+    "hours_start": "CAST(o_custkey % 12 AS INT)",
+    "hours_end": "CAST(12 + o_custkey % 12 AS INT)",
+} | {k: v.replace("i ", "(o_orderkey % 200) ") for k, v in GRID.items() if k != "trial"}
+_PAIRS = ("click", "error", "purchase", "signup", "view")
+_PAIR_OF = "CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PAIRS)) + " END"
+_REPLAY_SQL = managed_sql(f"""versions AS MATERIALIZED (SELECT {_PAIR_OF} AS pair, {', '.join(f'{v} AS {k}' for k, v in _VERSION.items())} FROM orders),
+ asked AS (SELECT s.*, b.ts_s AS s, hour(make_timestamp(b.ts_s * 1000000)) AS hr, g.grp AS trial FROM sig s JOIN bars b ON b.pair = s.pair AND b.bar_idx = s.bar_idx JOIN (SELECT DISTINCT pair, grp FROM versions) g ON g.pair = s.pair),
+ live AS (SELECT a.*, v.* EXCLUDE (pair, grp) FROM asked a JOIN versions v ON v.pair = a.pair AND v.grp = a.trial AND v.valid_s <= a.s AND v.recorded_s <= a.s
+   QUALIFY row_number() OVER (PARTITION BY a.pair, a.trial, a.sig_seq ORDER BY v.valid_s DESC, v.recorded_s DESC) = 1),
+ managed AS MATERIALIZED (
+  SELECT pair, bar_idx, direction, variant, filter_value, entry_price, atr_pips, sig_seq, trial, valid_s, dist AS sl_pips, entry_price - direction * dist * 1e-2 AS sl, entry_price + direction * dist * rr * 1e-2 AS tp,
+    CASE WHEN trailing_mode <> 'off' THEN trail_activate END AS trail_activate, CASE trailing_mode WHEN 'fixed_pip' THEN trail_distance WHEN 'atr_chandelier' THEN trail_atr_mult * atr_pips END AS trail_pips,
+    CASE WHEN be_enabled THEN be_trigger END AS be_trigger, be_offset, CASE WHEN partial_enabled THEN partial_trigger END AS partial_trigger, partial_pct, max_bars,
+    CASE WHEN stale_enabled THEN stale_bars ELSE 0 END AS stale_bars, stale_thr, atr_pips * 1e-2 AS atr
+  FROM live WHERE hr BETWEEN hours_start AND hours_end)""")
+
+
+def versions(spark, d):
+    return read(spark, d, "orders").select(F.expr(_PAIR_OF).alias("pair"), *[F.expr(v).alias(k) for k, v in _VERSION.items()]).withColumn("days_mask", F.lit(127))
+
+
+@query("c1_replay", f"""WITH RECURSIVE {_REPLAY_SQL} SELECT t.pair, t.trial AS grp, t.sig_seq, t.valid_s, t.direction, reason, t.exit_bar - t.bar_idx AS bars_held, {_ROW},
+  round(greatest(coalesce(max(CASE WHEN direction > 0 THEN high - fill ELSE fill - low END), 0) / 1e-2, 0), 3) + 0.0 AS mfe
+ FROM done t LEFT JOIN bars b ON b.pair = t.pair AND b.bar_idx > t.bar_idx AND b.bar_idx <= t.exit_bar GROUP BY ALL""")
+def c1(spark, d):
+    """Trades of the moving-average signals by the parameters that were known and in force at each signal, with telemetry."""
+    bars = settled(hourly(spark, d))
+    c = F.col
+    made = RE.replay_trades(S.sma_crossover(bars, PIP), versions(spark, d), bars, sub_bars(spark, d, bars), PIP, stops=lambda r: r.withColumns({
+        "sl": c("entry_price") - c("direction") * c("dist") * PIP, "tp": c("entry_price") + c("direction") * c("dist") * c("rr") * PIP,
+    }))
+    return made.select("pair", "grp", "sig_seq", "valid_s", "direction", "reason", "bars_held", tidy(c("pnl"), 3).alias("pnl"), tidy(c("mfe"), 3).alias("mfe"))
