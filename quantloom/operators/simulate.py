@@ -132,6 +132,19 @@ def evaluate(signals: DataFrame, trials: DataFrame, condition: Column | None = N
     return s.join(t, F.lit(True) if condition is None else condition)
 
 
+def evaluate_by_variant(signals: DataFrame, trials: DataFrame, condition: Column | None = None) -> DataFrame:
+    """Signals by the trials that take their variant, under a further condition: negative or null variants take and are taken by all.
+
+    Wildcards become keys, so it is an equi-join: a trial of a variant stands under it and under ``#``, where signals of no variant
+    look; a trial of all stands under ``*``, where every signal looks once.  Trials have t_variant.
+    """
+    keys = lambda x, known, any_: F.explode(F.when(F.coalesce(F.col(x), F.lit(-1)) >= 0, F.array(*(F.col(x).cast("string") if k == "=" else F.lit(k) for k in known))).otherwise(F.array(*map(F.lit, any_))))
+    s = signals.withColumn("_key", keys("variant", "=*", "*#"))
+    t = trials.withColumn("_key", keys("t_variant", "=#", "*"))
+    both = s.alias("s").join(t.alias("t"), F.col("s._key") == F.col("t._key")).drop("_key")
+    return both if condition is None else both.where(condition)
+
+
 #: Management columns of the full mode and what switches each off.
 MANAGEMENT = {"max_bars": 0, "stale_bars": 0, "stale_thr": 0.0, "be_trigger": None, "be_offset": 0.0, "trail_activate": None, "trail_pips": None, "partial_trigger": None, "partial_pct": 0.0}
 

@@ -236,8 +236,8 @@ def f_trial_filters(spark, d):
     """variant, weekday, hour and spread filters of four trials."""
     s = _two(spark, d).join(hourly(spark, d).select("pair", "bar_idx", "spread"), ["pair", "bar_idx"])
     c = F.col
-    cond = FI.variant_passes(c("t_variant"), c("variant")) & FI.time_passes(c("day_of_week"), c("hour"), c("mask"), c("start"), c("finish")) & FI.spread_passes(c("spread"), c("max_spread"))
-    return T.evaluate(s, _trials(spark), cond).select("pair", "bar_idx", "direction", "variant", "trial")
+    cond = FI.time_passes(c("day_of_week"), c("hour"), c("mask"), c("start"), c("finish")) & FI.spread_passes(c("spread"), c("max_spread"))
+    return T.evaluate_by_variant(s, _trials(spark), cond).select("pair", "bar_idx", "direction", "variant", "trial")
 
 
 @query("f2_value_filter", f"WITH {BARS}, {PREP}, {RSI_SIGNALS} SELECT pair, bar_idx, direction, filter_value FROM sig WHERE filter_value = CASE WHEN direction > 0 THEN 30 ELSE 70 END")

@@ -58,3 +58,15 @@ def test_verification_of_deployments(spark):
 def test_replay_uses_versions_that_differ(spark):
     t = full.c1(spark, DATA)
     assert t.count() > 50 and t.select("valid_s").distinct().count() > 20
+
+
+def test_variants_and_wildcards_meet_once(spark):
+    from quantloom.operators import simulate as T
+
+    signals = [(i, v) for i, v in enumerate([5, 5, 7, -1, None, 0])]
+    trials = [(i, v) for i, v in enumerate([5, 7, 9, -1, None, 0])]
+    got = T.evaluate_by_variant(spark.createDataFrame(signals, "n int, variant long"), spark.createDataFrame(trials, "trial int, t_variant long"))
+    off = lambda v: v is None or v < 0
+    want = sorted((n, t) for n, v in signals for t, w in trials if off(v) or off(w) or v == w)
+    assert sorted((r["n"], r["trial"]) for r in got.collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
