@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import normal_cdf
+from quantloom.functions.order import quantile, ranked
 
 
 @dataclass(frozen=True)
@@ -289,7 +290,8 @@ def elite_histogram(indices: DataFrame) -> DataFrame:
 
 def combined_rank(results: DataFrame, weight: float = 1.5) -> DataFrame:
     """rank_back + weight * rank_forward (0 is best); order by it, ties by trial."""
-    out = results.withColumns({"rank_back": (F.row_number().over(Window.orderBy(F.desc("quality_back"), "trial")) - 1), "rank_forward": (F.row_number().over(Window.orderBy(F.desc("quality_forward"), "trial")) - 1)})
+    out = ranked(results, "rank_back", F.desc("quality_back"), "trial")
+    out = ranked(out, "rank_forward", F.desc("quality_forward"), "trial")
     return out.withColumn("combined", F.col("rank_back") + weight * F.col("rank_forward"))
 
 
@@ -310,14 +312,15 @@ def deflated_sharpe(sharpe: Column, trades: Column, trials: Column, skew: Column
 
 def select(results: DataFrame, key: Column, per_key: int = 3, top: int = 20, levels: tuple[float, ...] = (0.95, 0.90)) -> DataFrame:
     """Rows above the highest DSR level that any row reaches (else all), best ``per_key`` of each key, best ``top`` of these."""
-    best = F.max("dsr").over(Window.partitionBy(F.lit(1)))
+    best = F.col("_best")
+    results = results.crossJoin(F.broadcast(results.agg(F.max("dsr").alias("_best"))))  # one row
     floor = F.lit(-1.0)
     for level in sorted(levels):
         floor = F.when(best >= level, level).otherwise(floor)
     rows = results.withColumns({"_floor": floor, "_key": key}).where(F.col("dsr") >= F.col("_floor"))
     w = Window.partitionBy("_key").orderBy(F.desc("quality"), "trial")
     rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_key)
-    return rows.orderBy(F.desc("quality"), "trial").limit(top).drop("_floor", "_r").withColumnRenamed("_key", "dedup_key")
+    return rows.orderBy(F.desc("quality"), "trial").limit(top).drop("_floor", "_r", "_best").withColumnRenamed("_key", "dedup_key")
 
 
 def fold_count(trades: int, years: float) -> int:
@@ -348,9 +351,8 @@ def survivors(fold_result: DataFrame, first: bool, share: float = 0.3, few: int
     """Culling between folds: after the first those above 0; later all but the worst share, if more than ``few`` are left."""
     if first:
         return fold_result.where("quality > 0")
-    cut = F.percentile("quality", F.lit(share)).over(Window.partitionBy(F.lit(1)))
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return fold_result.withColumns({"_c": cut, "_n": n}).where((F.col("_n") <= few) | (F.col("quality") >= F.col("_c"))).drop("_c", "_n")
+    both = quantile(fold_result, "quality", share).crossJoin(fold_result.agg(F.count("*").alias("_n")))  # one row
+    return fold_result.crossJoin(F.broadcast(both)).where((F.col("_n") <= few) | (F.col("quality") >= F.col("cut"))).drop("cut", "_n")
 
 
 def archive(results: DataFrame, per_cell: int = 1, frequency: tuple[float, ...] = (30, 100), tiers: tuple[float, ...] = (5, 15, 30)) -> DataFrame:

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.order import ranked
+
 
 def windows(n_bars: DataFrame, size: int = 3024, step: int = 1512, embargo: int = 168, anchored: bool = False) -> DataFrame:
     """Full windows (pair, window_id, start_bar, end_bar) over pair, n; the stride is step + embargo.  Anchored ones all start at 0."""
@@ -184,8 +186,8 @@ def auto_window(n_bars: int, trades: list[int], bars_per_year: float, trades_eac
 
 def report(candidates: DataFrame) -> DataFrame:
     """rank and a JSON line per candidate, survivors first, best composite first."""
-    w = Window.orderBy(F.col("eliminated"), F.desc("composite"), "candidate")
-    return candidates.select("candidate", (F.row_number().over(w) - 1).cast("long").alias("rank"), F.to_json(F.struct(*[c for c in candidates.columns])).alias("json"))
+    told = candidates.select("*", F.to_json(F.struct(*candidates.columns)).alias("json"))
+    return ranked(told, "rank", "eliminated", F.desc("composite"), "candidate").select("candidate", F.col("rank").cast("long").alias("rank"), "json")
 
 
 def config_errors(weights: dict[str, float] | None = None, **gates: float) -> list[str]:
