@@ -354,7 +354,20 @@ def v15(spark, d):
     return st.select("pair", "regime", "n", *(tidy(F.col(c), 4).alias(c) for c in ("win_pct", "sharpe", "profit_factor", "max_dd_pct")), "sufficient")
 
 
-@query("v16_robustness", None)
+_NAMED = "CASE x " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in R.NAMES.items()) + " END"
+_ROBUST = _BY_REGIME.rsplit("\n SELECT pair, regime", 1)[0] + f""",
+ st AS (SELECT pair, regime, CASE WHEN s > 0 THEN m / s * sqrt(n) ELSE 0 END AS sharpe, CASE WHEN top > 0 THEN 100 * dd / top ELSE 100 END AS dd FROM ta WHERE n >= 5),
+ us AS (SELECT pair, count(*) AS n, sum((sharpe > 0)::INT) AS good, max(dd) AS dd, avg(sharpe) AS m, stddev_pop(sharpe) AS s,
+   list(regime ORDER BY regime) FILTER (sharpe > 0) AS up, list(regime ORDER BY regime) FILTER (sharpe < 0) AS weak FROM st GROUP BY pair),
+ nt AS (SELECT *, array_to_string(list_transform(up, lambda x: {_NAMED}), ', ') AS ups, array_to_string(list_transform(weak, lambda x: {_NAMED}), ', ') AS weaks,
+   CASE WHEN abs(m) > 1e-10 THEN least(greatest(1 - (abs(s / m) - 0.5) / 1.5, 0), 1) ELSE 0 END AS spread FROM us)
+ SELECT pair, round(40.0::DOUBLE * good / n + CASE WHEN dd < 40 THEN 30 WHEN dd < 60 THEN 30 * (1 - (dd - 40) / 20) ELSE 0 END + CASE WHEN n >= 2 THEN 30 * spread ELSE 15 END, 4) + 0.0 AS score,
+   concat_ws('; ', CASE WHEN good = 0 THEN 'no regime is profitable' WHEN good = 1 AND n > 1 THEN 'profitable in one regime only: ' || ups WHEN good = n THEN 'profitable in every regime' END,
+     CASE WHEN dd > 40 THEN printf('worst drawdown %.1f %%', dd) END, CASE WHEN len(weak) > 0 THEN 'weak in ' || weaks END) AS note FROM nt"""
+
+
+@query("v16_robustness", f"WITH RECURSIVE {BASIC}, {_ROBUST}")
 def v16(spark, d):
     t = basic_trades(spark, d).where("trial = 0").withColumn("trade_id", F.col("sig_seq"))
-    return R.robustness(R.regime_statistics(t, R.classify(hourly(spark, d)), 5))
+    r = R.robustness(R.regime_statistics(t, R.classify(hourly(spark, d)), 5))
+    return r.select("pair", tidy(F.col("score"), 4).alias("score"), "note")
