@@ -62,14 +62,19 @@ def match(live: DataFrame, replay: DataFrame, minutes: float = 120.0) -> DataFra
     """Pairs (group, live_id, replay_id): each live trade in order of entry takes the nearest free replay trade of its
     direction within ``minutes``; the earliest of equals.  ``group`` separates pairs and strategies.
 
-    The choice depends on those before it, so each group runs in order, over candidate
-    pairs found by a join on time buckets.
+    The choice depends on those before it, so trades run in order, over candidate pairs found by a join on time
+    buckets.  Live trades of another direction, or further apart than twice ``minutes``, can't want the same replay
+    trade: a run of trades without such a gap is settled on its own, so a task holds one run (a week at
+    most where markets close), not a group.  Rows with a null group, direction or time match nothing.
     """
     span = int(minutes * 60)
     bucket = F.floor(F.col("s") / span)
     a = live.select("group", "live_id", "direction", "s", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
     b = replay.select("group", "replay_id", "direction", F.col("s").alias("rs"), F.floor(F.col("s") / span).alias("b"))
-    near = a.join(b, ["group", "direction", "b"]).where(F.abs(F.col("rs") - F.col("s")) <= span).select("group", "live_id", "replay_id", "s", F.abs(F.col("rs") - F.col("s")).alias("gap"))
+    gap = F.abs(F.col("rs") - F.col("s"))
+    near = a.join(b, ["group", "direction", "b"]).where(gap <= span).select("group", "direction", "live_id", "replay_id", "s", gap.alias("gap"))
+    w = Window.partitionBy("group", "direction").orderBy("s")
+    near = near.withColumn("_new", F.when(F.col("s") - F.lag("s").over(w) > 2 * span, 1).otherwise(0)).withColumn("run", F.sum("_new").over(w)).drop("_new")
 
     def greedy(pdf):
         pdf = pdf.sort_values(["s", "live_id", "gap", "replay_id"], kind="stable")
@@ -82,7 +87,7 @@ def match(live: DataFrame, replay: DataFrame, minutes: float = 120.0) -> DataFra
         return pdf.iloc[: len(out)][["group"]].assign(live_id=[x[0] for x in out], replay_id=[x[1] for x in out])
 
     kind = dict(near.dtypes)["group"]
-    return near.groupBy("group").applyInPandas(greedy, f"group {kind}, live_id long, replay_id long")
+    return near.groupBy("group", "direction", "run").applyInPandas(greedy, f"group {kind}, live_id long, replay_id long")
 
 
 def compare(pairs: DataFrame, pip: float) -> DataFrame:

@@ -82,8 +82,9 @@ def test_weights_add_up():
 
 def test_greedy_matching_equals_a_loop(spark):
     rng = random.Random(5)
-    a = [("g", i, rng.choice([1, -1]), rng.randrange(40_000)) for i in range(60)]
-    b = [("g", i, rng.choice([1, -1]), rng.randrange(40_000)) for i in range(60)]
+    times = [rng.randrange(40_000) for _ in range(60)] + [900_000 + rng.randrange(9_000) for _ in range(20)]  # two runs with a quiet time between
+    a = [("g", i, rng.choice([1, -1]), s) for i, s in enumerate(times)]
+    b = [("g", i, rng.choice([1, -1]), s + rng.randrange(-9_000, 9_000)) for i, s in enumerate(times)]
     used, want = set(), set()
     for _, i, d, s in sorted(a, key=lambda x: (x[3], x[1])):
         free = [(abs(x[3] - s), x[1]) for x in b if x[2] == d and x[1] not in used and abs(x[3] - s) <= 7200]
