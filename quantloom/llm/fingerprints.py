@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is its sequence of words.  A k-mer (six words) is chosen if the least of its
+A text is its sequence of words; of a word over ``LONG`` code points (a language without blanks, encoded
+bytes, minified code) each code point counts as a word, so such texts have k-mers, too.  A k-mer (six words) is chosen if the least of its
 inner pairs of words, by hash, is the first or the last: whether it is chosen depends on its
 own words alone, so an edit elsewhere never changes it, unlike with minimisers.
 The 64 least of a text's distinct chosen k-mers, by hash, with the place of their first word
@@ -23,15 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-K, S, SKETCH, SLACK = 6, 2, 64, 32
+K, S, SKETCH, SLACK, LONG = 6, 2, 64, 32, 40
 BUCKET_ROWS, MAX_BUCKETS = 128, 1 << 18
 WHITE = r"[\x09-\x0D\x20]+"
 BELOW = -float(2**64)  # below every id
 
 
 def _hashed(text: Column) -> Column:
-    """Hashes of the words of a text; null is the empty text."""
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != ""), lambda w: F.xxhash64(w))
+    """Hashes of the words of a text, of the code points of long words; null is the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    apart = F.flatten(F.transform(F.split(text, WHITE), lambda w: F.when(F.length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
+    units = F.when(text.rlike(rf"[^\x09-\x0D\x20]{{{LONG + 1}}}"), apart).otherwise(F.split(text, WHITE))
+    return F.transform(F.filter(units, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def _chosen(h: Column, pairs: Column) -> Column:

@@ -10,9 +10,10 @@ waste the room of a smaller one.  At the end every bin shrinks to the least perm
 holds its contents.
 
 Lengths are UTF-8 bytes, the tokens of a byte-level model, unless the caller gives a
-column of token counts.  Texts never move: only (id, length) pairs do.  Pieces are dealt by a hash into
-groups of bounded expected size, each packed on its own, so a task's memory is bounded and
-a lost executor costs a few groups.  A group wastes at most one part-filled
+column of token counts.  Texts never move: only (id, length) pairs do.  Rows that repeat both are
+interchangeable: they are counted first, map-side too, and dealt as blocks of copies, so an id (or null) of
+a third of all rows spreads like any other.  Pieces are dealt by a hash into groups of bounded
+expected size, each packed on its own, so a task's memory is bounded and a lost executor costs a few groups.  A group wastes at most one part-filled
 bin per size more than packing all pieces at once.
 """
 
@@ -33,6 +34,7 @@ SIZES = (1024, 2048, 4096, 8192)
 OVERHEAD = 64
 ATTENTION = 16_384  # the length at which the square costs as much as the length
 GROUP_PIECES = 20_000
+COPY_BLOCK = 1_000  # copies of a row that are dealt together
 
 
 def bin_cost(size: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
@@ -99,23 +101,30 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     """doc_id, piece, start, length, bin_group, bin, bin_size: where each part of each document goes.
 
     Lengths are in bytes of UTF-8, or in the unit of ``length``.  A document longer than the largest size is cut into pieces of it and a rest.  Null
-    and empty texts have one piece of length 0.  Rows that repeat an id are packed each
-    on its own and share a group.  An empty table gives an empty result; ``length`` may be any
+    and empty texts have one piece of length 0.  Rows that repeat an id, or have none, are packed each
+    on its own; the pieces of two such rows aren't told apart.  An empty table gives an empty result; ``length`` may be any
     non-negative column, null counts as 0.
     """
     spark = docs.sparkSession
     largest = max(sizes)
     size = F.greatest(F.coalesce((text_bytes() if length is None else length).cast("long"), F.lit(0)), F.lit(0))
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("n"))
-    groups = few.agg(F.sum(F.greatest(F.ceil(F.col("n") / largest), F.lit(1))).alias("n")).first()["n"] or 1
-    count = max(1, -(-int(groups) // group_pieces))
-    parts = few.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("n") - 1) / largest), F.lit(0)).cast("long"))).alias("piece"))
+    pieces = F.greatest(F.ceil(F.col("n") / largest), F.lit(1))
+    total = few.agg(F.sum(pieces).alias("n")).first()["n"] or 1
+    count = max(1, -(-int(total) // group_pieces))
+    block = min(COPY_BLOCK, max(1, group_pieces // 20))
+    rows = few.groupBy("doc_id", "n").agg(F.count("*").alias("m"))
+    rows = rows.select("doc_id", "n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / block))).alias("block"))
+    rows = rows.withColumn("copies", F.least(F.col("m") - F.col("block") * block, F.lit(block)).cast("int"))
+    parts = rows.select("doc_id", "n", "block", "copies", F.explode(F.sequence(F.lit(0).cast("long"), (pieces - 1).cast("long"))).alias("piece"))
     start = F.col("piece") * largest
-    parts = parts.select(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(count)).cast("int").alias("bin_group"), "doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(largest)).alias("length"))
+    group = F.pmod(F.xxhash64("doc_id", "n", "piece", "block"), F.lit(count)).cast("int")
+    parts = parts.select(group.alias("bin_group"), "doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(largest)).alias("length"), "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, "bin_group"):
             t = t.combine_chunks()
+            t = t.take(np.repeat(np.arange(len(t)), t.column("copies").to_numpy())).drop_columns("copies")
             n = t.column("length").to_numpy()
             bins, final = np.zeros(len(n), np.int32), np.zeros(len(n), np.int32)
             for lo, hi in zip(*grouped_runs(t.column("bin_group").to_numpy()), strict=True):

@@ -9,8 +9,10 @@ each boundary carries the stack of rules that are active from there on, the swee
 hands the last one to the URLs that follow, and the top of the stack is the longest
 rule of that key.  The longest of a URL's keys decides.
 
-Keys are dealt out with a salt (boundaries go to every salt), so that a third of all
-URLs under one host spreads over tasks; equal (host, path) pairs are judged once.
+Keys are dealt out with a salt (boundaries go to every salt of their key), so that a third of all
+URLs under one host spreads over tasks.  A key has ``SALTS`` of them, and more where that would leave
+over ``SALT_ROWS`` rows to one.  Equal (host, path) pairs are judged once.  URLs without a host fit no rule; they
+stay spread by the partition that they come from when verdicts are joined.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SALTS = 32
+SALTS, SALT_ROWS = 32, 1_000_000
 #: The rules of the registered query: host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -41,8 +43,8 @@ def _reversed(host: Column) -> Column:
     return F.reverse(F.split(host, r"\."))
 
 
-def _boundaries(rules: DataFrame, salts: int) -> DataFrame:
-    """key, salt, at, stack: where the active rules of a key change, and the rules active from there on, shortest path first."""
+def _boundaries(rules: DataFrame) -> DataFrame:
+    """key, at, stack: where the active rules of a key change, and the rules active from there on, shortest path first."""
     rules = rules.where("host is not null and path is not null").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict")
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # of rivals, block
     named = rules.select(F.array_join(_reversed(F.col("host")), ".").alias("key"), "host", "path", F.struct(F.length("path").alias("size"), F.concat("host", "path").alias("rule"), "verdict").alias("top"))
@@ -51,10 +53,10 @@ def _boundaries(rules: DataFrame, salts: int) -> DataFrame:
     stacks = above.groupBy("key", "path").agg(F.array_sort(F.collect_list("top")).alias("stack"))
     start, end = F.col("path").cast("binary"), F.concat(F.col("path").cast("binary"), F.lit(bytearray(b"\xff")))
     both = F.explode(F.array(F.struct(start.alias("at"), F.col("stack").alias("stack")), F.struct(end.alias("at"), F.slice("stack", F.lit(1), F.size("stack") - 1).alias("stack"))))
-    return stacks.select("key", both.alias("b"), F.sequence(F.lit(0), F.lit(salts - 1)).alias("salts")).select("key", F.explode("salts").alias("salt"), "b.at", "b.stack")
+    return stacks.select("key", both.alias("b")).select("key", "b.at", "b.stack")
 
 
-def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", salts: int = SALTS) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", salts: int = SALTS, salt_rows: int = SALT_ROWS) -> DataFrame:
     """``urls`` with host, path, rule (null where none fits) and verdict (the rule's, else ``default``).
 
     Columns of these names that are there already are replaced.  Null and malformed
@@ -70,17 +72,23 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     turned = _reversed(F.col("host"))
     keyed = pairs.withColumn("turned", turned).select("host", "path", F.explode(F.expr(f"transform(sequence(1, least(size(turned), {max(1, labels)})), i -> array_join(slice(turned, 1, i), '.'))")).alias("key"))
     keyed = keyed.join(rules.select(F.array_join(_reversed(F.translate("host", UPPER, LOWER)), ".").alias("key")).distinct(), "key", "left_semi")
-    marks = _boundaries(rules, salts)
+    heavy = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > salts * salt_rows)
+    heavy = F.broadcast(heavy.select("key", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")))  # a key for each salts * salt_rows rows at most
+    many = F.coalesce("salts", F.lit(salts))
+    marks = _boundaries(rules).join(heavy, "key", "left").select("key", F.explode(F.sequence(F.lit(0), many - 1)).alias("salt"), "at", "stack")
     kind = marks.schema["stack"].dataType
-    rows = keyed.select("key", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int").alias("salt"), F.col("path").cast("binary").alias("at"), F.lit(1).alias("url"), "host", "path", F.lit(None).cast(kind).alias("stack"))
+    keyed = keyed.join(heavy, "key", "left").withColumn("salt", F.pmod(F.xxhash64("host", "path"), many).cast("int"))
+    rows = keyed.select("key", "salt", F.col("path").cast("binary").alias("at"), F.lit(1).alias("url"), "host", "path", F.lit(None).cast(kind).alias("stack"))
     none = F.lit(None).cast("string")
     swept = rows.unionByName(marks.select("key", "salt", "at", F.lit(0).alias("url"), none.alias("host"), none.alias("path"), "stack"))
     order = Window.partitionBy("key", "salt").orderBy("at", "url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = swept.withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("url = 1 and size(active) > 0")
     top = F.element_at("active", -1)
     best = swept.groupBy("host", "path").agg(F.max(F.struct(F.length(top["rule"]).alias("n"), F.length("key").alias("k"), top["rule"].alias("rule"), top["verdict"].alias("verdict"))).alias("best"))
-    best = best.select(F.col("host").alias("_ql_h"), F.col("path").alias("_ql_p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    out = urls.join(best, (F.col("_ql_host") == F.col("_ql_h")) & (F.col("_ql_path") == F.col("_ql_p")), "left").drop("_ql_h", "_ql_p")
+    best = best.select(F.col("host").alias("_ql_h"), F.col("path").alias("_ql_p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"), F.lit(-1).alias("_ql_s"))
+    urls = urls.withColumn("_ql_from", F.when(F.col("_ql_host") == "", F.spark_partition_id()).otherwise(-1))
+    same = (F.col("_ql_host") == F.col("_ql_h")) & (F.col("_ql_path") == F.col("_ql_p")) & (F.col("_ql_from") == F.col("_ql_s"))
+    out = urls.join(best, same, "left").drop("_ql_h", "_ql_p", "_ql_s", "_ql_from")
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).withColumnsRenamed({"_ql_host": "host", "_ql_path": "path"})
 
 

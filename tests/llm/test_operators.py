@@ -253,6 +253,18 @@ def test_url_filter_against_a_loop_over_nested_rules(spark):
         assert (r["rule"], r["verdict"]) == want
 
 
+def test_url_filter_salts_and_urls_without_host(spark):
+    """Heavy keys get more salts than others; null ids, repeated and null URLs keep their rows; a plain run gives the same."""
+    rng = random.Random(9)
+    urls = [(None if i % 7 == 0 else i, rng.choice([None, "", "no scheme", f"http://h{i % 40}.com/{rng.choice(['fr', 'de'])}/{i}", "https://a.example.org/en/1" + "0" * (i % 9)])) for i in range(600)]
+    df = spark.createDataFrame(urls + urls[:50], "page_id long, url string").repartition(6)
+    plain = url_filter.judge(df, url_filter.rule_table(spark))
+    salted = url_filter.judge(df, url_filter.rule_table(spark), salts=2, salt_rows=10)
+    assert salted.columns == plain.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
+    assert plain.count() == 650 and {r["verdict"] for r in plain.where("host = ''").collect()} == {"allow"}
+
+
 def test_fingerprints(docs, corpus, empty):
     got = {r["doc_id"]: r for r in fingerprints.edited_likeness(docs).collect()}
     order = sorted(corpus, reverse=True, key=lambda x: x[0])
@@ -297,7 +309,8 @@ def longs_hash(values):
 
 def sketches(text):
     """Chosen k-mers and words as {hash: first place}, by plain loops."""
-    w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in re.split(r"[\x09-\x0D\x20]+", text or "") if x]
+    units = [y for x in re.split(r"[\x09-\x0D\x20]+", text or "") for y in (x if len(x) > 40 else [x]) if y]
+    w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in units]
     pairs = [longs_hash(x) for x in zip(w, w[1:], strict=False)]
     kmers, single = {}, {}
     for i in range(len(w) - 5):
@@ -338,6 +351,8 @@ def test_fingerprints_equal_a_plain_computation(spark):
             t[rng.randrange(300)] = f"e{rng.random()}"
         texts.append(" ".join(t))
     texts += [" ".join(base[150:] + base[:150]), " ".join(base[100:200] * 5), " ".join(["new"] * 200 + base), None, "", "a" * 5000, words(rng, 9000, 50)]
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(1200))
+    texts += [han, han[:600] + "\U00020000" + han[600:], "x" * 40 + " " + "y" * 41, f"one {han[:50]} two {han[50:90]} \U0001F600"]
     rows = list(enumerate(texts)) + [(None, texts[40]), (7, texts[41])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = fingerprints.edited_likeness(df).collect()
@@ -353,6 +368,7 @@ def test_fingerprints_equal_a_plain_computation(spark):
     assert sorted(map(repr, found)) == sorted(map(repr, want))
     assert all(bool(w[3]) == bool((t or "").split()) for w, (_, t) in zip(want, order, strict=True))
     halves_swapped, shifted = texts[102], texts[104]
+    assert plain_likeness(han, texts[110]) > 0.9 and plain_likeness(han, texts[90]) == 0.0
     assert plain_likeness(texts[90], halves_swapped) < 0.8 < 0.9 < plain_likeness(texts[90], shifted)
 
 
@@ -729,6 +745,25 @@ def test_packing_places_every_piece_once(docs, corpus, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_spreads_repeated_and_null_ids(spark):
+    """Null ids, one id of many rows and plain ids: each row is placed, no group holds a multiple of its share, a second run is the same."""
+    rows = [(None, "x" * (i % 3)) for i in range(3000)] + [(7, "y" * 90)] * 3000 + [(i, "z" * (i % 50)) for i in range(100, 1100)] + [(5, "w" * 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    pack = lambda d: sorted(map(repr, packing.pack(d, sizes=(64, 256), group_pieces=500).collect()))
+    got = packing.pack(df, sizes=(64, 256), group_pieces=500).collect()
+    assert len(got) == len(rows) + 3
+    groups, bins, ids = {}, {}, {}
+    for r in got:
+        groups[r["bin_group"]] = groups.get(r["bin_group"], 0) + 1
+        key = (r["bin_group"], r["bin"])
+        bins.setdefault(key, [r["bin_size"], 0])[1] += r["length"]
+        ids[r["doc_id"], r["length"]] = ids.get((r["doc_id"], r["length"]), 0) + 1
+    assert len(groups) > 10 and max(groups.values()) < 4 * 500
+    assert all(held <= size for size, held in bins.values())
+    assert [ids[None, n] for n in range(3)] == [1000] * 3 and ids[7, 90] == 3000 and ids[5, 256] == 3 and ids[5, 232] == 1
+    assert pack(df) == pack(df.repartition(3))
+
+
 def test_shard_store(docs, tmp_path, spark, empty):
     store = sharding.ShardStore(spark, str(tmp_path / "store"), target_bytes=40_000, small_bytes=4_000, fanout=3)
     sharding.ingest(docs, arrivals=7, store=store)
