@@ -8,8 +8,8 @@ Set-relation skipping, distributed:
   order gives right results, this one keeps frequent shingles out of the prefixes.
 * Two similar sets share at least l shingles among their first
   ``n - ceil(0.8 n) + l``; those prefixes go to an index of lists, sorted by set
-  size.  Size decides which block of a list can hold partners, the positions of the
-  shingle in both sets bound the overlap; blocks outside are skipped.
+  size.  Size alone decides which block of a list can hold partners; the positions of the
+  shingle in both sets bound the overlap and drop single pairs, not whole blocks.
 * A set whose lists have too little company to reach l leaves the index.
 * Answers are derived from those of a highly similar set: for some turns each set is
   compared with one leader only, the one of its lists' leaders with which it shares
