@@ -157,9 +157,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(percent: int, turn: int):
-    """Pairs of a list's leader with the sets of other components.
+    """A row (leader, set) for each set of a list that is in another component than the list's leader.
 
-    The leader of the first turn is the set with the most company in all of its lists;
+    No list gives more rows than it has, however the lists are dealt; Spark adds up the rows of a
+    pair.  The leader of the first turn is the set with the most company in all of its lists;
     later turns take another member of its component.
     """
 
@@ -176,7 +177,7 @@ def _stars(percent: int, turn: int):
             leader = leader[of]
             fits = (c != c[leader]) & (100 * np.minimum(n, n[leader]) >= percent * np.maximum(n, n[leader]))
             if fits.any():
-                yield _summed(s[leader][fits], s[fits], n[leader][fits], n[fits])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s[leader][fits], s[fits], n[leader][fits], n[fits])], names=["a", "b", "na", "nb"])
 
     return run
 
@@ -384,7 +385,7 @@ class NgramJoin:
         stage.drop("lists")
         links = None
         for turn in range(TURNS):
-            stars = by_list(rows).mapInArrow(_stars(percent, turn), pair).groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+            stars = by_list(rows).mapInArrow(_stars(percent, turn), "a long, b long, na long, nb long").groupBy("a", "b").agg(F.count("*").alias("hits"), F.min("na").alias("na"), F.min("nb").alias("nb"))
             best = stars.where(2 * F.col("hits") >= least).groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")  # hits count the lists that the leader leads alone; what this misses is found below
             found = self._verified(best, classes, f"near{turn}")
             links = found if links is None else links.union(found)

@@ -227,6 +227,20 @@ def test_ngram_join_of_an_id_with_two_texts_and_of_null_ids(spark):
         assert len(got) == len(rows) - 1
 
 
+def test_rows_of_leaders_follow_the_lists():
+    """A list gives a row for each set but its leader, however many batches the lists come in."""
+    import numpy as np
+    import pyarrow as pa
+
+    lists, sets = 40, 4
+    s = np.tile(np.arange(sets), lists)
+    rows = {"h": np.repeat(np.arange(lists), sets), "s": s, "n": np.full(len(s), 50, np.int32), "pos": np.zeros(len(s), np.int32), "w": 100 - s, "c": s}
+    whole = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in rows.items()})
+    for size in (len(s), 10 * sets, sets, 3):
+        got = [tuple(r.values())[:2] for b in ngram_join._stars(80, 0)(whole.slice(i, size) for i in range(0, len(s), size)) for r in b.to_pylist()]
+        assert sorted(got) == sorted([(0, x) for x in range(1, sets)] * lists)
+
+
 def test_url_filter_equals_sql(spark):
     con = duckdb.connect()
     urls = ["http://Example.ORG/es/x?y#z", "https://a.b.example.org/en/12", "http://example.org", "http://org", "org/x", None, "", "://", "http://x.com/fr/a", "http://x.com/de/b", "http://com/fr/", "http://notexample.org/es/", "http://example.org:80/es/", "http://é.com/fr/é?", "http://x.com/fr", "a://b://c.org/"]
