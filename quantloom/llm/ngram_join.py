@@ -40,6 +40,7 @@ TURNS = 1
 SHORT = 64  # lists up to this length are paired all at once
 COUNTERS = (1 << 21, 1 << 24)  # least and greatest number of hashed counters, a byte each
 PARITY = 1024  # bits of a set's parity map
+TASK_PAIRS = 500  # pairs whose texts one task reads and verifies
 FILTER = (1 << 23, 1 << 28)  # least and greatest number of bits of the filter of wanted documents
 
 
@@ -335,16 +336,17 @@ class NgramJoin:
     def _verified(self, pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that are similar, by their whole sets."""
         pairs = self.stage.write(pairs, f"{name}-pairs")
+        tasks = 1 + pairs.count() // TASK_PAIRS
         want = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
-        want = self.stage.write(want.join(classes.select("s", "rep"), "s").select("s", F.col("rep").alias("doc")), f"{name}-want")
+        want = self.stage.write(want.join(classes.select("s", "rep"), "s").select("s", F.col("rep").alias("doc")).coalesce(tasks), f"{name}-want")
         size = _size(16 * want.count(), FILTER)
         bits = np.zeros(size // 8, np.uint8)  # at most 32 MB, whatever the input
         found = want.select("doc").mapInArrow(_filter_bits(size), "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
         bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
         near = self.texts.mapInArrow(_wanted(self.spark.sparkContext.broadcast(bits), size, self.width), "s long, text string")
-        texts = self.stage.write(want.select("s").join(near, "s").dropDuplicates(["s"]), f"{name}-texts")  # any text of a set will do
+        texts = self.stage.write(want.select("s").join(near, "s").dropDuplicates(["s"]).coalesce(tasks), f"{name}-texts")  # any text of a set will do
         a, b = (texts.select(F.col("s").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        links = self.stage.write(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(self.width, self.percent), "a long, b long"), f"{name}-links")
+        links = self.stage.write(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(self.width, self.percent), "a long, b long").coalesce(tasks), f"{name}-links")
         self.stage.drop(f"{name}-pairs", f"{name}-want", f"{name}-texts")
         return links
 
@@ -364,11 +366,6 @@ class NgramJoin:
         smallest = F.ceil(F.col("n") * percent / 100)  # of the sets similar to one of n shingles
         fewest = F.least(1 + F.floor(smallest / 20), F.greatest(F.ceil(smallest * percent / 100), F.lit(1)))
 
-        def hopeful(rows: DataFrame, name: str, company: str) -> DataFrame:
-            """Without the sets that have company in fewer lists than any similar set would share with them."""
-            enough = rows.groupBy("s").agg(F.count("*").alias("k"), F.sum(company).alias("w"), F.first("n").alias("n")).where(F.col("k") >= fewest).select("s", "w")
-            return stage.write(rows.drop("w").join(enough, "s").select("h", "s", "n", "pos", "w"), name)
-
         def by_list(rows: DataFrame) -> DataFrame:
             arrow_batches(self.spark)
             return rows.repartition("h").sortWithinPartitions("h", "n", "s")
@@ -380,8 +377,8 @@ class NgramJoin:
         small = F.least("na", "nb")
         least = F.least(1 + F.floor(small / 20), F.greatest(F.ceil(small * percent / 100), F.lit(1)))
 
-        members = hopeful(lists, "members", "m")
-        rows = members.withColumn("c", F.col("s"))
+        enough = lists.groupBy("s").agg(F.count("*").alias("k"), F.sum("m").alias("w"), F.first("n").alias("n")).where(F.col("k") >= fewest).select("s", "w")
+        rows = stage.write(lists.join(enough, "s").select("h", "s", "n", "pos", "w", F.col("s").alias("c")), "members")
         stage.drop("lists")
         links = None
         for turn in range(TURNS):
@@ -390,22 +387,23 @@ class NgramJoin:
             found = self._verified(best, classes, f"near{turn}")
             links = found if links is None else links.union(found)
             root = components(links, stage, f"near{turn}")
-            for again in range(2):  # the lists shrink as sets leave, which makes more sets leave
-                mixed = stage.write(by_list(placed(members)).mapInArrow(_mixed, row), f"mixed{turn}{again}")
-                stage.drop("members" if not turn + again else f"members{turn - (not again)}{1 - again}")
-                members = hopeful(mixed.withColumn("one", F.lit(1)), f"members{turn}{again}", "one")
-                stage.drop(f"mixed{turn}{again}")
-            rows = stage.write(by_list(placed(members)).mapInArrow(_mixed, row), f"rows{turn}")
+            mixed = stage.write(by_list(placed(rows)).mapInArrow(_mixed, row), f"rows{turn}")
+            stage.drop(f"rows{turn - 1}" if turn else "members")
+            rows = mixed
         # Of the shingles that similar sets share in their prefixes, ``fewest`` at least, a quarter must be among
-        # those that remain when each set leaves its longest lists, three quarters of ``fewest``.
+        # those that remain when each set leaves its longest lists, three quarters of ``fewest``.  A set with
+        # company of other components in fewer lists than ``fewest`` has no partner there.
         own = Window.partitionBy("s")
         rank = F.row_number().over(own.orderBy("w", "h"))
-        rows = rows.withColumns({"k": F.count("*").over(own), "r": rank}).where(F.col("r") <= F.col("k") - fewest + F.ceil(fewest / 4)).drop("k", "r")
+        rows = rows.withColumns({"k": F.count("*").over(own), "r": rank}).where((F.col("k") >= fewest) & (F.col("r") <= F.col("k") - fewest + F.ceil(fewest / 4))).drop("k", "r")
         seen = by_list(rows.join(classes.select("s", "bits"), "s"))
         arrow_batches(self.spark)
         pairs = seen.mapInArrow(_across(percent), pair).groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.least(F.min("na"), F.min("nb")).alias("n"))
         pairs = pairs.where(F.col("hits") >= F.ceil(fewest / 4)).select("a", "b")
-        links = links.union(self._verified(pairs, classes, "far")).union(shared)
+        far, of = self._verified(pairs, classes, "far"), root.withColumnRenamed("root", "c")
+        for end in "ab":  # links between sets are links between their roots
+            far = far.join(of.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        links = root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(far.select("a", "b")).union(shared)
         root = components(links, stage, "all")
         of_class = classes.drop("bits").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s"))
         smallest = of_class.groupBy("c").agg(F.min("rep").alias("component_id"))

@@ -241,6 +241,29 @@ def test_rows_of_leaders_follow_the_lists():
         assert sorted(got) == sorted([(0, x) for x in range(1, sets)] * lists)
 
 
+def test_components_stop_at_stars(spark):
+    """Stars on the least node take no round at all, as no round would change them; chains and hubs still end as stars."""
+    from quantloom.llm.common import Stage
+    from quantloom.llm.graph import components
+
+    class Named(Stage):
+        def write(self, df, name):
+            names.append(name)
+            return super().write(df, name)
+
+    def run(edges):
+        names.clear()
+        got = components(spark.createDataFrame(edges, "a long, b long"), Named(spark, "stars")).collect()
+        return {r["node"]: r["root"] for r in got}, len(got)
+
+    names = []
+    assert run([(1, 2), (3, 1), (1, 3), (10, 12), (7, 7)]) == ({2: 1, 3: 1, 12: 10}, 3)
+    assert len(names) == 1
+    assert run([]) == ({}, 0)
+    chain = [(i, i + 1) for i in range(20)] + [(40, 50), (40, 60), (60, 30)]
+    assert run(chain) == ({i: 0 for i in range(1, 21)} | {40: 30, 50: 30, 60: 30}, 23)
+
+
 def test_url_filter_equals_sql(spark):
     con = duckdb.connect()
     urls = ["http://Example.ORG/es/x?y#z", "https://a.b.example.org/en/12", "http://example.org", "http://org", "org/x", None, "", "://", "http://x.com/fr/a", "http://x.com/de/b", "http://com/fr/", "http://notexample.org/es/", "http://example.org:80/es/", "http://é.com/fr/é?", "http://x.com/fr", "a://b://c.org/"]
