@@ -19,6 +19,16 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do: times a power of ten, to the nearest whole number (halves away from zero), divided again.
+
+    ``F.round`` rounds the shortest decimal text instead: 1.005 becomes 1.01 there, and 1.0 here, as 1.005 * 100 is below 100.5.
+    """
+    power = F.lit(10.0**digits)
+    out = F.round(x * power) / power
+    return F.when(F.abs(out) == float("inf"), x).otherwise(out)
+
+
 def tidy(x: Column, digits: int = 6) -> Column:
     """Rounded, with minus zero as zero: for comparisons between engines."""
     return F.round(x, digits) + F.lit(0.0)

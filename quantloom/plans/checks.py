@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quantloom.functions.numeric import tidy
+from quantloom.functions.numeric import rounded, tidy
 from quantloom.operators import articles as A
 from quantloom.operators import montecarlo as MC
 from quantloom.operators import risk
@@ -189,7 +189,7 @@ def _candidates(spark, d):
     """Stand-in candidates: customers with derived measures."""
     c = read(spark, d, "customer")
     k, b = F.col("c_custkey"), F.col("c_acctbal")
-    return c.select(k.alias("trial"), (k % 40 + 10).alias("trades"), (F.pmod(k * 37, F.lit(200)) / 100 - 0.5).alias("sharpe"), F.round(b / 100, 2).alias("quality"), (F.round(b / 200, 2) + k % 7).alias("quality_forward"), F.pmod(k, F.lit(12)).alias("group"), F.pmod(k * 13, F.lit(90)).alias("mean_held"))
+    return c.select(k.alias("trial"), (k % 40 + 10).alias("trades"), (F.pmod(k * 37, F.lit(200)) / 100 - 0.5).alias("sharpe"), rounded(b / 100, 2).alias("quality"), (rounded(b / 200, 2) + k % 7).alias("quality_forward"), F.pmod(k, F.lit(12)).alias("group"), F.pmod(k * 13, F.lit(90)).alias("mean_held"))
 
 
 _CAND = "cand AS MATERIALIZED (SELECT c_custkey AS trial, c_custkey % 40 + 10 AS trades, (c_custkey * 37) % 200 / 100::DOUBLE - 0.5 AS sharpe, round(c_acctbal / 100, 2) AS quality, round(c_acctbal / 200, 2) + c_custkey % 7 AS quality_forward, c_custkey % 12 AS grp, (c_custkey * 13) % 90 AS mean_held FROM customer)"
