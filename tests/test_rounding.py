@@ -23,3 +23,8 @@ def both(spark, folder, name, rows):
 def test_ranks_of_rounded_halves(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, [(10 + i, b) for i, b in enumerate(BALANCES)])
     assert got == want
+
+
+def test_ratio_of_rounded_halves(spark, tmp_path):
+    got, want = both(spark, tmp_path, "o17_forward_back", [(10 + i, b) for i, b in enumerate(BALANCES)])
+    assert got == want
