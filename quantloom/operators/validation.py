@@ -104,9 +104,9 @@ def stability_rating(mean: Column, least: Column, n: Column) -> Column:
     return F.when(n == 0, "ROBUST").when((mean >= 0.8) & (least >= 0.5), "ROBUST").when(mean >= 0.6, "MODERATE").when(mean >= 0.4, "FRAGILE").otherwise("OVERFIT")
 
 
-def _scale(x: Column, low: float, high: float) -> Column:
-    """0 to 100 between two values."""
-    return 100 * F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+def _scale(x: Column, low: float, high: float, share: float = 1.0) -> Column:
+    """0 to 100 times ``share`` between two values; the product is one factor, for the same last digits as in SQL."""
+    return 100 * share * F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0))
 
 
 #: Weights of the composite; they add up to 1.
@@ -118,11 +118,17 @@ CPCV_SHARE = 0.4
 
 
 def _ramp(x: Column, *points: tuple[float, float]) -> Column:
-    """Straight lines through (x, score) points, level outside them."""
-    out = F.lit(points[-1][1])
+    """Straight lines through (x, score) points, level outside them.
+
+    A line starts from its lower score, its width is the decimal difference of its points: so scores
+    that end in few digits come out even, and a composite of 40 or 70 isn't a last digit below it.
+    """
+    out = F.lit(float(points[-1][1]))
     for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:], strict=False))):
-        out = F.when(x <= x1, y0 + (y1 - y0) * (x - x0) / (x1 - x0)).otherwise(out)
-    return F.when(x <= points[0][0], F.lit(points[0][1])).otherwise(out)
+        width, rise = round(x1 - x0, 12), float(abs(y1 - y0))
+        line = float(min(y0, y1)) + rise * ((x - x0) if y1 >= y0 else (x1 - x)) / width
+        out = F.when(x <= x1, line).otherwise(out)
+    return F.when(x <= points[0][0], F.lit(float(points[0][1]))).otherwise(out)
 
 
 def sub_scores() -> dict[str, Column]:
@@ -134,20 +140,20 @@ def sub_scores() -> dict[str, Column]:
     0 without), cpcv_positive, cpcv_sharpe, cpcv_low, cpcv_high.
     """
     c = F.col
-    wf = 0.40 * 100 * c("pass_rate") + 0.20 * _scale(c("geo_quality"), 0, 50) + 0.15 * _scale(c("min_quality"), 0, 20) + 0.15 * 100 * F.greatest(1 - c("cv_quality"), F.lit(0.0)) + 0.10 * _scale(c("n_oos"), 0, 4)
+    wf = 0.40 * 100 * c("pass_rate") + _scale(c("geo_quality"), 0, 50, 0.20) + _scale(c("min_quality"), 0, 20, 0.15) + 0.15 * 100 * F.greatest(1 - c("cv_quality"), F.lit(0.0)) + _scale(c("n_oos"), 0, 4, 0.10)
     width = c("ci_high") - c("ci_low")
     ci = F.when(c("ci_low") > 0, _scale(c("ci_low"), 0, 1)).when(width > 0, 50 * F.greatest(c("ci_high") / width, F.lit(0.0))).otherwise(0.0)
     chance = F.when(c("p_value") <= 0.001, 100.0).otherwise(_ramp(c("p_value"), (0.001, 100), (0.05, 80), (0.5, 0)))
-    mc = 0.30 * ci + 0.30 * chance + 0.20 * F.coalesce(_scale(c("skip_quality"), 0, 30), F.lit(50.0)) + 0.20 * _scale(c("stress_ratio"), 0, 0.8)
-    cpcv = 0.40 * 100 * c("cpcv_positive") + 0.30 * _scale(c("cpcv_sharpe"), 0, 2) + 0.20 * 100 * F.greatest(1 - (c("cpcv_high") - c("cpcv_low")) / 2, F.lit(0.0)) + 0.10 * _scale(c("cpcv_folds"), 0, 20)
+    mc = 0.30 * ci + 0.30 * chance + 0.20 * F.coalesce(_scale(c("skip_quality"), 0, 30), F.lit(50.0)) + _scale(c("stress_ratio"), 0, 0.8, 0.20)
+    cpcv = 0.40 * 100 * c("cpcv_positive") + _scale(c("cpcv_sharpe"), 0, 2, 0.30) + 0.20 * 100 * F.greatest(1 - (c("cpcv_high") - c("cpcv_low")) / 2, F.lit(0.0)) + _scale(c("cpcv_folds"), 0, 20, 0.10)
     wf = F.when(c("n_oos") > 0, wf).otherwise(0.0)
     return {
         "walk_forward": F.when(F.coalesce(c("cpcv_folds"), F.lit(0)) > 0, (1 - CPCV_SHARE) * wf + CPCV_SHARE * cpcv).otherwise(wf),
         "monte_carlo": mc,
         "forward_back": _scale(c("ratio"), 0, 1),
-        "stability": 0.7 * _scale(c("mean_ratio"), 0.4, 1) + 0.3 * _scale(c("min_ratio"), 0, 0.5),
+        "stability": _scale(c("mean_ratio"), 0.4, 1, 0.7) + _scale(c("min_ratio"), 0, 0.5, 0.3),
         "dsr": _ramp(c("dsr"), (0.5, 0), (0.95, 80), (0.99, 100)),
-        "backtest": 0.50 * F.least(2 * c("quality"), F.lit(100.0)) + 0.25 * _scale(c("trades"), 0, 100) + 0.25 * _scale(c("sharpe"), 0, 2),
+        "backtest": 0.50 * F.least(2 * c("quality"), F.lit(100.0)) + _scale(c("trades"), 0, 100, 0.25) + _scale(c("sharpe"), 0, 2, 0.25),
     }
 
 

@@ -28,3 +28,10 @@ def test_ranks_of_rounded_halves(spark, tmp_path, name):
 def test_ratio_of_rounded_halves(spark, tmp_path):
     got, want = both(spark, tmp_path, "o17_forward_back", [(10 + i, b) for i, b in enumerate(BALANCES)])
     assert got == want
+
+
+@pytest.mark.parametrize("rows", [[(1724280, 8599.13)], [(10 + i, b) for i, b in enumerate(BALANCES)] + [(4772, 7883.5)]], ids=["threshold", "halves"])
+def test_confidence_at_a_threshold(spark, tmp_path, rows):
+    """The first composite is 40 in SQL; lines summed in another order gave a last digit below it."""
+    got, want = both(spark, tmp_path, "v17_v19_confidence", rows)
+    assert got == want
