@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,36 +62,121 @@ def closed_by_broker(tracked: DataFrame, positions: DataFrame) -> DataFrame:
     return tracked.join(positions.select("ticket"), "ticket", "left_anti")
 
 
+class _Free:
+    """Replay trades of a run that aren't taken: a linked list of their times, each with its ids in order.
+
+    A node is [time, ids, place of the first id that may be free, node before, node after].
+    """
+
+    def __init__(self) -> None:
+        self.start: list = [float("-inf"), [], 0, None, None]
+        self.end: list = [float("inf"), [], 0, self.start, None]
+        self.start[4] = self.place = self.end  # place: the first node not before the last live trade
+        self.used: set = set()
+
+    def add(self, s: float, replay_id: int) -> None:
+        """Times never fall from call to call."""
+        last = self.end[3]
+        if last[0] == s:
+            last[1].append(replay_id)
+            return
+        last[4] = self.end[3] = node = [s, [replay_id], 0, last, self.end]
+        if self.place is self.end:
+            self.place = node
+
+    def _drop(self, node: list) -> None:
+        node[3][4], node[4][3] = node[4], node[3]
+        if node is self.place:
+            self.place = node[4]
+
+    def _first(self, node: list, way: int) -> list:
+        """``node``, or the next one that way (3 back, 4 on), that has a free id; those without leave the list."""
+        while node[1]:
+            while node[2] < len(node[1]) and node[1][node[2]] in self.used:
+                node[2] += 1
+            if node[2] < len(node[1]):
+                return node
+            self._drop(node)
+            node = node[way]
+        return node
+
+    def take(self, s: float, span: int) -> int | None:
+        """The nearest free trade within ``span``, the least id of equals.  Times never fall from call to call."""
+        while self.place[0] < s:
+            self.place = self.place[4]
+        while self.start[4][0] < s - span:
+            self._drop(self.start[4])
+        after = self._first(self.place, 4)
+        before = self._first(after[3], 3)
+        gap, back = after[0] - s, s - before[0]
+        if min(gap, back) > span:
+            return None
+        at = after if gap < back or (gap == back and after[1][after[2]] < before[1][before[2]]) else before
+        self.used.add(found := at[1][at[2]])
+        return found
+
+
+def _greedy(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the rows group, direction, run, s, live, id, which come in that order.
+
+    A live trade waits until all replay trades that it may take have come.
+    """
+    now, free, waiting, out = None, _Free(), deque(), []
+
+    def settle(until: float) -> None:
+        while waiting and waiting[0][0] + span < until:
+            s, live_id = waiting.popleft()
+            if (replay_id := free.take(s, span)) is not None:
+                out.append((now[0], live_id, replay_id))
+
+    def told(kind: pa.DataType) -> pa.RecordBatch:
+        cols = zip(*out, strict=True) if out else ([], [], [])
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.int64()), strict=True)], ["group", "live_id", "replay_id"])
+        out.clear()
+        return made
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("group").type
+        for *key, s, is_live, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != now:
+                settle(float("inf"))
+                now, free = key, _Free()
+            settle(s)
+            if not is_live:
+                free.add(s, i)
+            elif not waiting or waiting[-1] != (s, i):
+                waiting.append((s, i))
+        yield told(kind)
+    if kind is not None:
+        settle(float("inf"))
+        yield told(kind)
+
+
 def match(live: DataFrame, replay: DataFrame, minutes: float = 120.0) -> DataFrame:
     """Pairs (group, live_id, replay_id): each live trade in order of entry takes the nearest free replay trade of its
-    direction within ``minutes``; the earliest of equals.  ``group`` separates pairs and strategies.
-
-    The choice depends on those before it, so trades run in order, over candidate pairs found by a join on time
-    buckets.  Live trades of another direction, or further apart than twice ``minutes``, can't want the same replay
-    trade: a run of trades without such a gap is settled on its own, so a task holds one run (a week at
-    most where markets close), not a group.  Rows with a null group, direction or time match nothing.
+    direction within ``minutes``; the least id of equals.  ``group`` separates pairs and strategies.
+
+    The choice depends on those before it, so trades run in order: both sides as one sorted stream, each trade once.
+    Candidate pairs, whose number grows with the square of the trades in an hour, are never formed.  Live trades further
+    apart than twice ``minutes`` can't want the same replay trade: a run of live trades without such a gap (seen by
+    buckets of ``minutes``) is settled on its own.  A run is one stream, whose task holds the replay trades within
+    ``minutes`` and the ids taken.  Rows with a null group, direction, id or time match nothing; a live trade or a
+    replay id that comes twice counts once.
     """
     span = int(minutes * 60)
-    bucket = F.floor(F.col("s") / span)
-    a = live.select("group", "live_id", "direction", "s", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-    b = replay.select("group", "replay_id", "direction", F.col("s").alias("rs"), F.floor(F.col("s") / span).alias("b"))
-    gap = F.abs(F.col("rs") - F.col("s"))
-    near = a.join(b, ["group", "direction", "b"]).where(gap <= span).select("group", "direction", "live_id", "replay_id", "s", gap.alias("gap"))
-    w = Window.partitionBy("group", "direction").orderBy("s")
-    near = near.withColumn("_new", F.when(F.col("s") - F.lag("s").over(w) > 2 * span, 1).otherwise(0)).withColumn("run", F.sum("_new").over(w)).drop("_new")
-
-    def greedy(pdf):
-        pdf = pdf.sort_values(["s", "live_id", "gap", "replay_id"], kind="stable")
-        used, done, out = set(), set(), []
-        for lid, rid in zip(pdf["live_id"], pdf["replay_id"], strict=True):
-            if lid not in done and rid not in used:
-                used.add(rid)
-                done.add(lid)
-                out.append((lid, rid))
-        return pdf.iloc[: len(out)][["group"]].assign(live_id=[x[0] for x in out], replay_id=[x[1] for x in out])
-
-    kind = dict(near.dtypes)["group"]
-    return near.groupBy("group", "direction", "run").applyInPandas(greedy, f"group {kind}, live_id long, replay_id long")
+    keys = ["group", "direction"]
+    bucket = F.floor(F.col("s") / max(span, 1)).alias("b")
+    a = live.select(*keys, "s", F.lit(True).alias("live"), F.col("live_id").alias("id"), bucket)
+    b = replay.select(*keys, "s", F.lit(False).alias("live"), F.col("replay_id").alias("id"), bucket)
+    w = Window.partitionBy(*keys).orderBy("b")  # over a row for each bucket with live trades
+    apart = F.when(F.col("b") - F.lag("b").over(w) > 2, 1).otherwise(0)  # two buckets between: more than twice the span
+    busy = a.select(*keys, "b").distinct().withColumn("_new", apart).withColumn("run", F.sum("_new").over(w))
+    reach = busy.select(*keys, "run", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b")).distinct()
+    rows = a.unionByName(b).where(F.col("id").isNotNull()).join(reach, [*keys, "b"]).select(*keys, "run", "s", "live", "id")
+    kind = dict(rows.dtypes)["group"]
+    dealt = rows.repartition(*keys, "run").sortWithinPartitions(*keys, "run", "s", "live", "id")
+    return dealt.mapInArrow(lambda batches: _greedy(batches, span), f"group {kind}, live_id long, replay_id long")
 
 
 def compare(pairs: DataFrame, pip: float) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom import strategy
 from quantloom.operators import articles, search, validation, verification
@@ -96,6 +97,32 @@ def test_greedy_matching_equals_a_loop(spark):
     assert {(r["live_id"], r["replay_id"]) for r in got.collect()} == want
 
 
+def test_matching_without_candidate_pairs(spark):
+    """20,000 trades of either side at one time: 400 million pairs are near enough, the stream reads 40,000 rows."""
+    n = 20_000
+    live = spark.range(n).select(F.lit("g").alias("group"), F.col("id").alias("live_id"), F.lit(1).alias("direction"), F.lit(5).alias("s"))
+    replay = spark.range(n).select(F.lit("g").alias("group"), (F.col("id") * 3).alias("replay_id"), F.lit(1).alias("direction"), F.lit(7).alias("s"))
+    got = verification.match(live, replay).collect()
+    assert sorted((r["live_id"], r["replay_id"]) for r in got) == [(i, 3 * i) for i in range(n)]
+
+
+@pytest.mark.parametrize("wide, minutes", [(60, 0.5), (9_000, 2), (9_000, 120), (3_000_000, 120)])
+def test_matching_with_ties_nulls_and_copies(spark, wide, minutes):
+    rng = random.Random(wide + int(minutes))
+    some = lambda xs: rng.choice([*xs, None]) if rng.random() < 0.1 else rng.choice(xs)
+    a = [(some(["g", "h"]), i, some([1, -1]), some([rng.randrange(-wide, wide)])) for i in range(300)]
+    b = [(some(["g", "h"]), i, some([1, -1]), some([rng.randrange(-wide, wide)])) for i in range(300)]
+    used, want = set(), []
+    for g, i, d, s in sorted((x for x in a if None not in x), key=lambda x: (x[3], x[1])):
+        free = [(abs(x[3] - s), x[1]) for x in b if None not in x and (x[0], x[2]) == (g, d) and x[1] not in used and abs(x[3] - s) <= 60 * minutes]
+        if free:
+            used.add(min(free)[1])
+            want.append((g, i, min(free)[1]))
+    frame = lambda rows, name: spark.createDataFrame(rows + rows[:40], f"group string, {name} long, direction int, s long")
+    got = verification.match(frame(a, "live_id"), frame(b, "replay_id"), minutes)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_markdown():
     html = "<h2>T</h2><p>a <a href='u'>b</a></p><ul><li>x</li><li>y</li></ul><pre>k = 1\n</pre><table><tr><th>h</th></tr><tr><td>1</td></tr></table><script>no</script>"
     md = articles.to_markdown(html)
