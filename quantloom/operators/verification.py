@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.workers import sent_whole
+
+sent_whole(__name__)
+
 #: Exit reasons of the broker and the replay by their common name; fixed values.
 REASONS = {"sl": "stop", "stop_loss": "stop", "so": "stop", "tp": "target", "take_profit": "target", "trailing": "trailing", "trailing_stop": "trailing", "breakeven": "breakeven", "be": "breakeven", "max_bars": "time", "stale": "stale", "none": "open"}
 
