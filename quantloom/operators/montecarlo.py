@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructType
 
+from quantloom.functions.workers import sent_whole
 from quantloom.operators.metrics import metrics
 from quantloom.operators.search import deflated_sharpe
 
+sent_whole(__name__)
+
 MODULUS = 2_147_483_647
 
 
@@ -21,25 +27,59 @@ def pseudo(*ids: Column) -> Column:
     return x
 
 
-def _iterations(pnl: DataFrame, count: int) -> DataFrame:
-    it = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("iter")
-    return pnl.select("*", it)
+RANGE = 1 << 20  # results whose blocks one task holds
+DRAWS = 1 << 16  # draws at a time
+
+
+def _state(state: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A step of ``pseudo`` for arrays of the states before and of ids."""
+    return ((state * 48_271 + (ids * 69_621 + 11)) % MODULUS * 16_807 + 7) % MODULUS
+
+
+def _block_sums(rows: pa.Table, keys: tuple[str, ...], iterations: int, block: int) -> pa.Table:
+    """What the blocks that begin in one range of a key add to each resample: iter, number, sum and sum of squares."""
+    low, n = rows["_range"][0].as_py() * RANGE, rows["_n"][0].as_py()
+    size = min(RANGE, n - low)
+    seen = rows["pnl"].is_valid().to_numpy()
+    at = rows["seq"].to_numpy()[seen] - low
+    value = rows["pnl"].cast(pa.float64()).to_numpy()[seen]
+    sums = []
+    for x in (np.ones(len(value)), value, value * value):
+        one = np.zeros(size + block - 1)
+        one[at] = x
+        starts = np.zeros(size + 1)  # the last one is for blocks that begin elsewhere
+        for k in range(block):
+            starts[:size] += one[k : k + size]
+        sums.append(starts)
+    out = np.zeros((3, iterations))
+    states = _state(np.int64(12_345), np.arange(iterations, dtype=np.int64))
+    draws = -(-n // block)
+    for first in range(0, draws, DRAWS):
+        ids = np.arange(first, min(first + DRAWS, draws), dtype=np.int64)
+        step = max(1, DRAWS // len(ids))
+        for i in range(0, iterations, step):
+            start = _state(states[i : i + step, None], ids) % n - low
+            if size < n:
+                start[(start < 0) | (start >= size)] = size
+            for total, x in zip(out, sums, strict=True):
+                total[i : i + step] += x[start].sum(axis=1)
+    made = {k: pa.array([rows[k][0].as_py()] * iterations, rows.schema.field(k).type) for k in keys}
+    return pa.table(made | {"iter": pa.array(range(iterations), pa.int32()), "n": out[0], "s1": out[1], "s2": out[2]})
 
 
 def block_bootstrap(pnl: DataFrame, iterations: int = 1000, block: int = 10, keys: tuple[str, ...] = ("key",)) -> DataFrame:
     """Per key: Sharpe per trade of each resample of whole blocks, as mean and 5, 50, 95 % points.
 
-    Blocks are cut short at the end of the series, so a sample can be shorter than it.  What a block adds is summed
-    once for each place where it may begin; a draw takes three numbers, not its rows.
+    ``seq`` counts from 0.  Blocks are cut short at the end of the series, so a sample can be shorter than it; null
+    results stay out.  A task holds what a block adds for each place of a range where it may begin, makes the draws of the
+    key anew, and adds up those that fall into its range; so no draw is ever a row.
     """
-    n = pnl.groupBy(*keys).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(0, block - 1)
-    sums = pnl.select(*keys, F.col("seq").alias("start"), F.count("*").over(w).alias("c"), F.sum("pnl").over(w).alias("s1"), F.sum(F.col("pnl") * F.col("pnl")).over(w).alias("s2"))
-    tasks = int(pnl.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _iterations(n, iterations).repartition(tasks, *keys, "iter")  # one row a key before, all its draws after
-    draws = dealt.select(*keys, "iter", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("draw"))
-    draws = draws.select(*keys, "iter", (pseudo(F.col("iter"), F.col("draw")) % F.col("n")).alias("start"))
-    per = draws.join(sums, [*keys, "start"]).groupBy(*keys, "iter").agg(F.sum("c").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    n = pnl.groupBy(*keys).agg(F.count("*").alias("_n"))  # a row for each key
+    ranges = F.sequence(F.floor(F.greatest(F.col("seq") - (block - 1), F.lit(0)) / RANGE), F.floor(F.col("seq") / RANGE))
+    rows = pnl.join(n, list(keys)).where("seq >= 0 and seq < _n").select(*keys, F.col("seq").cast("long").alias("seq"), "pnl", "_n", F.explode(ranges).alias("_range"))
+    schema = StructType([pnl.schema[k] for k in keys]).add("iter", "integer").add("n", "double").add("s1", "double").add("s2", "double")
+    made = rows.groupBy(*keys, "_range").applyInArrow(lambda t: _block_sums(t, keys, iterations, block), schema)
+    per = made.groupBy(*keys, "iter").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     variance = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)
     per = per.withColumn("sharpe", F.when((F.col("n") > 1) & (variance > 0), F.col("s1") / F.col("n") / F.sqrt(variance)).otherwise(0.0))
     return per.groupBy(*keys).agg(F.avg("sharpe").alias("mean"), *(F.percentile("sharpe", F.lit(p)).alias(f"p{int(100 * p):02d}") for p in (0.05, 0.5, 0.95)))
