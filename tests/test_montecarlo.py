@@ -61,3 +61,9 @@ def test_no_draw_is_a_row(spark):
     """4,000 results make 400,000 draws."""
     pnl = spark.range(4_000).selectExpr("'a' as key", "id as seq", "cast(id * 7 % 23 - 10 as double) as pnl")
     assert most_rows(montecarlo.block_bootstrap(pnl)) < 10_000
+
+
+def test_record_makes_no_row_of_a_draw(spark):
+    """Signs of 1,000 iterations are 34 rows a result; draws would be 400,000 rows."""
+    pnl = spark.range(4_000).selectExpr("'a' as key", "id as seq", "cast(id * 7 % 23 - 10 as double) as pnl")
+    assert most_rows(montecarlo.record(pnl, ["key"], ["seq"], trials=10)) <= 34 * 4_000
